@@ -157,12 +157,16 @@ def incremental_scan(
     run_batches(stream, sync, checkpoint)
 
 
-def new_requests(requests: DataFrame, past: DataFrame) -> DataFrame:
-    """Import requests whose signature no past run has."""
-    signed = requests.withColumn(
+def signed(requests: DataFrame) -> DataFrame:
+    """Import requests with the hash of their manifest and options."""
+    return requests.withColumn(
         "signature",
         hashing.import_signature(
             F.col("manifest_hash"), F.col("sample_percent"), F.col("include_types"), F.col("exclude_types")
         ),
     )
-    return signed.join(past.select("signature").distinct(), "signature", "left_anti")
+
+
+def new_requests(requests: DataFrame, past: DataFrame) -> DataFrame:
+    """Import requests whose signature no past run has."""
+    return signed(requests).join(past.select("signature").distinct(), "signature", "left_anti")
