@@ -50,14 +50,14 @@ def priority_topk(
 
 
 def pinned_first_topk(
-    df: DataFrame, pinned_id: int, limit: int, run_id: int, content_type: str, created: str = "created_at"
+    jobs: DataFrame, pins: DataFrame, limit: int, keys: Sequence[str] = ("run_id", "content_type"), created: str = "created_at"
 ) -> DataFrame:
-    """The pinned job first, then the oldest queued jobs of the same run and type."""
-    scope = df.filter(
-        (F.col("run_id") == run_id) & (F.col("status") == "queued") & (F.col("content_type") == content_type)
-    )
-    pin = F.when(F.col("job_id") == pinned_id, 0).otherwise(1)
-    return scope.withColumn("pin", pin).orderBy("pin", F.col(created).asc(), F.col("job_id").asc()).limit(limit)
+    """Per pin (``keys``, ``pinned_id``): the pinned job first, then the oldest queued jobs of the same keys."""
+    queued = jobs.filter(F.col("status") == "queued")
+    pin = F.when(F.col("job_id") == F.col("pinned_id"), 0).otherwise(1)
+    scope = queued.join(pins, list(keys)).withColumn("pin", pin)
+    order = [F.col("pin").asc(), F.col(created).asc(), F.col("job_id").asc()]
+    return recent_n(scope.drop("pinned_id"), limit, order, keys)
 
 
 def number_head(df: DataFrame, order: Sequence[Column], n: int, column: str = "rank") -> DataFrame:

@@ -7,7 +7,6 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.constants import TYPE_PRIORITY
 from lorekeep.operators import aggregates, filters, joins, ranking
 from lorekeep.registry import inputs as fx
 from lorekeep.registry.base import at, listed, query
@@ -262,10 +261,14 @@ def no_active_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.no_active_job(projections, jobs, "o_orderkey")
 
 
-@query("missing_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(
+    "missing_keys",
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
+)
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = fx.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.missing_keys(fx.load(spark, sf_dir, "customer"), known, "c_custkey")
+    """Parts that were never sold in a full lot."""
+    known = fx.load(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
+    return joins.missing_keys(fx.load(spark, sf_dir, "part"), known, "p_partkey")
 
 
 @query(
@@ -473,17 +476,18 @@ def priority_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "pinned_first_topk",
     fx.cte(fx.JOBS)
-    + """SELECT job_id, CAST(CASE WHEN job_id = (SELECT max(job_id) FROM fx_jobs WHERE run_id = 7 AND status = 'queued'
- AND content_type = 'text') THEN 0 ELSE 1 END AS INTEGER) AS pin FROM fx_jobs WHERE run_id = 7 AND status = 'queued'
- AND content_type = 'text' ORDER BY pin, started_at, job_id LIMIT 64""",
+    + """SELECT run_id, content_type, job_id, pin FROM (SELECT *, row_number() OVER (PARTITION BY run_id, content_type
+ ORDER BY pin, started_at, job_id) AS r FROM (SELECT *, CAST(CASE WHEN job_id = max(job_id) OVER
+ (PARTITION BY run_id, content_type) THEN 0 ELSE 1 END AS INTEGER) AS pin FROM fx_jobs WHERE status = 'queued'))
+ WHERE r <= 2""",
 )
 def pinned_first_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest text job of run 7 is pinned."""
+    """The newest queued job of each run and type is pinned before the oldest ones."""
     jobs = fx.jobs(spark, sf_dir)
-    mine = jobs.filter("run_id = 7 and status = 'queued' and content_type = 'text'")
-    pinned = mine.agg(F.max("job_id").alias("id")).first()["id"]
-    top = ranking.pinned_first_topk(jobs, -1 if pinned is None else pinned, 64, 7, "text", "started_at")
-    return top.select("job_id", "pin")
+    queued = jobs.filter(F.col("status") == "queued")
+    pins = queued.groupBy("run_id", "content_type").agg(F.max("job_id").alias("pinned_id"))
+    top = ranking.pinned_first_topk(jobs, pins, 2, created="started_at")
+    return top.select("run_id", "content_type", "job_id", "pin")
 
 
 @query(
