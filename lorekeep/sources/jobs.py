@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
-def parse_jobs(raw: DataFrame, schema: StructType | str, column: str = "value") -> DataFrame:
+def parse_jobs(raw: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
     """Decode JSON payloads; a payload that does not parse keeps its text in ``corrupt``."""
-    ddl = schema if isinstance(schema, str) else schema.simpleString()[len("struct<") : -1]
-    body = F.from_json(F.col(column), f"{ddl}, corrupt string", {"columnNameOfCorruptRecord": "corrupt"})
+    full = StructType(schema.fields).add("corrupt", StringType())
+    body = F.from_json(F.col(column), full, {"columnNameOfCorruptRecord": "corrupt"})
     return raw.select("queue", body.alias("job")).select("queue", "job.*")
 
 
@@ -20,7 +20,7 @@ def publish_jobs(jobs: DataFrame, queue: str, path: str) -> None:
     jobs.select(payload.alias("value"), F.lit(queue).alias("queue")).write.mode("append").partitionBy("queue").text(path)
 
 
-def job_stream_source(spark: SparkSession, path: str, schema: StructType | str, queue: str | None = None) -> DataFrame:
+def job_stream_source(spark: SparkSession, path: str, schema: StructType, queue: str | None = None) -> DataFrame:
     """Stream of decoded payloads from queue folders written by :func:`publish_jobs`."""
     raw = spark.readStream.schema("value string, queue string").text(path)
     if queue is not None:
@@ -28,7 +28,7 @@ def job_stream_source(spark: SparkSession, path: str, schema: StructType | str,
     return parse_jobs(raw, schema)
 
 
-def kafka_job_source(spark: SparkSession, servers: str, topic: str, schema: StructType | str) -> DataFrame:
+def kafka_job_source(spark: SparkSession, servers: str, topic: str, schema: StructType) -> DataFrame:
     """Stream of decoded payloads from a Kafka topic; needs the Kafka connector on the class path."""
     raw = (
         spark.readStream.format("kafka")

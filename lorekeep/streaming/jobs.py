@@ -104,43 +104,57 @@ def _health(stale_seconds: int, interval: float) -> Column:
 
 
 TIMEOUT_SCHEMA = "job_id bigint, action string, attempts int"
+_PENDING = {"job_id": "int64", "due": "int64", "attempts": "int32"}
 
 
 def stuck_job_timeout(
-    log: DataFrame, minutes: int = STALE_MINUTES, max_attempts: int = MAX_ATTEMPTS, late: str = "0 seconds"
+    log: DataFrame,
+    minutes: int = STALE_MINUTES,
+    max_attempts: int = MAX_ATTEMPTS,
+    late: str = "0 seconds",
+    buckets: int = 64,
 ) -> DataFrame:
     """Timeout events from a job log (job_id, status, ts, attempts).
 
     A job that stays in processing for ``minutes`` of event time is requeued, or failed after too many
-    attempts; any later status cancels its timer. State is one small row per job in processing.
+    attempts; any later status cancels its timer. State is kept per hash bucket of job ids, so that a
+    batch is a few vector operations per bucket; choose ``buckets`` so that the jobs in processing at one
+    time, divided by it, are a small state row.
     """
     span = minutes * 60_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (attempts,) = state.get
+        held = state.get if state.exists else ([], [], [])
+        pending = pd.DataFrame(dict(zip(_PENDING, held))).astype(_PENDING)
+        if not state.hasTimedOut:
+            news = pd.concat(list(frames)).sort_values("ts", kind="stable").drop_duplicates("job_id", keep="last")
+            pending = pending[~pending["job_id"].isin(news["job_id"])]
+            started = news[news["status"] == "processing"]
+            due = started["ts"].astype("datetime64[ms]").astype("int64") + span
+            entered = pd.DataFrame({"job_id": started["job_id"], "due": due, "attempts": started["attempts"]})
+            pending = pd.concat([pending, entered.astype(_PENDING)])
+        watermark = state.getCurrentWatermarkMs()
+        fired = pending[pending["due"] < watermark]
+        rest = pending[pending["due"] >= watermark]
+        if len(fired):
+            action = (fired["attempts"] >= max_attempts).map({True: "failed", False: "requeue"})
+            yield pd.DataFrame({"job_id": fired["job_id"], "action": action, "attempts": fired["attempts"]})
+        if len(rest):
+            state.update(tuple(rest[c].tolist() for c in _PENDING))
+            state.setTimeoutTimestamp(max(int(rest["due"].min()), watermark + 1))
+        elif state.exists:
             state.remove()
-            action = "failed" if attempts >= max_attempts else "requeue"
-            yield pd.DataFrame({"job_id": [key[0]], "action": [action], "attempts": [attempts]})
-            return
-        newest = None
-        for frame in frames:
-            row = frame.loc[frame["ts"].idxmax()]
-            if newest is None or row["ts"] > newest["ts"]:
-                newest = row
-        if newest["status"] != "processing":
-            if state.exists:
-                state.remove()
-            return
-        due = int(newest["ts"].value // 1_000_000) + span
-        state.update((int(newest["attempts"]),))
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return (
         log.withWatermark("ts", late)
-        .groupBy("job_id")
+        .withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)))
+        .groupBy("bucket")
         .applyInPandasWithState(
-            step, TIMEOUT_SCHEMA, "attempts int", "append", GroupStateTimeout.EventTimeTimeout
+            step,
+            TIMEOUT_SCHEMA,
+            "job_id array<bigint>, due array<bigint>, attempts array<int>",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 

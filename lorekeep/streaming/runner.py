@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from lorekeep.session import scratch_dir
 
@@ -46,7 +46,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
     run_batches(stream, write, f"{root}/checkpoint", mode)
-    return spark.read.schema(StructType(stream.schema.fields).add("batch_id", "int")).parquet(f"{root}/out")
+    return spark.read.schema(StructType(stream.schema.fields).add("batch_id", IntegerType())).parquet(f"{root}/out")
 
 
 def latest_state(emitted: DataFrame, keys: list[str]) -> DataFrame:
