@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_ALL=1 for every query.
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_ALL=1 for every query, BENCH_ONLY for a list of names.
 Each query is run once to warm up and then BENCH_RUNS (default 3) times; the median counts. Results go to
 the ``noop`` sink, so that no column is pruned away.
 """
@@ -47,6 +47,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     everything = os.environ.get("BENCH_ALL") == "1"
+    only = os.environ.get("BENCH_ONLY", "").split()
     runs = int(os.environ.get("BENCH_RUNS", "1" if everything else "3"))
     spark = build_session(
         "bench",
@@ -61,7 +62,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     known = registry.queries()
     timings: dict[str, float] = {}
-    for name in known if everything else HEADLINE:
+    for name in only or (known if everything else HEADLINE):
         taken = []
         for _ in range(runs + (0 if everything else 1)):
             start = time.perf_counter()

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from lorekeep.constants import PREVIEW_LIMIT
 
-# White space as Python's str.split sees it: Unicode White_Space plus the four separators.
-_BLANK = r"[\s\x1c-\x1f]"
+# White space as Python's str.strip and str.split see it; the regular expression says the same.
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(value, F.lit(_BLANKS))
 
 
 def squeeze(value: Column) -> Column:
     """Strip, and turn each run of white space into one space."""
-    return strip(F.regexp_replace(value, rf"(?U){_BLANK}+", " "))
+    return F.trim(F.regexp_replace(value, _BLANK_RUN, " "))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -31,9 +32,12 @@ def basename(path: Column) -> Column:
 
 def preview(value: Column, limit: int = PREVIEW_LIMIT) -> Column:
     """One-line preview; longer text is cut to limit-1 characters and an ellipsis."""
-    flat = squeeze(value)
-    cut = F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))
-    return F.when(F.length(value) > 0, F.when(F.length(flat) > limit, cut).otherwise(flat))
+
+    def cut(flat: Column) -> Column:
+        return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+
+    # The lambda makes sure that the text is squeezed once.
+    return F.when(F.length(value) > 0, F.get(F.transform(F.array(squeeze(value)), cut), 0))
 
 
 def join_lines(*values: Column) -> Column:
@@ -43,7 +47,7 @@ def join_lines(*values: Column) -> Column:
 
 def extractive_summary(value: Column, limit: int = PREVIEW_LIMIT) -> Column:
     """First two sentences, else the head of the text."""
-    sentences = F.slice(F.split(value, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"), 1, 2)
+    sentences = F.slice(F.split(value, rf"(?<=[.!?]){_BLANK_RUN}"), 1, 2)
     kept = F.filter(F.transform(sentences, strip), lambda s: F.length(s) > 0)
     return F.when(
         F.length(value) > 0,

@@ -102,8 +102,8 @@ def catalog_search_join(
 
 
 def many_to_many_roles(users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
-    """Users with their sorted role slugs. Distinct pairs are built before the join to the users."""
-    pairs = user_roles.select("user_id", "role_id").distinct().join(roles.select("role_id", "slug"), "role_id")
+    """Users with their sorted role slugs; a list has at most as many entries as there are roles."""
+    pairs = user_roles.select("user_id", "role_id").join(roles.select("role_id", "slug"), "role_id")
     grouped = pairs.groupBy("user_id").agg(F.array_sort(F.collect_set("slug")).alias("roles"))
     return users.join(grouped, "user_id", "left").withColumn(
         "roles", F.coalesce("roles", F.array().cast("array<string>"))

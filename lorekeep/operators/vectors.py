@@ -22,9 +22,10 @@ _CHUNK_CELLS = 4 << 20
 def feature_hash_embed(texts: DataFrame, id_col: str, text_col: str, dim: int = VECTOR_SIZE) -> DataFrame:
     """Sparse unit vectors as rows (id, idx, weight).
 
-    Token weights are summed map-side first, so the one shuffle carries one row per (text, position).
+    The one shuffle spreads the texts by id; tokens, sums and norms then stay in their task.
     """
-    exploded = texts.select(id_col, F.explode(V.tokens(F.col(text_col))).alias("token"))
+    spread = texts.select(id_col, text_col).repartition(id_col)
+    exploded = spread.select(id_col, F.explode(V.tokens(F.col(text_col))).alias("token"))
     hashed = exploded.select(id_col, F.sha2("token", 256).alias("digest"))
     slots = hashed.select(
         id_col, V.token_slot(F.col("digest"), dim).alias("idx"), V.token_weight(F.col("digest")).alias("w")

@@ -6,7 +6,7 @@ import importlib
 
 from lorekeep.registry import base
 
-_MODULES = ("search_queries", "text_queries", "table_queries", "lifecycle_queries", "stream_queries")
+_MODULES = ("search_queries", "text_queries", "table_queries", "lifecycle_queries", "stream_queries", "file_queries")
 
 
 def queries() -> dict[str, base.Query]:

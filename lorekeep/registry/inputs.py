@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import pin
+from lorekeep.session import pin, spread
+
+# Tables whose rows take long to work on.
+TEXT_TABLES = ("documents", "conversations")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    table = pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXT_TABLES else table
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

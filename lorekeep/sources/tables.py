@@ -45,9 +45,10 @@ def write_table(df: DataFrame, root: str, table: str) -> str:
     """Write the next version and return its folder."""
     versions = _versions(df.sparkSession, f"{root}/{table}")
     target = f"{root}/{table}/v{(versions[-1] + 1 if versions else 1):08d}"
-    writer = df.write.mode("overwrite")
     columns = [c for c in PARTITIONING.get(table, []) if c in df.columns]
     if columns:
-        writer = writer.partitionBy(*columns)
-    writer.parquet(target)
+        # Gathers each partition value into few files and splits the values that hold many rows.
+        df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(target)
+    else:
+        df.write.mode("overwrite").parquet(target)
     return target
