@@ -23,7 +23,7 @@ def query_text(query: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens; a text without any gives the single token ``empty``."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[\w#@:/.\-]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_#@:/.\-]+"), F.lit(0))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("empty")))
 
 

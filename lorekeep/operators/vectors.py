@@ -202,12 +202,15 @@ def _blocked_scores(
     """
     sizes = q.agg(F.count("*").alias("n")).first(), p.agg(F.count("*").alias("n")).first()
     n_q, n_p = (max(1, -(-size["n"] // block_rows)) for size in sizes)
-    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)))
-    )
-    right = p.withColumn("pb", F.pmod(F.xxhash64("item_id"), F.lit(n_p)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint")
-    )
+
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    left = q.withColumn("qb", block("query_id", n_q)).withColumn("pb", every(n_p))
+    right = p.withColumn("pb", block("item_id", n_p)).withColumn("qb", every(n_q))
 
     def score(queries: pa.Table, points: pa.Table) -> pa.Table:
         if not queries.num_rows or not points.num_rows:

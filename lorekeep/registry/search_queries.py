@@ -42,7 +42,7 @@ COSINE = """fx_unit AS (SELECT item_id, projection_kind, source_id,
 @query(
     "feature_hash_embed",
     r"""WITH tok AS (SELECT doc_id, CASE WHEN len(t) > 0 THEN t ELSE ['empty'] END AS t FROM (SELECT doc_id,
- regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_#@:/.\-]+') AS t FROM documents)),
+ regexp_extract_all(lower(text), '[\p{L}\p{N}_#@:/.\-]+') AS t FROM documents)),
  h AS (SELECT doc_id, sha256(w) AS h FROM (SELECT doc_id, unnest(t) AS w FROM tok)),
  s AS (SELECT doc_id, ('0x'||substr(h, 1, 8))::BIGINT % 3072 AS idx,
  (CASE WHEN ('0x'||substr(h, 9, 2))::INTEGER % 2 = 0 THEN 1 ELSE -1 END)
@@ -127,7 +127,7 @@ HYBRID = rf"""fx_rows AS (SELECT i.*, s.* EXCLUDE (source_id), t.* EXCLUDE (item
  fx_docs AS (SELECT item_id, 'derived_text' AS kind, {DERIVED_SQL} AS text FROM fx_rows
  UNION ALL SELECT item_id, 'raw_multimodal', {DOCUMENT_SQL} FROM fx_rows
  UNION ALL SELECT item_id, 'query', 'task: search result | query: '||trim(text) FROM benchmark),
- fx_tok AS (SELECT item_id, kind, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_#@:/.\-]+')) AS w FROM fx_docs),
+ fx_tok AS (SELECT item_id, kind, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_#@:/.\-]+')) AS w FROM fx_docs),
  fx_words AS (SELECT w, sha256(w) AS h FROM (SELECT DISTINCT w FROM fx_tok)),
  fx_slots AS (SELECT w, ('0x'||substr(h, 1, 8))::BIGINT % 3072 AS idx,
  (CASE WHEN ('0x'||substr(h, 9, 2))::INTEGER % 2 = 0 THEN 1 ELSE -1 END)
