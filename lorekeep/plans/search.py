@@ -25,18 +25,17 @@ FACETS = [
 ]
 
 
-def index_points(
+def projection_texts(
     items: DataFrame,
     assets: DataFrame,
     sources: DataFrame,
     enrichments: DataFrame,
-    embed: Callable[[Column], Column] | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Points of both projections; facets are top-level columns so that filters reach the scan.
+    """Facets and embedding text of both projections, from one pass over the joined items.
 
-    Both texts of an item come out of one pass over the joined item.
+    ``wanted`` (item_id, projection_kind) cuts the rows before any text is embedded.
     """
-    embed = embed or vectors.hash_embedder(VECTOR_SIZE)
     full = (
         items.join(sources, "source_id", "left")
         .join(enrichment.completed_texts(enrichments), "item_id", "left")
@@ -47,25 +46,76 @@ def index_points(
         F.struct(F.lit(RAW).alias("projection_kind"), enrichment.document_text_column().alias("text")),
     )
     rows = full.select(
+        *FACETS, "stable_key", F.unix_timestamp("occurred_at").alias("occurred_at_unix"), F.inline(texts)
+    )
+    if wanted is not None:
+        rows = rows.join(wanted.select("item_id", "projection_kind"), ["item_id", "projection_kind"], "left_semi")
+    return rows.filter(F.length("text") > 0)
+
+
+def embed_points(texts: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Points of projection texts; facets are top-level columns so that filters reach the scan.
+
+    Rows that an embedder could not embed have an ``error`` and no vector.
+    """
+    embed = embed or vectors.hash_embedder(VECTOR_SIZE)
+    embedded = texts.withColumn(
+        "point_id", hashing.point_id(F.col("stable_key"), F.col("projection_kind"))
+    ).withColumn("embedded", embed(F.col("text")))
+    has_error = "error" in embedded.schema["embedded"].dataType.fieldNames()
+    return embedded.select(
+        "point_id",
         *FACETS,
-        "stable_key",
-        F.unix_timestamp("occurred_at").alias("occurred_at_unix"),
-        F.inline(texts),
-    ).filter(F.length("text") > 0)
-    return (
-        rows.withColumn("point_id", hashing.point_id(F.col("stable_key"), F.col("projection_kind")))
-        .withColumn("embedded", embed(F.col("text")))
-        .select(
-            "point_id",
-            *FACETS,
-            "occurred_at_unix",
-            "projection_kind",
-            F.col("embedded.idx").alias("idx"),
-            F.col("embedded.weight").alias("weight"),
-        )
+        "occurred_at_unix",
+        "projection_kind",
+        F.col("embedded.idx").alias("idx"),
+        F.col("embedded.weight").alias("weight"),
+        (F.col("embedded.error") if has_error else F.lit(None).cast("string")).alias("error"),
     )
 
 
+def index_points(
+    items: DataFrame,
+    assets: DataFrame,
+    sources: DataFrame,
+    enrichments: DataFrame,
+    embed: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Points of both projections of all items."""
+    return embed_points(projection_texts(items, assets, sources, enrichments), embed).drop("error")
+
+
+def index_queued(
+    projections: DataFrame,
+    items: DataFrame,
+    assets: DataFrame,
+    sources: DataFrame,
+    enrichments: DataFrame,
+    embed: Callable[[Column], Column] | None = None,
+    model: str = "hash",
+) -> tuple[DataFrame, DataFrame]:
+    """(new points, projections) after indexing the queued projections.
+
+    The embedded rows are written once, as both tables are built from them.
+    """
+    keys = ["item_id", "projection_kind"]
+    queued = projections.filter(F.col("index_status") == "queued")
+    done = cut_lineage(embed_points(projection_texts(items, assets, sources, enrichments, queued), embed))
+    outcome = done.select(*keys, F.col("point_id").alias("new_point"), "error", F.lit(True).alias("hit"))
+    joined = projections.join(outcome, keys, "left")
+    waiting = F.col("index_status") == "queued"
+    error = F.when(F.col("hit").isNull(), "empty_text").otherwise(F.col("error"))
+    good = error.isNull()
+    updated = {
+        "index_status": F.when(waiting, F.when(good, "indexed").otherwise("failed")).otherwise(F.col("index_status")),
+        "index_error": F.when(waiting, error).otherwise(F.col("index_error")),
+        "point_id": F.when(waiting & good, F.col("new_point")).otherwise(F.col("point_id")),
+        "embedding_model": F.when(waiting & good, F.lit(model)).otherwise(F.col("embedding_model")),
+    }
+    after = joined.select(*[updated.get(c, F.col(c)).alias(c) for c in projections.columns])
+    return done.filter(F.col("error").isNull()).drop("error"), after
+
+
 def hybrid_rank(
     queries: DataFrame,
     points: DataFrame,
