@@ -33,7 +33,8 @@ def get_string(message: Column, name: str) -> Column:
 
 
 def literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A constant map, as one expression so that plans stay small; keys and values hold no ``;`` or ``:``."""
+    return F.str_to_map(F.lit(";".join(f"{k}:{v}" for k, v in values.items())), F.lit(";"), F.lit(":"))
 
 
 def flatten_rich_text(value: Column) -> Column:
@@ -77,16 +78,20 @@ def event_time(epoch: Column, iso: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(strip(epoch.cast("string")).try_cast("bigint")), F.try_to_timestamp(iso))
 
 
-def guess_mime(path: Column, given: Column) -> Column:
-    """The given type, else the registered type of the file extension."""
+def _mime_types() -> tuple[dict[str, str], str]:
+    """Type per extension, short forms like ``.tgz`` included, and the compression suffixes to look behind."""
     registry = mimetypes.MimeTypes(filenames=())
-    plain = path
+    types = dict(registry.types_map[True])
     for short, full in registry.suffix_map.items():
-        plain = F.regexp_replace(plain, rf"(?i)\{short}\z", full)
-    packed = "|".join(suffix[1:] for suffix in registry.encodings_map)
-    plain = F.regexp_replace(plain, rf"\.({packed})\z", "")
-    extension = F.lower(F.regexp_extract(plain, r"[^/](\.[^./]*)\z", 1))
-    return F.coalesce(blank_to_null(given), F.try_element_at(literal_map(registry.types_map[True]), extension))
+        types[short] = types["." + full.split(".")[1]]
+    return types, "|".join(suffix[1:] for suffix in registry.encodings_map)
+
+
+def guess_mime(path: Column, given: Column) -> Column:
+    """The given type, else the registered type of the file extension."""
+    types, packed = _mime_types()
+    extension = F.lower(F.regexp_extract(path, rf"[^/](\.[^./]*)(?:\.(?:{packed}))?\z", 1))
+    return F.coalesce(blank_to_null(given), F.try_element_at(literal_map(types), extension))
 
 
 def index_status(content_type: Column, text: Column, path: Column) -> Column:

@@ -16,6 +16,9 @@ from lorekeep.sources import exports, tables
 from lorekeep.streaming.runner import run_batches
 
 
+PROJECTION_KEY = ["item_id", "projection_kind"]
+
+
 def scan_items(
     scanned: DataFrame,
     source_id: str,
@@ -76,7 +79,7 @@ def sync_items(
         F.col("projection_status").alias("index_status"),
         "index_error",
     )
-    keys = ["item_id", "projection_kind"]
+    keys = PROJECTION_KEY
     held = projections.select("*", F.lit(True).alias("held")).join(
         touched.select(*keys, *[F.col(c).alias(f"new_{c}") for c in ("content_hash", "index_status", "index_error")]),
         keys,
@@ -106,23 +109,45 @@ def run_sync(
     coverage: str = "full_snapshot",
     **scan_options: object,
 ) -> DataFrame:
-    """Sync one snapshot into the tables under ``root`` and return the counters."""
+    """Sync one snapshot or batch of a source into its tables under ``root`` and return the counters.
+
+    A full snapshot touches every item of the source and writes new bases. A partial batch reads only the
+    stored rows with its keys and writes deltas, so its cost follows the batch. Other sources are not read.
+    """
     incoming = scan_items(scanned, source_id, **scan_options)
-    stored, projections = current_tables(spark, root, incoming)
+    partial = coverage != "full_snapshot"
+    keys = None
+    if partial:
+        incoming = cut_lineage(incoming)
+        keys = incoming.select(*lifecycle.ITEM_KEY)
+    stored = empty_items(spark, incoming)
+    if tables.table_exists(spark, root, "corpus_items", source_id, run_id):
+        held = tables.read_table(
+            spark, root, "corpus_items", lifecycle.ITEM_KEY, source_id, only=keys, without=run_id
+        )
+        stored = held.select(*stored.columns)
+    projections = empty_projections(spark)
+    if tables.table_exists(spark, root, "projections", source_id, run_id):
+        ids = stored.select("item_id") if partial else None
+        projections = tables.read_table(
+            spark, root, "projections", PROJECTION_KEY, source_id, only=ids, without=run_id
+        ).select(*projections.columns)
     items, merged, counters = sync_items(incoming, stored, projections, run_id, as_of, coverage)
     tables.write_table(counters, root, f"sync_runs/{run_id}")
-    tables.write_table(merged, root, "projections")
-    tables.write_table(items, root, "corpus_items")
+    for df, name in ((merged, "projections"), (items, "corpus_items")):
+        if partial:
+            tables.append_delta(df, root, name, run_id, source_id)
+        else:
+            tables.write_table(df, root, name, source_id)
     return tables.read_table(spark, root, f"sync_runs/{run_id}")
 
 
-def current_tables(spark: SparkSession, root: str, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    stored, projections = empty_items(spark, incoming), empty_projections(spark)
-    if tables.table_exists(spark, root, "corpus_items"):
-        stored = tables.read_table(spark, root, "corpus_items").select(*stored.columns)
-    if tables.table_exists(spark, root, "projections"):
-        projections = tables.read_table(spark, root, "projections")
-    return stored, projections
+def read_items(spark: SparkSession, root: str) -> DataFrame:
+    return tables.read_table(spark, root, "corpus_items", lifecycle.ITEM_KEY)
+
+
+def read_projections(spark: SparkSession, root: str) -> DataFrame:
+    return tables.read_table(spark, root, "projections", PROJECTION_KEY)
 
 
 def incremental_scan(
@@ -136,7 +161,8 @@ def incremental_scan(
 ) -> None:
     """Stream new manifest files into the tables; a restart takes only the files not done yet.
 
-    A batch that is done twice gives the same tables, as keys and hashes decide what changes.
+    Each batch writes its own delta; a batch that is done twice overwrites it. :func:`tables.compact` folds
+    the deltas into a new base from time to time.
     """
     reader = spark.readStream.schema(exports.MANIFEST_SCHEMA).option("mode", "FAILFAST")
     if files_per_batch:

@@ -11,7 +11,6 @@ from lorekeep.registry import inputs as fx
 from lorekeep.registry.base import at, query
 from lorekeep.session import scratch_dir
 from lorekeep.sources import jobs as job_source
-from lorekeep.sources import tables
 from lorekeep.streaming import jobs as live
 from lorekeep.streaming.runner import drain, latest_state, run_batches, table_stream
 
@@ -44,7 +43,7 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = scratch_dir(spark, "export"), scratch_dir(spark, "corpus")
     fx.write_manifests(spark, sf_dir, path)
     sync.incremental_scan(spark, path, root, f"{root}/checkpoint", "export", at("2024-01-20 00:00:00"))
-    items = tables.read_table(spark, root, "corpus_items")
+    items = sync.read_items(spark, root)
     return items.select(
         "external_key",
         "content_type",

@@ -40,7 +40,7 @@ def run(spark, path, root, run_id, **options):
 
 
 def items_of(spark, root):
-    return {r.external_key: r for r in tables.read_table(spark, root, "corpus_items").collect()}
+    return {r.external_key: r for r in sync.read_items(spark, root).collect()}
 
 
 @pytest.fixture
@@ -49,7 +49,7 @@ def root(tmp_path):
 
 
 def corpus(spark, root, inventory_root):
-    items = tables.read_table(spark, root, "corpus_items")
+    items = sync.read_items(spark, root)
     inventory = media.media_inventory(spark, inventory_root, with_content_hash=True)
     scanned = exports.normalize_messages(exports.export_scan(spark, inventory_root))
     files = media.attach_media(scanned, inventory).filter("file_found")
@@ -79,7 +79,7 @@ def test_changed_snapshot(spark, tmp_path, root):
     assert (second.updated_items, second.unchanged_items) == (2, 1)
     assert set(after) == set(before) and {k: r.item_id for k, r in after.items()} == {k: r.item_id for k, r in before.items()}
     assert after["77:1"].text_content == "a new headline" and all(r.present_in_latest_sync for r in after.values())
-    status = {r.item_id: (r.index_status, r.index_error) for r in tables.read_table(spark, root, "projections").collect()}
+    status = {r.item_id: (r.index_status, r.index_error) for r in sync.read_projections(spark, root).collect()}
     assert status[after["77:2"].item_id] == ("skipped", "media_missing_from_export")
 
 
@@ -96,7 +96,7 @@ def test_enrich_index_search(spark, tmp_path, root):
     path = export(tmp_path / "one")
     run(spark, path, root, "r1")
     items, assets, sources = corpus(spark, root, path)
-    projections = tables.read_table(spark, root, "projections")
+    projections = sync.read_projections(spark, root)
     notes, projections = enrich.enrich(items, assets, sources, enrich.empty_enrichments(spark), projections)
     got = {(r.kind, r.status, r.text) for r in notes.collect()}
     line = "a caption about penguins"
@@ -130,7 +130,7 @@ def test_second_enrichment_run_does_nothing(spark, tmp_path, root):
     path = export(tmp_path / "one")
     run(spark, path, root, "r1")
     items, assets, sources = corpus(spark, root, path)
-    projections = tables.read_table(spark, root, "projections")
+    projections = sync.read_projections(spark, root)
     notes, projections = enrich.enrich(items, assets, sources, enrich.empty_enrichments(spark), projections)
     _, projections = search.index_queued(projections, items, assets, sources, notes)
     again, same = enrich.enrich(items, assets, sources, notes, projections)
@@ -188,10 +188,31 @@ def test_media_fingerprint_options(spark, tmp_path):
     assert lost.filter("content_type = 'text'").first().index_status == "queued"
 
 
+def test_sources_do_not_touch_each_other(spark, tmp_path, root):
+    path = export(tmp_path / "one")
+    run(spark, path, root, "r1")
+    scanned = exports.export_scan(spark, path)
+    sync.run_sync(spark, scanned, root, "2", "other-1", F.lit(AS_OF), coverage="partial")
+    sync.run_sync(spark, scanned, root, "2", "other-2", F.lit(AS_OF), coverage="partial", include=["text"])
+    got = sorted((r.source_id, r.external_key, r.last_seen_run_id) for r in sync.read_items(spark, root).collect())
+    assert got == [
+        ("2", "77:1", "other-2"), ("2", "77:2", "other-1"), ("2", "77:3", "other-1"),
+        ("team", "77:1", "r1"), ("team", "77:2", "r1"), ("team", "77:3", "r1"),
+    ]
+    assert sync.read_projections(spark, root).count() == 6
+
+
+def test_repeated_partial_run_counts_the_same(spark, tmp_path, root):
+    scanned = exports.export_scan(spark, export(tmp_path / "one"))
+    first = sync.run_sync(spark, scanned, root, "team", "b-0", F.lit(AS_OF), coverage="partial").collect()
+    again = sync.run_sync(spark, scanned, root, "team", "b-0", F.lit(AS_OF), coverage="partial").collect()
+    assert first == again and sync.read_items(spark, root).count() == 3
+
+
 def test_table_versions(spark, root):
     tables.write_table(spark.range(3).toDF("n"), root, "t")
     tables.write_table(tables.read_table(spark, root, "t").filter("n > 0"), root, "t")
     assert tables.read_table(spark, root, "t").count() == 2
-    assert tables.read_table(spark, root, "t", 1).count() == 3
+    assert tables.read_table(spark, root, "t", version=1).count() == 3
     with pytest.raises(FileNotFoundError):
         tables.read_table(spark, root, "unknown")

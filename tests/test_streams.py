@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import lifecycle
 from lorekeep.plans import sync
 from lorekeep.sources import jobs as job_source
 from lorekeep.sources import tables
@@ -40,15 +41,20 @@ def test_incremental_scan_resumes(spark, tmp_path):
 
     def scan():
         sync.incremental_scan(spark, str(source), root, f"{root}/checkpoint", "s", F.lit(T0), files_per_batch=1)
-        return tables.read_table(spark, root, "corpus_items")
+        return sync.read_items(spark, root)
 
     put("a", "old")
     assert {r.text_content for r in scan().collect()} == {"old 0", "old 1", "old 2"}
-    versions = len(tables._versions(spark, f"{root}/corpus_items"))
+    place = f"{root}/corpus_items/source_id=s"
+    before = tables.versions(spark, place)
     scan()
-    assert len(tables._versions(spark, f"{root}/corpus_items")) == versions
+    assert tables.versions(spark, place) == before
     put("b", "new")
     assert {r.text_content for r in scan().collect()} == {"new 0", "new 1", "new 2"}
+    assert [len(v) for v in tables.versions(spark, place)] == [0, 2]
+    tables.compact(spark, root, "corpus_items", lifecycle.ITEM_KEY, "s")
+    assert [len(v) for v in tables.versions(spark, place)] == [1, 0]
+    assert {r.text_content for r in sync.read_items(spark, root).collect()} == {"new 0", "new 1", "new 2"}
 
 
 def test_running_counts_over_batches(spark, tmp_path):
