@@ -90,7 +90,7 @@ def snippet_column() -> Column:
         return F.when(present, F.struct(shown.alias("text"), F.lit(label).alias("source")))
 
     options = [
-        choice(preview(F.col(c)), label, F.length(preview(F.col(c))) > 0)
+        choice(preview(F.col(c)), label, F.length(strip(F.col(c))) > 0)
         for c, label in (("summary_text", "summary"), ("transcript_text", "transcript"), ("ocr_text", "ocr"))
     ]
     options += [
@@ -166,9 +166,7 @@ def search_result_shape(
         F.struct(
             F.col("asset_id").alias("id"),
             F.col("content_type").alias("kind"),
-            "mime_type",
-            "original_filename",
-            "duration_ms",
+            *[c for c in ("mime_type", "original_filename", "duration_ms", "width", "height") if c in assets.columns],
         ),
     )
     shaped = full.select(
@@ -192,6 +190,28 @@ def search_result_shape(
     return page.join(shaped, "item_id")
 
 
+def item_view(
+    item_ids: DataFrame,
+    projections: DataFrame,
+    items: DataFrame,
+    assets: DataFrame,
+    sources: DataFrame,
+    enrichments: DataFrame,
+) -> DataFrame:
+    """Single items in result shape, with the kinds of their indexed projections and score 1."""
+    wanted = item_ids.select("item_id").distinct()
+    indexed = projections.filter(F.col("index_status") == "indexed").join(wanted, "item_id", "left_semi")
+    kinds = indexed.groupBy("item_id").agg(F.array_sort(F.collect_set("projection_kind")).alias("kinds"))
+    ranked = wanted.join(kinds, "item_id", "left").select(
+        F.col("item_id").alias("query_id"),
+        "item_id",
+        F.lit(1.0).alias("score"),
+        F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
+        F.lit(1).alias("rank"),
+    )
+    return search_result_shape(ranked, items, assets, sources, enrichments)
+
+
 def applicable_enrichments(items: DataFrame, assets: DataFrame) -> DataFrame:
     """(item columns, asset columns, kind) rows, one per enrichment that applies."""
     main = primary_assets(assets).select("item_id", "asset_id", "sha256", "mime_type")

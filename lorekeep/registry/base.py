@@ -12,11 +12,17 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, nullable: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query. Whole numbers in ``nullable`` columns come out as text, so that nulls keep their type."""
+
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in nullable})
+
+        QUERIES[name] = run if nullable else fn
         if sql is not None:
-            SQL[name] = sql
+            casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in nullable)
+            SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if nullable else sql
         return fn
 
     return register

@@ -64,6 +64,7 @@ def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN c.reason IS NULL THEN 1701388800 ELSE 1705708800 END::BIGINT AS last_seen,
  CASE WHEN c.reason IS NULL THEN 'run-1' ELSE 'run-2' END AS last_seen_run_id
  FROM fx_stored s FULL JOIN fx_classified c ON s.source_id = c.source_id AND s.external_key = c.external_key""",
+    nullable=("item_id",),
 )
 def apply_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = lifecycle.apply_sync(classified(spark, sf_dir), stored_items(spark, sf_dir), F.lit("run-2"), at(AS_OF))
@@ -122,6 +123,7 @@ def corpus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT item_id, action, CASE WHEN action IN ('added', 'replaced') THEN new ELSE old END AS sha256,
  CASE WHEN action IN ('added', 'replaced', 'metadata') THEN new_size ELSE old_size END AS file_size_bytes
  FROM j WHERE action <> 'none'""",
+    nullable=("file_size_bytes",),
 )
 def sync_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """German files changed, Spanish ones changed their size on record, French ones are gone."""
@@ -338,9 +340,7 @@ def upsert_derived_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
  THEN 'old '||c_custkey WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name END ELSE 'old '||c_custkey END AS username,
  CASE WHEN c_acctbal > 0 AND c_nationkey < 20 AND (c_nationkey >= 10 OR r.o_custkey IS NULL)
  THEN 1 ELSE 0 END AS auth_version, CASE WHEN c_acctbal > 0 THEN
- CASE WHEN r.o_custkey IS NULL AND (c_nationkey < 10) THEN 'member' WHEN r.o_custkey IS NULL THEN 'member'
- WHEN c_nationkey < 10 THEN 'admin,member' ELSE 'admin,member' END
- WHEN r.o_custkey IS NULL THEN '' WHEN c_nationkey < 10 THEN 'admin,member' ELSE 'admin' END AS roles
+ CASE WHEN r.o_custkey IS NULL THEN 'member' ELSE 'admin,member' END WHEN r.o_custkey IS NULL THEN '' WHEN c_nationkey < 10 THEN 'admin,member' ELSE 'admin' END AS roles
  FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') r ON o_custkey = c_custkey
  WHERE c_acctbal > 0 OR c_nationkey < 20""",
 )

@@ -162,6 +162,7 @@ def processing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx.cte(fx.SNAPSHOTS)
     + """SELECT DISTINCT i.source_id, i.external_key, s.item_id, s.content_hash FROM fx_incoming i
  LEFT JOIN fx_stored s ON s.source_id = i.source_id AND s.external_key = i.external_key""",
+    nullable=("item_id",),
 )
 def existing_item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = fx.stored(spark, sf_dir).select("source_id", "external_key", "item_id", "content_hash")
@@ -174,6 +175,7 @@ def existing_item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "projection_lookup",
     """SELECT d.doc_id AS item_id, d.lang, l.quality FROM documents d
  LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) l ON l.doc_id = d.doc_id""",
+    nullable=("quality",),
 )
 def projection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang")
@@ -288,6 +290,7 @@ def exclude_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 2
  UNION ALL SELECT 'set_null', CASE WHEN o_orderstatus <> 'P' THEN l_orderkey END AS k, count(*),
  sum(l_linenumber)::BIGINT FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY k""",
+    nullable=("l_orderkey",),
 )
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left, and lines per order left, after the pending orders were removed."""
@@ -388,12 +391,13 @@ def run_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "registrations_by_day",
-    """SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS count FROM events
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS count FROM events
  WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY GROUP BY 1""",
 )
 def registrations_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = fx.load(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("created_at"))
-    return aggregates.registrations_by_day(users, 14, at("2024-01-31 00:00:00"))
+    days = aggregates.registrations_by_day(users, 14, at("2024-01-31 00:00:00"))
+    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(
@@ -599,6 +603,7 @@ ACTIVITY = """fx_samples AS (SELECT run_id, ts, epoch_us(ts) / 1000000.0::DOUBLE
     + """SELECT run_id, epoch_us(ts) AS at, done, delta, round(r1, 4) AS rate_1m, round(r5, 4) AS rate_5m,
  round(r0, 4) AS rate_total, CASE WHEN er > 0.01 AND remaining > 0 THEN floor(remaining / er * 60)::BIGINT END AS eta_seconds
  FROM fx_e""",
+    nullable=("eta_seconds",),
 )
 def activity_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fx.jobs(spark, sf_dir).selectExpr(

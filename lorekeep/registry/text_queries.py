@@ -64,6 +64,7 @@ def flatten_rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     "author_id_extract",
     r"""SELECT c_custkey, TRY_CAST(nullif(regexp_extract(c_name, '([0-9]+)$', 1), '') AS BIGINT) AS author_id,
  TRY_CAST(nullif(regexp_extract(c_mktsegment, '([0-9]+)$', 1), '') AS BIGINT) AS no_digits FROM customer""",
+    nullable=("author_id", "no_digits"),
 )
 def author_id_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.load(spark, sf_dir, "customer").select(
@@ -134,6 +135,7 @@ REASON = """CASE WHEN content_type = 'voice' AND path IS NULL THEN 'media_missin
  'voice/' AS folder, CASE WHEN path IS NOT NULL THEN chat_id||'_'||message_id||'.mp3' END AS original_filename,
  CASE WHEN path IS NOT NULL THEN 'audio/mpeg' END AS mime_type, file_size, duration_ms,
  {ELIGIBLE} AS index_status, {REASON} AS index_error FROM fx_messages""",
+    nullable=("file_size", "duration_ms"),
 )
 def normalize_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.normalize_messages(fx.messages(spark, sf_dir)).select(
@@ -343,6 +345,7 @@ def point_id(spark: SparkSession, sf_dir: str) -> DataFrame:
  {fx.sql_preview('text_content')} AS text_preview, {fx.sql_preview('caption')} AS caption, {SNIPPET} AS snippet,
  {SNIPPET_SOURCE} AS snippet_source, asset_id AS media_id, mime_type, duration_ms
  FROM labels l JOIN fx_full f ON f.item_id = l.doc_id""",
+    nullable=("duration_ms",),
 )
 def search_result_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents as ranked ids of two queries, one per quality."""

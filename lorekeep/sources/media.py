@@ -12,7 +12,7 @@ def media_inventory(spark: SparkSession, root: str, with_content_hash: bool = Fa
     """Path relative to ``root``, size and modification time; content is read only for its hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/") + "/"
-    relative = F.element_at(F.split(F.col("path"), _quoted(prefix)), -1)
+    relative = F.element_at(F.split(F.col("path"), _quoted(prefix), 2), -1)
     columns: list[Column] = [
         relative.alias("source_relative_path"),
         F.col("length").alias("size"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import providers
 from lorekeep.constants import DERIVED, RAW
+from lorekeep.operators import enrichment
 from lorekeep.plans import enrich, search, sync
 from lorekeep.sources import exports, media, tables
 
@@ -118,6 +119,8 @@ def test_enrich_index_search(spark, tmp_path, root):
     assert (text.text_preview, text.snippet_source, text.matched_projection_kinds) == ("the quarterly budget review", "text", [RAW])
     first = search.hybrid_search(asked, stored, items, assets, sources, notes, limit=1).collect()
     assert [r["rank"] for r in first] == [1, 1] and all(r.has_more for r in first)
+    shown = {r.content_type: r for r in enrichment.item_view(items, projections, items, assets, sources, notes).collect()}
+    assert [shown[t].matched_projection_kinds for t in ("text", "voice", "service")] == [[RAW], [DERIVED, RAW], []]
     filtered = search.hybrid_search(asked, stored, items, assets, sources, notes, limit=5, content_types=["voice"])
     assert {r.content_type for r in filtered.collect()} == {"voice"}
     # The presence facet reads the items, not the flag that was stored with the point.
