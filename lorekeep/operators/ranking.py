@@ -170,64 +170,91 @@ def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(pos).alias(pos)).orderBy(pos)
 
 
-def activity_rate(
-    samples: DataFrame, key: str = "run_id", ts: str = "ts", bucket_seconds: int = 3600, halo_seconds: int = 300
-) -> DataFrame:
+def activity_rate(samples: DataFrame, key: str = "run_id", ts: str = "ts", bucket_seconds: int = 3600) -> DataFrame:
     """Delta since the previous sample, rows per minute over 1 and 5 minutes and since the start, and ETA.
 
-    Samples (key, ts, done, remaining) are cut into time buckets that also see the last five minutes of the
-    bucket before, so one long run is spread over many tasks. What reaches further back, the previous
-    sample and the first one, comes from a table with one row per (key, bucket).
+    Samples are (key, ts, done, remaining), one per key and time. A sliding frame would visit every row of
+    each five minutes again; instead each sample sends a mark to one and five minutes before it, and one
+    running pass finds the oldest sample after the mark. Time buckets spread one long run over many tasks;
+    what reaches out of a bucket comes from a table with one row per (key, bucket).
     """
-    span = F.lit(bucket_seconds)
-    second = F.col(ts).cast("double")
-    base = samples.withColumn("sec", second).withColumn("bucket", F.floor(F.col("sec") / span).cast("bigint"))
-    edges = base.groupBy(key, "bucket").agg(
-        F.max_by("done", "sec").alias("last_done"), F.min(F.struct("sec", "done")).alias("first")
+    if bucket_seconds < 300:
+        raise ValueError("a bucket must cover the five minutes that are looked back")
+    width = F.lit(bucket_seconds * 1_000_000)
+    base = samples.select(key, F.unix_micros(ts).alias("at"), "done", "remaining")
+    edges = base.groupBy(key, F.floor(F.col("at") / width).cast("bigint").alias("bucket")).agg(
+        F.min("at").alias("first_at"),
+        F.min_by("done", "at").alias("first_done"),
+        F.max_by("done", "at").alias("last_done"),
     )
     by_key = Window.partitionBy(key).orderBy("bucket")
     edges = edges.select(
         key,
         "bucket",
+        "first_at",
+        "first_done",
         F.lag("last_done").over(by_key).alias("prev_done"),
-        F.min("first").over(Window.partitionBy(key)).alias("start"),
+        F.first("first_at").over(by_key).alias("start_at"),
+        F.first("first_done").over(by_key).alias("start_done"),
+    )
+    marks = base.select("*", F.explode(F.array(F.lit(0), F.lit(60), F.lit(300))).alias("back"))
+    marks = marks.withColumn("mark", F.col("at") - F.col("back") * 1_000_000)
+    marks = marks.withColumn("bucket", F.floor(F.col("mark") / width).cast("bigint"))
+    sample = F.col("back") == 0
+    inside = Window.partitionBy(key, "bucket")
+    later = inside.orderBy(F.col("mark").desc(), F.col("back").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inside.orderBy(F.col("mark").asc(), F.col("back").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = marks.select(
+        key,
+        "at",
+        "back",
+        "done",
+        "remaining",
+        F.last(F.when(sample, F.col("at")), ignorenulls=True).over(later).alias("old_at"),
+        F.last(F.when(sample, F.col("done")), ignorenulls=True).over(later).alias("old_done"),
+        F.last(F.when(sample, F.col("done")), ignorenulls=True).over(earlier).alias("before"),
     )
-    reach = F.floor((F.col("sec") + halo_seconds) / span).cast("bigint")
-    spread = base.withColumn("bucket", F.explode(F.array_distinct(F.array(F.col("bucket"), reach))))
-    inside = Window.partitionBy(key, "bucket").orderBy("sec")
-
-    def trailing(seconds: int) -> Column:
-        w = Window.partitionBy(key, "bucket").orderBy(F.col("micros")).rangeBetween(-seconds * 1_000_000, 0)
-        oldest = F.first(F.struct("sec", "done")).over(w)
-        return _per_minute(F.col("done"), oldest["done"], F.col("sec"), oldest["sec"])
-
-    own = F.floor(F.col("sec") / span).cast("bigint") == F.col("bucket")
-    local = (
-        spread.withColumn("micros", F.unix_micros(ts))
-        .withColumn("before", F.lag("done").over(inside))
+
+    def of(back: int, column: str) -> Column:
+        return F.max(F.when(F.col("back") == back, F.col(column)))
+
+    joined = (
+        seen.groupBy(key, "at")
+        .agg(
+            of(0, "done").alias("done"),
+            of(0, "remaining").alias("remaining"),
+            of(0, "before").alias("before"),
+            *[of(b, c).alias(f"{c}_{b}") for b in (60, 300) for c in ("old_at", "old_done")],
+        )
+        .withColumn("bucket", F.floor(F.col("at") / width).cast("bigint"))
+        .join(edges, [key, "bucket"])
+    )
+
+    def trailing(back: int) -> Column:
+        # A mark that found no sample in its bucket is followed by the first one of this bucket.
+        old_at, old_done = F.coalesce(f"old_at_{back}", "first_at"), F.coalesce(f"old_done_{back}", "first_done")
+        return _per_minute(F.col("done") - old_done, F.col("at") - old_at)
+
+    rated = (
+        joined.withColumn("delta", F.col("done") - F.coalesce("before", "prev_done", "done"))
         .withColumn("rate_1m", trailing(60))
         .withColumn("rate_5m", trailing(300))
-        .filter(own)
+        .withColumn("rate_total", _per_minute(F.col("done") - F.col("start_done"), F.col("at") - F.col("start_at")))
     )
-    joined = local.join(edges, [key, "bucket"])
-    previous = F.coalesce("before", "prev_done", "done")
-    total = _per_minute(F.col("done"), F.col("start")["done"], F.col("sec"), F.col("start")["sec"])
     rate = F.when(F.col("rate_5m") > 0.01, F.col("rate_5m")).when(F.col("rate_1m") > 0.01, F.col("rate_1m"))
-    rate = rate.otherwise(F.col("rate_total"))
+    rated = rated.withColumn("eta_rate", rate.otherwise(F.col("rate_total")))
     eta = F.when((F.col("eta_rate") > 0.01) & (F.col("remaining") > 0), F.col("remaining") / F.col("eta_rate") * 60)
     return (
-        joined.withColumn("delta", F.col("done") - previous)
-        .withColumn("rate_total", total)
-        .withColumn("eta_rate", rate)
-        .withColumn("eta_seconds", eta.cast("bigint"))
+        rated.withColumn("eta_seconds", eta.cast("bigint"))
         .withColumn("eta_text", duration_text(F.col("eta_seconds")))
         .select(
-            key, ts, "done", "remaining", "delta", "rate_1m", "rate_5m", "rate_total", "eta_seconds", "eta_text"
+            key,
+            F.timestamp_micros("at").alias(ts),
+            *("done", "remaining", "delta", "rate_1m", "rate_5m", "rate_total", "eta_seconds", "eta_text"),
         )
     )
 
 
-def _per_minute(new: Column, old: Column, new_sec: Column, old_sec: Column) -> Column:
-    seconds = new_sec - old_sec
-    rate = F.greatest((new - old) * 60.0 / seconds, F.lit(0.0))
-    return F.when(seconds > 0, rate).otherwise(F.lit(0.0))
+def _per_minute(rows: Column, micros: Column) -> Column:
+    rate = F.greatest(rows * 60_000_000.0 / micros, F.lit(0.0))
+    return F.when(micros > 0, rate).otherwise(F.lit(0.0))

@@ -586,14 +586,14 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ordered_distinct(events, "user_id", "pos")
 
 
-ACTIVITY = """fx_samples AS (SELECT run_id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS sec, (job_id // 3)::BIGINT AS done, attempts AS remaining
+ACTIVITY = """fx_samples AS (SELECT run_id, ts, epoch_us(ts) AS sec, (job_id // 3)::BIGINT AS done, attempts AS remaining
  FROM fx_jobs), fx_w AS (SELECT *, done - coalesce(lag(done) OVER k, done) AS delta,
  first(struct_pack(s := sec, d := done)) OVER (k RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS m1,
  first(struct_pack(s := sec, d := done)) OVER (k RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW) AS m5,
  first(struct_pack(s := sec, d := done)) OVER k AS m0 FROM fx_samples WINDOW k AS (PARTITION BY run_id ORDER BY ts)),
- fx_r AS (SELECT *, CASE WHEN sec > m1.s THEN greatest((done - m1.d) * 60.0::DOUBLE / (sec - m1.s), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS r1,
- CASE WHEN sec > m5.s THEN greatest((done - m5.d) * 60.0::DOUBLE / (sec - m5.s), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS r5,
- CASE WHEN sec > m0.s THEN greatest((done - m0.d) * 60.0::DOUBLE / (sec - m0.s), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS r0 FROM fx_w),
+ fx_r AS (SELECT *, CASE WHEN sec > m1.s THEN greatest((done - m1.d) * 60000000.0::DOUBLE / (sec - m1.s), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS r1,
+ CASE WHEN sec > m5.s THEN greatest((done - m5.d) * 60000000.0::DOUBLE / (sec - m5.s), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS r5,
+ CASE WHEN sec > m0.s THEN greatest((done - m0.d) * 60000000.0::DOUBLE / (sec - m0.s), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS r0 FROM fx_w),
  fx_e AS (SELECT *, CASE WHEN r5 > 0.01 THEN r5 WHEN r1 > 0.01 THEN r1 ELSE r0 END AS er FROM fx_r)"""
 
 
