@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType
 
 from lorekeep.constants import DERIVED, KIND_WEIGHTS, RAW, RRF_K, VECTOR_SIZE
 from lorekeep.functions import vectors as V
+from lorekeep.session import spread
 
 SCORE_DIGITS = 9
 # A query set is held in each Python worker only below this size; larger sets take the blocked join.
@@ -24,8 +25,8 @@ def feature_hash_embed(texts: DataFrame, id_col: str, text_col: str, dim: int =
 
     The one shuffle spreads the texts by id; tokens, sums and norms then stay in their task.
     """
-    spread = texts.select(id_col, text_col).repartition(id_col)
-    exploded = spread.select(id_col, F.explode(V.tokens(F.col(text_col))).alias("token"))
+    placed = texts.select(id_col, text_col).repartition(id_col)
+    exploded = placed.select(id_col, F.explode(V.tokens(F.col(text_col))).alias("token"))
     hashed = exploded.select(id_col, F.sha2("token", 256).alias("digest"))
     slots = hashed.select(
         id_col, V.token_slot(F.col("digest"), dim).alias("idx"), V.token_weight(F.col("digest")).alias("w")
@@ -157,13 +158,14 @@ def knn_topk(
 
     ``queries`` holds ``query_id`` and a vector, ``points`` holds ``item_id`` and a vector, each either
     dense (``vector``) or sparse (``idx``, ``weight``). ``condition`` is applied to the point columns
-    before scoring, so it reaches the scan. Points never move: each task scores its own batches against
-    the query matrix and hands on k rows per query. A query set over ``max_broadcast_bytes`` is scored
-    block by block in a shuffled join instead. Equal scores are ordered by item id.
+    before scoring, so it reaches the scan. Points stay where they are read, but for small tables
+    that are spread over the cores: each task scores its own batches against the query matrix and hands on
+    k rows per query. A query set over ``max_broadcast_bytes`` is scored block by block in a shuffled join
+    instead. Equal scores are ordered by item id.
     """
     q_cols, p_cols = _vector_columns(queries), _vector_columns(points)
     scoped = points if condition is None else points.filter(condition)
-    p = _usable(scoped, dim).select("item_id", *p_cols)
+    p = spread(_usable(scoped, dim).select("item_id", *p_cols))
     q = _usable(queries, dim).select("query_id", *q_cols)
     q_type, p_type = q.schema["query_id"].dataType, p.schema["item_id"].dataType
     out = pa.schema([("query_id", _arrow_type(q_type)), ("item_id", _arrow_type(p_type)), ("score", pa.float64())])

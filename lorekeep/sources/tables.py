@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType, StructType
 
 # Columns inside a version; facets used by search stay top-level columns.
 PARTITIONING = {"corpus_items": ["source_id"], "points": ["projection_kind"]}
+# Tables with many partition values, whose rows are gathered before they are written.
+GATHERED = {"corpus_items"}
 SHARD_BY = {"corpus_items": "source_id", "projections": "source_id"}
 # Shard columns that belong to the rows of the table.
 SHARD_COLUMNS = {"corpus_items"}
@@ -113,11 +115,10 @@ def _write(df: DataFrame, table: str, target: str, shard: str | None) -> str:
     if shard is not None:
         df = df.drop(SHARD_BY[table])
         columns = [c for c in columns if c != SHARD_BY[table]]
-    if columns:
+    if columns and table in GATHERED:
         # Gathers each partition value into few files and splits the values that hold many rows.
-        df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(target)
-    else:
-        df.write.mode("overwrite").parquet(target)
+        df = df.hint("rebalance", *columns)
+    df.write.mode("overwrite").partitionBy(*columns).parquet(target)
     return target
 
 
