@@ -282,23 +282,37 @@ def replace_children(children: DataFrame, parents: DataFrame, new_lists: DataFra
 
 
 def upsert_users(
-    incoming: DataFrame, users: DataFrame, user_roles: DataFrame, default_roles: Sequence[str], as_of: Column
+    incoming: DataFrame,
+    users: DataFrame,
+    user_roles: DataFrame,
+    default_roles: Sequence[str],
+    as_of: Column,
+    grants: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Insert or update profiles and grant the default roles.
 
-    ``incoming``: user_id, display_name, handle. An empty new name keeps the old one. The auth version of a
-    known user grows when the role set changed. A role list is bounded by the number of roles.
+    ``incoming``: user_id, display_name, handle; ``grants`` (user_id, slug): further roles of single users,
+    which they get when they come in. An empty new name keeps the old one. The auth version of a known user
+    grows when the role set changed. A role list is bounded by the number of roles.
     """
-    roles = user_roles.groupBy("user_id").agg(F.array_sort(F.collect_set("slug")).alias("roles"))
+
+    def role_lists(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.groupBy("user_id").agg(F.collect_set("slug").alias(name))
+
+    none = F.array().cast("array<string>")
     joined = (
         users.withColumn("known", F.lit(True))
         .join(incoming.withColumn("came", F.lit(True)), "user_id", "full_outer")
-        .join(roles, "user_id", "left")
+        .join(role_lists(user_roles, "roles"), "user_id", "left")
     )
+    granted = none
+    if grants is not None:
+        joined = joined.join(role_lists(grants, "granted"), "user_id", "left")
+        granted = F.coalesce("granted", none)
     came, known = F.col("came").isNotNull(), F.col("known").isNotNull()
-    current = F.coalesce("roles", F.array().cast("array<string>"))
-    wanted = F.array_sort(F.array_union(current, F.array(*[F.lit(r) for r in default_roles])))
-    after = F.when(came, wanted).otherwise(current)
+    current = F.coalesce("roles", none)
+    defaults = F.array(*[F.lit(r) for r in default_roles]).cast("array<string>")
+    after = F.when(came, F.array_union(F.array_union(current, defaults), granted)).otherwise(current)
     bump = F.when(came & known & (F.size(after) != F.size(current)), 1).otherwise(0)
     profile = joined.select(
         "user_id",
@@ -306,7 +320,7 @@ def upsert_users(
         F.when(came, F.col("handle")).otherwise(F.col("telegram_username")).alias("telegram_username"),
         (F.coalesce("auth_version", F.lit(0)) + bump).alias("auth_version"),
         F.when(came, as_of).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-        after.alias("roles"),
+        F.array_sort(after).alias("roles"),
     )
     return profile.drop("roles"), profile.select("user_id", F.explode("roles").alias("slug"))
 

@@ -192,3 +192,23 @@ def test_activity_rate_across_buckets(spark):
     assert got[1] == (10, 20.0, 20.0, 120, "2m00s")
     assert got[2] == (40, 0.0, round(50 / 4.5, 3), 27, "27s")
     assert got[3][0] == 0 and got[3][1:3] == (0.0, 0.0)
+
+
+def test_upsert_users_roles_and_names(spark):
+    users = spark.createDataFrame(
+        [(1, "Old", "o", 4, at(1)), (2, "Two", "t", 0, at(1)), (3, "Gone", "g", 7, at(1))],
+        "user_id int, username string, telegram_username string, auth_version int, last_seen_at timestamp",
+    )
+    incoming = spark.createDataFrame([(1, None, "new"), (2, "Two B", None), (9, "Nine", "n")], "user_id int, display_name string, handle string")
+    held = spark.createDataFrame([(1, "member"), (1, "admin"), (2, "uploader")], "user_id int, slug string")
+    grants = spark.createDataFrame([(9, "admin"), (3, "admin"), (1, "admin")], "user_id int, slug string")
+    profiles, links = lifecycle.upsert_users(incoming, users, held, ["member"], F.lit(NOW), grants)
+    got = {r.user_id: (r.username, r.telegram_username, r.auth_version, r.last_seen_at) for r in profiles.collect()}
+    assert got == {
+        1: ("Old", "new", 4, NOW),
+        2: ("Two B", None, 1, NOW),
+        3: ("Gone", "g", 7, at(1)),
+        9: ("Nine", "n", 0, NOW),
+    }
+    roles = {(1, "admin"), (1, "member"), (2, "member"), (2, "uploader"), (9, "admin"), (9, "member")}
+    assert {(r.user_id, r.slug) for r in links.collect()} == roles
