@@ -1 +1,8 @@
 """lorekeep: corpus building, enrichment and hybrid vector search as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -151,3 +151,18 @@ def test_not_indexed(spark, vectors):
     _, p = frames(spark, *vectors)
     ids = spark.createDataFrame([(5,), (5000,)], "item_id bigint")
     assert [r.item_id for r in ops.not_indexed(ids, p).collect()] == [5000]
+
+
+def test_worker_code_needs_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lorekeep.streaming import jobs as live
+
+    code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(open('f', 'rb').read()); "
+    code += "sys.exit('lorekeep' in sys.modules)"
+    for function in (ops._score_into, ops._emit, V._slot_and_weight, live.idle_ticks):
+        (tmp_path / "f").write_bytes(cloudpickle.dumps(function))
+        assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=60).returncode == 0
