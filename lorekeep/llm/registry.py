@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import line_dedup, media, sharding, simhash
+from lorekeep.llm import decontaminate, line_dedup, media, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op5_feistel_sharding": sharding.op5_feistel_sharding,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_media_columns": media.op8_media_columns,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL}
+    return {"op2_line_dedup": line_dedup.OP2_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL}
