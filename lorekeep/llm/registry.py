@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, line_dedup, media, sharding, simhash, substring_dedup
+from lorekeep.llm import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    media,
+    sentencepieces,
+    sharding,
+    simhash,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +24,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_language_id": language_id.op3_language_id,
         "op5_feistel_sharding": sharding.op5_feistel_sharding,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_media_columns": media.op8_media_columns,
+        "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
