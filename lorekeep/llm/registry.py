@@ -11,6 +11,8 @@ from lorekeep.llm import (
     language_id,
     line_dedup,
     media,
+    pii,
+    secrets,
     sentencepieces,
     sharding,
     simhash,
@@ -25,8 +27,10 @@ def queries() -> dict[str, Query]:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_language_id": language_id.op3_language_id,
+        "op4_personal_data": pii.op4_personal_data,
         "op5_feistel_sharding": sharding.op5_feistel_sharding,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op8_media_columns": media.op8_media_columns,
         "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
