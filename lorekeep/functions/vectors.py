@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorekeep.constants import QUERY_PREFIX, VECTOR_SIZE
+from lorekeep.constants import QUERY_PREFIX
 from lorekeep.functions.text import strip
 
-_TOKEN = re.compile(r"[\w#@:/.\-]+")
-
-
 def query_text(query: Column) -> Column:
     return F.concat(F.lit(QUERY_PREFIX), strip(query))
 
@@ -47,41 +38,3 @@ def l2_normalize(vector: Column) -> Column:
     scaled = F.transform(vector, lambda x: x.cast("double") / norm)
     axis = F.transform(vector, lambda _x, i: F.when(i == 0, 1.0).otherwise(0.0))
     return F.when(norm > 0, scaled).otherwise(axis)
-
-
-def _slot_and_weight(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.sha256(token.encode("utf-8")).digest()
-    sign = 1.0 if digest[4] % 2 == 0 else -1.0
-    return int.from_bytes(digest[:4], "big") % dim, sign * (1.0 + digest[5] / 255.0)
-
-
-def hash_embedder(dim: int = VECTOR_SIZE) -> Callable[[Column], Column]:
-    """Map-only text embedder: sparse unit vector as ``struct<idx: array<int>, weight: array<double>>``.
-
-    Needs no shuffle: each Arrow batch hashes its distinct tokens once.
-    """
-
-    @F.pandas_udf("idx array<int>, weight array<double>")
-    def embed(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, tuple[int, float]] = {}
-        all_idx, all_weight = [], []
-        for text in texts:
-            words = _TOKEN.findall((text or "").lower()) or ["empty"]
-            sums: dict[int, float] = {}
-            for word in words:
-                entry = known.get(word)
-                if entry is None:
-                    entry = known[word] = _slot_and_weight(word, dim)
-                sums[entry[0]] = sums.get(entry[0], 0.0) + entry[1]
-            idx = np.fromiter(sums.keys(), dtype=np.int32, count=len(sums))
-            weight = np.fromiter(sums.values(), dtype=np.float64, count=len(sums))
-            norm = float(np.sqrt(np.dot(weight, weight)))
-            if norm == 0.0:
-                idx, weight = np.zeros(1, dtype=np.int32), np.ones(1)
-            else:
-                weight = weight / norm
-            all_idx.append(idx)
-            all_weight.append(weight)
-        return pd.DataFrame({"idx": all_idx, "weight": all_weight})
-
-    return embed

@@ -2,118 +2,194 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from lorekeep.constants import DERIVED, KIND_WEIGHTS, RAW, RRF_K, VECTOR_SIZE
 from lorekeep.functions import vectors as V
-from lorekeep.session import spread
 
 SCORE_DIGITS = 9
-# A query set is held in each Python worker only below this size; larger sets take the blocked join.
-MAX_BROADCAST_BYTES = 64 << 20
+# A pack of vectors has at most so many bytes as a dense matrix, a block of queries also at most so many rows.
+BLOCK_BYTES = 2 << 20
+MOST_QUERIES = 1024
+# Blocks whose lists a task holds at a time; the oldest list is handed on early when there are more.
+HELD_BLOCKS = 8
 _CHUNK_CELLS = 4 << 20
 
+# (rows, keys, text column) -> the rows with a vector and an ``error`` in the place of the text.
+Embedder = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
-def feature_hash_embed(texts: DataFrame, id_col: str, text_col: str, dim: int = VECTOR_SIZE) -> DataFrame:
-    """Sparse unit vectors as rows (id, idx, weight).
 
-    The one shuffle spreads the texts by id; tokens, sums and norms then stay in their task.
+def feature_hash_embed(
+    texts: DataFrame, key: str | Sequence[str], text_col: str, dim: int = VECTOR_SIZE
+) -> DataFrame:
+    """Sparse unit vectors as rows (key, idx, weight).
+
+    The one shuffle spreads the texts by key; tokens, sums and norms then stay in their task.
     """
-    placed = texts.select(id_col, text_col).repartition(id_col)
-    exploded = placed.select(id_col, F.explode(V.tokens(F.col(text_col))).alias("token"))
-    hashed = exploded.select(id_col, F.sha2("token", 256).alias("digest"))
+    keys = [key] if isinstance(key, str) else list(key)
+    placed = texts.select(*keys, text_col).repartition(*keys)
+    exploded = placed.select(*keys, F.explode(V.tokens(F.col(text_col))).alias("token"))
+    hashed = exploded.select(*keys, F.sha2("token", 256).alias("digest"))
     slots = hashed.select(
-        id_col, V.token_slot(F.col("digest"), dim).alias("idx"), V.token_weight(F.col("digest")).alias("w")
+        *keys, V.token_slot(F.col("digest"), dim).alias("idx"), V.token_weight(F.col("digest")).alias("w")
     )
-    summed = slots.groupBy(id_col, "idx").agg(F.sum("w").alias("w"))
-    return normalize_sparse(summed, id_col)
+    summed = slots.groupBy(*keys, "idx").agg(F.sum("w").alias("w"))
+    return normalize_sparse(summed, keys)
+
+
+def hash_embedder(dim: int = VECTOR_SIZE) -> Embedder:
+    """The built-in embedder: adds ``idx`` and ``weight`` in the place of the text.
+
+    ``keys`` tell the rows apart. A vector has at most ``dim`` entries, so its arrays are bounded.
+    """
+
+    def embed(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+        entry = F.array_sort(F.collect_list(F.struct("idx", "weight")))
+        vectors = feature_hash_embed(rows, keys, text_col, dim).groupBy(*keys).agg(entry.alias("entries"))
+        joined = rows.drop(text_col).join(vectors, list(keys))
+        found = {"idx": F.col("entries.idx"), "weight": F.col("entries.weight")}
+        return joined.withColumns(found).withColumn("error", F.lit(None).cast("string")).drop("entries")
+
+    return embed
 
 
-def normalize_sparse(entries: DataFrame, id_col: str) -> DataFrame:
+def normalize_sparse(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """L2 form for sparse rows (id, idx, w); an all-zero vector becomes the first unit axis.
 
     A vector has at most ``dim`` rows, so its window is bounded.
     """
-    w = Window.partitionBy(id_col)
+    w = Window.partitionBy(*keys)
     scored = entries.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))).withColumn(
         "first", F.min("idx").over(w)
     )
     keep = (F.col("norm") > 0) | (F.col("idx") == F.col("first"))
     return scored.filter(keep).select(
-        id_col,
+        *keys,
         F.when(F.col("norm") > 0, F.col("idx")).otherwise(F.lit(0)).alias("idx"),
         F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(1.0)).alias("weight"),
     )
 
 
-def _dense(table: pa.RecordBatch, start: int, stop: int, dim: int) -> np.ndarray:
-    """Rows start..stop of an Arrow batch as a unit matrix."""
-    names = table.schema.names
-    if "vector" in names:
-        flat = table.column("vector").slice(start, stop - start).flatten()
-        rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(stop - start, dim)
+def _check_sizes(batch: pa.RecordBatch, id_col: str, dim: int) -> None:
+    """A vector that is null, of another size or with positions out of range stops the job with its id."""
+    if "vector" in batch.schema.names:
+        sizes = pc.list_value_length(batch.column("vector"))
+        good = pc.fill_null(pc.equal(sizes, dim), False)
     else:
-        idx = table.column("idx").slice(start, stop - start)
-        counts = np.diff(idx.offsets.to_numpy())
-        where = np.repeat(np.arange(stop - start), counts) * dim + idx.flatten().to_numpy(zero_copy_only=False)
-        weight = table.column("weight").slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
-        rows = np.bincount(where, weights=weight, minlength=(stop - start) * dim).reshape(stop - start, dim)
-    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    norms[norms == 0] = 1.0
-    return rows / norms[:, None]
+        idx, weight = batch.column("idx"), batch.column("weight")
+        same = pc.equal(pc.list_value_length(idx), pc.list_value_length(weight))
+        flat = idx.flatten().to_numpy(zero_copy_only=False)
+        rows = np.unique(pc.list_parent_indices(idx).to_numpy()[(flat < 0) | (flat >= dim)])
+        inside = np.ones(batch.num_rows, bool)
+        inside[rows] = False
+        good = pc.and_(pc.fill_null(same, False), pa.array(inside))
+    bad = np.flatnonzero(~good.to_numpy(zero_copy_only=False))
+    if len(bad):
+        raise ValueError(f"{id_col} {batch.column(id_col)[int(bad[0])]}: its vector does not fit {dim} dimensions")
+
+
+def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stored positions and unit weights of all rows, and where each row starts; dense rows have no positions."""
+    dense = "vector" in batch.schema.names
+    column = batch.column("vector" if dense else "weight")
+    weight = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    counts = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    sums = np.concatenate([[0.0], np.cumsum(weight * weight)]) if not dense else None
+    if dense:
+        norms = np.sqrt(np.einsum("ij,ij->i", *[weight.reshape(len(counts), -1)] * 2)) if len(counts) else counts
+        idx = np.empty(0, np.int32)
+    else:
+        norms = np.sqrt(sums[starts[1:]] - sums[starts[:-1]])
+        idx = batch.column("idx").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return idx, weight / np.repeat(np.where(norms > 0, norms, 1.0), counts), starts
+
+
+def _packed(df: DataFrame, id_col: str, dim: int, rows: int) -> DataFrame:
+    """Map-only: at most ``rows`` vectors of one kind as one row (kind, ids, idx, weight, starts)."""
+    id_type = df.schema[id_col].dataType
+    ids_type = pa.list_(_arrow_type(id_type))
+    names = ["kind", "ids", "idx", "weight", "starts"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _check_sizes(batch, id_col, dim)
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+            for kind in sorted(set(kinds)):
+                own = batch.take(pa.array(np.flatnonzero(kinds == kind)))
+                for start in range(0, own.num_rows, rows):
+                    part = own.slice(start, rows)
+                    # in the order of ids, so that equal scores are in it as well
+                    part = part.take(pc.sort_indices(part.column(id_col)))
+                    arrays = [pa.array([x.tobytes()], pa.binary()) for x in _unit(part)]
+                    ids = pa.array([part.column(id_col).to_pylist()], ids_type)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.string()), ids, *arrays], names)
+
+    layout = f"kind string, ids array<{id_type.simpleString()}>, idx binary, weight binary, starts binary"
+    return df.mapInArrow(pack, layout)
+
+
+def _matrix(idx: np.ndarray, weight: np.ndarray, starts: np.ndarray, dim: int) -> np.ndarray:
+    """Packed vectors as a dense matrix (rows, dim)."""
+    n = len(starts) - 1
+    if not len(idx):
+        return weight.reshape(n, dim) if len(weight) else np.zeros((n, dim))
+    where = np.repeat(np.arange(n), np.diff(starts)) * dim + idx
+    return np.bincount(where, weights=weight, minlength=n * dim).reshape(n, dim)
+
+
+def _scores(idx: np.ndarray, weight: np.ndarray, starts: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(points, queries); of sparse points only the stored positions are multiplied."""
+    n = len(starts) - 1
+    if not len(idx):
+        return _matrix(idx, weight, starts, queries.shape[1]) @ queries.T
+    out = np.zeros((n, len(queries)))
+    turned = np.ascontiguousarray(queries.T)
+    step = max(1, _CHUNK_CELLS // len(queries))
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + step, side="right")) - 1)
+        a, b = starts[first], starts[last]
+        filled = np.flatnonzero(np.diff(starts[first : last + 1])) + first
+        if len(filled):
+            out[filled] = np.add.reduceat(turned[idx[a:b]] * weight[a:b, None], starts[filled] - a, axis=0)
+        first = last
+    return out
 
 
 class _Best:
-    """The k best (score desc, id asc) rows per query."""
+    """The k best (score desc, id asc) points of every query of a block."""
 
-    def __init__(self, n_queries: int, k: int) -> None:
-        self.k = k
-        self.scores = [np.empty(0)] * n_queries
-        self.ids: list[np.ndarray] = [np.empty(0, dtype=object)] * n_queries
+    def __init__(self, query_ids: np.ndarray, k: int) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.query, self.score = np.empty(0, np.int64), np.empty(0)
+        self.ids: np.ndarray | None = None
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for q in range(len(self.scores)):
-            column = scores[:, q]
-            held = self.scores[q]
-            if len(held) >= self.k:
-                fresh = np.flatnonzero(column >= held[-1])
-            else:
-                fresh = np.arange(len(column))
-            if not len(fresh):
-                continue
-            merged = np.concatenate([held, column[fresh]])
-            merged_ids = np.concatenate([self.ids[q], ids[fresh]]) if len(held) else ids[fresh]
-            order = np.lexsort((merged_ids, -merged))[: self.k]
-            self.scores[q], self.ids[q] = merged[order], merged_ids[order]
-
-
-def _score_into(best: _Best, batch: pa.RecordBatch, queries: np.ndarray) -> None:
-    dim = queries.shape[1]
-    ids = batch.column("item_id").to_numpy(zero_copy_only=False)
-    step = max(1, _CHUNK_CELLS // max(dim, len(queries)))
-    for start in range(0, batch.num_rows, step):
-        stop = min(start + step, batch.num_rows)
-        scores = np.round(_dense(batch, start, stop, dim) @ queries.T, SCORE_DIGITS) + 0.0
-        best.add(scores, ids[start:stop])
-
-
-def _emit(best: _Best, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    counts = [len(s) for s in best.scores]
-    ids = np.concatenate(best.ids) if counts else np.empty(0, dtype=object)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(query_ids, counts), type=schema.field(0).type),
-            pa.array(ids, type=schema.field(1).type),
-            pa.array(np.concatenate(best.scores) if counts else np.empty(0), type=pa.float64()),
-        ],
-        schema=schema,
-    )
+        """``ids`` ascend. Of the rows that tie at the k-th place the first ones are taken."""
+        scores = np.round(scores, SCORE_DIGITS) + 0.0
+        if len(ids) > self.k:
+            least = -np.partition(-scores, self.k - 1, axis=0)[self.k - 1]
+            above, tied = scores > least, scores == least
+            taken = above | (tied & (np.cumsum(tied, axis=0) <= self.k - above.sum(axis=0)))
+        else:
+            taken = np.ones(scores.shape, bool)
+        row, query = np.nonzero(taken)
+        query = np.concatenate([self.query, query])
+        score = np.concatenate([self.score, scores[taken]])
+        found = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
+        order = np.lexsort((found, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[place < self.k]
+        self.query, self.score, self.ids = query[place < self.k], score[order], found[order]
 
 
 def _arrow_type(field_type: object) -> pa.DataType:
@@ -128,19 +204,12 @@ def _vector_columns(df: DataFrame) -> list[str]:
     return ["vector"] if "vector" in df.columns else ["idx", "weight"]
 
 
-def _usable(df: DataFrame, dim: int) -> DataFrame:
-    """Rows whose vector has the expected size; the size of sparse vectors is bounded by their positions."""
-    if "vector" in df.columns:
-        return df.filter(F.size("vector") == dim)
-    return df.filter(F.array_max("idx") < dim)
-
-
 def _top_k(partial: DataFrame, k: int, fan_in: int = 64) -> DataFrame:
     """Merge per-task lists in two steps, so one query never brings all its lists to one task."""
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(fan_in)))
     order = [F.col("score").desc(), F.col("item_id").asc()]
-    first = Window.partitionBy("query_id", "salt").orderBy(*order)
-    last = Window.partitionBy("query_id").orderBy(*order)
+    first = Window.partitionBy("query_id", "kind", "salt").orderBy(*order)
+    last = Window.partitionBy("query_id", "kind").orderBy(*order)
     reduced = salted.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).drop("rank", "salt")
     return reduced.withColumn("rank", F.row_number().over(last).cast("bigint")).filter(F.col("rank") <= k)
 
@@ -151,80 +220,66 @@ def knn_topk(
     k: int,
     dim: int,
     condition: Column | None = None,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    block_rows: int = 4096,
+    kind: str | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact cosine top-k of each query: (query_id, item_id, score, rank).
+    """Exact cosine top-k of each query: (query_id, item_id, score, rank), with ``kind`` if one is given.
 
     ``queries`` holds ``query_id`` and a vector, ``points`` holds ``item_id`` and a vector, each either
-    dense (``vector``) or sparse (``idx``, ``weight``). ``condition`` is applied to the point columns
-    before scoring, so it reaches the scan. Points stay where they are read, but for small tables
-    that are spread over the cores: each task scores its own batches against the query matrix and hands on
-    k rows per query. A query set over ``max_broadcast_bytes`` is scored block by block in a shuffled join
-    instead. Equal scores are ordered by item id.
+    dense (``vector``) or sparse (``idx``, ``weight``). ``kind`` names a column of both sides; a query then
+    has a list of its own among the points of its kind, and all kinds share one scan. ``condition`` is applied
+    to the point columns before scoring, so it reaches the scan.
+
+    Both sides are packed where they are read, the queries into blocks of at most ``block_bytes``. Each block
+    passes over the packed points, which are never shuffled, and a task hands on k rows per query. The plan is
+    the same for every number of queries. Equal scores are ordered by item id. A vector that does not fit
+    ``dim`` fails the job with its id.
     """
-    q_cols, p_cols = _vector_columns(queries), _vector_columns(points)
     scoped = points if condition is None else points.filter(condition)
-    p = spread(_usable(scoped, dim).select("item_id", *p_cols))
-    q = _usable(queries, dim).select("query_id", *q_cols)
+    label = F.lit("") if kind is None else F.col(kind)
+    p = scoped.select("item_id", label.alias("kind"), *_vector_columns(points))
+    q = queries.select("query_id", label.alias("kind"), *_vector_columns(queries))
     q_type, p_type = q.schema["query_id"].dataType, p.schema["item_id"].dataType
-    out = pa.schema([("query_id", _arrow_type(q_type)), ("item_id", _arrow_type(p_type)), ("score", pa.float64())])
-    ddl = f"query_id {q_type.simpleString()}, item_id {p_type.simpleString()}, score double"
-    row_bound = max(1, max_broadcast_bytes // (8 * dim))
-    held = q.limit(row_bound + 1).toArrow()
-    if held.num_rows <= row_bound:
-        partial = _scan_scores(p, held, k, dim, out, ddl)
-    else:
-        partial = _blocked_scores(q, p, k, dim, out, ddl, block_rows)
-    return _top_k(partial, k).select("query_id", "item_id", "score", "rank")
-
-
-def _scan_scores(p: DataFrame, held: pa.Table, k: int, dim: int, out: pa.Schema, ddl: str) -> DataFrame:
-    batch = held.combine_chunks().to_batches()
-    query_ids = held.column("query_id").to_numpy()
-    matrix = _dense(batch[0], 0, held.num_rows, dim) if batch else np.empty((0, dim))
-    shared = p.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    fields = [("query_id", _arrow_type(q_type)), ("kind", pa.string()), ("item_id", _arrow_type(p_type))]
+    out = pa.schema([*fields, ("score", pa.float64())])
+    rows = max(1, block_bytes // (8 * dim))
+    blocks = _packed(q, "query_id", dim, min(rows, MOST_QUERIES)).withColumn("block", F.monotonically_increasing_id())
+    # sparse points are scored as they are stored, so more of them fit
+    wide = rows if "vector" in points.columns else max(rows, 1024)
+    left = _packed(p, "item_id", dim, wide).select(*(F.col(c).alias(f"p_{c}") for c in ("kind", "ids", "idx", "weight", "starts")))
+    parts = ("idx", "weight", "starts")
+    kinds_of = (np.int32, np.float64, np.int64)
+
+    def emit(best: _Best, label: str) -> pa.RecordBatch:
+        columns = [best.query_ids[best.query], [label] * len(best.query), best.ids, best.score]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = shared.value
-        best = _Best(len(ids), k)
-        for one in batches:
-            _score_into(best, one, rows)
-        yield _emit(best, ids, out)
-
-    return p.mapInArrow(score, ddl)
-
-
-def _blocked_scores(
-    q: DataFrame, p: DataFrame, k: int, dim: int, out: pa.Schema, ddl: str, block_rows: int
-) -> DataFrame:
-    """Both sides in hashed blocks of about ``block_rows``; each pair of blocks meets in one task.
-
-    Block ids come from unique row ids, so blocks are even, and a task returns k rows per query.
-    """
-    sizes = q.agg(F.count("*").alias("n")).first(), p.agg(F.count("*").alias("n")).first()
-    n_q, n_p = (max(1, -(-size["n"] // block_rows)) for size in sizes)
-
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    left = q.withColumn("qb", block("query_id", n_q)).withColumn("pb", every(n_p))
-    right = p.withColumn("pb", block("item_id", n_p)).withColumn("qb", every(n_q))
-
-    def score(queries: pa.Table, points: pa.Table) -> pa.Table:
-        if not queries.num_rows or not points.num_rows:
-            return out.empty_table()
-        matrix = _dense(queries.combine_chunks().to_batches()[0], 0, queries.num_rows, dim)
-        ids = queries.column("query_id").to_numpy()
-        best = _Best(len(ids), k)
-        for one in points.to_batches():
-            _score_into(best, one, matrix)
-        return pa.Table.from_batches([_emit(best, ids, out)])
-
-    return left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(score, ddl)
+        held: dict[tuple[int, str], tuple[_Best, np.ndarray]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                label = batch.column("kind")[i].as_py()
+                if batch.column("p_kind")[i].as_py() != label:
+                    continue
+                key = (batch.column("block")[i].as_py(), label)
+                if key not in held:
+                    if len(held) == HELD_BLOCKS:
+                        oldest = next(iter(held))
+                        yield emit(held.pop(oldest)[0], oldest[1])
+                    own = [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(parts, kinds_of)]
+                    ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
+                    held[key] = (_Best(ids, k), _matrix(*own, dim))
+                best, matrix = held[key]
+                own = [np.frombuffer(batch.column(f"p_{c}")[i].as_buffer(), t) for c, t in zip(parts, kinds_of)]
+                best.add(_scores(*own, matrix), batch.column("p_ids")[i].values.to_numpy(zero_copy_only=False))
+        for (_, label), (best, _) in held.items():
+            yield emit(best, label)
+
+    ddl = f"query_id {q_type.simpleString()}, kind string, item_id {p_type.simpleString()}, score double"
+    # every block of queries against every pack of points: a stated query set against all rows
+    found = _top_k(left.crossJoin(blocks).mapInArrow(score, ddl), k)
+    named = [] if kind is None else [F.col("kind").alias(kind)]
+    return found.select("query_id", *named, "item_id", "score", "rank")
 
 
 def rrf_fuse(
@@ -265,18 +320,15 @@ def similar_items(
 ) -> DataFrame:
     """Neighbours of stored items over both projections, the item itself left out."""
     found = points.join(item_ids.select("item_id").distinct(), "item_id", "left_semi")
-    ranked = []
-    for kind in (DERIVED, RAW):
-        queries = found.filter(F.col("projection_kind") == kind).select(
-            F.col("item_id").alias("query_id"), *_vector_columns(points)
-        )
-        scope = F.col("projection_kind") == kind
-        hits = knn_topk(
-            queries, points, max(limit * 4, 20), dim, scope if condition is None else scope & condition
-        )
-        ranked.append((kind, KIND_WEIGHTS[kind], hits))
+    queries = found.select(F.col("item_id").alias("query_id"), "projection_kind", *_vector_columns(points))
+    hits = knn_topk(queries, points, max(limit * 4, 20), dim, condition, "projection_kind")
     own = item_ids.select(F.col("item_id").alias("query_id"), "item_id").distinct()
-    return rrf_fuse(ranked, limit, own)
+    return rrf_fuse(by_kind(hits), limit, own)
+
+
+def by_kind(hits: DataFrame) -> list[tuple[str, float, DataFrame]]:
+    """The lists of both projections with their weights."""
+    return [(kind, KIND_WEIGHTS[kind], hits.filter(F.col("projection_kind") == kind)) for kind in (DERIVED, RAW)]
 
 
 def not_indexed(item_ids: DataFrame, points: DataFrame) -> DataFrame:

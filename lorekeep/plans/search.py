@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.constants import DERIVED, KIND_WEIGHTS, RAW, VECTOR_SIZE
+from lorekeep.constants import DERIVED, RAW, VECTOR_SIZE
 from lorekeep.functions import hashing, vectors
 from lorekeep.operators import enrichment
 from lorekeep.operators.filters import facet_condition
-from lorekeep.operators.vectors import candidate_count, knn_topk, rrf_fuse
+from lorekeep.operators.vectors import Embedder, by_kind, candidate_count, hash_embedder, knn_topk, rrf_fuse
 from lorekeep.session import cut_lineage
 
 FACETS = [
@@ -53,25 +51,15 @@ def projection_texts(
     return rows.filter(F.length("text") > 0)
 
 
-def embed_points(texts: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+def embed_points(texts: DataFrame, embed: Embedder | None = None) -> DataFrame:
     """Points of projection texts; facets are top-level columns so that filters reach the scan.
 
     Rows that an embedder could not embed have an ``error`` and no vector.
     """
-    embed = embed or vectors.hash_embedder(VECTOR_SIZE)
-    embedded = texts.withColumn(
-        "point_id", hashing.point_id(F.col("stable_key"), F.col("projection_kind"))
-    ).withColumn("embedded", embed(F.col("text")))
-    has_error = "error" in embedded.schema["embedded"].dataType.fieldNames()
-    return embedded.select(
-        "point_id",
-        *FACETS,
-        "occurred_at_unix",
-        "projection_kind",
-        F.col("embedded.idx").alias("idx"),
-        F.col("embedded.weight").alias("weight"),
-        (F.col("embedded.error") if has_error else F.lit(None).cast("string")).alias("error"),
-    )
+    keyed = texts.withColumn("point_id", hashing.point_id(F.col("stable_key"), F.col("projection_kind")))
+    embedded = (embed or hash_embedder())(keyed.drop("stable_key"), ["item_id", "projection_kind"], "text")
+    known = ["point_id", *FACETS, "occurred_at_unix", "projection_kind"]
+    return embedded.select(*known, *[c for c in embedded.columns if c not in known])
 
 
 def index_points(
@@ -79,10 +67,10 @@ def index_points(
     assets: DataFrame,
     sources: DataFrame,
     enrichments: DataFrame,
-    embed: Callable[[Column], Column] | None = None,
+    embed: Embedder | None = None,
 ) -> DataFrame:
-    """Points of both projections of all items."""
-    return embed_points(projection_texts(items, assets, sources, enrichments), embed).drop("error")
+    """Points of both projections of all items; a row that could not be embedded has its ``error`` and no vector."""
+    return embed_points(projection_texts(items, assets, sources, enrichments), embed)
 
 
 def index_queued(
@@ -91,7 +79,7 @@ def index_queued(
     assets: DataFrame,
     sources: DataFrame,
     enrichments: DataFrame,
-    embed: Callable[[Column], Column] | None = None,
+    embed: Embedder | None = None,
     model: str = "hash",
 ) -> tuple[DataFrame, DataFrame]:
     """(new points, projections) after indexing the queued projections.
@@ -123,29 +111,24 @@ def hybrid_rank(
     limit: int = 10,
     dim: int = VECTOR_SIZE,
     items: DataFrame | None = None,
-    embed: Callable[[Column], Column] | None = None,
+    embed: Embedder | None = None,
     **facets: object,
 ) -> DataFrame:
     """Fused page of ids per query: (query_id, item_id, score, kinds, rank, has_more).
 
-    ``queries`` holds ``query_id`` and ``query``. The presence facet reads the current flag of ``items``,
+    ``queries`` holds ``query_id`` and ``query``; a query that cannot be embedded fails the job. The presence facet reads the current flag of ``items``,
     not the one stored with the point.
     """
-    embed = embed or vectors.hash_embedder(dim)
-    embedded = queries.withColumn("e", embed(vectors.query_text(F.col("query"))))
-    q = embedded.select("query_id", F.col("e.idx").alias("idx"), F.col("e.weight").alias("weight"))
-    scope = points
+    both = F.explode(F.array(F.lit(DERIVED), F.lit(RAW))).alias("projection_kind")
+    asked = queries.select("query_id", vectors.query_text(F.col("query")).alias("text"))
+    q = (embed or hash_embedder(dim))(asked, ["query_id"], "text").withColumn("projection_kind", both)
+    # rows that could not be embedded stay in the table with their error and have nothing to be compared with
+    scope = points.filter(F.col("error").isNull()) if "error" in points.columns else points
     if items is not None and facets.get("present_in_latest_sync") is not None:
         current = items.select("item_id", "present_in_latest_sync")
-        scope = points.drop("present_in_latest_sync").join(current, "item_id")
-    condition = facet_condition(**facets)
-    ranked = []
-    for kind in (DERIVED, RAW):
-        of_kind = F.col("projection_kind") == kind
-        full = of_kind if condition is None else of_kind & condition
-        hits = knn_topk(q, scope, candidate_count(offset, limit), dim, full)
-        ranked.append((kind, KIND_WEIGHTS[kind], hits))
-    fused = rrf_fuse(ranked, offset + limit + 1)
+        scope = scope.drop("present_in_latest_sync").join(current, "item_id")
+    hits = knn_topk(q, scope, candidate_count(offset, limit), dim, facet_condition(**facets), "projection_kind")
+    fused = rrf_fuse(by_kind(cut_lineage(hits)), offset + limit + 1)
     last = F.max("rank").over(Window.partitionBy("query_id"))
     return fused.withColumn("has_more", last > offset + limit).filter(
         (F.col("rank") > offset) & (F.col("rank") <= offset + limit)
@@ -162,7 +145,7 @@ def hybrid_search(
     offset: int = 0,
     limit: int = 10,
     dim: int = VECTOR_SIZE,
-    embed: Callable[[Column], Column] | None = None,
+    embed: Embedder | None = None,
     **facets: object,
 ) -> DataFrame:
     """Result rows per query, with ``has_more``.

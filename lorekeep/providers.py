@@ -7,7 +7,7 @@ batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.constants import OCR, SUMMARY, TRANSCRIPT, VECTOR_SIZE
 from lorekeep.functions.text import extractive_summary, join_lines
-from lorekeep.functions.vectors import hash_embedder
+from lorekeep.operators.vectors import Embedder, hash_embedder
 from lorekeep.sources import exports
 
-Embedder = Callable[[Column], Column]
 EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hash": hash_embedder}
 EMBED_BATCH = 64
 
@@ -37,7 +36,7 @@ def scan_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
 
 
 def model_embedder(encode: Callable[[list[str]], list[list[float]]], dim: int, batch: int = EMBED_BATCH) -> Embedder:
-    """Column function for a model: struct<idx, weight, error>.
+    """Embedder of a model; map-only, adds ``vector`` and ``error`` in the place of the text.
 
     ``encode`` gets at most ``batch`` texts. A vector of another size than ``dim`` or a raised error is
     reported in ``error`` and leaves the vector null; a failed batch is tried text by text.
@@ -52,16 +51,16 @@ def model_embedder(encode: Callable[[list[str]], list[list[float]]], dim: int, b
             return [one for text in texts for one in attempt([text])]
         return [(v, None) if len(v) == dim else (None, f"vector size {len(v)}, expected {dim}") for v in vectors]
 
-    @F.pandas_udf("idx array<int>, weight array<double>, error string")
-    def embed(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("vector array<double>, error string")
+    def vectors_of(texts: pd.Series) -> pd.DataFrame:
         values = texts.tolist()
         done = [one for i in range(0, len(values), batch) for one in attempt(values[i : i + batch])]
-        return pd.DataFrame(
-            {
-                "idx": [None if v is None else list(range(dim)) for v, _ in done],
-                "weight": [None if v is None else [float(x) for x in v] for v, _ in done],
-                "error": [e for _, e in done],
-            }
+        vectors = [None if v is None else [float(x) for x in v] for v, _ in done]
+        return pd.DataFrame({"vector": vectors, "error": [e for _, e in done]})
+
+    def embed(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+        return rows.withColumn("embedded", vectors_of(F.col(text_col))).select(
+            *[c for c in rows.columns if c != text_col], "embedded.*"
         )
 
     return embed

@@ -60,13 +60,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
-    """Use all cores on a small table, which may be one file; a larger one stays where it is.
-
-    The size is the planner's estimate, so nothing is run to find it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * bytes_per_core else df

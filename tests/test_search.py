@@ -55,10 +55,32 @@ def test_knn_is_exact_with_copies(spark, vectors, k):
     assert result(ops.knn_topk(q, p, k, 8)) == sorted(brute(*vectors, k))
 
 
-def test_blocked_join_gives_the_same(spark, vectors):
+def test_many_small_blocks_give_the_same(spark, vectors):
+    """More blocks of queries than a task holds at a time, and packs of three points."""
+    queries, points = vectors
+    queries = queries + [(2000 + i, v) for i, (_, v) in enumerate(points[40:80])]
+    q, p = frames(spark, queries, points)
+    found = ops.knn_topk(q.repartition(3), p, 20, 8, block_bytes=8 * 8 * 3)
+    assert result(found) == sorted(brute(queries, points, 20))
+
+
+def test_no_point_vector_is_shuffled(spark, vectors):
     q, p = frames(spark, *vectors)
-    blocked = ops.knn_topk(q, p, 20, 8, max_broadcast_bytes=8 * 8 * 3, block_rows=50)
-    assert result(blocked) == sorted(brute(*vectors, 20))
+    plan = ops.knn_topk(q, p.coalesce(2), 5, 8)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("CartesianProduct")[-1] if "CartesianProduct" in plan else plan.split("NestedLoopJoin")[-1]
+    points = [line for line in below.splitlines() if "Exchange hashpartitioning" in line]
+    assert not points
+
+
+def test_kinds_have_lists_of_their_own(spark, vectors):
+    queries, points = vectors
+    q, p = frames(spark, queries, points)
+    kind = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
+    asked = q.withColumn("kind_of", F.explode(F.array(F.lit("even"), F.lit("odd"))))
+    found = ops.knn_topk(asked, p.withColumn("kind_of", kind), 10, 8, kind="kind_of")
+    for name, rest in (("even", 0), ("odd", 1)):
+        own = [x for x in points if x[0] % 2 == rest]
+        assert result(found.filter(F.col("kind_of") == name)) == sorted(brute(queries, own, 10))
 
 
 def test_string_ids_and_condition(spark, vectors):
@@ -69,10 +91,17 @@ def test_string_ids_and_condition(spark, vectors):
     assert result(found) == sorted(brute([(str(i), v) for i, v in queries], kept, 15))
 
 
-def test_wrong_vector_size_is_left_out(spark, vectors):
+@pytest.mark.parametrize("vector", [[1.0, 2.0], None])
+def test_vectors_that_do_not_fit_stop_the_job(spark, vectors, vector):
     q, p = frames(spark, *vectors)
-    odd = spark.createDataFrame([(999, [1.0, 2.0])], p.schema)
-    assert result(ops.knn_topk(q, p.unionByName(odd), 20, 8)) == sorted(brute(*vectors, 20))
+    odd = spark.createDataFrame([(999, vector)], p.schema)
+    with pytest.raises(Exception, match="item_id 999: its vector does not fit 8 dimensions"):
+        ops.knn_topk(q, p.unionByName(odd), 20, 8).collect()
+    with pytest.raises(Exception, match="query_id 999"):
+        ops.knn_topk(q.unionByName(odd.withColumnRenamed("item_id", "query_id")), p, 20, 8).collect()
+    sparse = spark.createDataFrame([(5, [8], [1.0])], "item_id bigint, idx array<int>, weight array<double>")
+    with pytest.raises(Exception, match="item_id 5"):
+        ops.knn_topk(q, sparse, 20, 8).collect()
 
 
 def test_sparse_equals_dense(spark, vectors):
@@ -121,16 +150,14 @@ TEXTS = ["", "Hello hello WORLD", "Größe ñandú #tag @you http://x.y/z-1", "!
 
 
 @pytest.mark.parametrize("dim", [16, 3072])
-def test_both_embedders_match_python(spark, dim):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
-    native = {}
-    for r in ops.feature_hash_embed(df, "id", "text", dim).collect():
-        native.setdefault(r.id, {})[r.idx] = r.weight
-    mapped = df.select("id", V.hash_embedder(dim)(F.col("text")).alias("e")).select("id", "e.idx", "e.weight").collect()
-    for r in mapped:
+def test_embedder_matches_python(spark, dim):
+    df = spark.createDataFrame([(i, "k", t) for i, t in enumerate(TEXTS)], "id int, facet string, text string")
+    rows = ops.hash_embedder(dim)(df, ["id"], "text").collect()
+    assert len(rows) == len(TEXTS) and all(r.facet == "k" and r.error is None for r in rows)
+    for r in rows:
         expected = {i: x for i, x in enumerate(reference_embedding(TEXTS[r.id], dim)) if x}
-        for got in (dict(zip(r.idx, r.weight)), native[r.id]):
-            assert {i: round(x, 9) for i, x in got.items() if x} == {i: round(x, 9) for i, x in expected.items()}
+        got = dict(zip(r.idx, r.weight))
+        assert {i: round(x, 9) for i, x in got.items() if x} == {i: round(x, 9) for i, x in expected.items()}
 
 
 def test_l2_normalize_zero_vector(spark):
@@ -163,6 +190,6 @@ def test_worker_code_needs_no_installed_package(tmp_path):
 
     code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(open('f', 'rb').read()); "
     code += "sys.exit('lorekeep' in sys.modules)"
-    for function in (ops._score_into, ops._emit, V._slot_and_weight, live.idle_ticks):
+    for function in (ops._scores, ops._unit, ops._Best, live.idle_ticks):
         (tmp_path / "f").write_bytes(cloudpickle.dumps(function))
         assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=60).returncode == 0
