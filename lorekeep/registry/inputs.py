@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import pin, spread
-
-# Tables whose rows take long to work on.
-TEXT_TABLES = ("documents", "conversations")
+from lorekeep.session import pin
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(table) if name in TEXT_TABLES else table
+    return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +307,22 @@ def write_manifests(spark: SparkSession, sf_dir: str, path: str) -> None:
     )
 
 
+def write_documents(spark: SparkSession, sf_dir: str, path: str, old: bool = False) -> None:
+    """Files that are one JSON document each: an array of manifests over several lines.
+
+    A document takes the manifests of up to eight chats. With ``old`` every text is marked as an earlier one.
+    """
+    rows = export_json(spark, sf_dir).withColumn("part", F.floor(F.col("pos") / MANIFEST_MESSAGES))
+    if old:
+        rows = rows.withColumn("j", F.replace("j", F.lit('"text":"'), F.lit('"text":"old ')))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "j"))), lambda m: m["j"]), ",\n")
+    head = F.format_string('{"id":%d,"name":"%s","messages":[\n', F.col("chat_id"), F.col("chat_title"))
+    manifests = rows.groupBy("chat_id", "chat_title", "part").agg(F.concat(head, body, F.lit("]}")).alias("value"))
+    documents = manifests.groupBy(F.floor(F.col("chat_id") / 8), "part").agg(F.collect_list("value").alias("values"))
+    whole = F.concat(F.lit("[\n"), F.array_join("values", ",\n"), F.lit("\n]"))
+    documents.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 MESSAGES = """fx_messages AS (SELECT conv_id AS chat_id, 'Chat '||conv_id AS chat_title, CAST(turn AS INTEGER) AS pos,
  turn AS message_id, conv_id||':'||turn AS plain_key,
  CASE WHEN conv_id = 0 THEN 'none' ELSE CAST(conv_id AS VARCHAR) END||':'||turn AS external_key,

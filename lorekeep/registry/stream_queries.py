@@ -15,9 +15,23 @@ from lorekeep.streaming import jobs as live
 from lorekeep.streaming.runner import drain, latest_state, run_batches, table_stream
 
 
+SLICES = 6
+LATE = "12 hours"
+
+
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = fx.load(spark, sf_dir, "events").schema
-    return fx.job_columns(table_stream(spark, f"{sf_dir}/events.parquet", schema))
+    """All events as a stream of ``SLICES`` batches, in which rows are out of order by up to ``LATE``."""
+    events = fx.load(spark, sf_dir, "events")
+    path = scratch_dir(spark, "log")
+    files = max(1, spark.sparkContext.defaultParallelism // 2)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    moved = second + F.pmod(F.xxhash64("event_id"), F.lit(12 * 3600))
+    first, last = events.agg(F.min(second), F.max(second) + 12 * 3600).first()
+    slot = F.floor((moved - F.lit(first)) * SLICES / F.lit(last - first + 1))
+    for number in range(SLICES):
+        events.filter(slot == number).repartition(files, F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
+    return fx.job_columns(reader.parquet(path))
 
 
 @query(
@@ -39,10 +53,13 @@ def job_stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT external_key, content_type, coalesce(flat_text, '') AS body, true AS present FROM fx_messages""",
 )
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream the manifests into the item table."""
+    """Stream whole JSON documents into the item table, first with old texts and then, restarted, with the right ones."""
     path, root = scratch_dir(spark, "export"), scratch_dir(spark, "corpus")
-    fx.write_manifests(spark, sf_dir, path)
-    sync.incremental_scan(spark, path, root, f"{root}/checkpoint", "export", at("2024-01-20 00:00:00"))
+    for folder, old in (("first", True), ("second", False)):
+        fx.write_documents(spark, sf_dir, f"{path}/{folder}", old)
+        sync.incremental_scan(
+            spark, path, root, f"{root}/checkpoint", "export", at("2024-01-20 00:00:00"), name_filter="*.txt"
+        )
     items = sync.read_items(spark, root)
     return items.select(
         "external_key",
@@ -69,7 +86,7 @@ def running_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE status = 'done') WHERE ts < w + INTERVAL 5 MINUTE GROUP BY 1, 2""",
 )
 def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emitted = drain(live.throughput_windows(log_stream(spark, sf_dir)), "update")
+    emitted = drain(live.throughput_windows(log_stream(spark, sf_dir), late=LATE), "update")
     last = latest_state(emitted, ["window_start", "window_end", "run_id"])
     return last.select(F.unix_timestamp("window_start").alias("window_start"), "run_id", "n")
 
@@ -83,7 +100,7 @@ def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases of activity per run; complete mode also gives the sessions that are still open."""
-    sessions = live.activity_sessions(log_stream(spark, sf_dir), "3 hours")
+    sessions = live.activity_sessions(log_stream(spark, sf_dir), "3 hours", LATE)
     emitted = drain(sessions, "complete")
     last = emitted.agg(F.max("batch_id")).first()[0]
     return emitted.filter(F.col("batch_id") == last).select(
@@ -111,8 +128,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stall_detection",
     """WITH s AS (SELECT user_id AS run_id, event_id AS tick, event_id // 2000 AS done, event_type,
  CAST(round_even(value, 0) AS BIGINT) AS r, trunc(value)::BIGINT AS age FROM events),
- c AS (SELECT *, coalesce(lag(done) OVER k <> done, false) AS changed FROM s WINDOW k AS (PARTITION BY run_id ORDER BY tick)),
- f AS (SELECT *, tick - coalesce(max(CASE WHEN changed THEN tick END) OVER k, min(tick) OVER (PARTITION BY run_id) - 1) AS still
+ c AS (SELECT *, row_number() OVER k AS place, coalesce(lag(done) OVER k <> done, false) AS changed
+ FROM s WINDOW k AS (PARTITION BY run_id ORDER BY tick)),
+ f AS (SELECT *, place - coalesce(max(CASE WHEN changed THEN place END) OVER k, 0) AS still
  FROM c WINDOW k AS (PARTITION BY run_id ORDER BY tick))
  SELECT run_id, tick, still AS stagnant_ticks, CASE WHEN event_type = 'error' AND age > 30 THEN 'STALLED'
  WHEN event_type = 'click' THEN 'LIVE' WHEN still >= 5 THEN 'IDLE' ELSE 'LIVE' END AS health FROM f""",
@@ -127,11 +145,11 @@ def stall_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx.cte(fx.JOBS)
     + f"""SELECT job_id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'requeue' END AS action, attempts FROM fx_jobs
  WHERE status = 'processing' AND epoch_us(ts) // 1000 + {STALE_MINUTES} * 60000
- < (SELECT max(epoch_us(ts) // 1000) FROM fx_jobs)""",
+ < (SELECT max(epoch_us(ts) // 1000) FROM fx_jobs) - 12 * 3600000""",
 )
 def stuck_job_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = log_stream(spark, sf_dir).select("job_id", "status", "ts", "attempts")
-    return drain(live.stuck_job_timeout(log)).select("job_id", "action", "attempts")
+    return drain(live.stuck_job_timeout(log, late=LATE)).select("job_id", "action", "attempts")
 
 
 @query(
@@ -149,7 +167,18 @@ def retry_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("job_id", "run_id", "attempts", "target")
 
 
-@query("job_dedup", fx.cte(fx.JOBS) + "SELECT DISTINCT run_id, content_type, status FROM fx_jobs")
+@query(
+    "job_dedup",
+    fx.cte(fx.JOBS)
+    + """SELECT epoch_us(date_trunc('day', ts)) AS slot, run_id, content_type, status, job_id, epoch_us(ts) AS ts, attempts FROM
+ (SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts), run_id, content_type, status ORDER BY ts, job_id) AS n
+ FROM fx_jobs) WHERE n = 1""",
+)
 def job_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first job of each kind on each day, with its whole row."""
     keys = ["run_id", "content_type", "status"]
-    return drain(live.job_dedup(log_stream(spark, sf_dir), keys, "60 days")).select(*keys)
+    log = log_stream(spark, sf_dir).select("ts", "job_id", "attempts", *keys)
+    found = latest_state(drain(live.job_dedup(log, keys, "1 day", LATE), "update"), ["slot", *keys])
+    return found.select(
+        F.unix_micros("slot").alias("slot"), *keys, "job_id", F.unix_micros("ts").alias("ts"), "attempts"
+    )

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekeep.constants import MAX_ATTEMPTS, STALE_MINUTES
+from lorekeep.operators.ranking import bucketed_rank
 
 
 def running_status_counts(log: DataFrame) -> DataFrame:
@@ -56,11 +53,13 @@ def stall_detection(
 ) -> DataFrame:
     """Health of every sample (key, tick, done, cursor, processing, scanning, heartbeat_age).
 
-    LIVE; STALLED when a scan's heartbeat is too old; IDLE when nothing has changed for some ticks and no
-    job is processed. Ticks are cut into blocks so that one long run is spread over many tasks; the last
-    change before a block comes from a table with one row per (key, block).
+    LIVE; STALLED when a scan's heartbeat is too old; IDLE when nothing has changed for some samples and no
+    job is processed. Ticks only order the samples and may have gaps. They are cut into blocks so that one long
+    run is spread over many tasks; what reaches over a block comes from a table with one row per (key, block).
     """
-    base = samples.withColumn("block", F.floor(F.col("tick") / bucket_ticks).cast("bigint"))
+    block = F.floor(F.col("tick") / bucket_ticks).cast("bigint")
+    counted = bucketed_rank(samples, [key], block, [F.col("tick")], "place")
+    base = counted.withColumn("block", block)
     inside = Window.partitionBy(key, "block").orderBy("tick")
     by_key = Window.partitionBy(key).orderBy("block")
     state = F.struct("done", "cursor")
@@ -72,22 +71,17 @@ def stall_detection(
     previous = F.coalesce(F.lag(state).over(inside), F.col("prev_state"))
     marked = joined.withColumn("changed", F.coalesce(previous != state, F.lit(False)))
     blocks = marked.groupBy(key, "block").agg(
-        F.max(F.when(F.col("changed"), F.col("tick"))).alias("change"), F.min("tick").alias("opening")
+        F.max(F.when(F.col("changed"), F.col("place"))).alias("change")
     )
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(
-        key,
-        "block",
-        F.max("change").over(earlier).alias("carried"),
-        F.min("opening").over(Window.partitionBy(key)).alias("opening"),
-    )
+    carried = blocks.select(key, "block", F.max("change").over(earlier).alias("carried"))
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    own = F.max(F.when(F.col("changed"), F.col("tick"))).over(so_far)
+    own = F.max(F.when(F.col("changed"), F.col("place"))).over(so_far)
     return (
         marked.withColumn("own", own)
         .join(carried, [key, "block"])
-        # The first sample has nothing to differ from and counts as the first still tick.
-        .withColumn("still", F.col("tick") - F.coalesce("own", "carried", F.col("opening") - 1))
+        # The first sample has nothing to differ from and counts as the first still one.
+        .withColumn("still", F.col("place") - F.coalesce("own", "carried", F.lit(0)))
         .withColumn("health", _health(stale_seconds, interval))
         .select(*samples.columns, F.col("still").alias("stagnant_ticks"), "health")
     )
@@ -103,60 +97,32 @@ def _health(stale_seconds: int, interval: float) -> Column:
     )
 
 
-TIMEOUT_SCHEMA = "job_id bigint, action string, attempts int"
-_PENDING = {"job_id": "int64", "due": "int64", "attempts": "int32"}
-
-
 def stuck_job_timeout(
-    log: DataFrame,
-    minutes: int = STALE_MINUTES,
-    max_attempts: int = MAX_ATTEMPTS,
-    late: str = "0 seconds",
-    buckets: int = 64,
+    log: DataFrame, minutes: int = STALE_MINUTES, max_attempts: int = MAX_ATTEMPTS, late: str = "10 minutes"
 ) -> DataFrame:
-    """Timeout events from a job log (job_id, status, ts, attempts).
+    """Timeout events (job_id, action, attempts) from a job log stream (job_id, status, ts, attempts).
 
     A job that stays in processing for ``minutes`` of event time is requeued, or failed after too many
-    attempts; any later status cancels its timer. State is kept per hash bucket of job ids, so that a
-    batch is a few vector operations per bucket; choose ``buckets`` so that the jobs in processing at one
-    time, divided by it, are a small state row.
+    attempts. A processing row is held against the later rows of its job within that time: any of them cancels
+    its timer, in whatever order and batch they come, as long as they are no later than ``late``. What has no
+    such row is sent on when the watermark has passed its time. At equal times another status comes after
+    processing, and a repeated processing row counts once.
     """
-    span = minutes * 60_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [])
-        pending = pd.DataFrame(dict(zip(_PENDING, held))).astype(_PENDING)
-        if not state.hasTimedOut:
-            news = pd.concat(list(frames)).sort_values("ts", kind="stable").drop_duplicates("job_id", keep="last")
-            pending = pending[~pending["job_id"].isin(news["job_id"])]
-            started = news[news["status"] == "processing"]
-            due = started["ts"].astype("datetime64[ms]").astype("int64") + span
-            entered = pd.DataFrame({"job_id": started["job_id"], "due": due, "attempts": started["attempts"]})
-            pending = pd.concat([pending, entered.astype(_PENDING)])
-        watermark = state.getCurrentWatermarkMs()
-        fired = pending[pending["due"] < watermark]
-        rest = pending[pending["due"] >= watermark]
-        if len(fired):
-            action = (fired["attempts"] >= max_attempts).map({True: "failed", False: "requeue"})
-            yield pd.DataFrame({"job_id": fired["job_id"], "action": action, "attempts": fired["attempts"]})
-        if len(rest):
-            state.update(tuple(rest[c].tolist() for c in _PENDING))
-            state.setTimeoutTimestamp(max(int(rest["due"].min()), watermark + 1))
-        elif state.exists:
-            state.remove()
-
-    return (
-        log.withWatermark("ts", late)
-        .withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandasWithState(
-            step,
-            TIMEOUT_SCHEMA,
-            "job_id array<bigint>, due array<bigint>, attempts array<int>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    marked = log.withWatermark("ts", late)
+    started = marked.filter(F.col("status") == "processing").dropDuplicates(["job_id", "ts"])
+    started = started.select("job_id", F.col("ts").alias("started_at"), "attempts")
+    after = marked.select(
+        F.col("job_id").alias("later_id"), F.col("ts").alias("later_at"), F.col("status").alias("later_status")
+    )
+    newer = F.col("later_at") > F.col("started_at")
+    settled = (F.col("later_at") == F.col("started_at")) & (F.col("later_status") != "processing")
+    within = (F.col("later_at") >= F.col("started_at")) & (
+        F.col("later_at") <= F.col("started_at") + F.expr(f"INTERVAL {minutes} MINUTES")
     )
+    met = (F.col("job_id") == F.col("later_id")) & within & (newer | settled)
+    alone = started.join(after, met, "left_outer").filter(F.col("later_id").isNull())
+    action = F.when(F.col("attempts") >= max_attempts, "failed").otherwise("requeue")
+    return alone.select("job_id", action.alias("action"), "attempts")
 
 
 def split_failures(results: DataFrame, max_attempts: int = 2) -> DataFrame:
@@ -171,8 +137,14 @@ def write_failures(batch: DataFrame, batch_id: int, root: str, max_attempts: int
     rows.write.mode("overwrite").partitionBy("target").parquet(f"{root}/batch={batch_id}")
 
 
-def job_dedup(jobs: DataFrame, keys: list[str], within: str = "1 hour") -> DataFrame:
-    """One job per key: by watermark in a stream, by aggregation in a table."""
-    if jobs.isStreaming:
-        return jobs.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
-    return jobs.dropDuplicates(keys)
+def job_dedup(jobs: DataFrame, keys: list[str], within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The first job of each key in each window of ``within``; the same rows from a stream and from a table.
+
+    In a stream (update mode; the last row per key and window counts) a window is kept until it is ``late``
+    past its end. Later rows are left out and counted by Spark as ``numRowsDroppedByWatermark``.
+    """
+    marked = jobs.withWatermark("ts", late) if jobs.isStreaming else jobs
+    rest = [c for c in jobs.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct("ts", *[c for c in rest if c != "ts"])).alias("job")
+    found = marked.groupBy(F.window("ts", within).alias("slot"), *keys).agg(first)
+    return found.select(F.col("slot.start").alias("slot"), *keys, *[F.col(f"job.{c}").alias(c) for c in rest])

@@ -83,14 +83,35 @@ def test_timeouts_fire_once_and_can_be_cancelled(spark, tmp_path):
         [(9, 1, "queued", minute(91), 0)],
     ]
     log = stream_of(spark, tmp_path / "log", batches).select("job_id", "status", "ts", "attempts")
-    got = sorted((r.job_id, r.action, r.attempts) for r in drain(live.stuck_job_timeout(log, buckets=2)).collect())
+    got = sorted((r.job_id, r.action, r.attempts) for r in drain(live.stuck_job_timeout(log)).collect())
     assert got == [(1, "requeue", 1), (2, "failed", 3), (4, "requeue", 0)]
 
 
+def test_an_older_row_in_a_later_batch_starts_no_timer(spark, tmp_path):
+    batches = [
+        [(1, 1, "done", minute(3), 0), (2, 1, "processing", minute(0), 0)],
+        [(1, 1, "processing", minute(1), 0), (2, 1, "processing", minute(5), 1)],
+        [(3, 1, "processing", minute(6), 0), (3, 1, "processing", minute(6), 0), (4, 1, "done", minute(6), 0)],
+        [(4, 1, "processing", minute(6), 0), (9, 1, "queued", minute(100), 0)],
+        [(9, 1, "queued", minute(101), 0)],
+    ]
+    log = stream_of(spark, tmp_path / "log", batches).select("job_id", "status", "ts", "attempts")
+    got = sorted((r.job_id, r.action, r.attempts) for r in drain(live.stuck_job_timeout(log)).collect())
+    assert got == [(2, "requeue", 1), (3, "requeue", 0)]
+
+
 def test_dedup_across_batches(spark, tmp_path):
-    batches = [[(1, 1, "queued", T0, 0), (1, 1, "queued", T0, 0)], [(1, 1, "queued", minute(1), 0), (2, 1, "queued", minute(1), 0)]]
-    out = drain(live.job_dedup(stream_of(spark, tmp_path / "log", batches), ["run_id", "job_id"]))
-    assert sorted(r.job_id for r in out.collect()) == [1, 2]
+    batches = [
+        [(1, 1, "queued", minute(2), 0), (1, 1, "queued", minute(2), 0)],
+        [(1, 1, "queued", minute(1), 5), (2, 1, "queued", minute(1), 0)],
+        [(1, 1, "queued", minute(61), 0)],
+    ]
+    keys = ["run_id", "job_id"]
+    out = latest_state(drain(live.job_dedup(stream_of(spark, tmp_path / "log", batches), keys), "update"), ["slot", *keys])
+    table = live.job_dedup(spark.createDataFrame([r for b in batches for r in b], LOG), keys)
+    first = [(r.job_id, r.ts, r.attempts) for r in table.orderBy("job_id", "ts").collect()]
+    assert first == [(1, minute(1), 5), (1, minute(61), 0), (2, minute(1), 0)]
+    assert sorted((r.job_id, r.ts, r.attempts) for r in out.collect()) == first
 
 
 @pytest.mark.parametrize(("attempts", "target"), [(0, "retry"), (1, "dead"), (5, "dead")])
@@ -124,7 +145,7 @@ def reference_health(samples, stale, interval):
 
 
 def test_stall_detection_matches_the_loop(spark):
-    samples = [(t, 0 if t < 3 else 5 if t < 40 else t, 1, 1 if t % 11 == 0 else 0, t % 13 == 0, 99 if t % 26 == 0 else None) for t in range(60)]
+    samples = [(t * 3 if t > 20 else t, 0 if t < 3 else 5 if t < 40 else t, 1, 1 if t % 11 == 0 else 0, t % 13 == 0, 99 if t % 26 == 0 else None) for t in range(60)]
     df = spark.createDataFrame(
         [(7, *s) for s in samples], "run_id int, tick bigint, done bigint, cursor bigint, processing int, scanning boolean, heartbeat_age bigint"
     )
