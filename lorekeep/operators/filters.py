@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,8 @@ def hash_sample(df: DataFrame, key: str, percent: int | None) -> DataFrame:
 
 
 def unix_second(moment: datetime) -> int:
-    return int(moment.timestamp())
+    """Seconds since 1970; a moment without a zone is in UTC, like all times here."""
+    return int((moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).timestamp())
 
 
 def facet_condition(

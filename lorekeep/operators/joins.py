@@ -47,19 +47,21 @@ def attach_children(
     children: Mapping[str, tuple[DataFrame, str, Sequence]],
     dims: Sequence[tuple[DataFrame, str]] = (),
 ) -> DataFrame:
-    """Parents with one array of structs per child table, in the order of the kinds.
+    """Parents with one array of structs per child table: all children, whatever their kind and number.
 
-    Each entry is ``name: (frame, kind column, kinds)``. A parent has at most one child per kind and the
-    kinds are a closed set, so the arrays are bounded and built by one map-side combining aggregate; should
-    a pair repeat, the greatest row is kept.
+    Each entry is ``name: (frame, kind column, kinds)``. Listed kinds come first, in their order, then the
+    others by kind; children of one kind are ordered by their other columns.
     """
     result = parents
     for frame, dim_key in dims:
         result = result.join(frame, dim_key, "left")
     for name, (frame, kind, kinds) in children.items():
-        row = F.struct(F.col(kind), *[c for c in frame.columns if c not in (key, kind)])
-        slots = [F.max(F.when(F.col(kind) == k, row)) for k in kinds]
-        packed = frame.groupBy(key).agg(F.array_compact(F.array(*slots)).alias(name))
+        place = F.lit(len(kinds))
+        for number, value in enumerate(kinds):
+            place = F.when(F.col(kind) == value, number).otherwise(place)
+        row = F.struct(F.col(kind), *[c for c in frame.columns if c not in (key, kind)]).alias("row")
+        ordered = F.array_sort(F.collect_list(F.struct(place.alias("place"), row)))
+        packed = frame.groupBy(key).agg(F.transform(ordered, lambda x: x["row"]).alias(name))
         result = result.join(packed, key, "left").withColumn(name, F.coalesce(F.col(name), F.array()))
     return result
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.constants import MAX_ATTEMPTS, STALE_MINUTES
 from lorekeep.operators.filters import older_than
+from lorekeep.session import cut_lineage
 
 ITEM_KEY = ["source_id", "external_key"]
 ITEM_FIELDS = [
@@ -77,8 +78,13 @@ def classify_changes(incoming: DataFrame, stored: DataFrame, projections: DataFr
     )
 
 
-def apply_sync(classified: DataFrame, stored: DataFrame, run_id: Column, as_of: Column) -> DataFrame:
-    """Items after a sync: new rows are added, seen rows are stamped, updated rows take the new fields."""
+def apply_sync(
+    classified: DataFrame, stored: DataFrame, run_id: Column, as_of: Column, absent_sources: Sequence = ()
+) -> DataFrame:
+    """Items after a sync: new rows are added, seen rows are stamped, updated rows take the new fields.
+
+    Stored items of ``absent_sources`` (those of a full snapshot) that were not seen are no longer present.
+    """
     fields = [c for c in stored.columns if c in ITEM_FIELDS and c in classified.columns]
     seen = classified.select(
         *ITEM_KEY, F.col("result_kind").alias("kind"), *[F.col(c).alias(f"in_{c}") for c in fields]
@@ -88,7 +94,9 @@ def apply_sync(classified: DataFrame, stored: DataFrame, run_id: Column, as_of:
     fresh = F.col("kind") == "new"
     take = F.col("kind").isin("new", "updated")
     out = {c: F.when(take, F.col(f"in_{c}")).otherwise(F.col(c)) for c in fields}
-    out["present_in_latest_sync"] = F.when(hit, F.lit(True)).otherwise(F.col("present_in_latest_sync"))
+    gone = F.col("source_id").isin(*absent_sources) if absent_sources else F.lit(False)
+    present = F.when(hit, F.lit(True)).when(gone, F.lit(False))
+    out["present_in_latest_sync"] = present.otherwise(F.col("present_in_latest_sync"))
     out["first_seen_at"] = F.when(fresh, as_of).otherwise(F.col("first_seen_at"))
     out["last_seen_at"] = F.when(hit, as_of).otherwise(F.col("last_seen_at"))
     out["last_seen_run_id"] = F.when(hit, run_id).otherwise(F.col("last_seen_run_id"))
@@ -131,36 +139,44 @@ ASSET_META = [
 def sync_assets(incoming: DataFrame, stored: DataFrame, meta: Sequence[str] = ASSET_META) -> DataFrame:
     """Primary assets after a sync with the action taken: added, kept, metadata, replaced or deleted.
 
-    ``incoming`` covers the items of this sync: a row without ``sha256`` and metadata means no asset.
-    Stored assets of other items are left as they are (``untouched``).
+    ``incoming`` covers the items of this sync; ``asset_present`` says whether the item has a file, and without
+    that column a row with a hash or metadata has one. A file that was not hashed keeps the stored hash while
+    its metadata agree and is replaced otherwise. Stored assets of other items are left as they are
+    (``untouched``), and so are all other columns of the stored rows.
     """
     meta = [c for c in meta if c in incoming.columns]
-    new = incoming.select("item_id", F.col("sha256").alias("new_sha"), *[F.col(c).alias(f"new_{c}") for c in meta])
+    there = F.col("sha256").isNotNull()
+    for c in meta:
+        there = there | F.col(c).isNotNull()
+    new = incoming.select(
+        "item_id",
+        F.col("sha256").alias("new_sha"),
+        (F.col("asset_present") if "asset_present" in incoming.columns else there).alias("new_there"),
+        *[F.col(c).alias(f"new_{c}") for c in meta],
+    )
     joined = stored.withColumn("held", F.lit(True)).join(
         new.withColumn("synced", F.lit(True)), "item_id", "full_outer"
     )
     same_meta = F.lit(True)
     for c in meta:
         same_meta = same_meta & F.col(c).eqNullSafe(F.col(f"new_{c}"))
-    has_new = F.col("new_sha").isNotNull()
+    has_new = F.coalesce(F.col("new_there"), F.lit(False))
+    same_content = F.coalesce(F.col("sha256") == F.col("new_sha"), F.lit(False))
     action = (
         F.when(F.col("synced").isNull(), "untouched")
         .when(~has_new & F.col("held").isNotNull(), "deleted")
         .when(~has_new, "none")
         .when(F.col("held").isNull(), "added")
         .when(same_meta, "kept")
-        .when(F.col("sha256") == F.col("new_sha"), "metadata")
+        .when(same_content, "metadata")
         .otherwise("replaced")
     )
     acted = joined.withColumn("action", action).filter(F.col("action") != "none")
     take = F.col("action").isin("added", "metadata", "replaced")
     content = F.col("action").isin("added", "replaced")
-    return acted.select(
-        "item_id",
-        F.when(content, F.col("new_sha")).otherwise(F.col("sha256")).alias("sha256"),
-        *[F.when(take, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in meta],
-        "action",
-    )
+    after = {c: F.when(take, F.col(f"new_{c}")).otherwise(F.col(c)) for c in meta}
+    after["sha256"] = F.when(content, F.col("new_sha")).otherwise(F.coalesce(F.col("sha256"), F.col("new_sha")))
+    return acted.select(*[after[c].alias(c) if c in after else F.col(c) for c in stored.columns], "action")
 
 
 def requeue_stale(
@@ -182,6 +198,21 @@ def requeue_stale(
     )
 
 
+def recover_processing(jobs: DataFrame, as_of: Column, minutes: int = 0) -> DataFrame:
+    """Changed job rows after a restart: whatever was in processing for ``minutes`` is queued again.
+
+    The attempts are kept and set no limit here, as the workers are gone and not the jobs at fault.
+    """
+    lost = jobs.filter((F.col("status") == "processing") & older_than(F.col("started_at"), minutes, as_of))
+    return (
+        lost.withColumn("status", F.lit("queued"))
+        .withColumn("last_error", F.lit("recovered_after_restart"))
+        .withColumn("started_at", F.lit(None).cast("timestamp"))
+        .withColumn("index_status", F.lit("queued"))
+        .withColumn("index_error", F.lit(None).cast("string"))
+    )
+
+
 def requeue_detached(jobs: DataFrame, active_ids: DataFrame, as_of: Column, seconds: int = 45) -> DataFrame:
     """Processing jobs that no live worker holds and that are old enough, put back in the queue."""
     idle = jobs.filter(
@@ -325,24 +356,18 @@ def upsert_users(
     return profile.drop("roles"), profile.select("user_id", F.explode("roles").alias("slug"))
 
 
-def role_closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
+def role_closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, reached): every start role with all roles it implies, cycles included.
 
-    Works on the distinct roles only and doubles the path length per round, so it ends after log2(depth)
-    rounds; each round is written to the shared folder to keep the plan short.
+    Goes out from the distinct start roles and takes one step per round from the pairs that are new, until
+    there are none; each round is written to the shared folder to keep the plan short.
     """
-    from lorekeep.session import cut_lineage
-
-    links = edges.select(F.col("role").alias("start"), F.col("implied").alias("reached")).distinct()
-    paths = cut_lineage(links)
-    size = paths.count()
-    for _ in range(max_rounds):
-        step = paths.select(F.col("start").alias("reached"), F.col("reached").alias("next"))
-        longer = paths.join(step, "reached").select("start", F.col("next").alias("reached"))
-        paths = cut_lineage(paths.unionByName(longer).distinct())
-        grown = paths.count()
-        if grown == size:
-            break
-        size = grown
+    links = edges.select(F.col("role").alias("reached"), F.col("implied").alias("next")).distinct()
     own = starts.select(F.col("role").alias("start")).distinct()
-    return own.join(paths, "start").unionByName(own.select("start", F.col("start").alias("reached"))).distinct()
+    new = cut_lineage(own.select("start", F.col("start").alias("reached")))
+    known = new
+    while not new.isEmpty():
+        step = new.join(links, "reached").select("start", F.col("next").alias("reached")).distinct()
+        new = cut_lineage(step.join(known, ["start", "reached"], "left_anti"))
+        known = known.unionByName(new)
+    return known

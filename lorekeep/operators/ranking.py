@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from lorekeep.constants import TYPE_PRIORITY
 from lorekeep.functions.text import duration_text
@@ -18,13 +19,15 @@ from lorekeep.operators.aggregates import type_order
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
-    """Newest row per key; of equal times the smallest ``tie`` wins.
+    """Newest row per key; of equal times the smallest ``tie`` wins, which may be of any type.
 
-    Two aggregates that combine map-side, instead of a sort of each group.
+    One aggregate that combines map-side, so a key with very many rows sends one row per task. Rows without a
+    time are the oldest.
     """
     rest = [c for c in df.columns if c not in keys]
+    time = F.unix_micros(ts) if isinstance(df.schema[ts].dataType, TimestampType) else F.col(ts)
     newest = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(F.col(ts), -F.col(tie))).alias("row")
+        F.min_by(F.struct(*rest), F.struct(F.col(ts).isNull(), -time, F.col(tie))).alias("row")
     )
     return newest.select(*keys, "row.*").select(*df.columns)
 
@@ -66,9 +69,19 @@ def number_head(df: DataFrame, order: Sequence[Column], n: int, column: str = "r
     return head.withColumn(column, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def offset_page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset+1 .. offset+limit`` and whether another row follows."""
-    head = number_head(df, order, offset + limit + 1)
+def offset_page(
+    df: DataFrame, order: Sequence[Column], offset: int, limit: int, bucket: Column | None = None
+) -> DataFrame:
+    """Rows ``offset+1 .. offset+limit`` and whether another row follows.
+
+    With ``bucket`` (which must grow with ``order``) the ranks come from :func:`bucketed_rank` and only the page
+    itself reaches one task, so the offset may be anything. Without it the rows before the page come along.
+    """
+    if bucket is None:
+        head = number_head(df, order, offset + limit + 1)
+    else:
+        ranked = bucketed_rank(df, [], bucket, order)
+        head = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit + 1))
     last = F.max("rank").over(Window.partitionBy())
     page = head.withColumn("has_more", last > offset + limit)
     return page.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
@@ -77,14 +90,17 @@ def offset_page(df: DataFrame, order: Sequence[Column], offset: int, limit: int)
 def keyset_page(
     df: DataFrame, ts: str, key: str, limit: int, cursor: tuple[datetime, int] | None = None
 ) -> DataFrame:
-    """Page in (ts, key) descending order after ``cursor``; ``next_cursor`` is set when the page is full."""
+    """Page in (ts, key) descending order after ``cursor``; ``next_cursor`` is set when the page is full.
+
+    The cursor keeps microseconds, so rows of one second are not skipped.
+    """
     if cursor is not None:
         at, last_key = F.lit(cursor[0]), F.lit(cursor[1])
         df = df.filter((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < last_key)))
     page = df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(limit)
     whole = Window.partitionBy()
     last = F.min(F.struct(F.col(ts), F.col(key))).over(whole)
-    text = F.concat(F.date_format(last[ts], "yyyy-MM-dd'T'HH:mm:ss"), F.lit("_"), last[key].cast("string"))
+    text = F.concat(F.date_format(last[ts], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("_"), last[key].cast("string"))
     return page.withColumn("next_cursor", F.when(F.count("*").over(whole) == limit, text))
 
 

@@ -43,7 +43,8 @@ def media_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = scratch_dir(spark, "export"), scratch_dir(spark, "snapshots")
     fx.write_manifests(spark, sf_dir, path)
-    exports.manifest_snapshot(spark.read.text(path), root, "a/my chats", "run-1")
+    for _ in range(2):
+        exports.manifest_snapshot(spark.read.text(path), root, "a/my chats", "run-1")
     kept = spark.read.text(root).withColumn("m", F.from_json("value", "id bigint, messages array<variant>"))
     return kept.select(
         "source_slug",

@@ -142,6 +142,17 @@ def sync_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.sync_assets(fresh, stored)
 
 
+@query(
+    "recover_processing",
+    fx.cte(fx.JOBS)
+    + f"""SELECT job_id, attempts, 'queued' AS status, 'recovered_after_restart' AS last_error, true AS cleared
+ FROM fx_jobs WHERE status = 'processing' AND started_at < TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTE""",
+)
+def recover_processing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = lifecycle.recover_processing(fx.jobs(spark, sf_dir), at(AS_OF), 5)
+    return changed.select("job_id", "attempts", "status", "last_error", F.col("started_at").isNull().alias("cleared"))
+
+
 @query(
     "requeue_stale",
     fx.cte(fx.JOBS)

@@ -188,17 +188,16 @@ def projection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "attach_children",
     """SELECT o.o_orderkey, c_name, coalesce(n, 0) AS n, coalesce(lines, '') AS lines FROM orders o
  LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n,
- string_agg(l_linenumber||':'||part, ';' ORDER BY l_linenumber) AS lines FROM
- (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2) GROUP BY 1) l
- ON l.l_orderkey = o.o_orderkey""",
+ string_agg(l_linenumber||':'||l_partkey, ';' ORDER BY CASE WHEN l_linenumber <= 3 THEN l_linenumber ELSE 4 END,
+ l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""",
 )
 def attach_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer and one line per line number."""
+    """Orders with their customer and all their lines; line numbers repeat, and those from 4 on are not listed."""
     orders = fx.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = fx.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     customer = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     full = joins.attach_children(
-        orders, "o_orderkey", {"lines": (lines, "l_linenumber", range(1, 8))}, [(customer, "o_custkey")]
+        orders, "o_orderkey", {"lines": (lines, "l_linenumber", range(1, 4))}, [(customer, "o_custkey")]
     )
     shown = F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"]))
     return full.select(
@@ -404,17 +403,12 @@ def registrations_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     "user_summary",
     """SELECT count(*) AS total_users, count(*) FILTER (c_acctbal < 0) AS banned_users,
  count(*) FILTER (seen >= TIMESTAMP '2024-01-30 00:00:00') AS registered_last_24h
- FROM customer LEFT JOIN (SELECT user_id, min(ts) AS seen FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'
- GROUP BY 1) ON user_id = c_custkey""",
+ FROM customer LEFT JOIN (SELECT user_id, min(ts) AS seen FROM events GROUP BY 1) ON user_id = c_custkey""",
 )
 def user_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as users; the first event since the 29th stands for the registration."""
-    seen = (
-        fx.jobs(spark, sf_dir)
-        .filter(F.col("ts") >= at("2024-01-29 00:00:00"))
-        .groupBy(F.col("run_id").alias("c_custkey"))
-        .agg(F.min("ts").alias("created_at"))
-    )
+    """Customers as users; the first of all their events stands for the registration."""
+    events = fx.load(spark, sf_dir, "events")
+    seen = events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.min(F.col("ts").cast("timestamp")).alias("created_at"))
     users = fx.load(spark, sf_dir, "customer").join(seen, "c_custkey", "left").withColumn("banned", F.col("c_acctbal") < 0)
     return aggregates.user_summary(users, at("2024-01-31 00:00:00"))
 
@@ -496,27 +490,39 @@ def pinned_first_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "offset_page",
-    """SELECT o_orderkey, rank, n > 130 AS has_more FROM (SELECT o_orderkey, row_number() OVER
- (ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER () AS n FROM orders) WHERE rank > 100 AND rank <= 130""",
+    """SELECT o_orderkey, rank, n > 1030 AS has_more FROM (SELECT o_orderkey, row_number() OVER
+ (ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER () AS n FROM orders) WHERE rank > 1000 AND rank <= 1030""",
 )
 def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]
     orders = fx.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return ranking.offset_page(orders, order, 100, 30).select("o_orderkey", "rank", "has_more")
+    # prices fall along the pages
+    bucket = F.floor(-F.col("o_totalprice") / 1000)
+    return ranking.offset_page(orders, order, 1000, 30, bucket).select("o_orderkey", "rank", "has_more")
 
 
 @query(
     "keyset_page",
-    """WITH p AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1999-06-01' OR (o_orderdate = TIMESTAMP '1999-06-01'
- AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50),
- l AS (SELECT * FROM p ORDER BY o_orderdate, o_orderkey LIMIT 1)
- SELECT p.o_orderkey, CASE WHEN (SELECT count(*) FROM p) = 50 THEN
- strftime(l.o_orderdate, '%Y-%m-%dT%H:%M:%S')||'_'||l.o_orderkey END AS next_cursor FROM p, l""",
+    """WITH p AS (SELECT *, (row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1) // 50 AS page FROM events),
+ l AS (SELECT page, arg_max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')||'_'||event_id, n) AS last, count(*) AS size FROM (
+ SELECT *, row_number() OVER (PARTITION BY page ORDER BY ts DESC, event_id DESC) AS n FROM p) GROUP BY page)
+ SELECT page AS page_number, event_id, CASE WHEN size = 50 THEN last END AS next_cursor FROM p JOIN l USING (page)
+ WHERE page < 4""",
 )
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = fx.load(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey")
-    page = ranking.keyset_page(orders, "o_orderdate", "o_orderkey", 50, (datetime(1999, 6, 1), 5000))
-    return page.select("o_orderkey", "next_cursor")
+    """The first four pages of the events, each from the cursor of the one before."""
+    events = fx.load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    walked, cursor = None, None
+    for number in range(4):
+        page = ranking.keyset_page(events, "ts", "event_id", 50, cursor)
+        one = page.select(F.lit(number).cast("bigint").alias("page_number"), "event_id", "next_cursor")
+        walked = one if walked is None else walked.unionByName(one)
+        last = page.select("next_cursor").first()
+        if last is None or last.next_cursor is None:
+            break
+        moment, key = last.next_cursor.rsplit("_", 1)
+        cursor = (datetime.fromisoformat(moment), int(key))
+    return walked
 
 
 @query(

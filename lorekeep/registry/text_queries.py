@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.constants import DERIVED, RAW
@@ -528,11 +528,16 @@ def missing_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("item_id", "index_status", "index_error")
 
 
+def whole_vector(column: str) -> Column:
+    """All elements in millionths, as text."""
+    return F.array_join(F.transform(column, lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ",")
+
+
 @query(
     "point_upsert",
     """SELECT vec_id AS point_id, CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN 2 ELSE 1 END AS version,
- round(CAST(CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN embedding[64] ELSE embedding[1] END AS DOUBLE), 6) AS first
- FROM embeddings""",
+ list_aggregate(list_transform(CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN list_reverse(embedding) ELSE embedding
+ END, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), 'string_agg', ',') AS vector FROM embeddings""",
 )
 def point_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled points are written again with the reversed vector."""
@@ -543,15 +548,13 @@ def point_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = stored.join(labelled, "point_id", "left_semi").select(
         "point_id", F.reverse("vector").alias("vector"), F.lit(2).alias("version")
     )
-    merged = points.point_upsert(stored, again)
-    first = F.round(F.element_at("vector", 1).cast("double"), 6)
-    return merged.select("point_id", "version", first.alias("first"))
+    return points.point_upsert(stored, again).select("point_id", "version", whole_vector("vector").alias("vector"))
 
 
 @query(
     "point_lookup",
     """SELECT l.doc_id AS point_id, CASE WHEN e.vec_id IS NULL THEN 'not_found' END AS error,
- round(CAST(e.embedding[1] AS DOUBLE), 6) AS first
+ list_aggregate(list_transform(e.embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), 'string_agg', ',') AS vector
  FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN embeddings e ON e.vec_id = l.doc_id""",
 )
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,6 +562,4 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector")
     )
     ids = fx.load(spark, sf_dir, "labels").select(F.col("doc_id").alias("point_id"))
-    report = points.point_lookup_report(stored, ids)
-    first = F.round(F.element_at("vector", 1).cast("double"), 6)
-    return report.select("point_id", "error", first.alias("first"))
+    return points.point_lookup_report(stored, ids).select("point_id", "error", whole_vector("vector").alias("vector"))

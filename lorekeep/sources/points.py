@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 
 def point_upsert(points: DataFrame, incoming: DataFrame, version: str = "version") -> DataFrame:
-    """Last write per ``point_id`` wins and replaces the whole row.
+    """Last write per ``point_id`` wins and replaces the whole row; of equal versions the incoming one.
 
-    ``max_by`` pre-aggregates before the shuffle, so many writes of one id never meet in one place.
+    Incoming rows are reduced to one per id, map-side first. Stored rows are only held against the incoming ids
+    and versions, and never sorted or aggregated; with a batch that the planner can send to all tasks they
+    stay where they are read.
     """
-    merged = points.unionByName(incoming)
-    rest = [c for c in merged.columns if c != "point_id"]
-    newest = F.max_by(F.struct(*rest), F.struct(version, F.xxhash64(*[c for c in rest if c != "vector"])))
-    return merged.groupBy("point_id").agg(newest.alias("row")).select("point_id", "row.*")
+    rest = [c for c in points.columns if c != "point_id"]
+    order = F.struct(version, F.xxhash64(*[c for c in rest if c != "vector"]))
+    newest = incoming.groupBy("point_id").agg(F.max_by(F.struct(*rest), order).alias("row")).select("point_id", "row.*")
+    held = points.select("point_id", F.col(version).alias("held_version"))
+    taken = newest.join(held, "point_id", "left").filter(F.coalesce(F.col("held_version") <= F.col(version), F.lit(True)))
+    taken = taken.drop("held_version")
+    kept = points.join(taken.select("point_id"), "point_id", "left_anti")
+    return kept.unionByName(taken.select(*points.columns))
 
 
 def point_lookup(points: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import aggregates, enrichment, joins, lifecycle, ranking
+from lorekeep.operators import aggregates, enrichment, filters, joins, lifecycle, ranking
+from lorekeep.sources import points
 
 NOW = datetime(2024, 1, 1, 12)
 
@@ -212,3 +213,102 @@ def test_upsert_users_roles_and_names(spark):
     }
     roles = {(1, "admin"), (1, "member"), (2, "member"), (2, "uploader"), (9, "admin"), (9, "member")}
     assert {(r.user_id, r.slug) for r in links.collect()} == roles
+
+
+def test_unhashed_assets_are_not_deleted(spark):
+    stored = spark.createDataFrame(
+        [(1, "primary", "asset-1", "aa", "f", 1), (2, "primary", "asset-2", "bb", "f", 1), (3, "primary", "asset-3", "cc", "f", 1)],
+        "item_id int, role string, asset_id string, sha256 string, original_filename string, file_size_bytes int",
+    )
+    incoming = spark.createDataFrame(
+        [(1, None, "f", 1, True), (2, None, "f", 9, True), (3, None, "f", 1, False)],
+        "item_id int, sha256 string, original_filename string, file_size_bytes int, asset_present boolean",
+    )
+    got = {r.item_id: (r.action, r.asset_id, r.role, r.sha256) for r in lifecycle.sync_assets(incoming, stored).collect()}
+    assert got == {
+        1: ("kept", "asset-1", "primary", "aa"),
+        2: ("replaced", "asset-2", "primary", None),
+        3: ("deleted", "asset-3", "primary", "cc"),
+    }
+
+
+def test_apply_sync_marks_absent_sources_without_rows(spark):
+    stored = spark.createDataFrame(
+        [("a", "1", True), ("b", "1", True)], "source_id string, external_key string, present_in_latest_sync boolean"
+    ).selectExpr("*", "cast(null as timestamp) as first_seen_at", "cast(null as timestamp) as last_seen_at", "'r0' as last_seen_run_id")
+    nothing = spark.createDataFrame([], "source_id string, external_key string, result_kind string")
+    after = lifecycle.apply_sync(nothing, stored, F.lit("r1"), F.lit(NOW), ["a"])
+    assert {r.source_id: r.present_in_latest_sync for r in after.collect()} == {"a": False, "b": True}
+
+
+def test_children_of_any_kind_and_number(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "id int")
+    children = spark.createDataFrame(
+        [(1, "ocr", "x"), (1, "new kind", "y"), (1, "text", "z"), (1, "ocr", "a")], "id int, kind string, body string"
+    )
+    full = joins.attach_children(parents, "id", {"notes": (children, "kind", ["text", "ocr"])})
+    got = {r.id: [(n.kind, n.body) for n in r.notes] for r in full.collect()}
+    assert got == {1: [("text", "z"), ("ocr", "a"), ("ocr", "x"), ("new kind", "y")], 2: []}
+
+
+def test_latest_per_key_with_text_ids(spark):
+    rows = [("k", at(1), "b"), ("k", at(2), "7f-b"), ("k", at(2), "7f-a"), ("l", None, "x"), ("l", at(0), "y")]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id string")
+    assert {r.key: r.id for r in ranking.latest_per_key(df, ["key"], "ts", "id").collect()} == {"k": "7f-a", "l": "y"}
+
+
+def test_deep_pages_equal_shallow_ones(spark):
+    df = spark.range(500).selectExpr("id", "cast(id * 37 % 101 as int) as v")
+    order = [F.col("v").asc(), F.col("id").asc()]
+    for offset in (0, 77, 490, 600):
+        pages = [ranking.offset_page(df, order, offset, 20, bucket).collect() for bucket in (None, F.floor(F.col("v") / 10))]
+        shown = [sorted((r["rank"], r.id, r.has_more) for r in page) for page in pages]
+        assert shown[0] == shown[1]
+
+
+def test_keyset_walk_within_a_second(spark):
+    df = spark.createDataFrame([(i, datetime(2024, 1, 1, 0, 0, 0, i * 100_000)) for i in range(9)], "id bigint, at timestamp")
+    seen, cursor = [], None
+    for _ in range(3):
+        page = ranking.keyset_page(df, "at", "id", 3, cursor).orderBy(F.desc("at")).collect()
+        seen += [r.id for r in page]
+        when, last = page[0].next_cursor.split("_")
+        cursor = (datetime.fromisoformat(when), int(last))
+    assert seen == list(range(8, -1, -1))
+
+
+def test_deep_role_closure(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3), (50, 51)], "role int, implied int")
+    starts = spark.createDataFrame([(10,), (99,)], "role int")
+    got = {(r.start, r.reached) for r in lifecycle.role_closure(edges, starts).collect()}
+    assert got == {(10, i) for i in range(3, 13)} | {(99, 99)}
+
+
+def test_recovery_after_a_restart(spark):
+    jobs = spark.createDataFrame(
+        [(1, "processing", at(11), 9), (2, "processing", at(11, 58), 0), (3, "queued", at(1), 0)],
+        "job_id int, status string, started_at timestamp, attempts int",
+    )
+    (row,) = lifecycle.recover_processing(jobs, F.lit(NOW), 5).collect()
+    assert (row.job_id, row.status, row.last_error, row.attempts) == (1, "queued", "recovered_after_restart", 9)
+    assert row.started_at is None and row.index_status == "queued"
+
+
+def test_moments_without_a_zone_are_in_utc(monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        assert filters.unix_second(datetime(1970, 1, 2)) == 86400
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_point_upsert_leaves_stored_vectors_in_place(spark):
+    ddl = "point_id string, vector array<float>, version int"
+    stored = spark.createDataFrame([("a", [1.0], 5), ("b", [2.0], 1), ("c", [3.0], 1)], ddl)
+    incoming = spark.createDataFrame([("a", [9.0], 4), ("b", [8.0], 2), ("b", [7.0], 3), ("d", [6.0], 1)], ddl)
+    merged = points.point_upsert(stored, incoming)
+    assert {r.point_id: r.vector[0] for r in merged.collect()} == {"a": 1.0, "b": 7.0, "c": 3.0, "d": 6.0}
