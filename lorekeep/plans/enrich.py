@@ -23,13 +23,16 @@ def empty_enrichments(spark: SparkSession) -> DataFrame:
 def run_jobs(
     jobs: DataFrame, items: DataFrame, enrichments: DataFrame, run: Callable[[DataFrame], DataFrame] = run_builtin
 ) -> DataFrame:
-    """Enrichment rows for jobs (item_id, kind, source_hash); a row with an error is failed."""
-    rows = (
+    """Enrichment rows for jobs (item_id, kind, source_hash); a row with an error is failed.
+
+    The results are written once: every job goes through the model one time, however often they are used.
+    """
+    rows = cut_lineage(
         jobs.select("item_id", "kind", "source_hash")
         .join(items.select("item_id", "text_content", "caption"), "item_id")
         .join(enrichment.completed_texts(enrichments), "item_id", "left")
     )
-    done = run(rows).join(jobs.select("item_id", "kind", "source_hash"), ["item_id", "kind"])
+    done = cut_lineage(run(rows)).join(rows.select("item_id", "kind", "source_hash"), ["item_id", "kind"])
     return done.withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed")).withColumnRenamed(
         "source_hash", "source_content_hash"
     )
@@ -53,16 +56,26 @@ def enrich(
     """(enrichments, projections) after a run.
 
     OCR and transcripts come first. Summaries are planned on their result, which covers both the summaries
-    of the plan and those that follow from a new text.
+    of the plan and those that follow from a new text. Only items with a result of this run get a new derived
+    projection; of a projection that is queued again, all but hash, status and error stays as it is. To enrich
+    what a sync has written, give its items.
     """
     first = enrichment.plan_enrichment(items, assets, enrichments, **scope).filter(F.col("kind") != SUMMARY)
-    evidence = cut_lineage(upsert_enrichments(enrichments, run_jobs(first, items, enrichments, run)))
+    found = run_jobs(first, items, enrichments, run)
+    evidence = cut_lineage(upsert_enrichments(enrichments, found))
     second = enrichment.plan_enrichment(items, assets, evidence, **scope).filter(F.col("kind") == SUMMARY)
-    notes = cut_lineage(upsert_enrichments(evidence, run_jobs(second, items, evidence, run)))
-    touched = items.join(notes.select("item_id").distinct(), "item_id", "left_semi")
+    summaries = run_jobs(second, items, evidence, run)
+    notes = cut_lineage(upsert_enrichments(evidence, summaries))
+    ids = found.select("item_id").unionByName(summaries.select("item_id")).distinct()
+    touched = items.join(ids, "item_id", "left_semi")
     derived = enrichment.upsert_derived_projection(touched, notes, sources, projections)
-    changed = derived.filter(F.col("action") != "keep").select("item_id", "projection_kind", "content_hash", "index_status")
     keys = ["item_id", "projection_kind"]
-    kept = projections.join(changed.select(*keys), keys, "left_anti")
-    return notes, kept.unionByName(changed, allowMissingColumns=True)
+    new = {"content_hash": "new_hash", "index_status": "new_status"}
+    changed = derived.filter(F.col("action") != "keep").select(
+        *keys, *[F.col(c).alias(name) for c, name in new.items()], F.lit(True).alias("hit")
+    )
+    joined = projections.join(changed, keys, "full_outer")
+    after = {c: F.when(F.col("hit"), F.col(name)).otherwise(F.col(c)) for c, name in new.items()}
+    after["index_error"] = F.when(F.col("hit").isNull(), F.col("index_error"))
+    return notes, joined.select(*[after[c].alias(c) if c in after else F.col(c) for c in projections.columns])
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.constants import RAW
-from lorekeep.functions import hashing
+from lorekeep.functions import hashing, text
 from lorekeep.operators import aggregates, filters, lifecycle
-from lorekeep.operators.ranking import latest_per_key
+from lorekeep.operators.ranking import latest_per_key, priority_topk
 from lorekeep.session import cut_lineage
-from lorekeep.sources import exports, tables
+from lorekeep.sources import exports, media, tables
 from lorekeep.streaming.runner import run_batches
 
 
@@ -25,9 +25,19 @@ def scan_items(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     sample_percent: int | None = None,
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """Normalised, filtered and hashed items of one source; a repeated key keeps its last message."""
-    items = exports.with_content_hash(exports.normalize_messages(scanned))
+    """Normalised, filtered and hashed items of one source; a repeated key keeps its last message.
+
+    With an ``inventory`` of the media files the fingerprint of an item's file is part of its hash, and items
+    whose file is missing are skipped with a reason. A message without a numeric id has no key and stops the job.
+    """
+    items = exports.normalize_messages(scanned)
+    where = F.concat_ws(" ", F.lit("message without an id in chat"), "container_external_id", F.lit("at"), "pos")
+    items = items.withColumn("external_key", F.coalesce("external_key", F.raise_error(where).cast("string")))
+    if inventory is not None:
+        items = media.attach_media(items, inventory)
+    items = exports.with_content_hash(items)
     items = filters.type_include_exclude(items, include, exclude)
     items = filters.hash_sample(items, "external_key", sample_percent)
     items = items.withColumn("source_id", F.lit(source_id)).withColumnRenamed("index_status", "projection_status")
@@ -59,21 +69,24 @@ def sync_items(
     run_id: str,
     as_of: Column,
     coverage: str = "full_snapshot",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, projections, counters) after one sync run.
+    source_ids: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, projections, counters, classified rows) after one sync run.
 
-    The classified rows feed all three tables, so they are written once and read back.
+    The classified rows feed all tables, so they are written once and read back. After a full snapshot, stored
+    items of ``source_ids`` that were not in it are absent, also when it holds nothing at all.
     """
     raw = projections.filter(F.col("projection_kind") == RAW).select(
         "item_id", F.col("content_hash").alias("projection_hash"), "index_status", "point_id"
     )
-    classified = cut_lineage(lifecycle.classify_changes(incoming, stored, raw))
     new_id = F.sha1(F.concat_ws("\x1f", "source_id", "external_key"))
-    items = lifecycle.apply_sync(classified, stored, F.lit(run_id), as_of)
+    classified = lifecycle.classify_changes(incoming, stored, raw)
+    classified = cut_lineage(classified.withColumn("item_id", F.coalesce("item_id", new_id)))
+    absent = source_ids if coverage == "full_snapshot" else ()
+    items = lifecycle.apply_sync(classified, stored, F.lit(run_id), as_of, absent)
     items = items.withColumn("item_id", F.coalesce("item_id", new_id))
-    items = lifecycle.mark_absent(items, classified, coverage=coverage)
     touched = classified.filter(F.col("result_kind") != "unchanged").select(
-        F.coalesce("item_id", new_id).alias("item_id"),
+        "item_id",
         F.lit(RAW).alias("projection_kind"),
         "content_hash",
         F.col("projection_status").alias("index_status"),
@@ -96,7 +109,51 @@ def sync_items(
         "embedding_model",
     )
     counters = aggregates.sync_counters(classified.withColumn("run_id", F.lit(run_id)))
-    return items, merged, counters
+    return items, merged, counters, classified
+
+
+ASSET_KEY = ["item_id", "role"]
+ASSETS = (
+    "item_id string, role string, asset_id string, object_key string, sha256 string, source_relative_path string, "
+    "original_filename string, mime_type string, file_size_bytes bigint, duration_ms bigint, width int, height int"
+)
+
+
+def assets_after(classified: DataFrame, stored: DataFrame, source_id: str) -> DataFrame:
+    """Primary assets of a source after a sync, with the action taken; deleted ones stay as such."""
+    found = classified.withColumn("file_size_bytes", F.coalesce("file_size_bytes", "size"))
+    if "sha256" not in found.columns:
+        found = found.withColumn("sha256", F.lit(None).cast("string"))
+    meta = {c: F.when(F.col("file_found"), F.col(c)).alias(c) for c in ("sha256", *lifecycle.ASSET_META)}
+    incoming = found.select("item_id", F.col("file_found").alias("asset_present"), *meta.values())
+    acted = lifecycle.sync_assets(incoming, stored)
+    kinds = classified.select("item_id", F.col("content_type").alias("kind_of_item"))
+    key = text.asset_object_key(F.lit(source_id), F.col("kind_of_item"), F.col("sha256"), F.col("original_filename"))
+    fresh = F.col("action").isin("added", "replaced")
+    return (
+        acted.join(kinds, "item_id", "left")
+        .withColumn("role", F.coalesce("role", F.lit("primary")))
+        .withColumn("asset_id", F.coalesce("asset_id", F.sha1(F.concat_ws("\x1f", "item_id", "role"))))
+        .withColumn("object_key", F.when(fresh, key).otherwise(F.col("object_key")))
+        .drop("kind_of_item")
+    )
+
+
+def read_assets(spark: SparkSession, root: str) -> DataFrame:
+    """Assets that are there after the last sync of their source."""
+    return tables.read_table(spark, root, "corpus_assets", ASSET_KEY).filter("action <> 'deleted'").drop("action")
+
+
+def index_jobs(projections: DataFrame, items: DataFrame, active: DataFrame, run_id: str, limit: int) -> DataFrame:
+    """Jobs that a sync puts in the queue: queued projections without an active job, first types first.
+
+    ``active`` holds (item_id, projection_kind) of the jobs that are queued or in processing.
+    """
+    keys = PROJECTION_KEY
+    open_ = projections.filter(F.col("index_status") == "queued").join(active.select(*keys), keys, "left_anti")
+    known = open_.join(items.select("item_id", "content_type", F.col("occurred_at").alias("created_at")), "item_id")
+    jobs = known.withColumn("job_id", F.sha1(F.concat_ws("\x1f", F.lit(run_id), *keys)))
+    return priority_topk(jobs, limit).select("job_id", *keys, "content_type", F.lit(run_id).alias("run_id"))
 
 
 def run_sync(
@@ -107,15 +164,19 @@ def run_sync(
     run_id: str,
     as_of: Column,
     coverage: str = "full_snapshot",
+    inventory: DataFrame | None = None,
     **scan_options: object,
 ) -> DataFrame:
     """Sync one snapshot or batch of a source into its tables under ``root`` and return the counters.
 
-    A full snapshot touches every item of the source and writes new bases. A partial batch reads only the
-    stored rows with its keys and writes deltas, so its cost follows the batch. Other sources are not read.
+    A full snapshot touches every item of the source and writes new bases; it cannot be a sample, as what is
+    not in it counts as absent. A partial batch scans the stored rows of its source for its keys and writes
+    deltas. Other sources are not read. With an ``inventory`` the assets are synced as well.
     """
-    incoming = scan_items(scanned, source_id, **scan_options)
     partial = coverage != "full_snapshot"
+    if not partial and 0 < (scan_options.get("sample_percent") or 0) < 100:
+        raise ValueError("a full snapshot cannot be sampled")
+    incoming = scan_items(scanned, source_id, inventory=inventory, **scan_options)
     keys = None
     if partial:
         incoming = cut_lineage(incoming)
@@ -132,9 +193,19 @@ def run_sync(
         projections = tables.read_table(
             spark, root, "projections", PROJECTION_KEY, source_id, only=ids, without=run_id
         ).select(*projections.columns)
-    items, merged, counters = sync_items(incoming, stored, projections, run_id, as_of, coverage)
+    items, merged, counters, classified = sync_items(
+        incoming, stored, projections, run_id, as_of, coverage, [source_id]
+    )
     tables.write_table(counters, root, f"sync_runs/{run_id}")
-    for df, name in ((merged, "projections"), (items, "corpus_items")):
+    written = [(merged, "projections")]
+    if inventory is not None:
+        assets = spark.createDataFrame([], ASSETS)
+        if tables.table_exists(spark, root, "corpus_assets", source_id, run_id):
+            ids = classified.select("item_id") if partial else None
+            held = tables.read_table(spark, root, "corpus_assets", ASSET_KEY, source_id, only=ids, without=run_id)
+            assets = held.filter("action <> 'deleted'").select(*assets.columns)
+        written.append((assets_after(classified, assets, source_id), "corpus_assets"))
+    for df, name in (*written, (items, "corpus_items")):
         if partial:
             tables.append_delta(df, root, name, run_id, source_id)
         else:
@@ -158,13 +229,20 @@ def incremental_scan(
     source_id: str,
     as_of: Column,
     files_per_batch: int | None = None,
+    layout: str = "export",
+    name_filter: str = "result.json",
+    compact_every: int = 16,
 ) -> None:
     """Stream new manifest files into the tables; a restart takes only the files not done yet.
 
-    Each batch writes its own delta; a batch that is done twice overwrites it. :func:`tables.compact` folds
-    the deltas into a new base from time to time.
+    ``export``: each file with a name like ``name_filter``, at any depth, is one JSON document; ``lines``: one
+    manifest per line. Each batch writes its own delta; a batch that is done twice overwrites it. After
+    ``compact_every`` batches the deltas are folded into a new base.
     """
     reader = spark.readStream.schema(exports.MANIFEST_SCHEMA).option("mode", "FAILFAST")
+    reader = reader.option("recursiveFileLookup", "true")
+    if layout == "export":
+        reader = reader.option("multiLine", "true").option("pathGlobFilter", name_filter)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.json(input_dir)
@@ -172,13 +250,16 @@ def incremental_scan(
     def sync(batch: DataFrame, batch_id: int) -> None:
         run_sync(
             batch.sparkSession,
-            exports.explode_messages(batch),
+            exports.explode_messages(batch).hint("rebalance"),
             root,
             source_id,
             f"{source_id}-{batch_id}",
             as_of,
             coverage="partial",
         )
+        if (batch_id + 1) % compact_every == 0:
+            for name, keys in (("projections", PROJECTION_KEY), ("corpus_items", lifecycle.ITEM_KEY)):
+                tables.compact(spark, root, name, keys, source_id)
 
     run_batches(stream, sync, checkpoint)
 

@@ -43,7 +43,9 @@ def explode_messages(manifests: DataFrame) -> DataFrame:
 
 
 def export_scan(spark: SparkSession, path: str | list[str], layout: str = "export") -> DataFrame:
-    return explode_messages(read_manifests(spark, path, layout))
+    """Messages of all manifests. A whole document is read by one task, so its messages are spread afterwards."""
+    found = explode_messages(read_manifests(spark, path, layout))
+    return found if layout == "lines" else found.hint("rebalance")
 
 
 def resume_from_cursor(scanned: DataFrame, cursor: str | int | None) -> DataFrame:
@@ -126,7 +128,7 @@ def with_content_hash(items: DataFrame, asset_fields: tuple[Column, ...] | None
 
 
 def manifest_snapshot(raw: DataFrame, root: str, source_slug: str, run_id: str) -> str:
-    """Keep the raw manifest of a run under its source and run.
+    """Keep the raw manifest of a run under its source and run; a repeated run replaces its own.
 
     ``raw`` holds the file text in ``value``; rows are written as they are, so any size is fine.
     """
@@ -134,7 +136,8 @@ def manifest_snapshot(raw: DataFrame, root: str, source_slug: str, run_id: str)
         raw.select("value")
         .withColumn("source_slug", F.replace(basename(F.lit(source_slug)), F.lit(" "), F.lit("-")))
         .withColumn("sync_run_id", F.lit(run_id))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source_slug", "sync_run_id")
         .text(root)
     )

@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from lorekeep.functions import hashing
 
 
-def media_inventory(spark: SparkSession, root: str, with_content_hash: bool = False) -> DataFrame:
-    """Path relative to ``root``, size and modification time; content is read only for its hash."""
+# Spark reads a file's content as one value, which must stay well below 2 GiB.
+MOST_HASHED_BYTES = 1 << 30
+
+
+def media_inventory(
+    spark: SparkSession,
+    root: str,
+    with_content_hash: bool = False,
+    known: DataFrame | None = None,
+    most_bytes: int = MOST_HASHED_BYTES,
+) -> DataFrame:
+    """Path relative to ``root``, size and modification time; with ``with_content_hash`` also sha256 and error.
+
+    Content is read only for its hash. Files that ``known`` (an earlier inventory) holds with the same path,
+    size and time keep their hash from there. Files of more than ``most_bytes`` are not hashed and say so in
+    ``error``; they are told apart by place, size and time.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/") + "/"
     relative = F.element_at(F.split(F.col("path"), _quoted(prefix), 2), -1)
@@ -18,9 +33,26 @@ def media_inventory(spark: SparkSession, root: str, with_content_hash: bool = Fa
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified_at"),
     ]
-    if with_content_hash:
-        columns.append(F.sha2("content", 256).alias("sha256"))
-    return files.select(*columns)
+    listed = files.select(*columns)
+    if not with_content_hash:
+        return listed
+    same = ["source_relative_path", "size", "modified_at"]
+    nothing = F.lit(None).cast("string")
+    large = listed.filter(F.col("size") > most_bytes).withColumn("sha256", nothing)
+    large = large.withColumn("error", F.lit("too_large_to_hash"))
+    small = files.filter(F.col("length") <= most_bytes)
+    if known is not None:
+        held = known.filter(F.col("sha256").isNotNull()).select(*same, "sha256").distinct()
+        kept = listed.filter(F.col("size") <= most_bytes).join(held, same).withColumn("error", nothing)
+        paths = files.select("path", *columns).filter(F.col("size") <= most_bytes).join(held, same, "left_anti")
+        # Spark's own file listing has all paths on the driver already
+        changed = [r.path for r in paths.select("path").collect()]
+        if not changed:
+            return kept.unionByName(large)
+        small = spark.read.format("binaryFile").load(changed)
+    hashed = small.select(*columns, F.sha2("content", 256).alias("sha256"), nothing.alias("error"))
+    fresh = hashed.unionByName(large)
+    return fresh if known is None else fresh.unionByName(kept)
 
 
 def _quoted(text: str) -> str:
@@ -33,7 +65,7 @@ def attach_media(items: DataFrame, inventory: DataFrame) -> DataFrame:
     The fingerprint uses the content hash when the inventory has one, else path, size and time.
     """
     files = inventory.withColumn("file_found", F.lit(True))
-    joined = items.join(files, "source_relative_path", "left")
+    joined = items.join(files.drop("error"), "source_relative_path", "left")
     sha = F.col("sha256") if "sha256" in inventory.columns else None
     found = F.coalesce(F.col("file_found"), F.lit(False))
     fingerprint = hashing.asset_fingerprint(

@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructType
 PARTITIONING = {"corpus_items": ["source_id"], "points": ["projection_kind"]}
 # Tables with many partition values, whose rows are gathered before they are written.
 GATHERED = {"corpus_items"}
-SHARD_BY = {"corpus_items": "source_id", "projections": "source_id"}
+SHARD_BY = {"corpus_items": "source_id", "projections": "source_id", "corpus_assets": "source_id"}
 # Shard columns that belong to the rows of the table.
 SHARD_COLUMNS = {"corpus_items"}
 
@@ -94,10 +94,14 @@ def read_table(
         merge = merge or bool(deltas)
     if not paths:
         raise FileNotFoundError(f"{root}/{table} has no finished version")
-    schema = StructType(spark.read.parquet(paths[0]).schema.fields)
+    # columns that only some versions have are read as null from the others; a changed type is an error
+    base_path = spark.read.option("basePath", f"{root}/{table}").option("mergeSchema", "true")
+    known = base_path.parquet(*paths).schema.fields
     shard_column = SHARD_BY.get(table)
     sharded = shard_column is not None and f"/{shard_column}=" in paths[0].removeprefix(f"{root}/{table}")
-    for name in ([shard_column] if sharded and shard_column not in schema.fieldNames() else []) + ["kind", "version"]:
+    folders = [*([shard_column] if sharded else []), *PARTITIONING.get(table, []), "kind", "version"]
+    schema = StructType([f for f in known if f.name not in folders])
+    for name in dict.fromkeys(n for n in folders if n in {f.name for f in known}):
         schema = schema.add(name, StringType())
     rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*paths)
     if only is not None:

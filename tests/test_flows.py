@@ -148,8 +148,8 @@ def test_model_slots_report_errors_per_row(spark):
         return [[1.0, 2.0] if "short" in t else [1.0, 2.0, 3.0] for t in texts]
 
     embed = providers.model_embedder(encode, 3)
-    df = spark.createDataFrame([("good",), ("bad",), ("short",)], "t string").coalesce(1)
-    got = {r.t: (r.e.weight, r.e.error) for r in df.select("t", embed(F.col("t")).alias("e")).collect()}
+    df = spark.createDataFrame([("good",), ("bad",), ("short",)], "t string").coalesce(1).withColumn("text", F.col("t"))
+    got = {r.t: (r.vector, r.error) for r in embed(df, ["t"], "text").collect()}
     assert got == {"good": ([1.0, 2.0, 3.0], None), "bad": (None, "bad text"), "short": (None, "vector size 2, expected 3")}
 
     def extract(batch):
@@ -219,3 +219,127 @@ def test_table_versions(spark, root):
     assert tables.read_table(spark, root, "t", version=1).count() == 3
     with pytest.raises(FileNotFoundError):
         tables.read_table(spark, root, "unknown")
+
+
+def test_full_snapshot_cannot_be_a_sample(spark, tmp_path, root):
+    path = export(tmp_path / "one")
+    with pytest.raises(ValueError, match="sampled"):
+        run(spark, path, root, "r1", sample_percent=10)
+    assert run(spark, path, root, "r1", sample_percent=100).total_items == 3
+
+
+def test_empty_full_snapshot_marks_everything_absent(spark, tmp_path, root):
+    path = export(tmp_path / "one")
+    run(spark, path, root, "r1")
+    run(spark, path, root, "r2", include=["poll"])
+    assert not any(r.present_in_latest_sync for r in items_of(spark, root).values())
+
+
+def test_message_without_an_id_stops_the_sync(spark, tmp_path, root):
+    path = export(tmp_path / "one", extra=[{"text": "no id", "date_unixtime": "1704103400"}])
+    with pytest.raises(Exception, match="message without an id in chat 77 at 3"):
+        run(spark, path, root, "r1")
+
+
+def test_each_job_meets_the_model_once_and_points_stay(spark, tmp_path, root):
+    path = export(tmp_path / "one")
+    run(spark, path, root, "r1")
+    items, assets, sources = corpus(spark, root, path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(rows):
+        def extract(batch):
+            seen.add(len(batch))
+            return pd.DataFrame({"text": batch["caption"].fillna("nothing"), "language_code": "en"})
+
+        return providers.run_model(rows, extract, "p", "m")
+
+    held = sync.read_projections(spark, root)
+    voice = items.filter("content_type = 'voice'").first().item_id
+    old = spark.createDataFrame([(voice, DERIVED, "old hash", "indexed", None, "point-1", "model-1")], held.schema)
+    notes, after = enrich.enrich(items, assets, sources, enrich.empty_enrichments(spark), held.unionByName(old), run=model)
+    jobs = notes.count()
+    after.collect()
+    notes.collect()
+    assert seen.value == jobs == 2
+    row = after.filter((F.col("item_id") == voice) & (F.col("projection_kind") == DERIVED)).first()
+    assert (row.index_status, row.point_id, row.embedding_model) == ("queued", "point-1", "model-1")
+    assert row.content_hash != "old hash" and after.count() == held.count() + 1
+
+
+def test_assets_follow_the_snapshots(spark, tmp_path, root):
+    def synced(folder, run_id, hashed=True, **export_options):
+        path = export(tmp_path / folder, **export_options)
+        inventory = media.media_inventory(spark, path, with_content_hash=hashed)
+        counters = sync.run_sync(spark, exports.export_scan(spark, path), root, "team", run_id, F.lit(AS_OF), inventory=inventory)
+        return counters.first(), sync.read_assets(spark, root).collect()
+
+    first, assets = synced("one", "r1")
+    assert (first.total_items, first.queued_items) == (3, 2)
+    (asset,) = assets
+    assert asset.role == "primary" and asset.sha256 and asset.object_key.startswith("knowledge/assets/team/voice/")
+    # same text, other sound: the item has changed and its file is replaced
+    (tmp_path / "two" / "voice").mkdir(parents=True)
+    path = export(tmp_path / "two")
+    (tmp_path / "two" / "voice" / "a.mp3").write_bytes(b"other sound")
+    inventory = media.media_inventory(spark, path, with_content_hash=True)
+    second = sync.run_sync(spark, exports.export_scan(spark, path), root, "team", "r2", F.lit(AS_OF), inventory=inventory).first()
+    (changed,) = sync.read_assets(spark, root).collect()
+    assert second.updated_items == 2 and changed.sha256 != asset.sha256 and changed.asset_id == asset.asset_id
+    # the file is gone: no asset is left, and the item is skipped
+    (tmp_path / "two" / "voice" / "a.mp3").unlink()
+    inventory = media.media_inventory(spark, path)
+    sync.run_sync(spark, exports.export_scan(spark, path), root, "team", "r3", F.lit(AS_OF), inventory=inventory)
+    assert sync.read_assets(spark, root).count() == 0
+    voice = items_of(spark, root)["77:2"].item_id
+    status = {r.item_id: r.index_error for r in sync.read_projections(spark, root).collect()}
+    assert status[voice] == "media_missing_from_export"
+
+
+def test_index_jobs_of_a_sync(spark, tmp_path, root):
+    run(spark, export(tmp_path / "one"), root, "r1")
+    items, projections = sync.read_items(spark, root), sync.read_projections(spark, root)
+    none = projections.limit(0)
+    jobs = sync.index_jobs(projections, items, none, "r1", 10).collect()
+    assert [r.content_type for r in jobs] == ["text", "voice"]
+    assert [r.content_type for r in sync.index_jobs(projections, items, none, "r1", 1).collect()] == ["text"]
+    busy = projections.join(items.filter("content_type = 'text'").select("item_id"), "item_id")
+    assert [r.content_type for r in sync.index_jobs(projections, items, busy, "r1", 10).collect()] == ["voice"]
+
+
+def test_whole_documents_are_streamed(spark, tmp_path, root):
+    export(tmp_path / "in" / "a")
+    args = (str(tmp_path / "in"), root, str(tmp_path / "check"), "team", F.lit(AS_OF))
+    sync.incremental_scan(spark, *args, compact_every=1)
+    assert items_of(spark, root)["77:1"].text_content == "the quarterly budget review"
+    export(tmp_path / "in" / "b" / "deep", text="a later text")
+    sync.incremental_scan(spark, *args, compact_every=1)
+    assert items_of(spark, root)["77:1"].text_content == "a later text" and len(items_of(spark, root)) == 3
+
+
+def test_columns_of_later_versions_are_read(spark, root):
+    tables.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), root, "t")
+    tables.append_delta(spark.createDataFrame([(2, "c", 5)], "k int, v string, w int"), root, "t", "d1")
+    got = sorted((r.k, r.v, r.w) for r in tables.read_table(spark, root, "t", ["k"]).collect())
+    assert got == [(1, "a", None), (2, "c", 5)]
+
+
+def test_inventory_hashes_what_has_changed(spark, tmp_path):
+    folder = tmp_path / "media"
+    folder.mkdir()
+    for name, body in (("a.bin", b"aa"), ("b.bin", b"bbb"), ("c.bin", b"c" * 50)):
+        (folder / name).write_bytes(body)
+
+    def look(known=None):
+        rows = media.media_inventory(spark, str(folder), True, known, most_bytes=10).collect()
+        return {r.source_relative_path: (r.sha256, r.error) for r in rows}
+
+    first = look()
+    assert first["c.bin"] == (None, "too_large_to_hash") and len(first["a.bin"][0]) == 64
+    found = media.media_inventory(spark, str(folder), True, most_bytes=10)
+    marked = found.withColumn("sha256", F.when(F.col("sha256").isNotNull(), "kept"))
+    marked = spark.createDataFrame(marked.collect(), marked.schema)
+    assert look(marked) == {"a.bin": ("kept", None), "b.bin": ("kept", None), "c.bin": (None, "too_large_to_hash")}
+    (folder / "b.bin").write_bytes(b"four")
+    again = look(marked)
+    assert again["a.bin"] == ("kept", None) and again["b.bin"][0] not in ("kept", first["b.bin"][0])
