@@ -8,7 +8,7 @@ it are extended from it. A document's own blocks are anchors only if they are fo
 
 The index is kept as a bitmap of fixed size (``SLOTS`` bits, once and twice), so what is broadcast does not
 grow with the corpus. A fuller bitmap only lets more windows through: the windows are then compared by
-128-bit hashes, and the smallest (document, start) of each is its first occurrence. Consecutive repeated
+96-bit hashes, and the smallest (document, start) of each is its first occurrence. Consecutive repeated
 windows add up to the maximal repeats. Windows that meet in the same task are settled there, so a passage
 that is everywhere goes through the shuffle once per task and not once per copy.
 
@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import documents, identity, raw_texts, text_chunks
@@ -130,23 +131,29 @@ def _anchored(words: np.ndarray, offsets: np.ndarray, once: np.ndarray, twice: n
     return np.flatnonzero(held & (room(offsets)[:n] >= WINDOW))
 
 
+def _version(text: Column) -> Column:
+    """Tells rows of one id apart that differ in text."""
+    return F.hash(text)
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(d, v, start, len): runs of window starts of a document whose windows have an earlier occurrence."""
     spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(block_index(docs))
+    index = spark.sparkContext.broadcast([zstandard.compress(part, 1) for part in block_index(docs)])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(identity().alias("d"), F.xxhash64(text).alias("v"), text.alias("text"))
+    keyed = docs.select(identity().alias("d"), _version(text).alias("v"), text.alias("text"))
     fields = ["h1", "h2", "d", "v", "start", "len"]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = (np.frombuffer(part, np.uint8) for part in index.value)
+        once, twice = (np.frombuffer(zstandard.decompress(part), np.uint8) for part in index.value)
         hasher = WordHasher(blank_bytes())
         for batch in text_chunks(batches, limit=4 << 20):
             words, offsets = hasher(batch.column("text"))
             at = _anchored(words, offsets, once, twice) if len(words) >= WINDOW else np.empty(0, np.int64)
             if not len(at):
                 continue
-            h1, h2 = (_weighted(words, at, WINDOW, seed).view(np.int64) for seed in (2, 3))
+            h1 = _weighted(words, at, WINDOW, 2).view(np.int64)
+            h2 = _weighted(words, at, WINDOW, 3).astype(np.uint32).view(np.int32)
             row = np.searchsorted(offsets, at, side="right") - 1
             d, v = (batch.column(c).to_numpy()[row] for c in ("d", "v"))
             start = at - offsets[row]
@@ -193,9 +200,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 ["d", "v", "start", "len"],
             )
 
-    found = keyed.mapInArrow(candidates, "h1 bigint, h2 bigint, d bigint, v bigint, start int, len int")
+    found = keyed.mapInArrow(candidates, "h1 bigint, h2 int, d bigint, v int, start int, len int")
     met = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "d", "start")
-    return met.mapInArrow(later_ones, "d bigint, v bigint, start int, len int")
+    return met.mapInArrow(later_ones, "d bigint, v int, start int, len int")
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
@@ -203,7 +210,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
     runs = repeated_windows(docs).groupBy("d", "v").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), identity().alias("d"), F.xxhash64(text).alias("v")
+        F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), identity().alias("d"), _version(text).alias("v")
     )
     return rows.join(runs, ["d", "v"], "left").select(
         "doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.len").alias("lens")
