@@ -15,23 +15,25 @@ from lorekeep.sources import exports, media
 
 @query(
     "media_inventory",
-    """SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, true AS dated, true AS hashed
- FROM documents GROUP BY 1""",
+    """SELECT source, '' AS sha256, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, true AS dated
+ FROM documents GROUP BY 1 UNION ALL
+ SELECT 'item '||item_id, sha256(text||chr(10)), octet_length(encode(text)) + 1, true FROM benchmark""",
 )
 def media_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as files per source; the inventory must account for every byte."""
+    """Documents written as files per source, whose bytes must all be there, and each benchmark item as a file."""
     root = scratch_dir(spark, "media")
     docs = fx.load(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
     docs.hint("rebalance", "source").write.partitionBy("source").text(root)
+    items = fx.load(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("source"), F.col("text").alias("value"))
+    items.write.partitionBy("source").mode("append").text(root)
     found = media.media_inventory(spark, root, with_content_hash=True)
+    source = F.regexp_extract("source_relative_path", r"\Asource=([^/]+)/[^/]+\z", 1)
+    own_file = F.col("source").startswith("item ")
     return (
-        found.withColumn("source", F.regexp_extract("source_relative_path", r"\Asource=([^/]+)/[^/]+\z", 1))
-        .groupBy("source")
-        .agg(
-            F.sum("size").alias("bytes"),
-            F.bool_and(F.col("modified_at").isNotNull()).alias("dated"),
-            F.bool_and(F.length("sha256") == 64).alias("hashed"),
-        )
+        found.withColumn("source", source)
+        .withColumn("sha256", F.when(own_file, F.col("sha256")).otherwise(""))
+        .groupBy("source", "sha256")
+        .agg(F.sum("size").alias("bytes"), F.bool_and(F.col("modified_at").isNotNull()).alias("dated"))
     )
 
 

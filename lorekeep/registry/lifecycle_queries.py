@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators import aggregates, enrichment, lifecycle
+from lorekeep.plans import enrich, sync
 from lorekeep.registry import inputs as fx
 from lorekeep.registry.base import at, listed, query
 from lorekeep.registry.text_queries import ALL_FX, APPLICABLE, DERIVED_HASH, SOURCE_HASH
@@ -290,6 +291,37 @@ def plan_enrichment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.run_totals(plan_enrichment(spark, sf_dir))
 
 
+ENRICHED = f"""fx_wanted AS (SELECT item_id, kind, nullif({fx.sql_squeeze('caption')}, '') AS cap,
+ nullif({fx.sql_squeeze('text_content')}, '') AS body FROM fx_kinds WHERE content_type IN ('text', 'photo', 'voice', 'audio', 'video')),
+ fx_evidence AS (SELECT item_id, kind, CASE WHEN kind = 'ocr_raw' THEN nullif(concat_ws(chr(10), cap, body), '')
+ ELSE nullif(concat_ws(chr(10), body, cap), '') END AS text FROM fx_wanted WHERE kind <> 'summary_text'),
+ fx_raw AS (SELECT w.item_id, w.kind, concat_ws(chr(10), body, cap, o.text, t.text) AS raw FROM fx_wanted w
+ LEFT JOIN fx_evidence o ON o.item_id = w.item_id AND o.kind = 'ocr_raw'
+ LEFT JOIN fx_evidence t ON t.item_id = w.item_id AND t.kind = 'transcript_raw' WHERE w.kind = 'summary_text'),
+ fx_cut AS (SELECT item_id, kind, raw, list_filter(list_transform(string_split(regexp_replace(raw, '([.!?]){fx.SQL_BLANK}+',
+ '\\1'||chr(1), 'g'), chr(1))[1:2], lambda x: {fx.sql_strip('x')}), lambda x: length(x) > 0) AS parts FROM fx_raw),
+ fx_notes AS (SELECT item_id, kind, text FROM fx_evidence UNION ALL SELECT item_id, kind,
+ CASE WHEN length(raw) > 0 THEN CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' ') ELSE substring(raw, 1, 280) END END FROM fx_cut)"""
+
+
+@query(
+    "enrich_run",
+    fx.cte(*ALL_FX, APPLICABLE, ENRICHED)
+    + """SELECT CAST(item_id AS VARCHAR) AS item_id, kind, 'completed' AS status, sha256(coalesce(text, '')) AS digest FROM fx_notes
+ UNION ALL SELECT DISTINCT CAST(item_id AS VARCHAR), 'derived_text', 'queued', '' FROM fx_notes""",
+)
+def enrich_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole enrichment run over all items, from nothing: its texts, and the projections it queues."""
+    text_id = F.col("item_id").cast("string")
+    items, assets = (f(spark, sf_dir).withColumn("item_id", text_id) for f in (fx.items, fx.assets))
+    notes, projections = enrich.enrich(
+        items, assets, fx.sources(spark, sf_dir), enrich.empty_enrichments(spark), sync.empty_projections(spark)
+    )
+    texts = notes.select("item_id", "kind", "status", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    queued = projections.select("item_id", F.col("projection_kind").alias("kind"), F.col("index_status").alias("status"))
+    return texts.unionByName(queued.withColumn("digest", F.lit("")))
+
+
 def finished_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.load(spark, sf_dir, "events").selectExpr(
         "user_id as run_id",

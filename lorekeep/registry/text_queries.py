@@ -107,13 +107,13 @@ def parse_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "guess_mime",
-    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/x-tar'
- ELSE 'given/type' END AS mime FROM pages""",
+    r"""SELECT page_id, CASE WHEN url LIKE 'http:%' THEN 'given/type'
+ WHEN regexp_matches(regexp_replace(url, '[?#].*', ''), '\.html$') THEN 'text/html' END AS mime FROM pages""",
 )
 def guess_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.element_at(F.array(*[F.lit(n) for n in (".html", ".JPG", ".tar.gz", ".bin")]), (F.col("page_id") % 4 + 1).cast("int"))
-    path = F.concat(F.lit("files/page_"), F.col("page_id").cast("string"), names)
-    given = F.when(F.col("page_id") % 4 == 3, "given/type")
+    """By the path of each page's address; a type is given where it is not encrypted."""
+    path = F.regexp_replace("url", "[?#].*", "")
+    given = F.when(F.col("url").startswith("http:"), "given/type")
     return fx.load(spark, sf_dir, "pages").select("page_id", messages.guess_mime(path, given).alias("mime"))
 
 
