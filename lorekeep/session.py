@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -50,9 +52,25 @@ def _shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    return f"{_shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared checkpoint folder; it is removed when the driver ends."""
+    if not _SCRATCH:
+        atexit.register(remove_scratch, spark)
+    path = f"{_shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the folders given out so far. No frame that was read from them may be used afterwards."""
+    while _SCRATCH:
+        # a driver whose JVM is gone cannot clean up; its folders carry a unique name and harm nobody
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
