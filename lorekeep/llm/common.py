@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,19 @@ def identity(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(NO_ID))
 
 
+class Taken:
+    """Which stretches of a text are free of given spans (start, end)."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [start for start, _ in spans]
+        self.reach = list(accumulate((end for _, end in spans), max))
+
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before == 0 or self.reach[before - 1] <= start
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder once and go on from the files."""
     path = scratch_dir(df.sparkSession, purpose)

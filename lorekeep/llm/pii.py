@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import documents, plain_texts, text_chunks
+from lorekeep.llm.common import Taken, documents, plain_texts, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL = re.compile("[A-Za-z0-9._%+-]")
 PATTERNS = (
-    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    EMAIL,
+    # only the start of a run of digits can begin a match; said so, long runs are read once
+    re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     re.compile(r"[0-9]([\x20-]?[0-9])+"),
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
@@ -65,7 +68,8 @@ def luhn(digits: str) -> bool:
 def _valid(kind: int, found: re.Match) -> bool:
     digits = re.sub("[^0-9]", "", found[0])
     if kind == 1:
-        return all(int(part) <= 255 for part in found[0].split("."))
+        parts = [part.lstrip("0") for part in found[0].split(".")]
+        return all(len(part) <= 3 and int(part or 0) <= 255 for part in parts)
     if kind == 2:
         return 16 <= len(digits) <= 19 and luhn(digits)
     return kind == 0 or 8 <= len(digits) <= 15
@@ -77,6 +81,21 @@ def _shaped(kind: int, found: re.Match) -> bool:
     return 16 <= n <= 19 if kind == 2 else True
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    """Leftmost matches of ``EMAIL``, looked for from each @, so that long runs of letters are read once."""
+    last = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and LOCAL.match(text, start - 1):
+            start -= 1
+        found = EMAIL.match(text, start) if start < at else None
+        if found:
+            yield found
+            last = found.end()
+        at = text.find("@", max(at + 1, last))
+
+
 def base_spans(text: str, valid=_valid) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the patterns, in that order."""
     if not MARKED.search(text):
@@ -86,7 +105,7 @@ def base_spans(text: str, valid=_valid) -> list[tuple[int, int, int]]:
         (kind, m.start(), m.end())
         for kind, pattern in enumerate(PATTERNS)
         if there[kind]
-        for m in pattern.finditer(text)
+        for m in (_emails(text) if pattern is EMAIL else pattern.finditer(text))
         if valid(kind, m)
     ]
 
@@ -366,14 +385,14 @@ def reconcile(n: int, starts: list[int], labels: np.ndarray) -> np.ndarray:
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Runs of a label without blanks at their ends; those with a digit or @ that overlap no base span."""
     edges = np.flatnonzero(np.diff(labels, prepend=0, append=0))
-    found = []
+    found, taken = [], Taken([(a, b) for _, a, b in base])
     for start, end in zip(edges.tolist(), edges[1:].tolist()):
         if not labels[start]:
             continue
         body = text[start:end]
         first = start + len(body) - len(body.lstrip())
         last = end - len(body) + len(body.rstrip())
-        if MARKED.search(text, first, last) and all(last <= a or first >= b for _, a, b in base):
+        if MARKED.search(text, first, last) and taken.free(first, last):
             found.append((int(labels[start]) - 1, first, last))
     return found
 

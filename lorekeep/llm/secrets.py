@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import documents, plain_texts, text_chunks
+from lorekeep.llm.common import Taken, documents, plain_texts, text_chunks
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -92,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible tokens that begin within ``REACH`` of a sensitive word and overlap no base span."""
-    found, seen = [], -1
+    found, seen, taken = [], -1, Taken([(a, b) for a, _, b in base])
     for word in SENSITIVE.finditer(text):
         for m in CANDIDATE.finditer(text, max(word.end(), seen), word.end() + REACH + LEAST):
             # a token that the search window cuts is read to its end
@@ -100,8 +100,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             if start > word.end() + REACH:
                 break
             seen = max(seen, end)
-            clear = all(end <= a or start >= b for a, _, b in base)
-            if clear and DIGIT.search(text, start, end) and novelty(text, start, end) >= NOVELTY:
+            if taken.free(start, end) and DIGIT.search(text, start, end) and novelty(text, start, end) >= NOVELTY:
                 found.append((start, 3, end))
     return sorted(set(found))
 

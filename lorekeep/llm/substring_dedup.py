@@ -66,7 +66,7 @@ def block_index(docs: DataFrame) -> tuple[bytes, bytes]:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(blank_bytes())
-        for batch in text_chunks(batches, limit=8 << 20):
+        for batch in text_chunks(batches, limit=2 << 20):
             words, offsets = hasher(batch.column("text"))
             if len(words) < BLOCK:
                 continue
@@ -147,7 +147,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = (np.frombuffer(zstandard.decompress(part), np.uint8) for part in index.value)
         hasher = WordHasher(blank_bytes())
-        for batch in text_chunks(batches, limit=4 << 20):
+        for batch in text_chunks(batches, limit=2 << 20):
             words, offsets = hasher(batch.column("text"))
             at = _anchored(words, offsets, once, twice) if len(words) >= WINDOW else np.empty(0, np.int64)
             if not len(at):

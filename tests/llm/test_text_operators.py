@@ -6,6 +6,7 @@ import hashlib
 import io
 import itertools
 import random
+import re
 import wave
 import zlib
 
@@ -214,6 +215,22 @@ def test_patterns_and_their_checks():
     assert pii.base_spans("no data at all") == []
 
 
+def test_emails_are_those_of_the_pattern():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab.@@- 1%é") for _ in range(rng.randrange(25)))
+        assert [m.span() for m in pii._emails(text)] == [m.span() for m in pii.EMAIL.finditer(text)]
+        plain_ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+        digits = "".join(rng.choice("12..3x") for _ in range(25))
+        assert [m.span() for m in pii.PATTERNS[1].finditer(digits)] == [m.span() for m in plain_ip.finditer(digits)]
+
+
+def test_long_runs_take_no_longer():
+    text = "a" * 200_000 + " " + "7" * 200_000 + " " + "9" * 5000 + ".1.1.1 x@y.z " + "token " * 3000
+    assert [(k, b - a) for k, a, b in pii.base_spans(text)] == [(0, 5)]
+    assert secrets.base_spans(text) == [(0, 2, 200_000), (200_001, 2, 400_001), (400_002, 2, 405_002)]
+
+
 def test_windows_cover_every_marked_place():
     rng = random.Random(1)
     for _ in range(200):
