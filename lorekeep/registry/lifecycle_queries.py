@@ -9,7 +9,7 @@ from lorekeep.operators import aggregates, enrichment, lifecycle
 from lorekeep.plans import enrich, sync
 from lorekeep.registry import inputs as fx
 from lorekeep.registry.base import at, listed, query
-from lorekeep.registry.text_queries import ALL_FX, APPLICABLE, DERIVED_HASH, SOURCE_HASH
+from lorekeep.registry.text_queries import ALL_FX, APPLICABLE, DERIVED_HASH, ELIGIBLE, REASON, SOURCE_HASH
 from lorekeep.session import scratch_dir
 from lorekeep.sources import tables
 
@@ -143,6 +143,47 @@ def sync_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.sync_assets(fresh, stored)
 
 
+def file_inventory(spark: SparkSession, sf_dir: str, second: bool) -> DataFrame:
+    """The sound files of an export; in the second one those of every third chat differ, and others are gone."""
+    rows = fx.load(spark, sf_dir, "conversations").filter("turn % 5 = 4 and turn % 10 <> 9")
+    changed = (F.col("conv_id") % 3 == 0) & F.lit(second)
+    if second:
+        rows = rows.filter("conv_id % 3 <> 2")
+    path = F.concat(F.lit("voice/"), "conv_id", F.lit("_"), "turn", F.lit(".mp3"))
+    return rows.select(
+        path.alias("source_relative_path"),
+        (F.length("text") + F.when(changed, 7).otherwise(0)).cast("bigint").alias("size"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modified_at"),
+        F.sha2(F.concat(F.when(changed, "two").otherwise("one"), path), 256).alias("sha256"),
+    )
+
+
+@query(
+    "sync_snapshots",
+    fx.cte(fx.MESSAGES)
+    + f"""SELECT external_key, content_type, CASE WHEN lost THEN 'skipped' ELSE {ELIGIBLE} END AS index_status,
+ CASE WHEN lost THEN 'media_missing_from_export' ELSE {REASON} END AS index_error, action,
+ CASE WHEN action = 'replaced' THEN sha256('two'||path) WHEN path IS NOT NULL THEN sha256('one'||path) END AS sha256
+ FROM (SELECT *, path IS NOT NULL AND chat_id % 3 = 2 AS lost, CASE WHEN path IS NULL THEN NULL WHEN chat_id % 3 = 0
+ THEN 'replaced' WHEN chat_id % 3 = 1 THEN 'kept' ELSE 'deleted' END AS action FROM fx_messages)""",
+)
+def sync_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two full snapshots of an export with its files: items, projections and assets after the second."""
+    root = scratch_dir(spark, "snapshots")
+    rows = fx.export_json(spark, sf_dir)
+    bare = F.regexp_replace("j", r'"file_size":[0-9]+,?', "")
+    for number, second in ((1, False), (2, True)):
+        text = F.when((F.col("chat_id") % 3 == 0) & F.lit(second), bare).otherwise(F.col("j"))
+        scanned = rows.select("chat_id", "chat_title", "pos", F.parse_json(text).alias("message"))
+        files = file_inventory(spark, sf_dir, second)
+        sync.run_sync(spark, scanned, root, "export", f"run-{number}", at(AS_OF), inventory=files)
+    items = sync.read_items(spark, root).select("item_id", "external_key", "content_type")
+    projections = sync.read_projections(spark, root).select("item_id", "index_status", "index_error")
+    assets = tables.read_table(spark, root, "corpus_assets").select("item_id", "action", "sha256")
+    found = items.join(projections, "item_id", "left").join(assets, "item_id", "left")
+    return found.drop("item_id")
+
+
 @query(
     "recover_processing",
     fx.cte(fx.JOBS)
