@@ -40,7 +40,7 @@ def test_incremental_scan_resumes(spark, tmp_path):
         (source / f"{name}.json").write_text(json.dumps(manifest))
 
     def scan():
-        sync.incremental_scan(spark, str(source), root, f"{root}/checkpoint", "s", F.lit(T0), files_per_batch=1)
+        sync.incremental_scan(spark, str(source), root, f"{root}/checkpoint", "s", F.lit(T0), files_per_batch=1, layout="lines")
         return sync.read_items(spark, root)
 
     put("a", "old")
