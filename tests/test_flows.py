@@ -19,19 +19,27 @@ AS_OF = datetime(2024, 5, 1)
 GONE = "(File not included. Change data exporting settings to download.)"
 
 
+CHAT = {"id": 4021, "name": "Field notes", "type": "private_group"}
+
+
+def message(number, minute, **fields):
+    return {"id": number, "date": f"2024-01-01T10:{minute:02d}:00", "date_unixtime": str(1704103200 + 60 * minute), "from": "Kim",
+            "from_id": "user41", **fields}
+
+
 def export(folder, text="the quarterly budget review", voice="voice/a.mp3", extra=()):
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / "voice").mkdir(exist_ok=True)
+    """A chat with a formatted reply, a captioned sound and a pin notice; the sound may be left out."""
+    (folder / "voice").mkdir(parents=True, exist_ok=True)
     if voice != GONE:
-        (folder / "voice" / "a.mp3").write_bytes(b"sound")
-    messages = [
-        {"id": 1, "type": "message", "date": "2024-01-01T10:00:00", "date_unixtime": "1704103200", "from": "Ann", "from_id": "user5", "text": text},
-        {"id": 2, "type": "message", "date": "2024-01-01T10:01:00", "date_unixtime": "1704103260", "from": "Bob", "from_id": "user6",
-         "text": ["a caption about ", {"type": "bold", "text": "penguins"}], "media_type": "voice_message", "mime_type": "audio/mpeg", "file": voice, "duration_seconds": 2},
-        {"id": 3, "type": "service", "date": "2024-01-01T10:02:00", "date_unixtime": "1704103320", "text": ""},
-        *extra,
+        (folder / voice).write_bytes(b"sound")
+    head, _, tail = text.partition(" ")
+    rich = [head, {"type": "italic", "text": f" {tail}"}] if tail else text
+    chat = [
+        message(5, 0, type="message", text=rich, reply_to_message_id=4),
+        message(8, 3, type="message", text="a caption about penguins", media_type="voice_message", mime_type="audio/mpeg", file=voice, duration_seconds=2),
+        message(12, 7, type="service", action="pin_message", text=""),
     ]
-    (folder / "result.json").write_text(json.dumps({"id": 77, "name": "Team", "type": "personal_chat", "messages": messages}))
+    (folder / "result.json").write_text(json.dumps(CHAT | {"messages": [*chat, *extra]}, indent=1))
     return str(folder)
 
 
@@ -79,18 +87,18 @@ def test_changed_snapshot(spark, tmp_path, root):
     after = items_of(spark, root)
     assert (second.updated_items, second.unchanged_items) == (2, 1)
     assert set(after) == set(before) and {k: r.item_id for k, r in after.items()} == {k: r.item_id for k, r in before.items()}
-    assert after["77:1"].text_content == "a new headline" and all(r.present_in_latest_sync for r in after.values())
+    assert after["4021:5"].text_content == "a new headline" and all(r.present_in_latest_sync for r in after.values())
     status = {r.item_id: (r.index_status, r.index_error) for r in sync.read_projections(spark, root).collect()}
-    assert status[after["77:2"].item_id] == ("skipped", "media_missing_from_export")
+    assert status[after["4021:8"].item_id] == ("skipped", "media_missing_from_export")
 
 
 def test_full_snapshot_marks_filtered_and_lost_items(spark, tmp_path, root):
     run(spark, export(tmp_path / "one", extra=[{"id": 9, "text": "bye", "date_unixtime": "1704103400"}]), root, "r1")
     run(spark, export(tmp_path / "two"), root, "r2", exclude=["service"])
     flags = {k: r.present_in_latest_sync for k, r in items_of(spark, root).items()}
-    assert flags == {"77:1": True, "77:2": True, "77:3": False, "77:9": False}
+    assert flags == {"4021:5": True, "4021:8": True, "4021:12": False, "4021:9": False}
     run(spark, export(tmp_path / "three", text="x"), root, "r3", coverage="partial", include=["text"])
-    assert items_of(spark, root)["77:2"].present_in_latest_sync
+    assert items_of(spark, root)["4021:8"].present_in_latest_sync
 
 
 def test_enrich_index_search(spark, tmp_path, root):
@@ -199,8 +207,8 @@ def test_sources_do_not_touch_each_other(spark, tmp_path, root):
     sync.run_sync(spark, scanned, root, "2", "other-2", F.lit(AS_OF), coverage="partial", include=["text"])
     got = sorted((r.source_id, r.external_key, r.last_seen_run_id) for r in sync.read_items(spark, root).collect())
     assert got == [
-        ("2", "77:1", "other-2"), ("2", "77:2", "other-1"), ("2", "77:3", "other-1"),
-        ("team", "77:1", "r1"), ("team", "77:2", "r1"), ("team", "77:3", "r1"),
+        ("2", "4021:12", "other-1"), ("2", "4021:5", "other-2"), ("2", "4021:8", "other-1"),
+        ("team", "4021:12", "r1"), ("team", "4021:5", "r1"), ("team", "4021:8", "r1"),
     ]
     assert sync.read_projections(spark, root).count() == 6
 
@@ -237,7 +245,7 @@ def test_empty_full_snapshot_marks_everything_absent(spark, tmp_path, root):
 
 def test_message_without_an_id_stops_the_sync(spark, tmp_path, root):
     path = export(tmp_path / "one", extra=[{"text": "no id", "date_unixtime": "1704103400"}])
-    with pytest.raises(Exception, match="message without an id in chat 77 at 3"):
+    with pytest.raises(Exception, match="message without an id in chat 4021 at 3"):
         run(spark, path, root, "r1")
 
 
@@ -291,7 +299,7 @@ def test_assets_follow_the_snapshots(spark, tmp_path, root):
     inventory = media.media_inventory(spark, path)
     sync.run_sync(spark, exports.export_scan(spark, path), root, "team", "r3", F.lit(AS_OF), inventory=inventory)
     assert sync.read_assets(spark, root).count() == 0
-    voice = items_of(spark, root)["77:2"].item_id
+    voice = items_of(spark, root)["4021:8"].item_id
     status = {r.item_id: r.index_error for r in sync.read_projections(spark, root).collect()}
     assert status[voice] == "media_missing_from_export"
 
@@ -311,10 +319,10 @@ def test_whole_documents_are_streamed(spark, tmp_path, root):
     export(tmp_path / "in" / "a")
     args = (str(tmp_path / "in"), root, str(tmp_path / "check"), "team", F.lit(AS_OF))
     sync.incremental_scan(spark, *args, compact_every=1)
-    assert items_of(spark, root)["77:1"].text_content == "the quarterly budget review"
+    assert items_of(spark, root)["4021:5"].text_content == "the quarterly budget review"
     export(tmp_path / "in" / "b" / "deep", text="a later text")
     sync.incremental_scan(spark, *args, compact_every=1)
-    assert items_of(spark, root)["77:1"].text_content == "a later text" and len(items_of(spark, root)) == 3
+    assert items_of(spark, root)["4021:5"].text_content == "a later text" and len(items_of(spark, root)) == 3
 
 
 def test_columns_of_later_versions_are_read(spark, root):
