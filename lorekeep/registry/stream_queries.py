@@ -15,7 +15,7 @@ from lorekeep.streaming import jobs as live
 from lorekeep.streaming.runner import drain, latest_state, run_batches, table_stream
 
 
-SLICES = 6
+SLICES = 3
 LATE = "12 hours"
 
 
