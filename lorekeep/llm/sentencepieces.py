@@ -2,7 +2,7 @@
 
 The model file is parsed and rebuilt: its normaliser (character map, blanks, dummy prefix), the metaspace
 marker, the unigram scores with the unknown penalty or, for a BPE model, the merges that its scores imply, and
-byte fallback. Batches are encoded by several threads. Every text is also encoded by the SentencePiece library;
+byte fallback. Batches are encoded by several threads. Everything is also encoded by the SentencePiece library;
 where the two differ, ``parity`` is false and the library's ids stand. Ids are turned back into text by a table
 of piece bytes, and ``round_trip`` says whether that gives the text again.
 
@@ -13,6 +13,7 @@ a text reads as a blank, so such a text does not come back as it was and says so
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,10 @@ from lorekeep.llm.common import documents, plain_texts, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 THREADS = 2
+UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+#: Units that a task keeps; beyond it starts anew, which changes nothing but the time.
+MOST_UNITS = 300_000
+TOGETHER = 512
 #: Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -111,6 +116,81 @@ class PieceTable:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class UnitEncoder:
+    """Encodes texts unit by unit and holds every unit against the SentencePiece library.
+
+    A unit is a run of markers with what follows up to the next one. Where no piece has a marker behind another
+    character, no piece reaches over the end of a unit, so a text's ids are those of its units one after the
+    other, for BPE and for unigram models. Each distinct unit is then encoded once by both libraries and kept, up
+    to ``MOST_UNITS`` of them at a time. For other models a unit is a whole text.
+    """
+
+    def __init__(self, model: bytes, tokenizer: Tokenizer, threads: int) -> None:
+        proto = parse(model)
+        spec = proto.normalizer_spec
+        inner = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
+        self.separable = spec.add_dummy_prefix and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and not inner
+        self.tokenizer, self.threads = tokenizer, threads
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.heads = np.array([p.piece.startswith(MARK) for p in proto.pieces])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew, with the unit that is a marker alone, which no text of its own can stand for."""
+        ours, theirs = (encode("x ")[len(encode("x")) :] for encode in (self._ours, self.library.encode))
+        self.known = {"": np.array(theirs, np.int32).tobytes()} if self.separable else {}
+        self.differ = {""} if self.separable and ours != theirs else set()
+
+    def _ours(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, new: set[str]) -> None:
+        """Encode new units, those without further markers ``TOGETHER`` at a time as one text.
+
+        Each unit of such a text begins with a piece that has the marker, and no other piece of it has one.
+        """
+        one = [unit for unit in new if self.separable and MARK not in unit]
+        rest = [unit for unit in new if not self.separable or MARK in unit]
+        blocks = [one[i : i + TOGETHER] for i in range(0, len(one), TOGETHER)]
+        texts = [" ".join(block) for block in blocks] + [unit.replace(MARK, " ") if self.separable else unit for unit in rest]
+        ours = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = [np.array(ids, np.int32) for ids in self.library.encode(texts, num_threads=self.threads)]
+        for block, a, b in zip(blocks, ours, theirs):
+            same = np.array_equal(a, b)
+            cuts = [np.append(np.flatnonzero(self.heads[x]), len(x)) * 4 for x in ((b,) if same else (a, b))]
+            data = b.tobytes()
+            parts = [data[x:y] for x, y in zip(cuts[-1], cuts[-1][1:])]
+            self.known.update(zip(block, parts, strict=True))
+            if not same:
+                data = a.tobytes()
+                other = [data[x:y] for x, y in zip(cuts[0], cuts[0][1:])]
+                self.differ.update(unit for unit, x, y in zip(block, parts, other, strict=True) if x != y)
+        for unit, a, b in zip(rest, ours[len(blocks) :], theirs[len(blocks) :]):
+            self.known[unit] = b.tobytes()
+            if not np.array_equal(a, b):
+                self.differ.add(unit)
+
+    def units(self, text: str) -> list[str]:
+        """The units of a text, each without its first marker."""
+        if not text or not self.separable:
+            return [text] if text else []
+        marked = text.replace(" ", MARK)
+        if MARK + MARK not in marked and not marked.startswith(MARK):
+            return marked.split(MARK)
+        return [unit[1:] for unit in UNIT.findall(MARK + marked)]
+
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether both libraries agree on them; where they do not, SentencePiece's stand."""
+        split = [self.units(text) for text in texts]
+        new = set().union(*split) - self.known.keys()
+        if len(self.known) + len(new) > MOST_UNITS:
+            self.forget()
+            new = set().union(*split) - self.known.keys()
+        self.learn(new)
+        ids = [np.frombuffer(b"".join([self.known[unit] for unit in units]), np.int32) for units in split]
+        return ids, [self.differ.isdisjoint(units) for units in split]
+
+
 def encode(docs: DataFrame, model_file: str = MODEL, threads: int = THREADS) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip, parity) of every row.
 
@@ -124,15 +204,11 @@ def encode(docs: DataFrame, model_file: str = MODEL, threads: int = THREADS) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         model, layout = shared.value
-        tokenizer = Tokenizer.from_str(layout)
-        reference = sentencepiece.SentencePieceProcessor(model_proto=model)
+        encoder = UnitEncoder(model, Tokenizer.from_str(layout), threads)
         table = PieceTable(model)
         for batch in text_chunks(batches):
             texts = plain_texts(batch)
-            found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            wanted = reference.encode(texts, num_threads=threads)
-            parity = [a == b for a, b in zip(found, wanted)]
-            flat = [np.array(ids, np.int32) for ids in wanted]
+            flat, parity = encoder(texts)
             back = [table(ids) == text for ids, text in zip(flat, texts)]
             ends = np.concatenate([[0], np.cumsum([len(ids) for ids in flat])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))

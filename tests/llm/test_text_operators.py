@@ -417,6 +417,20 @@ def test_blanks_in_a_row():
             assert table(np.array(ids, int)) == text
 
 
+def test_units_add_up_to_the_text(monkeypatch):
+    with open(sentencepieces.MODEL, "rb") as file:
+        model = file.read()
+    monkeypatch.setattr(sentencepieces, "MOST_UNITS", 40)
+    encoder = sentencepieces.UnitEncoder(model, sentencepieces.rebuild(model), 1)
+    assert encoder.separable
+    rng = random.Random(12)
+    for _ in range(300):
+        texts = ["".join(rng.choices(["the", "ing", " ", "  ", "\n", "é", "▁", "7", "日", "."], k=rng.randrange(14))) for _ in range(3)]
+        ids, parity = encoder(texts)
+        assert [x.tolist() for x in ids] == encoder.library.encode(texts) and all(parity)
+        assert [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in ids]
+
+
 def test_unigram_model_is_rebuilt_too():
     proto = sentencepieces.sentencepiece_model_pb2.ModelProto()
     proto.trainer_spec.model_type = sentencepieces.UNIGRAM
@@ -435,3 +449,7 @@ def test_unigram_model_is_rebuilt_too():
     for _ in range(500):
         text = "".join(rng.choices("abc  éx", k=rng.randrange(12)))
         assert tokenizer.encode(text, add_special_tokens=False).ids == library.encode(text)
+    # blanks are squeezed by this model, so whole texts are its units
+    encoder = sentencepieces.UnitEncoder(model, tokenizer, 1)
+    assert not encoder.separable
+    assert encoder(["ab  c", "", "abc"])[0][0].tolist() == library.encode("ab  c")
