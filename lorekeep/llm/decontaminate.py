@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import NO_ID, documents, identity, text_chunks
+from lorekeep.llm.common import NO_ID, documents, identity, stored, text_chunks
 from lorekeep.llm.words import WordHasher, mark_bytes, mix, room
 
 MASKS = ("110100110111", "111010110101", "101101011011", "111100001111")
@@ -180,7 +180,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _words(benchmark, "item_id").filter(F.size("words") >= SHORTEST)
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
     seeds = benchmark_seeds(items.select("item_id", "words"))
-    found = candidates(docs, seed_bitmap(seeds))
+    found = stored(candidates(docs, seed_bitmap(seeds)), "seed-hits")
     hits = found.select("d", "v", F.explode("hits").alias("hit")).select("d", "v", "hit.hash", "hit.place")
     shifts = (
         hits.join(seeds, "hash")
