@@ -33,7 +33,7 @@ PENALTY = 10.0
 #: Least share of a language's letters that makes a script one of its own.
 SHARE = 0.01
 BARRED = -1e4
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 NONE = "und"
 
 #: First code point of each range and its script; None holds no letters.
@@ -224,15 +224,25 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -
     return labels
 
 
+def _with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    if "text" in batch.schema.names:
+        return batch
+    text = batch.column("_row").field("text").cast(pa.string())
+    return pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
+
+
 def identify(rows: DataFrame, model: dict) -> DataFrame:
-    """``rows`` with lang_pred, score and spans in the place of text; spans are lang:first word:end, comma-joined."""
+    """``rows`` with lang_pred, score and spans in the place of text; spans are lang:first word:end, comma-joined.
+
+    Rows without a column ``text`` have it inside ``_row``, so that it is sent once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in rows.columns if c != "text"]
     names = [*kept, "lang_pred", "score", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for group in text_chunks(batches, limit=GROUP_BYTES):
+        for group in text_chunks(map(_with_text, batches), limit=GROUP_BYTES):
             table = pa.Table.from_batches([group])
             parts = [Words(part.column("text")) for part in text_chunks(table.to_batches())]
             n = group.num_rows
@@ -286,7 +296,7 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
 
 def known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that have a language with at least ``least`` of their letters."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("_row"))
     found = identify(rows, train(labelled_rows(docs)))
     return found.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select("_row.*")
 
