@@ -6,9 +6,10 @@ differences: none in two segments, one in five, two in seven. So two segments of
 two of the next three. Each of the 8 starts times 3 choices gives a rule that fixes 32 bits; fingerprints
 that agree in them meet, are held against the budgets of the chain, and last against the full distance.
 
-Nulls, empty texts and texts without words have fingerprint zero. Equal fingerprints are one node (their
-smallest id) before anything is compared, so copies never meet each other. Rows without an id count as one
-document after all others. Repeated rows give repeated result rows.
+Nulls, empty texts and texts without words have fingerprint zero. Equal fingerprints are one node before
+anything is compared, so copies never meet each other. Nodes are ordered by their smallest id, so the root of a
+group names it. Rows without an id come after all others, and are told apart by their texts. Repeated rows give
+repeated result rows.
 """
 
 from __future__ import annotations
@@ -64,15 +65,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, v, fp) of every row; ``v`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             fps = pa.array([fingerprint(t) for t in raw_texts(batch)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("v"), fps], ["doc_id", "v", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, fp bigint"
+    text = F.col("text").cast("string").alias("text")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("v"), text).mapInArrow(
+        run, "doc_id bigint, v bigint, fp bigint"
     )
 
 
@@ -176,21 +178,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest id reachable over links, itself included."""
+    """(doc_id, v, fp, component_id, first) of every row: the smallest id reachable over links, itself included.
+
+    ``v`` is a hash of the text; ``first`` is that of the row that stays in a group without any id.
+    """
     marked = stored(fingerprints(docs), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min(identity()).alias("node"))
-    pairs = stored(links(nodes), "links")
-    roots = components(pairs)
-    known = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(known, "fp")
+    nodes = marked.groupBy("fp").agg(
+        F.min(identity()).alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("v"))).alias("first")
+    )
+    pairs = links(nodes.select(F.col("fp").alias("node"), "fp"))
+    for end in ("a", "b"):
+        named = nodes.select(F.col("fp").alias(end), F.struct("id", "fp", "first").alias(f"_{end}"))
+        pairs = pairs.join(named, end)
+    ends = pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    roots = components(stored(ends, "links")).select(F.col("node.fp").alias("fp"), "root")
+    known = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", F.struct("id", "fp", "first")).alias("root"))
+    return marked.join(known, "fp").select(
+        "doc_id", "v", "fp", F.col("root.id").alias("component_id"), "root.first"
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the smallest id of each group of near-duplicates, with all their columns."""
-    found = near_duplicates(docs).select(identity().alias("_id"), "component_id")
-    lost = found.filter(F.col("_id") != F.col("component_id")).select("_id").distinct()
-    packed = docs.select(F.struct("*").alias("_row"), identity().alias("_id"))
-    return packed.join(lost, "_id", "left_anti").select("_row.*")
+    """The rows of the smallest id of each group of near-duplicates, with all their columns.
+
+    A row goes only if its own text is in a group with another kept document.
+    """
+    unnamed = (F.col("component_id") == NO_ID) & (F.col("v") != F.col("first"))
+    found = near_duplicates(docs).withColumn("_id", identity())
+    lost = found.filter((F.col("_id") != F.col("component_id")) | unnamed).select("_id", F.col("v").alias("_v")).distinct()
+    packed = docs.select(
+        F.struct("*").alias("_row"), identity().alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_v")
+    )
+    return packed.join(lost, ["_id", "_v"], "left_anti").select("_row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,21 @@ def test_one_of_each_group_stays_with_all_columns(edges, edge_rows):
     assert ids == sorted(i for i, _ in by_id(edge_rows) if groups[i] == i and i != BIG)
 
 
+def test_rows_are_told_apart_by_their_own_texts(spark):
+    """Rows without an id, and texts under one id, join no groups of each other."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"t{rng.randrange(900)}" for _ in range(60))
+    one, two, three, alone, other, both = (text() for _ in range(6))
+    rows = [(7, one), (None, one.upper()), (900, two), (None, two.upper()), (None, alone), (5, other), (5, three), (6, three), (None, both)]
+    rows += [(None, both.upper())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {(r.doc_id, r.text) for r in simhash.keep_one(df).collect()}
+    assert kept - {(None, both), (None, both.upper())} == {(7, one), (900, two), (None, alone), (5, other), (5, three)}
+    assert len(kept) == 6
+    groups = {r.fp: r.component_id for r in simhash.near_duplicates(df).filter("doc_id is not null").collect()}
+    assert sorted(groups.values()) == [5, 5, 7, 900]
+
+
 def test_empty_tables(nothing):
     assert line_dedup.without_repeats(nothing).count() == 0
     assert substring_dedup.cut_repeats(nothing).count() == 0
