@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of letters and digits with A-Z in lower case. A mask selects eight of twelve neighbouring
+Words are runs of letters and digits with A-Z in lower case. A mask selects seven of up to 13 neighbouring
 words; their hash does not change when words at the ignored places are replaced. Hashes of the benchmark
 items and of the documents are joined; a meeting says that a document may hold an item at a given shift.
 There the two are laid side by side and extended: a match scores 1, a substitution costs 3, and the best
 scoring stretch is the overlap. It counts if it has at least 13 words (or all words of a shorter item) and at
-least four fifths of them agree.
+least four fifths of them agree; if it does not, the best stretch that does is taken. The masks leave no such
+stretch of 12 words or more out.
 
 Documents send on only what passes a bitmap of the benchmark's hashes. The bitmap has a fixed size, so it is
 safe to broadcast whatever the benchmark holds; when it fills up it only lets more through to the join.
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import NO_ID, documents, identity, stored, text_chunks
 from lorekeep.llm.words import WordHasher, mark_bytes, mix, room
 
-MASKS = ("110100110111", "111010110101", "101101011011", "111100001111")
+#: Any stretch of 13 words or more with at most a fifth of them replaced holds one of these without a change:
+#: it has a part of 13 to 25 words of the same kind, and there all places of the replaced words are covered.
+MASKS = ("11101111", "11010010111", "110110001011", "1101000101011", "1111010011", "1010001001111")
+#: The same for whole items of 12 words.
+TWELVE = ("11110111", "1100101111", "11011001011", "1111111", "11111101")
 SPAN = 12
 SHORTEST = 6
 OVERLAP = 13
@@ -38,8 +43,15 @@ PAGE = 1 << 15
 
 
 def seed_masks() -> list[str]:
-    """The masks, and one without gaps for each length of a short item."""
-    return [*MASKS, *("1" * n for n in range(SHORTEST, SPAN))]
+    """The masks, those of items of 12 words, and one without gaps for each length of a shorter item."""
+    return [*MASKS, *TWELVE, *("1" * n for n in range(SHORTEST, SPAN))]
+
+
+def _wanted(number: int, mask: str, size: int) -> bool:
+    """Whether a mask is used for an item of so many words."""
+    if number < len(MASKS):
+        return size > SPAN
+    return size == (SPAN if number < len(MASKS) + len(TWELVE) else len(mask))
 
 
 def seed_hashes(words: np.ndarray, number: int, mask: str) -> np.ndarray:
@@ -85,7 +97,7 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
             for item, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist()):
                 whole = np.array(words, np.int64).view(np.uint64)
                 for number, mask in enumerate(seed_masks()):
-                    if number < len(MASKS) or len(mask) == len(whole):
+                    if _wanted(number, mask, len(whole)):
                         found = seed_hashes(whole, number, mask).view(np.int64)
                         ids = pa.array([item] * len(found), pa.int64())
                         at = pa.array(np.arange(len(found), dtype=np.int32))
@@ -162,16 +174,30 @@ def candidates(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def stretch(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(start in the document, length, substitutions) of the best overlap of an item laid at ``shift``."""
+    """(start in the document, length, substitutions) of the best overlap of an item laid at ``shift``.
+
+    Where the best scoring stretch is too short, it is the best of those that are long enough, scored so that
+    a sum of zero or more is an agreement of four fifths. So a stretch that counts is found if there is one.
+    """
     begin, end = max(0, -shift), min(len(item), len(words) - shift)
     same = words[shift + begin : shift + end] == item[begin:end]
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
     low = np.minimum.accumulate(score)
     stop = int(np.argmax(score - low))
     start = int(np.argmax(score[: stop + 1] == low[stop]))
+    least = min(OVERLAP, len(item))
+    if not counts(stop - start, int(stop - start - same[start:stop].sum()), item) and len(same) >= least:
+        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+        low = np.minimum.accumulate(score[: len(score) - least])
+        stop = least + int(np.argmax(score[least:] - low))
+        start = int(np.argmax(score[: stop - least + 1] == low[stop - least]))
     return shift + begin + start, stop - start, int(stop - start - same[start:stop].sum())
 
 
+def counts(n: int, bad: int, item: np.ndarray) -> bool:
+    return n >= min(OVERLAP, len(item)) and 5 * (n - bad) >= 4 * n
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(d, v, item_id, start, n_words, n_substituted): the longest overlap of each document and item.
 
@@ -197,11 +223,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 d, v, item_id, shifts_ = (c[i].as_py() for c in columns[:4])
                 item, words = (c[i].values.to_numpy() for c in columns[4:])
-                start, n, bad = min(
-                    (stretch(words, item, s) for s in shifts_), key=lambda s: (-(s[1] - s[2]), s[0])
-                )
-                if n >= min(OVERLAP, len(item)) and n - bad >= IDENTITY * n:
-                    out.append((d, v, item_id, start, n, bad))
+                laid_ = [x for s in shifts_ if counts(*(x := stretch(words, item, s))[1:], item)]
+                if laid_:
+                    out.append((d, v, item_id, *min(laid_, key=lambda x: (-(x[1] - x[2]), x[0]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], pa.int64()) for k in range(6)],
                 ["d", "v", "item_id", "start", "n_words", "n_substituted"],

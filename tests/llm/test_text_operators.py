@@ -95,6 +95,45 @@ def test_leaks_with_substitutions_are_found(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in found}
 
 
+def stated_rule(words, item):
+    """Some 13 words (or a shorter item whole) side by side of which four fifths agree, by every stretch."""
+    least = min(13, len(item))
+    for shift in range(-len(item) + 1, len(words)):
+        same = [words[shift + k] == item[k] for k in range(max(0, -shift), min(len(item), len(words) - shift))]
+        for a in range(len(same) - least + 1):
+            if any(5 * sum(same[a:b]) >= 4 * (b - a) for b in range(a + least, len(same) + 1)):
+                return True
+    return False
+
+
+def test_short_items_with_substitutions_by_the_stated_rule(spark):
+    rng = random.Random(4)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(12, 26)}
+    docs = []
+    for n, item in items.items():
+        for bad in range(n // 5 + 2):
+            for _ in range(6):
+                words = list(item)
+                for at in rng.sample(range(n), bad):
+                    words[at] = "other"
+                docs.append((len(docs), " ".join(["left"] * 5 + words + ["right"] * 5)))
+    docs.append((len(docs), " ".join("other" if k in (3, 7, 11) else w for k, w in enumerate(items[15]))))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id bigint, text string")
+    found = {(r.d, r.item_id) for r in decontaminate.overlaps(frame(spark, docs), bench).collect()}
+    assert found == {(i, n) for i, t in docs for n, x in items.items() if x[0][:3] in t and stated_rule(t.split(), x)}
+
+
+def test_masks_leave_no_stretch_out():
+    for n in range(12, 26):
+        masks = decontaminate.TWELVE if n == 12 else decontaminate.MASKS
+        gone = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(n), n // 5)])
+        kept = np.zeros(len(gone), bool)
+        for mask in masks:
+            for at in range(n - len(mask) + 1):
+                kept |= gone & (sum(1 << k for k, x in enumerate(mask) if x == "1") << at) == 0
+        assert kept.all(), n
+
+
 def test_leaks_of_edge_rows(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "the same passage stands in many documents here")], "item_id bigint, text string")
     kept = decontaminate.without_leaks(edges, bench)
