@@ -6,13 +6,14 @@ items and of the documents are joined; a meeting says that a document may hold a
 There the two are laid side by side and extended: a match scores 1, a substitution costs 3, and the best
 scoring stretch is the overlap. It counts if it has at least 13 words (or all words of a shorter item) and at
 least four fifths of them agree; if it does not, the best stretch that does is taken. The masks leave no such
-stretch of 12 words or more out.
+stretch out.
 
 Documents send on only what passes a bitmap of the benchmark's hashes. The bitmap has a fixed size, so it is
 safe to broadcast whatever the benchmark holds; when it fills up it only lets more through to the join.
 
-Null texts and texts without words overlap with nothing. Items of 6 to 11 words are matched whole and without
-substitutions; items of fewer words cannot be told from chance and are left out. Equal items are reported
+Characters of scripts without blanks are words of their own. Null texts and texts without words overlap with
+nothing. Items of 6 to 12 words are matched whole by the same rule. Items of fewer words are matched where they are
+a whole line or the whole text, without substitutions. Equal items are reported
 under their smallest id. Rows without an id are documents of their own by their text.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,16 @@ from lorekeep.llm.words import WordHasher, mark_bytes, mix, room
 #: Any stretch of 13 words or more with at most a fifth of them replaced holds one of these without a change:
 #: it has a part of 13 to 25 words of the same kind, and there all places of the replaced words are covered.
 MASKS = ("11101111", "11010010111", "110110001011", "1101000101011", "1111010011", "1010001001111")
-#: The same for whole items of 12 words.
-TWELVE = ("11110111", "1100101111", "11011001011", "1111111", "11111101")
-SPAN = 12
+#: The same for whole items of fewer words.
+SHORT = {
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11110111", "1100101111", "11011001011", "1111111", "11111101"),
+}
 SHORTEST = 6
 OVERLAP = 13
 IDENTITY = 0.8
@@ -42,16 +51,19 @@ SLOTS = 1 << 26
 PAGE = 1 << 15
 
 
-def seed_masks() -> list[str]:
-    """The masks, those of items of 12 words, and one without gaps for each length of a shorter item."""
-    return [*MASKS, *TWELVE, *("1" * n for n in range(SHORTEST, SPAN))]
+def seed_masks() -> list[tuple[str, int]]:
+    """Masks and the words of the items they are for, 0 for longer ones; the items of the last are whole lines."""
+    short = [(mask, n) for n, masks in SHORT.items() for mask in masks]
+    return [*((mask, 0) for mask in MASKS), *short, *(("1" * n, n) for n in range(1, SHORTEST))]
 
 
-def _wanted(number: int, mask: str, size: int) -> bool:
-    """Whether a mask is used for an item of so many words."""
-    if number < len(MASKS):
-        return size > SPAN
-    return size == (SPAN if number < len(MASKS) + len(TWELVE) else len(mask))
+def word_hasher() -> WordHasher:
+    return WordHasher(mark_bytes(), lower=True, lone=True)
+
+
+def kind(size: int) -> int:
+    """The number that seed_masks() has for items of so many words."""
+    return size if size < OVERLAP else 0
 
 
 def seed_hashes(words: np.ndarray, number: int, mask: str) -> np.ndarray:
@@ -77,7 +89,7 @@ def _words(table: DataFrame, key: str) -> DataFrame:
     """(key, words) of the rows that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(mark_bytes(), lower=True)
+        hasher = word_hasher()
         for batch in text_chunks(batches):
             words, offsets = hasher(batch.column("text"))
             rows = np.flatnonzero(np.diff(offsets))
@@ -96,8 +108,8 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for item, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist()):
                 whole = np.array(words, np.int64).view(np.uint64)
-                for number, mask in enumerate(seed_masks()):
-                    if _wanted(number, mask, len(whole)):
+                for number, (mask, size) in enumerate(seed_masks()):
+                    if size == kind(len(whole)):
                         found = seed_hashes(whole, number, mask).view(np.int64)
                         ids = pa.array([item] * len(found), pa.int64())
                         at = pa.array(np.arange(len(found), dtype=np.int32))
@@ -125,20 +137,37 @@ def seed_bitmap(seeds: DataFrame) -> np.ndarray:
     return bitmap.reshape(-1)
 
 
-def candidates(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(d, v, words, hits): documents with hashes that pass the bitmap, and those hashes with their places."""
+def _lines(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, where the words of each text start, and where those of each line."""
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    words, starts = hasher(lines.flatten())
+    counts = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+    return words, starts[np.concatenate([[0], np.cumsum(counts)])], starts
+
+
+def candidates(docs: DataFrame, bitmap: np.ndarray, kinds: set[int]) -> DataFrame:
+    """(d, v, words, hits): documents with hashes that pass the bitmap, and those hashes with their places.
+
+    ``kinds`` are those of the benchmark's items; masks of others are left out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(mark_bytes(), lower=True)
+        hasher = word_hasher()
         bits = shared.value
         for batch in text_chunks(batches):
-            words, offsets = hasher(batch.column("text"))
+            words, offsets, lines = _lines(hasher, batch.column("text"))
             left = room(offsets)
-            places, hashes = [], []
-            for number, mask in enumerate(seed_masks()):
+            places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for number, (mask, size) in enumerate(seed_masks()):
+                if size not in kinds:
+                    continue
                 found = seed_hashes(words, number, mask)
                 passed = left[: len(found)] >= len(mask)
+                if 0 < size < SHORTEST:
+                    passed[:] = False
+                    for starts in (lines, offsets):
+                        passed[starts[:-1][np.diff(starts) == size]] = True
                 for probe in (0, 1):
                     at = np.flatnonzero(passed)
                     slot = _slot(found[at], probe)
@@ -203,10 +232,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` counts the words of the document from 0; equal lengths are settled by it.
     """
-    items = _words(benchmark, "item_id").filter(F.size("words") >= SHORTEST)
+    items = _words(benchmark, "item_id")
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
     seeds = benchmark_seeds(items.select("item_id", "words"))
-    found = stored(candidates(docs, seed_bitmap(seeds)), "seed-hits")
+    sizes = items.select(F.least(F.size("words"), F.lit(OVERLAP)).alias("n")).distinct().collect()
+    found = stored(candidates(docs, seed_bitmap(seeds), {kind(r.n) for r in sizes}), "seed-hits")
     hits = found.select("d", "v", F.explode("hits").alias("hit")).select("d", "v", "hit.hash", "hit.place")
     shifts = (
         hits.join(seeds, "hash")
