@@ -12,6 +12,7 @@ from lorekeep.llm import (
     line_dedup,
     media,
     pii,
+    quality,
     secrets,
     sentencepieces,
     sharding,
@@ -34,8 +35,9 @@ def queries() -> dict[str, Query]:
         "op8_media_columns": media.op8_media_columns,
         "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op12_quality_rules": quality.op12_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL}
+    return {"op2_line_dedup": line_dedup.OP2_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL, "op12_quality_rules": quality.OP12_SQL}
