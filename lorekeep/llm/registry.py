@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import (
     decontaminate,
+    hard_negatives,
     language_id,
     line_dedup,
     media,
@@ -36,8 +37,14 @@ def queries() -> dict[str, Query]:
         "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
         "op12_quality_rules": quality.op12_quality_rules,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL, "op12_quality_rules": quality.OP12_SQL}
+    return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
+        "op6_substring_dedup": substring_dedup.OP6_SQL,
+        "op12_quality_rules": quality.OP12_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
+    }
