@@ -10,6 +10,7 @@ from lorekeep.llm import (
     decontaminate,
     hard_negatives,
     language_id,
+    lexical_search,
     line_dedup,
     media,
     pii,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op8_media_columns": media.op8_media_columns,
         "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_quality_rules": quality.op12_quality_rules,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
@@ -45,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL,
         "op12_quality_rules": quality.OP12_SQL,
         "op13_hard_negatives": hard_negatives.OP13_SQL,
     }
