@@ -161,12 +161,13 @@ def references(docs: DataFrame) -> dict:
     classes, words = counts.filter("class is not null"), counts.filter("class is null")
     whole = classes.agg(F.sum("n")).first()[0] or 0
     sizes = classes.groupBy("lang").agg(F.sum("n").alias("chars")).filter(F.col("chars") >= F.lit(SHARE * whole))
-    kept = classes.join(sizes.select("lang"), "lang", "left_semi").collect()
-    langs = sorted({r["lang"] for r in kept})
+    langs = sorted(r["lang"] for r in sizes.collect())
+    # a list of at most 1,000 names, so that no table is shuffled by language
+    named = F.col("lang").isin(langs)
     table = np.zeros((len(langs), len(CLASSES)))
-    for r in kept:
+    for r in classes.filter(named).collect():
         table[langs.index(r["lang"]), r["class"]] = r["n"]
-    own = words.join(sizes.select("lang"), "lang", "left_semi")
+    own = words.filter(named)
     totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     order = [F.col("n").desc(), F.col("word").asc()]
     salted = own.filter("word <> ''").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
