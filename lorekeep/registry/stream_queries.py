@@ -12,11 +12,13 @@ from lorekeep.registry.base import at, query
 from lorekeep.session import scratch_dir
 from lorekeep.sources import jobs as job_source
 from lorekeep.streaming import jobs as live
+from lorekeep.streaming import timers
 from lorekeep.streaming.runner import drain, latest_state, run_batches, table_stream
 
 
 SLICES = 3
 LATE = "12 hours"
+ROWS_PER_JOB = 5
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,13 +145,17 @@ def stall_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stuck_job_timeout",
     fx.cte(fx.JOBS)
-    + f"""SELECT job_id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'requeue' END AS action, attempts FROM fx_jobs
- WHERE status = 'processing' AND epoch_us(ts) // 1000 + {STALE_MINUTES} * 60000
- < (SELECT max(epoch_us(ts) // 1000) FROM fx_jobs) - 12 * 3600000""",
+    + f"""SELECT DISTINCT ON (a.job_id, a.ts) a.job_id // {ROWS_PER_JOB} AS job_id, CASE WHEN a.attempts >= 3 THEN 'failed'
+ ELSE 'requeue' END AS action, a.attempts FROM fx_jobs a WHERE a.status = 'processing'
+ AND (epoch_us(a.ts) + 999) // 1000 + {STALE_MINUTES} * 60000 <= (SELECT max(epoch_us(ts) // 1000) FROM fx_jobs) - 12 * 3600000
+ AND NOT EXISTS (SELECT 1 FROM fx_jobs b WHERE b.job_id // {ROWS_PER_JOB} = a.job_id // {ROWS_PER_JOB}
+ AND b.ts <= a.ts + INTERVAL {STALE_MINUTES} MINUTE AND (b.ts > a.ts OR b.ts = a.ts AND b.status <> 'processing'))""",
 )
 def stuck_job_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = log_stream(spark, sf_dir).select("job_id", "status", "ts", "attempts")
-    return drain(live.stuck_job_timeout(log, late=LATE)).select("job_id", "action", "attempts")
+    """Several rows per job, which set, move and cancel its timer over the batches."""
+    job = F.expr(f"job_id div {ROWS_PER_JOB}").alias("job_id")
+    log = log_stream(spark, sf_dir).select(job, "status", "ts", "attempts")
+    return drain(timers.stuck_job_timeout(log, late=LATE)).select("job_id", "action", "attempts")
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.constants import MAX_ATTEMPTS, STALE_MINUTES
 from lorekeep.operators.ranking import bucketed_rank
 
 
@@ -27,7 +26,6 @@ def throughput_windows(
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "run_id", "n")
     )
 
-
 def activity_sessions(log: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Phases of activity per run: a pause longer than ``gap`` is a stall."""
     if log.isStreaming:
@@ -43,11 +41,9 @@ def activity_sessions(log: DataFrame, gap: str = "30 minutes", late: str = "10 m
         )
     )
 
-
 def idle_ticks(interval: float) -> int:
     return max(int(10 / max(interval, 0.1)), 3)
 
-
 def stall_detection(
     samples: DataFrame, stale_seconds: int = 30, interval: float = 2.0, key: str = "run_id", bucket_ticks: int = 4096
 ) -> DataFrame:
@@ -86,7 +82,6 @@ def stall_detection(
         .select(*samples.columns, F.col("still").alias("stagnant_ticks"), "health")
     )
 
-
 def _health(stale_seconds: int, interval: float) -> Column:
     stalled = F.col("scanning") & (F.col("heartbeat_age") > stale_seconds)
     return (
@@ -96,47 +91,16 @@ def _health(stale_seconds: int, interval: float) -> Column:
         .otherwise("LIVE")
     )
 
-
-def stuck_job_timeout(
-    log: DataFrame, minutes: int = STALE_MINUTES, max_attempts: int = MAX_ATTEMPTS, late: str = "10 minutes"
-) -> DataFrame:
-    """Timeout events (job_id, action, attempts) from a job log stream (job_id, status, ts, attempts).
-
-    A job that stays in processing for ``minutes`` of event time is requeued, or failed after too many
-    attempts. A processing row is held against the later rows of its job within that time: any of them cancels
-    its timer, in whatever order and batch they come, as long as they are no later than ``late``. What has no
-    such row is sent on when the watermark has passed its time. At equal times another status comes after
-    processing, and a repeated processing row counts once.
-    """
-    marked = log.withWatermark("ts", late)
-    started = marked.filter(F.col("status") == "processing").dropDuplicates(["job_id", "ts"])
-    started = started.select("job_id", F.col("ts").alias("started_at"), "attempts")
-    after = marked.select(
-        F.col("job_id").alias("later_id"), F.col("ts").alias("later_at"), F.col("status").alias("later_status")
-    )
-    newer = F.col("later_at") > F.col("started_at")
-    settled = (F.col("later_at") == F.col("started_at")) & (F.col("later_status") != "processing")
-    within = (F.col("later_at") >= F.col("started_at")) & (
-        F.col("later_at") <= F.col("started_at") + F.expr(f"INTERVAL {minutes} MINUTES")
-    )
-    met = (F.col("job_id") == F.col("later_id")) & within & (newer | settled)
-    alone = started.join(after, met, "left_outer").filter(F.col("later_id").isNull())
-    action = F.when(F.col("attempts") >= max_attempts, "failed").otherwise("requeue")
-    return alone.select("job_id", action.alias("action"), "attempts")
-
-
 def split_failures(results: DataFrame, max_attempts: int = 2) -> DataFrame:
     """Failed deliveries with their target: requeued at first, dead-lettered from the second on."""
     failed = results.filter(F.col("status") == "failed")
     return failed.withColumn("target", F.when(F.col("attempts") < max_attempts - 1, "retry").otherwise("dead"))
 
-
 def write_failures(batch: DataFrame, batch_id: int, root: str, max_attempts: int = 2) -> None:
     """Sink step: one pass writes both tables; a retried batch overwrites its own folder."""
     rows = split_failures(batch, max_attempts)
     rows.write.mode("overwrite").partitionBy("target").parquet(f"{root}/batch={batch_id}")
 
-
 def job_dedup(jobs: DataFrame, keys: list[str], within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The first job of each key in each window of ``within``; the same rows from a stream and from a table.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +15,7 @@ from lorekeep.plans import sync
 from lorekeep.sources import jobs as job_source
 from lorekeep.sources import tables
 from lorekeep.streaming import jobs as live
+from lorekeep.streaming import timers
 from lorekeep.streaming.runner import drain, latest_state
 
 T0 = datetime(2024, 1, 1)
@@ -83,7 +86,7 @@ def test_timeouts_fire_once_and_can_be_cancelled(spark, tmp_path):
         [(9, 1, "queued", minute(91), 0)],
     ]
     log = stream_of(spark, tmp_path / "log", batches).select("job_id", "status", "ts", "attempts")
-    got = sorted((r.job_id, r.action, r.attempts) for r in drain(live.stuck_job_timeout(log)).collect())
+    got = sorted((r.job_id, r.action, r.attempts) for r in drain(timers.stuck_job_timeout(log)).collect())
     assert got == [(1, "requeue", 1), (2, "failed", 3), (4, "requeue", 0)]
 
 
@@ -96,10 +99,81 @@ def test_an_older_row_in_a_later_batch_starts_no_timer(spark, tmp_path):
         [(9, 1, "queued", minute(101), 0)],
     ]
     log = stream_of(spark, tmp_path / "log", batches).select("job_id", "status", "ts", "attempts")
-    got = sorted((r.job_id, r.action, r.attempts) for r in drain(live.stuck_job_timeout(log)).collect())
+    got = sorted((r.job_id, r.action, r.attempts) for r in drain(timers.stuck_job_timeout(log)).collect())
     assert got == [(2, "requeue", 1), (3, "requeue", 0)]
 
 
+def test_timeouts_match_a_plain_reading_of_the_log(spark, tmp_path):
+    """Jobs of many rows, out of order over the batches: timers are set, moved and cancelled."""
+    draw = random.Random(4)
+    rows = [
+        (draw.randrange(25), 1, draw.choice(["processing", "processing", "queued", "done"]), minute(draw.randrange(0, 600)), draw.randrange(4))
+        for _ in range(400)
+    ]
+    rows.sort(key=lambda r: (r[3] - T0).total_seconds() + draw.uniform(0, 500))
+    batches = [rows[i : i + 70] for i in range(0, len(rows), 70)]
+    batches += [[(99, 1, "queued", minute(2000 + i), 0)] for i in range(2)]
+    log = stream_of(spark, tmp_path / "log", batches).select("job_id", "status", "ts", "attempts")
+    got = sorted((r.job_id, r.action, r.attempts) for r in drain(timers.stuck_job_timeout(log, late="10 minutes")).collect())
+    most = {}
+    for job, _, status, ts, attempts in rows:
+        if status == "processing":
+            most[job, ts] = max(most.get((job, ts), 0), attempts)
+    span = timedelta(minutes=30)
+    expected = sorted(
+        (job, "failed" if attempts >= 3 else "requeue", attempts)
+        for (job, ts), attempts in most.items()
+        if not any(j == job and (ts < t <= ts + span or (t == ts and s != "processing")) for j, _, s, t, _ in rows)
+    )
+    assert got == expected and len(got) > 10
+
+
+SAMPLES = "run_id bigint, tick bigint, done bigint, cursor bigint, processing int, scanning boolean, heartbeat_age bigint"
+
+
+def health_samples():
+    return [
+        (run, t, 0 if t < 4 else t // 9, 1, 1 if t % 11 == run else 0, t % 13 == 0, 99 if t % 26 == 0 else None)
+        for t in range(1, 40)
+        for run in (1, 2)
+    ]
+
+
+def run_for(stream, checkpoint, enough):
+    """Rows of a stream with timers of the clock, which has no end by itself, until there are enough."""
+    seen = []
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, number: seen.extend(tuple(r) for r in batch.collect()))
+        .option("checkpointLocation", str(checkpoint))
+        .trigger(processingTime="300 milliseconds")
+        .start()
+    )
+    try:
+        end = time.time() + 60
+        while time.time() < end and not enough(seen):
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    return seen
+
+
+def test_live_health_agrees_with_the_batch_form(spark, tmp_path):
+    rows = health_samples()
+    stream = timers.live_health(stream_of(spark, tmp_path / "log", [rows[:30], rows[30:32], rows[32:]], SAMPLES), 3600)
+    got = run_for(stream, tmp_path / "checkpoint", lambda seen: len(seen) == len(rows))
+    table = live.stall_detection(spark.createDataFrame(rows, SAMPLES), 3600)
+    keys = ["run_id", "tick", "stagnant_ticks", "health"]
+    assert sorted(got) == sorted(tuple(r) for r in table.select(*keys).collect())
+
+
+def test_a_silent_run_stalls_without_a_new_row(spark, tmp_path):
+    rows = [(1, 1, 0, 0, 1, False, None), (2, 1, 0, 0, 1, False, None), (1, 2, 1, 0, 1, False, None)]
+    stream = timers.live_health(stream_of(spark, tmp_path / "log", [rows], SAMPLES), 3)
+    seen = run_for(stream, tmp_path / "checkpoint", lambda seen: sum(r[3] == "STALLED" for r in seen) == 2)
+    assert sorted(r for r in seen if r[3] == "STALLED") == [(1, 2, 0, "STALLED"), (2, 1, 1, "STALLED")]
+    assert [r[3] for r in sorted(seen)].count("LIVE") == 3
+
+
 def test_dedup_across_batches(spark, tmp_path):
     batches = [
         [(1, 1, "queued", minute(2), 0), (1, 1, "queued", minute(2), 0)],
