@@ -23,85 +23,102 @@ def _milliseconds(micros: int, minutes: int) -> int:
 class StuckJobs(StatefulProcessor):
     """Per job the rows that still matter: processing rows without a verdict, and rows newer than the watermark.
 
-    An older row may still come for the latter. A processing row that a later one of its job cancels loses its
-    timer at once. When nothing is left, the job leaves no state behind.
+    An older row may still come for the latter. A processing row that a later one of its job cancels is forgotten
+    at once. Jobs share the state and the timer of their bucket, which stands at the earliest time that is up
+    next, so that a batch costs a few state calls per bucket and not per job. A bucket without open rows leaves
+    no state behind.
     """
 
-    def __init__(self, minutes: int, max_attempts: int) -> None:
-        self.minutes, self.max_attempts = minutes, max_attempts
+    def __init__(self, minutes: int, max_attempts: int, job_type: str) -> None:
+        self.minutes, self.max_attempts, self.layout = minutes, max_attempts, f"job {job_type}, {EVENT}"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", EVENT)
+        self.rows = handle.getListState("rows", self.layout)
 
     def _open(self, rows: list[tuple]) -> list[tuple]:
-        """The processing rows that no row of the job follows in time."""
+        """The processing rows that no row of the job follows in time; rows are sorted, processing rows first."""
         reach = self.minutes * 60_000_000
-        out = []
-        for ts, processing, attempts in rows:
-            followed = any(ts < t <= ts + reach or (t == ts and not p) for t, p, _ in rows)
-            if processing and not followed:
-                out.append((ts, processing, attempts))
-        return out
-
-    def _keep(self, rows: list[tuple], opened: list[tuple], watermark: int) -> None:
-        kept = [r for r in rows if r in opened or r[0] > watermark * 1000]
+        after = [*rows[1:], (None, 0, False, 0)]
+        return [r for r, n in zip(rows, after) if r[2] and not (n[0] == r[0] and n[1] <= r[1] + reach)]
+
+    def _settle(self, rows: list[tuple], watermark: int) -> list[tuple]:
+        """Store what still matters, set the timer and return the rows whose time is up."""
+        opened = self._open(rows)
+        due = [r for r in opened if _milliseconds(r[1], self.minutes) <= watermark]
+        waiting = set(opened) - set(due)
+        kept = [r for r in rows if r in waiting or r[1] > watermark * 1000]
         if kept:
             self.rows.put(kept)
         else:
             self.rows.clear()
+        moment = min((_milliseconds(r[1], self.minutes) for r in waiting), default=None)
+        known = list(self.handle.listTimers())
+        for old in known:
+            if old != moment:
+                self.handle.deleteTimer(old)
+        if moment is not None and moment not in known:
+            self.handle.registerTimer(moment)
+        return due
+
+    def _events(self, due: list[tuple]) -> Iterator[pd.DataFrame]:
+        if due:
+            action = ["failed" if r[3] >= self.max_attempts else "requeue" for r in due]
+            yield pd.DataFrame({"job_id": [r[0] for r in due], "action": action, "attempts": [r[3] for r in due]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.rows.get()]
-        before = {_milliseconds(r[0], self.minutes) for r in self._open(held)}
-        merged = {(ts, processing): attempts for ts, processing, attempts in held}
+        merged = {tuple(r[:3]): r[3] for r in self.rows.get()}
         for frame in rows:
-            for ts, status, attempts in zip(frame["micros"], frame["status"], frame["attempts"]):
-                at = (int(ts), status == "processing")
-                merged[at] = max(merged.get(at, 0), int(attempts))
-        held = [(ts, processing, attempts) for (ts, processing), attempts in sorted(merged.items())]
-        opened = self._open(held)
-        after = {_milliseconds(r[0], self.minutes) for r in opened}
-        for moment in before - after:
-            self.handle.deleteTimer(moment)
-        for moment in after - before:
-            self.handle.registerTimer(moment)
-        self._keep(held, opened, timerValues.getCurrentWatermarkInMs())
-        yield from ()
+            columns = (frame[c].tolist() for c in ("job_id", "micros", "processing", "attempts"))
+            for job, ts, processing, attempts in zip(*columns):
+                at = (job, ts, processing)
+                merged[at] = max(merged.get(at, 0), attempts)
+        held = sorted(((*at, n) for at, n in merged.items()), key=lambda r: (r[0], r[1], not r[2]))
+        yield from self._events(self._settle(held, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.rows.get()]
-        moment = expiredTimerInfo.getExpiryTimeInMs()
-        opened = self._open(held)
-        due = [r for r in opened if _milliseconds(r[0], self.minutes) <= moment]
-        self._keep([r for r in held if r not in due], [r for r in opened if r not in due], timerValues.getCurrentWatermarkInMs())
-        for _, _, attempts in due:
-            action = "failed" if attempts >= self.max_attempts else "requeue"
-            yield pd.DataFrame({"job_id": [key[0]], "action": [action], "attempts": [attempts]})
+        yield from self._events(self._settle(held, timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
 
 
 def stuck_job_timeout(
-    log: DataFrame, minutes: int = STALE_MINUTES, max_attempts: int = MAX_ATTEMPTS, late: str = "10 minutes"
+    log: DataFrame,
+    minutes: int = STALE_MINUTES,
+    max_attempts: int = MAX_ATTEMPTS,
+    late: str = "10 minutes",
+    buckets: int = 256,
 ) -> DataFrame:
     """Timeout events (job_id, action, attempts) from a job log stream (job_id, status, ts, attempts).
 
     A job that stays in processing for ``minutes`` of event time is requeued, or failed after too many attempts.
-    The log is scanned once. Each processing row sets a timer; any later row of its job within that time cancels
-    it, in whatever order and batch they come, as long as they are no later than ``late``. What is left is sent on
-    when the watermark has passed its time. At equal times another status comes after processing; of repeated
-    processing rows the one with most attempts counts. State is kept per job, for rows newer than the watermark
-    and for processing rows whose time is not up.
+    The log is scanned once. Each processing row starts a time; any later row of its job within it cancels it, in
+    whatever order and batch they come, as long as they are no later than ``late``. What is left is sent on when
+    the watermark has passed its time. At equal times another status comes after processing; of repeated
+    processing rows the one with most attempts counts. State holds rows newer than the watermark and processing
+    rows whose time is not up, in ``buckets`` of jobs: take about a hundredth of the jobs that are open at a time.
+    Rows without a job are left out.
     """
-    rows = log.select(
-        "job_id", "ts", F.unix_micros("ts").alias("micros"), "status", F.coalesce("attempts", F.lit(0)).alias("attempts")
-    ).withWatermark("ts", late)
     kinds = {c: log.schema[c].dataType.simpleString() for c in ("job_id", "attempts")}
-    out = f"job_id {kinds['job_id']}, action string, attempts {kinds['attempts']}"
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        StuckJobs(minutes, max_attempts), out, "append", "eventTime"
+    rows = log.filter(F.col("job_id").isNotNull()).select(
+        F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"),
+        "job_id",
+        "ts",
+        F.unix_micros("ts").alias("micros"),
+        (F.coalesce("status", F.lit("")) == "processing").alias("processing"),
+        F.coalesce("attempts", F.lit(0)).alias("attempts"),
+    )
+    return (
+        rows.withWatermark("ts", late)
+        .groupBy("bucket")
+        .transformWithStateInPandas(
+            StuckJobs(minutes, max_attempts, kinds["job_id"]),
+            f"job_id {kinds['job_id']}, action string, attempts {kinds['attempts']}",
+            "append",
+            "eventTime",
+        )
     )
 
 
