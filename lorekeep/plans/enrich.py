@@ -21,17 +21,26 @@ def empty_enrichments(spark: SparkSession) -> DataFrame:
 
 
 def run_jobs(
-    jobs: DataFrame, items: DataFrame, enrichments: DataFrame, run: Callable[[DataFrame], DataFrame] = run_builtin
+    jobs: DataFrame,
+    items: DataFrame,
+    enrichments: DataFrame,
+    run: Callable[[DataFrame], DataFrame] = run_builtin,
+    assets: DataFrame | None = None,
 ) -> DataFrame:
     """Enrichment rows for jobs (item_id, kind, source_hash); a row with an error is failed.
 
+    With ``assets`` the rows hold the path of the primary file, which a model that asks for its bytes opens.
     The results are written once: every job goes through the model one time, however often they are used.
     """
-    rows = cut_lineage(
+    rows = (
         jobs.select("item_id", "kind", "source_hash")
         .join(items.select("item_id", "text_content", "caption"), "item_id")
         .join(enrichment.completed_texts(enrichments), "item_id", "left")
     )
+    if assets is not None:
+        paths = enrichment.primary_assets(assets).select("item_id", "source_relative_path")
+        rows = rows.join(paths, "item_id", "left")
+    rows = cut_lineage(rows)
     done = cut_lineage(run(rows)).join(rows.select("item_id", "kind", "source_hash"), ["item_id", "kind"])
     return done.withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed")).withColumnRenamed(
         "source_hash", "source_content_hash"
@@ -61,10 +70,10 @@ def enrich(
     what a sync has written, give its items.
     """
     first = enrichment.plan_enrichment(items, assets, enrichments, **scope).filter(F.col("kind") != SUMMARY)
-    found = run_jobs(first, items, enrichments, run)
+    found = run_jobs(first, items, enrichments, run, assets)
     evidence = cut_lineage(upsert_enrichments(enrichments, found))
     second = enrichment.plan_enrichment(items, assets, evidence, **scope).filter(F.col("kind") == SUMMARY)
-    summaries = run_jobs(second, items, evidence, run)
+    summaries = run_jobs(second, items, evidence, run, assets)
     notes = cut_lineage(upsert_enrichments(evidence, summaries))
     ids = found.select("item_id").unionByName(summaries.select("item_id")).distinct()
     touched = items.join(ids, "item_id", "left_semi")

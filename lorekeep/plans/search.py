@@ -30,7 +30,8 @@ def projection_texts(
     enrichments: DataFrame,
     wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Facets and embedding text of both projections, from one pass over the joined items.
+    """Facets, embedding text and, for the raw one, the path of the file of both projections, from one pass over the
+    joined items.
 
     ``wanted`` (item_id, projection_kind) cuts the rows before any text is embedded.
     """
@@ -44,8 +45,14 @@ def projection_texts(
         F.struct(F.lit(RAW).alias("projection_kind"), enrichment.document_text_column().alias("text")),
     )
     rows = full.select(
-        *FACETS, "stable_key", F.unix_timestamp("occurred_at").alias("occurred_at_unix"), F.inline(texts)
+        *FACETS,
+        "stable_key",
+        F.unix_timestamp("occurred_at").alias("occurred_at_unix"),
+        F.inline(texts),
+        F.col("source_relative_path").alias("_path"),
     )
+    # only the raw projection is made from the file as well
+    rows = rows.withColumn("source_relative_path", F.when(F.col("projection_kind") == RAW, F.col("_path"))).drop("_path")
     if wanted is not None:
         rows = rows.join(wanted.select("item_id", "projection_kind"), ["item_id", "projection_kind"], "left_semi")
     return rows.filter(F.length("text") > 0)
@@ -59,7 +66,7 @@ def embed_points(texts: DataFrame, embed: Embedder | None = None) -> DataFrame:
     keyed = texts.withColumn("point_id", hashing.point_id(F.col("stable_key"), F.col("projection_kind")))
     embedded = (embed or hash_embedder())(keyed.drop("stable_key"), ["item_id", "projection_kind"], "text")
     known = ["point_id", *FACETS, "occurred_at_unix", "projection_kind"]
-    return embedded.select(*known, *[c for c in embedded.columns if c not in known])
+    return embedded.select(*known, *[c for c in embedded.columns if c not in (*known, "source_relative_path")])
 
 
 def index_points(

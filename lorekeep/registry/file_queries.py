@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep import providers
+from lorekeep.constants import OCR
 from lorekeep.functions import hashing
 from lorekeep.operators import enrichment
 from lorekeep.registry import inputs as fx
 from lorekeep.registry.base import query
 from lorekeep.session import scratch_dir
 from lorekeep.sources import exports, media
+from lorekeep.sources.payloads import Payloads
 
 
 @query(
@@ -37,6 +43,30 @@ def media_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "asset_payloads",
+    fx.cte(fx.ASSETS)
+    + """SELECT a.item_id, 'ocr_raw' AS kind, CASE WHEN a.item_id % 50 <> 7 THEN sha256(text) END AS text,
+ CASE WHEN a.item_id % 50 <> 7 THEN octet_length(encode(text))::VARCHAR END AS size, 'digest' AS provider,
+ CASE WHEN a.item_id % 50 = 7 THEN 'media_missing' END AS error
+ FROM fx_assets a JOIN documents d ON d.doc_id = a.item_id WHERE role = 'primary'""",
+)
+def asset_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every asset's file, measured by a model in its slot; a file that is not there is its row's error."""
+    root = scratch_dir(spark, "assets")
+    fx.write_asset_files(spark, sf_dir, root)
+
+    def digest(batch: pd.DataFrame) -> pd.DataFrame:
+        sizes = [str(len(x)) for x in batch["payload"]]
+        return pd.DataFrame({"text": [hashlib.sha256(x).hexdigest() for x in batch["payload"]], "language_code": sizes})
+
+    rows = enrichment.primary_assets(fx.assets(spark, sf_dir)).select(
+        "item_id", F.lit(OCR).alias("kind"), "source_relative_path"
+    )
+    found = providers.run_model(rows, digest, "digest", "sha256", Payloads(root))
+    return found.select("item_id", "kind", "text", F.col("language_code").alias("size"), "provider", "error")
+
+
 @query(
     "manifest_snapshot",
     """SELECT 'my-chats' AS source_slug, 'run-1' AS sync_run_id, conv_id AS chat_id, count(*) AS messages

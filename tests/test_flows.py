@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep import providers
-from lorekeep.constants import DERIVED, RAW
+from lorekeep.constants import DERIVED, RAW, SUMMARY
 from lorekeep.operators import enrichment
 from lorekeep.plans import enrich, search, sync
+from lorekeep.sources.payloads import Payloads
 from lorekeep.sources import exports, media, tables
 
 AS_OF = datetime(2024, 5, 1)
@@ -173,6 +174,46 @@ def test_model_slots_report_errors_per_row(spark):
         assert (out.text, out.status, out.error) == expected
 
 
+def test_model_slots_get_the_bytes_of_files(spark, tmp_path):
+    for name, size in (("a.bin", 10), ("b.bin", 700), ("c.bin", 300), ("d.bin", 0)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    names = [(i, n, f"t{i}") for i, n in enumerate(["a.bin", "b.bin", "gone.bin", "c.bin", None, "d.bin"])]
+
+    def extract(batch):
+        sizes = [-1 if x is None else len(x) for x in batch["payload"]]
+        if sum(sizes) > 900 or 300 in sizes and len(sizes) > 1:
+            raise ValueError("too much at once")
+        if 300 in sizes:
+            raise RuntimeError("cannot read this one")
+        return pd.DataFrame({"text": [str(s) for s in sizes], "language_code": "en"})
+
+    payloads = Payloads(str(tmp_path), batch_bytes=800)
+    rows = spark.createDataFrame(names, "item_id bigint, source_relative_path string, caption string").coalesce(1)
+    done = providers.run_model(rows.withColumn("kind", F.lit("ocr_raw")), extract, "p", "m", payloads).collect()
+    assert {r.item_id: (r.text, r.error) for r in done} == {
+        0: ("10", None), 1: ("700", None), 2: (None, "media_missing"), 3: (None, "cannot read this one"),
+        4: (None, "no_media"), 5: ("0", None),
+    }
+    summary = rows.filter("item_id = 4").withColumn("kind", F.lit(SUMMARY))
+    assert providers.run_model(summary, extract, "p", "m", payloads).first().text == "-1"
+
+    def encode(texts, files):
+        return [[float(len(t)), -1.0 if f is None else float(len(f))] for t, f in zip(texts, files)]
+
+    embed = providers.model_embedder(encode, 2, payloads=payloads)
+    got = {r.item_id: (r.vector, r.error) for r in embed(rows, ["item_id"], "caption").collect()}
+    assert got[1] == ([2.0, 700.0], None) and got[4] == ([2.0, -1.0], None) and got[2] == (None, "media_missing")
+    pieces = list(payloads.pieces(pd.DataFrame(names, columns=["item_id", "source_relative_path", "t"])))
+    assert [len(p) for p in pieces] == [3, 3] and sum(len(p) for p in pieces) == len(names)
+
+
+def test_no_file_bytes_are_shuffled(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ocr_raw", "a.bin")], "item_id bigint, kind string, source_relative_path string")
+    done = providers.run_model(rows, lambda b: b.assign(text="", language_code=""), "p", "m", Payloads(str(tmp_path)))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "payload" not in plan
+
+
 def test_unknown_source_kind(spark):
     with pytest.raises(KeyError):
         providers.scan_source(spark, "carrier_pigeon", "/nowhere")
