@@ -7,19 +7,21 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from lorekeep.constants import DERIVED, KIND_WEIGHTS, RAW, RRF_K, VECTOR_SIZE
 from lorekeep.functions import vectors as V
+from lorekeep.operators.groups import first_of_each, over_groups
+from lorekeep.session import cut_lineage
 
 SCORE_DIGITS = 9
 # A pack of vectors has at most so many bytes as a dense matrix, a block of queries also at most so many rows.
 BLOCK_BYTES = 2 << 20
 MOST_QUERIES = 1024
-# Blocks whose lists a task holds at a time; the oldest list is handed on early when there are more.
-HELD_BLOCKS = 8
+# The blocks that pass over the points together, as dense matrices.
+GROUP_BYTES = 32 << 20
 _CHUNK_CELLS = 4 << 20
 
 # (rows, keys, text column) -> the rows with a vector and an ``error`` in the place of the text.
@@ -204,14 +206,40 @@ def _vector_columns(df: DataFrame) -> list[str]:
     return ["vector"] if "vector" in df.columns else ["idx", "weight"]
 
 
-def _top_k(partial: DataFrame, k: int, fan_in: int = 64) -> DataFrame:
-    """Merge per-task lists in two steps, so one query never brings all its lists to one task."""
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(fan_in)))
-    order = [F.col("score").desc(), F.col("item_id").asc()]
-    first = Window.partitionBy("query_id", "kind", "salt").orderBy(*order)
-    last = Window.partitionBy("query_id", "kind").orderBy(*order)
-    reduced = salted.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).drop("rank", "salt")
-    return reduced.withColumn("rank", F.row_number().over(last).cast("bigint")).filter(F.col("rank") <= k)
+def task_lists(packs: DataFrame, blocks: list[Row], k: int, dim: int, names: Sequence[tuple[str, object]]) -> DataFrame:
+    """(query_id, kind, item_id, score): of every task the k best of its packed points for each query of the blocks.
+
+    A task holds one list per query, whatever the number of blocks, and hands it on once at its end. ``names`` are
+    the fields query_id and item_id with their types.
+    """
+    (query, q_type), (item, p_type) = names
+    fields = [(query, _arrow_type(q_type)), ("kind", pa.string()), (item, _arrow_type(p_type)), ("score", pa.float64())]
+    out = pa.schema(fields)
+    parts = list(zip(("idx", "weight", "starts"), (np.int32, np.float64, np.int64)))
+    shared = packs.sparkSession.sparkContext.broadcast(
+        [(r["kind"], list(r["ids"]), [bytes(r[c]) for c, _ in parts]) for r in blocks]
+    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for label, ids, packed in shared.value:
+            own = [np.frombuffer(x, t) for x, (_, t) in zip(packed, parts)]
+            held.append((label, _Best(np.array(ids, object), k), _matrix(*own, dim)))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                label = batch.column("kind")[i].as_py()
+                own = [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in parts]
+                ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
+                for kind, best, matrix in held:
+                    if kind == label:
+                        best.add(_scores(*own, matrix), ids)
+        for label, best, _ in held:
+            if len(best.query):
+                columns = [best.query_ids[best.query].tolist(), [label] * len(best.query), best.ids, best.score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+
+    ddl = f"{query} {q_type.simpleString()}, kind string, {item} {p_type.simpleString()}, score double"
+    return packs.mapInArrow(score, ddl)
 
 
 def knn_topk(
@@ -222,6 +250,7 @@ def knn_topk(
     condition: Column | None = None,
     kind: str | None = None,
     block_bytes: int = BLOCK_BYTES,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Exact cosine top-k of each query: (query_id, item_id, score, rank), with ``kind`` if one is given.
 
@@ -230,56 +259,32 @@ def knn_topk(
     has a list of its own among the points of its kind, and all kinds share one scan. ``condition`` is applied
     to the point columns before scoring, so it reaches the scan.
 
-    Both sides are packed where they are read, the queries into blocks of at most ``block_bytes``. Each block
-    passes over the packed points, which are never shuffled, and a task hands on k rows per query. The plan is
-    the same for every number of queries. Equal scores are ordered by item id. A vector that does not fit
+    The queries are packed into blocks of at most ``block_bytes`` and written once. Groups of blocks of at most
+    ``group_bytes`` are broadcast one after the other; for each the points are packed where they are read, and a
+    task hands on k rows per query. So points are never shuffled, no two vectors meet in a row, and what is sent
+    on does not depend on the number of blocks. Equal scores are ordered by item id. A vector that does not fit
     ``dim`` fails the job with its id.
     """
     scoped = points if condition is None else points.filter(condition)
     label = F.lit("") if kind is None else F.col(kind)
     p = scoped.select("item_id", label.alias("kind"), *_vector_columns(points))
     q = queries.select("query_id", label.alias("kind"), *_vector_columns(queries))
-    q_type, p_type = q.schema["query_id"].dataType, p.schema["item_id"].dataType
-    fields = [("query_id", _arrow_type(q_type)), ("kind", pa.string()), ("item_id", _arrow_type(p_type))]
-    out = pa.schema([*fields, ("score", pa.float64())])
+    names = [("query_id", q.schema["query_id"].dataType), ("item_id", p.schema["item_id"].dataType)]
     rows = max(1, block_bytes // (8 * dim))
-    blocks = _packed(q, "query_id", dim, min(rows, MOST_QUERIES)).withColumn("block", F.monotonically_increasing_id())
+    blocks = cut_lineage(_packed(q, "query_id", dim, min(rows, MOST_QUERIES)))
     # sparse points are scored as they are stored, so more of them fit
-    wide = rows if "vector" in points.columns else max(rows, 1024)
-    left = _packed(p, "item_id", dim, wide).select(*(F.col(c).alias(f"p_{c}") for c in ("kind", "ids", "idx", "weight", "starts")))
-    parts = ("idx", "weight", "starts")
-    kinds_of = (np.int32, np.float64, np.int64)
+    packs = _packed(p, "item_id", dim, rows if "vector" in points.columns else max(rows, 1024))
+    order = [F.col("score").desc(), F.col("item_id").asc()]
 
-    def emit(best: _Best, label: str) -> pa.RecordBatch:
-        columns = [best.query_ids[best.query], [label] * len(best.query), best.ids, best.score]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+    def search(group: list[Row]) -> DataFrame:
+        found = task_lists(packs, group, k, dim, names)
+        return first_of_each(found, ["query_id", "kind"], order, k, "item_id")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], tuple[_Best, np.ndarray]] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                label = batch.column("kind")[i].as_py()
-                if batch.column("p_kind")[i].as_py() != label:
-                    continue
-                key = (batch.column("block")[i].as_py(), label)
-                if key not in held:
-                    if len(held) == HELD_BLOCKS:
-                        oldest = next(iter(held))
-                        yield emit(held.pop(oldest)[0], oldest[1])
-                    own = [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(parts, kinds_of)]
-                    ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
-                    held[key] = (_Best(ids, k), _matrix(*own, dim))
-                best, matrix = held[key]
-                own = [np.frombuffer(batch.column(f"p_{c}")[i].as_buffer(), t) for c, t in zip(parts, kinds_of)]
-                best.add(_scores(*own, matrix), batch.column("p_ids")[i].values.to_numpy(zero_copy_only=False))
-        for (_, label), (best, _) in held.items():
-            yield emit(best, label)
-
-    ddl = f"query_id {q_type.simpleString()}, kind string, item_id {p_type.simpleString()}, score double"
-    # every block of queries against every pack of points: a stated query set against all rows
-    found = _top_k(left.crossJoin(blocks).mapInArrow(score, ddl), k)
+    found = over_groups(blocks, F.size("ids") * F.lit(8 * dim), group_bytes, search, "knn")
+    if found is None:
+        found = first_of_each(task_lists(packs.limit(0), [], k, dim, names), ["query_id", "kind"], order, k, "item_id")
     named = [] if kind is None else [F.col("kind").alias(kind)]
-    return found.select("query_id", *named, "item_id", "score", "rank")
+    return found.select("query_id", *named, "item_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def rrf_fuse(

@@ -56,20 +56,38 @@ def test_knn_is_exact_with_copies(spark, vectors, k):
 
 
 def test_many_small_blocks_give_the_same(spark, vectors):
-    """More blocks of queries than a task holds at a time, and packs of three points."""
+    """Many blocks of queries in several groups, and packs of three points."""
     queries, points = vectors
     queries = queries + [(2000 + i, v) for i, (_, v) in enumerate(points[40:80])]
     q, p = frames(spark, queries, points)
-    found = ops.knn_topk(q.repartition(3), p, 20, 8, block_bytes=8 * 8 * 3)
-    assert result(found) == sorted(brute(queries, points, 20))
+    for group in (ops.GROUP_BYTES, 8 * 8 * 20):
+        found = ops.knn_topk(q.repartition(3), p, 20, 8, block_bytes=8 * 8 * 3, group_bytes=group)
+        assert result(found) == sorted(brute(queries, points, 20))
 
 
-def test_no_point_vector_is_shuffled(spark, vectors):
+def test_a_task_hands_on_k_rows_per_query_for_any_number_of_blocks(spark, vectors):
+    queries, points = vectors
+    asked = [(i, points[i % len(points)][1]) for i in range(100)]
+    many = [(i, points[i % len(points)][1]) for i in range(2000)]
+    q, p = frames(spark, asked, many)
+    names = [("query_id", q.schema["query_id"].dataType), ("item_id", p.schema["item_id"].dataType)]
+    empty = F.lit("").alias("kind")
+    packs = ops._packed(p.repartition(3).select("item_id", empty, "vector"), "item_id", 8, 10)
+    blocks = ops._packed(q.coalesce(1).select("query_id", empty, "vector"), "query_id", 8, 5).collect()
+    assert len(blocks) == 20 and packs.count() >= 200
+    assert ops.task_lists(packs, blocks, 7, 8, names).count() == 3 * 100 * 7
+
+
+def test_points_are_neither_joined_nor_shuffled(spark, vectors):
     q, p = frames(spark, *vectors)
-    plan = ops.knn_topk(q, p.coalesce(2), 5, 8)._jdf.queryExecution().executedPlan().toString()
-    below = plan.split("CartesianProduct")[-1] if "CartesianProduct" in plan else plan.split("NestedLoopJoin")[-1]
-    points = [line for line in below.splitlines() if "Exchange hashpartitioning" in line]
-    assert not points
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ops.knn_topk(q, p.coalesce(2), 5, 8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Cartesian" not in plan and "Join" not in plan
+    below = plan[plan.index("MapInArrow") :]
+    assert "hashpartitioning" not in below
 
 
 def test_kinds_have_lists_of_their_own(spark, vectors):
