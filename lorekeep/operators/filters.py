@@ -38,6 +38,11 @@ def unix_second(moment: datetime) -> int:
     return int((moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).timestamp())
 
 
+def unix_micros(moment: datetime) -> int:
+    """Microseconds since 1970, in UTC like ``unix_second``."""
+    return unix_second(moment.replace(microsecond=0)) * 1_000_000 + moment.microsecond
+
+
 def facet_condition(
     source_ids: Sequence = (),
     source_kinds: Sequence[str] = (),

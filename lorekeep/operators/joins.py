@@ -41,6 +41,17 @@ def projection_lookup(items: DataFrame, projections: DataFrame, kind: str) -> Da
     return items.join(one_kind, "item_id", "left")
 
 
+def child_rows(parents: DataFrame, key: str, frame: DataFrame, kind: str, kinds: Sequence) -> DataFrame:
+    """The children of the given parents as rows with their ``place``: listed kinds first, all others after them.
+
+    The form of :func:`attach_children` for parents with very many children: nothing is gathered per parent.
+    """
+    place = F.lit(len(kinds))
+    for number, value in enumerate(kinds):
+        place = F.when(F.col(kind) == value, number).otherwise(place)
+    return frame.join(parents.select(key).distinct(), key, "left_semi").withColumn("place", place)
+
+
 def attach_children(
     parents: DataFrame,
     key: str,
@@ -50,7 +61,8 @@ def attach_children(
     """Parents with one array of structs per child table: all children, whatever their kind and number.
 
     Each entry is ``name: (frame, kind column, kinds)``. Listed kinds come first, in their order, then the
-    others by kind; children of one kind are ordered by their other columns.
+    others by kind; children of one kind are ordered by their other columns. The arrays of a parent are one value:
+    where a parent may have very many children, take :func:`child_rows`.
     """
     result = parents
     for frame, dim_key in dims:

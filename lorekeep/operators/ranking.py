@@ -16,13 +16,15 @@ from pyspark.sql.types import TimestampType
 from lorekeep.constants import TYPE_PRIORITY
 from lorekeep.functions.text import duration_text
 from lorekeep.operators.aggregates import type_order
+from lorekeep.operators.filters import unix_micros
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
     """Newest row per key; of equal times the smallest ``tie`` wins, which may be of any type.
 
-    One aggregate that combines map-side, so a key with very many rows sends one row per task. Rows without a
-    time are the oldest.
+    One aggregate on both sides of its exchange, so a key with very many rows sends one row per task. It keeps the
+    best row whole, so Spark sorts by key before it aggregates; narrow a wide table first. Rows without a time are
+    the oldest.
     """
     rest = [c for c in df.columns if c not in keys]
     time = F.unix_micros(ts) if isinstance(df.schema[ts].dataType, TimestampType) else F.col(ts)
@@ -92,15 +94,17 @@ def keyset_page(
 ) -> DataFrame:
     """Page in (ts, key) descending order after ``cursor``; ``next_cursor`` is set when the page is full.
 
-    The cursor keeps microseconds, so rows of one second are not skipped.
+    The cursor keeps microseconds, so rows of one second are not skipped. It is written in UTC, and a cursor
+    without a zone is read so, whatever the zones of session and driver are.
     """
     if cursor is not None:
-        at, last_key = F.lit(cursor[0]), F.lit(cursor[1])
+        at, last_key = F.timestamp_micros(F.lit(unix_micros(cursor[0]))), F.lit(cursor[1])
         df = df.filter((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < last_key)))
     page = df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(limit)
     whole = Window.partitionBy()
     last = F.min(F.struct(F.col(ts), F.col(key))).over(whole)
-    text = F.concat(F.date_format(last[ts], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("_"), last[key].cast("string"))
+    moment = F.to_utc_timestamp(last[ts], F.current_timezone())
+    text = F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("_"), last[key].cast("string"))
     return page.withColumn("next_cursor", F.when(F.count("*").over(whole) == limit, text))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.constants import RAW
 from lorekeep.functions import hashing, text
 from lorekeep.operators import aggregates, filters, lifecycle
-from lorekeep.operators.ranking import latest_per_key, priority_topk
+from lorekeep.operators.ranking import priority_topk
 from lorekeep.session import cut_lineage
 from lorekeep.sources import exports, media, tables
 from lorekeep.streaming.runner import run_batches
@@ -41,7 +41,16 @@ def scan_items(
     items = filters.type_include_exclude(items, include, exclude)
     items = filters.hash_sample(items, "external_key", sample_percent)
     items = items.withColumn("source_id", F.lit(source_id)).withColumnRenamed("index_status", "projection_status")
-    return latest_per_key(items, ["external_key"], "pos", "message_id")
+    return last_message(items)
+
+
+def last_message(items: DataFrame) -> DataFrame:
+    """One item per key: that of the newest manifest file, then of the last path, and there the last position."""
+    place = [c for c in ("manifest_at", "manifest_path") if c in items.columns]
+    rest = [c for c in items.columns if c != "external_key"]
+    order = F.struct(*place, "pos", -F.col("message_id"))
+    last = items.groupBy("external_key").agg(F.max_by(F.struct(*rest), order).alias("row"))
+    return last.select("external_key", "row.*").select(*[c for c in items.columns if c not in place])
 
 
 def empty_items(spark: SparkSession, incoming: DataFrame) -> DataFrame:
@@ -245,7 +254,7 @@ def incremental_scan(
         reader = reader.option("multiLine", "true").option("pathGlobFilter", name_filter)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.json(input_dir)
+    stream = exports.placed(reader.json(input_dir))
 
     def sync(batch: DataFrame, batch_id: int) -> None:
         run_sync(

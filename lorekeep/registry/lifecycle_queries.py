@@ -93,21 +93,37 @@ def mark_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "corpus_tables",
-    fx.cte(fx.SNAPSHOTS)
-    + """SELECT source_id, count(*) AS items, count(*) FILTER (external_key NOT IN (SELECT external_key FROM fx_incoming))
- AS absent FROM fx_stored GROUP BY 1""",
+    fx.cte(fx.SNAPSHOTS, fx.ENRICHMENTS, fx.ASSETS)
+    + """SELECT 'corpus_items' AS stored_in, source_id||' '||external_key AS place, content_hash AS what,
+ external_key IN (SELECT external_key FROM fx_incoming) AS present FROM fx_stored
+ UNION ALL SELECT 'enrichments', item_id||' '||kind, status||' '||coalesce(sha256(text), ''), true FROM fx_enrichments
+ UNION ALL SELECT 'corpus_assets', item_id||' '||role, sha256||' '||file_size_bytes, true FROM fx_assets""",
 )
 def corpus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the items, read them for the next version, and read that."""
+    """All rows of the tables as they are read back; the items after a second version that was made from the first."""
     root = scratch_dir(spark, "corpus")
     tables.write_table(stored_items(spark, sf_dir), root, "corpus_items")
     current = tables.read_table(spark, root, "corpus_items")
     tables.write_table(lifecycle.mark_absent(current, fx.incoming(spark, sf_dir)), root, "corpus_items")
-    return (
-        tables.read_table(spark, root, "corpus_items")
-        .groupBy("source_id")
-        .agg(F.count("*").alias("items"), F.count_if(~F.col("present_in_latest_sync")).alias("absent"))
-    )
+    notes = fx.enrichments(spark, sf_dir).withColumnRenamed("kind", "note_kind")
+    tables.write_table(notes, root, "enrichments")
+    tables.write_table(fx.assets(spark, sf_dir), root, "corpus_assets")
+    shown = {
+        "corpus_items": (F.concat_ws(" ", "source_id", "external_key"), F.col("content_hash"), F.col("present_in_latest_sync")),
+        "enrichments": (
+            F.concat_ws(" ", "item_id", "note_kind"),
+            F.concat("status", F.lit(" "), F.coalesce(F.sha2("text", 256), F.lit(""))),
+            F.lit(True),
+        ),
+        "corpus_assets": (F.concat_ws(" ", "item_id", "role"), F.concat_ws(" ", "sha256", "file_size_bytes"), F.lit(True)),
+    }
+    found = [
+        tables.read_table(spark, root, name).select(
+            F.lit(name).alias("stored_in"), place.alias("place"), what.alias("what"), present.alias("present")
+        )
+        for name, (place, what, present) in shown.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(

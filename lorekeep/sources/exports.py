@@ -19,25 +19,33 @@ def read_manifests(spark: SparkSession, path: str | list[str], layout: str = "ex
     """
     reader = spark.read.schema(MANIFEST_SCHEMA).option("mode", "FAILFAST")
     if layout == "lines":
-        return reader.option("recursiveFileLookup", "true").json(path)
+        return placed(reader.option("recursiveFileLookup", "true").json(path))
     paths = [path] if isinstance(path, str) else path
     folders = [p for p in paths if not p.endswith(".json")]
     files = [p for p in paths if p.endswith(".json")]
     reader = reader.option("multiLine", "true")
     found = []
     if files:
-        found.append(reader.json(files))
+        found.append(placed(reader.json(files)))
     if folders:
         deep = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "result.json")
-        found.append(deep.json(folders))
+        found.append(placed(deep.json(folders)))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
+def placed(manifests: DataFrame) -> DataFrame:
+    """Add the time and path of the file of each manifest that was read."""
+    file = F.col("_metadata")
+    return manifests.withColumns({"manifest_at": file["file_modification_time"], "manifest_path": file["file_path"]})
+
+
 def explode_messages(manifests: DataFrame) -> DataFrame:
-    """One row per message: chat id, chat title, position, message."""
+    """One row per message: chat id, chat title, position, message, and the place of the manifest if it is known."""
+    place = [c for c in ("manifest_at", "manifest_path") if c in manifests.columns]
     return manifests.select(
         F.col("id").alias("chat_id"),
         F.col("name").alias("chat_title"),
+        *place,
         F.posexplode("messages").alias("pos", "message"),
     )
 
@@ -77,6 +85,7 @@ def normalize_messages(scanned: DataFrame) -> DataFrame:
         "chat_id",
         F.col("chat_title").alias("container_name"),
         F.col("chat_id").cast("string").alias("container_external_id"),
+        *[c for c in ("manifest_at", "manifest_path") if c in scanned.columns],
         "pos",
         message_id.alias("message_id"),
         messages.external_key(F.col("chat_id"), message_id).alias("external_key"),

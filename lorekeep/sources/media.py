@@ -2,14 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from lorekeep.functions import hashing
+from lorekeep.sources.payloads import open_shared
+
+
+HASH_BLOCK = 4 << 20
+
+
+def hash_files(files: DataFrame, opener: Callable[[str], BinaryIO] = open_shared, block: int = HASH_BLOCK) -> DataFrame:
+    """``sha256`` and ``error`` in the place of ``path``: each file is read in its task, block by block.
+
+    Memory does not grow with the size of a file. A file that cannot be read has its error.
+    """
+    kept = [c for c in files.columns if c != "path"]
+
+    def digest(path: str) -> tuple[str | None, str | None]:
+        seen = hashlib.sha256()
+        try:
+            with opener(path) as stream:
+                while part := stream.read(block):
+                    seen.update(part)
+        except Exception as error:  # noqa: BLE001
+            return None, str(error) or type(error).__name__
+        return seen.hexdigest(), None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [digest(path) for path in batch.column("path").to_pylist()]
+            columns = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "sha256", "error"])
 
-# Spark reads a file's content as one value, which must stay well below 2 GiB.
-MOST_HASHED_BYTES = 1 << 30
+    schema = StructType([files.schema[c] for c in kept]).add("sha256", StringType()).add("error", StringType())
+    return files.mapInArrow(run, schema)
 
 
 def media_inventory(
@@ -17,13 +50,13 @@ def media_inventory(
     root: str,
     with_content_hash: bool = False,
     known: DataFrame | None = None,
-    most_bytes: int = MOST_HASHED_BYTES,
+    opener: Callable[[str], BinaryIO] = open_shared,
 ) -> DataFrame:
     """Path relative to ``root``, size and modification time; with ``with_content_hash`` also sha256 and error.
 
-    Content is read only for its hash. Files that ``known`` (an earlier inventory) holds with the same path,
-    size and time keep their hash from there. Files of more than ``most_bytes`` are not hashed and say so in
-    ``error``; they are told apart by place, size and time.
+    Content is read only for its hash, by blocks and whatever its size. Files that ``known`` (an earlier inventory)
+    holds with the same path, size and time keep their hash from there. ``opener`` reads stores that Arrow does
+    not know.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/") + "/"
@@ -33,26 +66,15 @@ def media_inventory(
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified_at"),
     ]
-    listed = files.select(*columns)
     if not with_content_hash:
-        return listed
+        return files.select(*columns)
+    listed = files.select("path", *columns)
+    if known is None:
+        return hash_files(listed, opener)
     same = ["source_relative_path", "size", "modified_at"]
-    nothing = F.lit(None).cast("string")
-    large = listed.filter(F.col("size") > most_bytes).withColumn("sha256", nothing)
-    large = large.withColumn("error", F.lit("too_large_to_hash"))
-    small = files.filter(F.col("length") <= most_bytes)
-    if known is not None:
-        held = known.filter(F.col("sha256").isNotNull()).select(*same, "sha256").distinct()
-        kept = listed.filter(F.col("size") <= most_bytes).join(held, same).withColumn("error", nothing)
-        paths = files.select("path", *columns).filter(F.col("size") <= most_bytes).join(held, same, "left_anti")
-        # Spark's own file listing has all paths on the driver already
-        changed = [r.path for r in paths.select("path").collect()]
-        if not changed:
-            return kept.unionByName(large)
-        small = spark.read.format("binaryFile").load(changed)
-    hashed = small.select(*columns, F.sha2("content", 256).alias("sha256"), nothing.alias("error"))
-    fresh = hashed.unionByName(large)
-    return fresh if known is None else fresh.unionByName(kept)
+    held = known.filter(F.col("sha256").isNotNull()).groupBy(*same).agg(F.first("sha256").alias("sha256"))
+    kept = listed.drop("path").join(held, same).withColumn("error", F.lit(None).cast("string"))
+    return hash_files(listed.join(held, same, "left_anti"), opener).unionByName(kept)
 
 
 def _quoted(text: str) -> str:

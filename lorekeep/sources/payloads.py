@@ -17,7 +17,9 @@ def open_shared(path: str) -> BinaryIO:
     """A file of a local folder or of any store that Arrow knows by its URI."""
     from pyarrow import fs
 
-    store, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     return store.open_input_stream(place)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +115,23 @@ def job_dedup(jobs: DataFrame, keys: list[str], within: str = "1 hour", late: st
     first = F.min_by(F.struct(*rest), F.struct("ts", *[c for c in rest if c != "ts"])).alias("job")
     found = marked.groupBy(F.window("ts", within).alias("slot"), *keys).agg(first)
     return found.select(F.col("slot.start").alias("slot"), *keys, *[F.col(f"job.{c}").alias(c) for c in rest])
+
+
+def job_dedup_for_good(jobs: DataFrame, keys: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """One job per key for good, with all its columns: no window, no lateness.
+
+    Keys that ``stored`` holds are done. In a stream (append mode) the first row to come wins and its key stays in
+    state, and ``stored`` seeds a new query that has no state yet, so that a restart without its checkpoint makes
+    no second job. In a table the row with the smallest time wins, and of equal times the smallest other columns.
+    Null keys are equal to each other.
+    """
+    if stored is not None:
+        known = stored.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        jobs = jobs.join(known, reduce(and_, same), "left_anti")
+    if jobs.isStreaming:
+        return jobs.dropDuplicates(keys)
+    rest = [c for c in jobs.columns if c not in keys]
+    order = F.struct("ts", *[c for c in rest if c != "ts"])
+    first = jobs.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("job"))
+    return first.select(*keys, "job.*").select(*jobs.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from datetime import datetime
 
 import pandas as pd
@@ -373,6 +375,45 @@ def test_columns_of_later_versions_are_read(spark, root):
     assert got == [(1, "a", None), (2, "c", 5)]
 
 
+def test_files_are_hashed_by_blocks(spark, tmp_path):
+    (tmp_path / "a b%20.bin").write_bytes(b"xyz" * 1000)
+    sizes = []
+
+    class Watched:
+        def __init__(self, path):
+            self.file = open(path.removeprefix("file:"), "rb")  # noqa: SIM115
+
+        def read(self, n):
+            sizes.append(n)
+            return self.file.read(n)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    files = spark.createDataFrame([(f"file:{tmp_path}/a b%20.bin", 1), (f"{tmp_path}/gone", 2)], "path string, k int")
+    for opener in (media.open_shared, Watched):
+        rows = {r.k: r for r in media.hash_files(files, opener, 7).collect()}
+        assert rows[1].sha256 == hashlib.sha256(b"xyz" * 1000).hexdigest() and rows[1].error is None
+        assert rows[2].sha256 is None and rows[2].error
+
+
+def test_the_newest_manifest_wins(spark, tmp_path):
+    """Two manifests of one chat: the later file counts, though the message stands at an earlier place in it."""
+    texts = {"old": ["a", "b", "first"], "new": ["second"]}
+    for number, (name, said) in enumerate(texts.items()):
+        messages = [{"id": 7 if t in ("first", "second") else i, "text": t, "date_unixtime": "1704103200"} for i, t in enumerate(said)]
+        (tmp_path / name).mkdir()
+        file = tmp_path / name / "result.json"
+        file.write_text(json.dumps({"id": 1, "name": "c", "messages": messages}))
+        os.utime(file, (1_700_000_000 + number, 1_700_000_000 + number))
+    found = sync.scan_items(exports.export_scan(spark, str(tmp_path)), "s")
+    assert {r.external_key: r.text_content for r in found.collect()} == {"1:0": "a", "1:1": "b", "1:7": "second"}
+    assert not {"manifest_at", "manifest_path"} & set(found.columns)
+
+
 def test_inventory_hashes_what_has_changed(spark, tmp_path):
     folder = tmp_path / "media"
     folder.mkdir()
@@ -380,15 +421,15 @@ def test_inventory_hashes_what_has_changed(spark, tmp_path):
         (folder / name).write_bytes(body)
 
     def look(known=None):
-        rows = media.media_inventory(spark, str(folder), True, known, most_bytes=10).collect()
+        rows = media.media_inventory(spark, str(folder), True, known).collect()
         return {r.source_relative_path: (r.sha256, r.error) for r in rows}
 
     first = look()
-    assert first["c.bin"] == (None, "too_large_to_hash") and len(first["a.bin"][0]) == 64
-    found = media.media_inventory(spark, str(folder), True, most_bytes=10)
+    assert first == {n: (hashlib.sha256((folder / n).read_bytes()).hexdigest(), None) for n in ("a.bin", "b.bin", "c.bin")}
+    found = media.media_inventory(spark, str(folder), True)
     marked = found.withColumn("sha256", F.when(F.col("sha256").isNotNull(), "kept"))
     marked = spark.createDataFrame(marked.collect(), marked.schema)
-    assert look(marked) == {"a.bin": ("kept", None), "b.bin": ("kept", None), "c.bin": (None, "too_large_to_hash")}
+    assert set(look(marked).values()) == {("kept", None)}
     (folder / "b.bin").write_bytes(b"four")
     again = look(marked)
     assert again["a.bin"] == ("kept", None) and again["b.bin"][0] not in ("kept", first["b.bin"][0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -277,6 +278,36 @@ def test_keyset_walk_within_a_second(spark):
     assert seen == list(range(8, -1, -1))
 
 
+def test_keyset_walk_outside_utc(spark, monkeypatch):
+    df = spark.range(12).selectExpr("id", "timestamp_seconds(1704067200 + 3600 * (id % 5)) as at").repartition(3)
+    expected = [r.id for r in df.orderBy(F.desc("at"), F.desc("id")).collect()]
+    try:
+        for driver, session in (("America/New_York", "UTC"), ("Asia/Tokyo", "Europe/Paris")):
+            monkeypatch.setenv("TZ", driver)
+            time.tzset()
+            spark.conf.set("spark.sql.session.timeZone", session)
+            seen, cursor = [], None
+            while len(seen) < 20:
+                page = ranking.keyset_page(df, "at", "id", 5, cursor).orderBy(F.desc("at"), F.desc("id")).collect()
+                seen += [r.id for r in page]
+                if not page or page[0].next_cursor is None:
+                    break
+                when, last = page[0].next_cursor.split("_")
+                cursor = (datetime.fromisoformat(when), int(last))
+            assert seen == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_children_as_rows(spark):
+    parents = spark.createDataFrame([(1,), (2,), (2,)], "item_id int")
+    frame = spark.createDataFrame([(1, "b", 5), (1, "a", 6), (2, "z", 7), (3, "a", 8)], "item_id int, kind string, v int")
+    got = sorted(tuple(r) for r in joins.child_rows(parents, "item_id", frame, "kind", ["a", "b"]).collect())
+    assert got == [(1, "a", 6, 0), (1, "b", 5, 1), (2, "z", 7, 2)]
+
+
 def test_deep_role_closure(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3), (50, 51)], "role int, implied int")
     starts = spark.createDataFrame([(10,), (99,)], "role int")

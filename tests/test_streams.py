@@ -188,6 +188,25 @@ def test_dedup_across_batches(spark, tmp_path):
     assert sorted((r.job_id, r.ts, r.attempts) for r in out.collect()) == first
 
 
+def test_one_job_per_key_for_good(spark, tmp_path):
+    """Days apart, in other batches, and after a restart without a checkpoint: one job per key."""
+    batches = [
+        [(1, 1, "queued", minute(2), 0), (1, 1, "queued", minute(3), 0)],
+        [(1, 1, "queued", minute(50_000), 5), (2, 1, "queued", minute(1), 0)],
+        [(2, 1, "queued", minute(90_000), 0), (None, 1, "queued", minute(1), 0), (None, 1, "queued", minute(2), 1)],
+    ]
+    keys = ["run_id", "job_id"]
+    first = drain(live.job_dedup_for_good(stream_of(spark, tmp_path / "log", batches), keys)).drop("batch_id")
+    assert sorted((r.job_id or 0) for r in first.collect()) == [0, 1, 2]
+    later = stream_of(spark, tmp_path / "later", [[(1, 1, "queued", minute(99_999), 0), (3, 1, "queued", minute(5), 0)]])
+    assert [r.job_id for r in drain(live.job_dedup_for_good(later, keys, first)).collect()] == [3]
+    rows = spark.createDataFrame([r for b in batches for r in b], LOG)
+    table = live.job_dedup_for_good(rows, keys)
+    assert table.columns == rows.columns
+    assert {(r.job_id, r.ts) for r in table.collect()} == {(1, minute(2)), (2, minute(1)), (None, minute(1))}
+    assert live.job_dedup_for_good(rows, keys, first).count() == 0
+
+
 @pytest.mark.parametrize(("attempts", "target"), [(0, "retry"), (1, "dead"), (5, "dead")])
 def test_failures_split(spark, attempts, target):
     df = spark.createDataFrame([(1, "failed", attempts), (2, "done", attempts)], "job_id int, status string, attempts int")
