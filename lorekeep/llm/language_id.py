@@ -13,6 +13,7 @@ first in the alphabet. Repeated rows give repeated result rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,12 +83,22 @@ RANGES = [
 SCRIPTS = sorted({name for _, name in RANGES if name})
 
 
+def _kinds() -> np.ndarray:
+    """2 for the code points that are letters, 1 for marks that go with letters, 0 for all others."""
+    first = [unicodedata.category(chr(c))[0] for c in range(RANGES[-1][0])]
+    return np.array([{"L": 2, "M": 1}.get(x, 0) for x in first], np.uint8)
+
+
+#: Within the ranges of scripts there are digits, signs and punctuation as well; from the last range on all are letters.
+KINDS = _kinds()
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 class Words:
-    """Words of a text column: letters only, as places in the bytes, with their scripts."""
+    """Words of a text column: letters and their marks, as places in the bytes, with their scripts."""
 
     def __init__(self, column: pa.Array) -> None:
         data, self.rows = flat_bytes(column)
@@ -95,6 +106,7 @@ class Words:
         starts = np.array([start for start, _ in RANGES])
         ascii_bits = bits[np.searchsorted(starts, np.arange(128), side="right") - 1]
         script = np.zeros(len(data) + 3, np.uint32)
+        real = np.zeros(len(data), bool)
         low = data < 128
         script[: len(data)][low] = ascii_bits[data[low]]
         lead = np.flatnonzero(data >= 0xC0)
@@ -108,12 +120,18 @@ class Words:
                 (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63,
             ),
         )
-        found = bits[np.searchsorted(starts, code, side="right") - 1]
+        kind = np.where(code < len(KINDS), KINDS[np.minimum(code, len(KINDS) - 1)], 2)
+        found = np.where(kind > 0, bits[np.searchsorted(starts, code, side="right") - 1], 0).astype(np.uint32)
+        real[low] = ascii_bits[data[low]] != 0
+        real[lead] = (kind == 2) & (found != 0)
         for k, least in enumerate((0, 0, 0xE0, 0xF0)):
             some = b[0] >= least
             script[lead[some] + k] = found[some]
         script = script[: len(data)]
         letters = script != 0
+        # marks alone make no text of a language
+        sums = np.concatenate([[0], np.cumsum(real)])
+        self.has_letter = sums[self.rows[1:]] > sums[self.rows[:-1]]
         self.starts, self.ends = bounds(~letters, self.rows) if len(data) else (np.empty(0, np.int64),) * 2
         self.scripts = np.bitwise_or.reduceat(np.append(script, 0), self.starts) if len(self.starts) else script[:0]
         # a word's letters are counted as characters
@@ -199,9 +217,9 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -
     first, lengths = offsets[:-1][order], lengths[order]
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    origin = np.zeros(scores.shape, np.int8)
-    labels = np.zeros(len(scores), np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)[None, :]
+    origin = np.zeros(scores.shape, np.int16)
+    labels = np.zeros(len(scores), np.int16)
+    own = np.arange(scores.shape[1], dtype=np.int16)[None, :]
     best = np.zeros((len(lengths), scores.shape[1]), np.float64)
     for t in range(steps):
         n = active[t]
@@ -211,10 +229,10 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -
             top = now.argmax(axis=1)
             switched = now[np.arange(n), top] - penalty
             move = switched[:, None] > now
-            origin[at] = np.where(move, top[:, None].astype(np.int8), own)
+            origin[at] = np.where(move, top[:, None].astype(np.int16), own)
             np.maximum(now, switched[:, None], out=now)
         now += scores[at]
-    label = best.argmax(axis=1).astype(np.int8)
+    label = best.argmax(axis=1).astype(np.int16)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = first[:n] + t
@@ -254,6 +272,7 @@ def identify(rows: DataFrame, model: dict) -> DataFrame:
             scores = np.concatenate([word_scores(p, model) for p in parts])
             letters = np.concatenate([p.letters for p in parts])
             counts = np.concatenate([np.diff(p.offsets) for p in parts])
+            has_letter = np.concatenate([p.has_letter for p in parts])
             del parts
             offsets = np.concatenate([[0], np.cumsum(counts)])
             labels = viterbi(scores, offsets)
@@ -271,12 +290,12 @@ def identify(rows: DataFrame, model: dict) -> DataFrame:
                 r = row[a]
                 spans[r].append(f"{model['langs'][labels[a]]}:{a - offsets[r]}:{b - offsets[r]}")
             texts = group.column("text")
-            known = [counts[i] > 0 or any(c.isalpha() for c in texts[i].as_py() or "") for i in range(n)]
+            known = np.array([has_letter[i] or any(c.isalpha() for c in texts[i].as_py() or "") for i in range(n)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *own,
                     pa.array([model["langs"][p] if k else NONE for p, k in zip(pred, known)]),
-                    pa.array(share),
+                    pa.array(np.where(known, share, 0.0)),
                     pa.array([",".join(s) for s in spans]),
                 ],
                 names,
