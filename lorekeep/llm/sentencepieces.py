@@ -117,7 +117,7 @@ class PieceTable:
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit and holds every unit against the SentencePiece library.
+    """Encodes texts unit by unit with the rebuilt tokenizer and holds every unit against the SentencePiece library.
 
     A unit is a run of markers with what follows up to the next one. Where no piece has a marker behind another
     character, no piece reaches over the end of a unit, so a text's ids are those of its units one after the
@@ -138,7 +138,7 @@ class UnitEncoder:
     def forget(self) -> None:
         """Start anew, with the unit that is a marker alone, which no text of its own can stand for."""
         ours, theirs = (encode("x ")[len(encode("x")) :] for encode in (self._ours, self.library.encode))
-        self.known = {"": np.array(theirs, np.int32).tobytes()} if self.separable else {}
+        self.known = {"": np.array(ours, np.int32).tobytes()} if self.separable else {}
         self.differ = {""} if self.separable and ours != theirs else set()
 
     def _ours(self, text: str) -> list[int]:
@@ -152,24 +152,25 @@ class UnitEncoder:
         one = [unit for unit in new if self.separable and MARK not in unit]
         rest = [unit for unit in new if not self.separable or MARK in unit]
         blocks = [one[i : i + TOGETHER] for i in range(0, len(one), TOGETHER)]
-        texts = [" ".join(block) for block in blocks] + [unit.replace(MARK, " ") if self.separable else unit for unit in rest]
-        ours = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = [np.array(ids, np.int32) for ids in self.library.encode(texts, num_threads=self.threads)]
-        for block, a, b in zip(blocks, ours, theirs):
-            same = np.array_equal(a, b)
-            cuts = [np.append(np.flatnonzero(self.heads[x]), len(x)) * 4 for x in ((b,) if same else (a, b))]
-            data = b.tobytes()
-            parts = [data[x:y] for x, y in zip(cuts[-1], cuts[-1][1:])]
-            self.known.update(zip(block, parts, strict=True))
-            if not same:
+        for block, a, b in zip(blocks, *self._both([" ".join(block) for block in blocks])):
+            if np.array_equal(a, b):
+                cuts = np.append(np.flatnonzero(self.heads[a]), len(a)) * 4
                 data = a.tobytes()
-                other = [data[x:y] for x, y in zip(cuts[0], cuts[0][1:])]
-                self.differ.update(unit for unit, x, y in zip(block, parts, other, strict=True) if x != y)
-        for unit, a, b in zip(rest, ours[len(blocks) :], theirs[len(blocks) :]):
-            self.known[unit] = b.tobytes()
+                self.known.update(zip(block, [data[x:y] for x, y in zip(cuts, cuts[1:])], strict=True))
+            else:
+                # which of them differ shows when each is encoded alone
+                rest += block
+        for unit, a, b in zip(rest, *self._both([unit.replace(MARK, " ") if self.separable else unit for unit in rest])):
+            self.known[unit] = a.tobytes()
             if not np.array_equal(a, b):
                 self.differ.add(unit)
 
+    def _both(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of the rebuilt tokenizer and those of the SentencePiece library."""
+        ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        theirs = self.library.encode(texts, num_threads=self.threads)
+        return [np.array(e.ids, np.int32) for e in ours], [np.array(ids, np.int32) for ids in theirs]
+
     def units(self, text: str) -> list[str]:
         """The units of a text, each without its first marker."""
         if not text or not self.separable:
@@ -180,7 +181,7 @@ class UnitEncoder:
         return [unit[1:] for unit in UNIT.findall(MARK + marked)]
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agree on them; where they do not, SentencePiece's stand."""
+        """Ids of each text, from the rebuilt tokenizer, and whether the SentencePiece library agrees on them."""
         split = [self.units(text) for text in texts]
         new = set().union(*split) - self.known.keys()
         if len(self.known) + len(new) > MOST_UNITS:
