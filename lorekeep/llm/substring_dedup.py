@@ -133,7 +133,7 @@ def _anchored(words: np.ndarray, offsets: np.ndarray, once: np.ndarray, twice: n
 
 def _version(text: Column) -> Column:
     """Tells rows of one id apart that differ in text."""
-    return F.hash(text)
+    return F.xxhash64(text)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -200,9 +200,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 ["d", "v", "start", "len"],
             )
 
-    found = keyed.mapInArrow(candidates, "h1 bigint, h2 int, d bigint, v int, start int, len int")
+    found = keyed.mapInArrow(candidates, "h1 bigint, h2 int, d bigint, v bigint, start int, len int")
     met = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "d", "start")
-    return met.mapInArrow(later_ones, "d bigint, v int, start int, len int")
+    return met.mapInArrow(later_ones, "d bigint, v bigint, start int, len int")
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
