@@ -1,20 +1,32 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-The 64 bits of a fingerprint form a ring of eight segments. If two fingerprints differ in at most three
-bits, some segment starts a chain in which every prefix of l segments holds at most floor(3 l / 8) of the
-differences: none in two segments, one in five, two in seven. So two segments of the chain agree, and so do
-two of the next three. Each of the 8 starts times 3 choices gives a rule that fixes 32 bits; fingerprints
-that agree in them meet, are held against the budgets of the chain, and last against the full distance.
+The 64 bits of a fingerprint form a ring of eight segments. If two fingerprints differ in at most D bits, some
+segment starts a chain in which every prefix of l segments holds at most floor(D l / 8) of the differences. A
+reach fixes D and the bits that this forces to agree:
+
+* ``NARROW``, D = 3: none in two segments, one in five, two in seven. So two segments of the chain agree, and so
+  do two of the next three. Each of the 8 starts times 3 choices gives a rule that fixes 32 bits.
+* ``WIDE``, D = 7: none in one segment, one in two, two in three, three in four. So the first segment agrees, and
+  of the half segments behind it one in two, two in four and three in six. Each start times 14 choices gives a
+  rule that fixes 20 bits.
+
+Fingerprints that agree in the bits of a rule meet, are held against the budgets of the chain, and last against
+the full distance. ``NARROW`` is what the query links by, with shingles of three words. ``keep_one`` takes
+``WIDE`` with shingles of two words, of which a replaced word changes two and not five; so it reaches the pairs
+whose sets of five-word shingles have a similarity of 0.8 or more (nine in ten of them, see the README) and those
+a little below.
 
 Nulls, empty texts and texts without words have fingerprint zero. Equal fingerprints are one node before
 anything is compared, so copies never meet each other. Nodes are ordered by their smallest id, so the root of a
 group names it. Rows without an id come after all others, and are told apart by their texts. Repeated rows give
-repeated result rows.
+repeated result rows, an empty table none; long texts are read whole, and other columns keep their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +38,63 @@ from lorekeep.llm.common import NO_ID, documents, identity, raw_texts, stored, t
 
 SHINGLE = 3
 SEED = 42
-DISTANCE = 3
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 
 
-def _ring_mask(start: int, segments: tuple[int, ...]) -> int:
-    """Bits of the given segments, counted from the start of a chain."""
-    return sum(((1 << WIDTH) - 1) << (WIDTH * ((start + s) % SEGMENTS)) for s in segments)
+def _ring_mask(start: int, halves: tuple[int, ...]) -> int:
+    """Bits of the given half segments, counted from the start of a chain."""
+    half = WIDTH // 2
+    return sum(((1 << half) - 1) << (half * ((2 * start + h) % (2 * SEGMENTS))) for h in halves)
 
 
-#: A rule: the start of its chain and the bits that must agree.
-RULES = [
-    (start, _ring_mask(start, (0, 1, *kept)))
-    for start in range(SEGMENTS)
-    for kept in ((2, 3), (2, 4), (3, 4))
-]
-#: Budgets that can fail: the longest chain for each number of differences.
-BUDGETS = [(5, 1), (7, 2)]
+@dataclass(frozen=True)
+class Reach:
+    """Words of a shingle, a distance, the half segments that agree in each rule of a chain, and the budgets that
+    can fail."""
 
+    shingle: int
+    distance: int
+    choices: tuple[tuple[int, ...], ...]
+    budgets: tuple[tuple[int, int], ...]
 
-def fingerprint(text: bytes) -> int:
+    @property
+    def rules(self) -> list[tuple[int, int]]:
+        """(start of the chain, bits that must agree) of every rule."""
+        return [(start, _ring_mask(start, halves)) for start in range(SEGMENTS) for halves in self.choices]
+
+    def chains(self, start: int) -> list[tuple[np.uint64, int]]:
+        """Bits of the first segments of a chain and the differences that they may hold."""
+        return [(np.uint64(_ring_mask(start, tuple(range(2 * n)))), most) for n, most in self.budgets]
+
+
+def _segments(*kept: int) -> tuple[int, ...]:
+    return tuple(h for s in kept for h in (2 * s, 2 * s + 1))
+
+
+#: Half segments 2 to 7 are those of the segments behind the first.
+NARROW = Reach(SHINGLE, 3, tuple(_segments(0, 1, *kept) for kept in ((2, 3), (2, 4), (3, 4))), ((5, 1), (7, 2)))
+WIDE = Reach(
+    2,
+    7,
+    tuple(
+        (0, 1, *kept)
+        for kept in combinations(range(2, 8), 3)
+        if sum(h < 4 for h in kept) >= 1 and sum(h < 6 for h in kept) >= 2
+    ),
+    ((2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6)),
+)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Majority of the bits of the hashes of all word shingles, as a signed 64-bit number."""
     words = text.lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         shingles = iter([b" ".join(words)])
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
@@ -64,12 +104,12 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, v, fp) of every row; ``v`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            fps = pa.array([fingerprint(t) for t in raw_texts(batch)], pa.int64())
+            fps = pa.array([fingerprint(t, shingle) for t in raw_texts(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("v"), fps], ["doc_id", "v", "fp"])
 
     text = F.col("text").cast("string").alias("text")
@@ -78,9 +118,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, start: int, reach: Reach = NARROW) -> list[tuple[int, int]]:
     """Links that connect what is connected within a bucket: at most one less than its members."""
-    chains = [(np.uint64(_ring_mask(start, tuple(range(length)))), most) for length, most in BUDGETS]
+    chains = reach.chains(start)
     links: list[tuple[int, int]] = []
     left = np.arange(len(fps))
     while left.size:
@@ -92,7 +132,7 @@ def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
             near = np.ones(left.size, bool)
             for mask, most in chains:
                 near[near] = np.bitwise_count(apart[near] & mask) <= most
-            near[near] = np.bitwise_count(apart[near]) <= DISTANCE
+            near[near] = np.bitwise_count(apart[near]) <= reach.distance
             found = left[near]
             links += [(at, int(j)) for j in found]
             open_ += found.tolist()
@@ -100,21 +140,22 @@ def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b over ``nodes`` (node, fp; distinct fingerprints): links that join every class.
+def links(nodes: DataFrame, reach: Reach = NARROW) -> DataFrame:
+    """(a, b) with a < b over ``nodes`` (fp; distinct fingerprints): links that join every class.
 
-    A bucket holds the distinct fingerprints that agree in 32 given bits. It streams through one task as
+    A bucket holds the distinct fingerprints that agree in the bits of a rule. It streams through one task as
     numbers and sends on a spanning forest of its links, never its pairs.
     """
+    rules = reach.rules
     keys = F.array(
         *(
             F.struct(F.lit(i).cast("tinyint").alias("rule"), F.col("fp").bitwiseAND(_signed(mask)).alias("bits"))
-            for i, (_, mask) in enumerate(RULES)
+            for i, (_, mask) in enumerate(rules)
         )
     )
     buckets = (
-        nodes.select("node", "fp", F.explode(keys).alias("key"))
-        .select(F.col("key.rule").alias("rule"), F.col("key.bits").alias("bits"), "fp", "node")
+        nodes.select("fp", F.explode(keys).alias("key"))
+        .select(F.col("key.rule").alias("rule"), F.col("key.bits").alias("bits"), "fp")
         .repartition("rule", "bits")
         .sortWithinPartitions("rule", "bits")
     )
@@ -136,14 +177,14 @@ def links(nodes: DataFrame) -> DataFrame:
     def found(columns: list[np.ndarray], change: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(columns[0]):
             return
-        rule, _, fps, nodes_ = columns
+        rule, _, fps = columns
         edges = np.concatenate([[0], change, [len(rule)]])
         pairs = []
         for i in np.flatnonzero(np.diff(edges) > 1):
             a, b = int(edges[i]), int(edges[i + 1])
             pairs += [
-                (int(nodes_[a + x]), int(nodes_[a + y]))
-                for x, y in _forest(fps[a:b].view(np.uint64), RULES[int(rule[a])][0])
+                (int(fps[a + x]), int(fps[a + y]))
+                for x, y in _forest(fps[a:b].view(np.uint64), rules[int(rule[a])][0], reach)
             ]
         if pairs:
             ends = np.sort(np.array(pairs, np.int64), axis=1)
@@ -177,16 +218,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, reach: Reach = NARROW) -> DataFrame:
     """(doc_id, v, fp, component_id, first) of every row: the smallest id reachable over links, itself included.
 
     ``v`` is a hash of the text; ``first`` is that of the row that stays in a group without any id.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
+    marked = stored(fingerprints(docs, reach.shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(
         F.min(identity()).alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("v"))).alias("first")
     )
-    pairs = links(nodes.select(F.col("fp").alias("node"), "fp"))
+    pairs = links(nodes.select("fp"), reach)
     for end in ("a", "b"):
         named = nodes.select(F.col("fp").alias(end), F.struct("id", "fp", "first").alias(f"_{end}"))
         pairs = pairs.join(named, end)
@@ -198,13 +239,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, reach: Reach = WIDE) -> DataFrame:
     """The rows of the smallest id of each group of near-duplicates, with all their columns.
 
     A row goes only if its own text is in a group with another kept document.
     """
     unnamed = (F.col("component_id") == NO_ID) & (F.col("v") != F.col("first"))
-    found = near_duplicates(docs).withColumn("_id", identity())
+    found = near_duplicates(docs, reach).withColumn("_id", identity())
     lost = found.filter((F.col("_id") != F.col("component_id")) | unnamed).select("_id", F.col("v").alias("_v")).distinct()
     packed = docs.select(
         F.struct("*").alias("_row"), identity().alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_v")

@@ -64,9 +64,9 @@ def substring_dedup(rows: list[tuple[int, str | None]], width: int = 20) -> list
     return out
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, size: int = 3) -> int:
     w = words((text or "").translate(UPPER))
-    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    shingles = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 

@@ -94,37 +94,55 @@ def test_fingerprints_and_components_match_brute_force(small, edges, edge_rows):
             assert r.component_id == expected[i] or (i == BIG and r.component_id == (1 << 63) - 1)
 
 
-def test_rules_miss_no_pair():
+@pytest.mark.parametrize("reach", [simhash.NARROW, simhash.WIDE])
+def test_rules_miss_no_pair(reach):
     rng = random.Random(3)
     for _ in range(3000):
-        apart = sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
+        apart = np.uint64(sum(1 << b for b in rng.sample(range(64), rng.randrange(reach.distance + 1))))
         assert any(
-            apart & mask == 0
-            and all((apart & simhash._ring_mask(start, tuple(range(n)))).bit_count() <= most for n, most in simhash.BUDGETS)
-            for start, mask in simhash.RULES
+            apart & np.uint64(mask) == 0 and all(np.bitwise_count(apart & bits) <= most for bits, most in reach.chains(start))
+            for start, mask in reach.rules
         )
 
 
-def test_links_of_crowded_fingerprints(spark):
+@pytest.mark.parametrize("reach", [simhash.NARROW, simhash.WIDE])
+def test_links_of_crowded_fingerprints(spark, reach):
     rng = random.Random(5)
-    rows = {}
+    known = set()
     for centre in (rng.getrandbits(64) for _ in range(6)):
         for _ in range(60):
             fp = centre
-            for b in rng.sample(range(64), rng.randrange(6)):
+            for b in rng.sample(range(64), rng.randrange(2 * reach.distance)):
                 fp ^= 1 << b
-            rows.setdefault(fp, len(rows))
-    signed = [(i, int(np.uint64(fp).astype(np.int64))) for fp, i in rows.items()]
-    nodes = spark.createDataFrame(signed, "node bigint, fp bigint").repartition(6)
-    edges = simhash.links(nodes)
+            known.add(fp)
+    signed = {fp: int(np.uint64(fp).astype(np.int64)) for fp in known}
+    nodes = spark.createDataFrame([(fp,) for fp in signed.values()], "fp bigint").repartition(6)
+    edges = simhash.links(nodes, reach)
     found = {r.node: r.root for r in simhash.components(edges).collect()}
-    expected = plain.components([(i, fp) for fp, i in rows.items()])
+    expected = plain.components([(i, fp) for fp, i in signed.items()], reach.distance)
     assert {i: found.get(i, i) for i in expected} == expected
-    assert all((rowfp(rows, e.a) ^ rowfp(rows, e.b)).bit_count() <= 3 for e in edges.collect())
-
-
-def rowfp(rows, node):
-    return next(fp for fp, i in rows.items() if i == node)
+    unsigned = {i: fp for fp, i in signed.items()}
+    assert all((unsigned[e.a] ^ unsigned[e.b]).bit_count() <= reach.distance for e in edges.collect())
+
+
+def test_near_copies_of_the_stage_are_found(spark, small):
+    """Texts with replaced words, by the similarity of their five-word shingles."""
+    rng = random.Random(9)
+    texts = [t for t in {r.text for r in small.collect()} if 80 < len(plain.words(t)) < 2000]
+    rows, similar = [(i, t) for i, t in enumerate(texts)], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i, text in enumerate(texts):
+        w = plain.words(text)
+        changed = list(w)
+        for k in rng.sample(range(len(w)), max(1, len(w) * rng.randrange(1, 6) // 200)):
+            changed[k] = f"word{rng.randrange(10**6)}"
+        a, b = shingles(w), shingles(changed)
+        if len(a & b) / len(a | b) >= 0.8:
+            similar.append(10_000 + i)
+            rows.append((10_000 + i, " ".join(changed)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert len(similar) > 50 and sum(i not in kept for i in similar) >= 0.9 * len(similar)
 
 
 def test_components_of_a_long_chain(spark):
@@ -137,8 +155,8 @@ def test_one_of_each_group_stays_with_all_columns(edges, edge_rows):
     kept = simhash.keep_one(edges)
     assert kept.columns == edges.columns
     ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
-    fps = {i: plain.fingerprint(t) for i, t in by_id(edge_rows)}
-    groups = plain.components(list(fps.items()))
+    fps = {i: plain.fingerprint(t, 2) for i, t in by_id(edge_rows)}
+    groups = plain.components(list(fps.items()), 7)
     assert ids == sorted(i for i, _ in by_id(edge_rows) if groups[i] == i and i != BIG)
 
 
@@ -157,6 +175,19 @@ def test_rows_are_told_apart_by_their_own_texts(spark):
     assert sorted(groups.values()) == [5, 5, 7, 900]
 
 
+def test_rows_of_one_id_are_told_apart_by_more_than_32_bits(spark, monkeypatch):
+    """Two rows without an id whose 32-bit hashes are equal."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(200_000).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(30)]).alias("text"))
+    twins = texts.withColumn("h", F.hash("text")).groupBy("h").agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).first()
+    one, two = twins["t"][:2]
+    rows = [(None, one), (None, two), (1, two)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    removed = sorted(r.n_removed for r in substring_dedup.cut_repeats(df).collect())
+    assert removed == [0, 0, 30]
+
+
 def test_empty_tables(nothing):
     assert line_dedup.without_repeats(nothing).count() == 0
     assert substring_dedup.cut_repeats(nothing).count() == 0

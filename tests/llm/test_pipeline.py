@@ -26,7 +26,7 @@ def test_run_matches_plain_stages(spark, small):
     ids = {r.doc_id for r in marked if r.lang_pred != "und" and r.score >= 0.5}
     docs = sorted((r.doc_id, r.text) for r in small.collect() if r.doc_id in ids)
     docs = [(i, text) for i, _, _, text in plain.line_dedup(docs)]
-    groups = plain.components([(i, plain.fingerprint(t)) for i, t in docs])
+    groups = plain.components([(i, plain.fingerprint(t, 2)) for i, t in docs], 7)
     docs = [(i, t) for i, t in docs if groups[i] == i]
     bare = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t).split())
     items = [bare(r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
@@ -41,4 +41,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert set(corpus_pipeline.queries()) <= set(entry.queries())
-    assert sum(name.startswith("op") for name in entry.queries()) == 10
+    assert sum(name.startswith("op") for name in entry.queries()) == 13

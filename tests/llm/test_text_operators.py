@@ -514,3 +514,39 @@ def test_unigram_model_is_rebuilt_too():
     encoder = sentencepieces.UnitEncoder(model, tokenizer, 1)
     assert not encoder.separable
     assert encoder(["ab  c", "", "abc"])[0][0].tolist() == library.encode("ab  c")
+
+
+def test_texts_without_a_letter_have_no_language(spark, small):
+    model = language_id.train(language_id.labelled_rows(small))
+    texts = ["12 × 34 ÷ 2", "٠١٢٣ ٤٥", "१२३", "؟،", "\u0301\u093f", "…", "ª", "a", "пример"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(rows, model).collect()}
+    for i, text in enumerate(texts):
+        assert (found[i][0] == "und") == (not any(c.isalpha() for c in text)), text
+        assert found[i][0] != "und" or found[i][1] == 0
+
+
+def test_labels_of_more_languages_than_a_byte_holds():
+    scores = np.full((200, 200), -5.0)
+    scores[np.arange(200), np.arange(200)] = 50
+    assert language_id.viterbi(scores, np.arange(0, 201)).tolist() == list(range(200))
+    assert language_id.viterbi(scores, np.array([0, 200]), 1.0).tolist() == list(range(200))
+
+
+def test_the_rebuilt_tokenizer_gives_the_ids(monkeypatch):
+    """Where the library says something else, its word only shows in ``parity``."""
+    with open(sentencepieces.MODEL, "rb") as file:
+        model = file.read()
+    encoder = sentencepieces.UnitEncoder(model, sentencepieces.rebuild(model), 1)
+    right, _ = encoder(["one two three"])
+    real = encoder.library
+
+    class Other:
+        def encode(self, texts, **_):
+            found = real.encode(texts)
+            return [x + [5] if "two" in t else x for x, t in zip(found, texts)] if isinstance(texts, list) else found
+
+    encoder.library = Other()
+    encoder.forget()
+    ids, parity = encoder(["one two three", "one three"])
+    assert ids[0].tolist() == right[0].tolist() and parity == [False, True]
