@@ -40,6 +40,7 @@ SHINGLE = 3
 SEED = 42
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
+SMALL = 32
 
 
 def _ring_mask(start: int, halves: tuple[int, ...]) -> int:
@@ -140,6 +141,24 @@ def _forest(fps: np.ndarray, start: int, reach: Reach = NARROW) -> list[tuple[in
     return links
 
 
+def _buckets_with_links(fps: np.ndarray, edges: np.ndarray, distance: int) -> np.ndarray:
+    """The buckets to look into: large ones, and those of the others in which some two are near.
+
+    Most buckets hold a few fingerprints that have nothing else in common; these are compared all at once.
+    """
+    sizes = np.diff(edges)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = sizes > SMALL
+    at = np.flatnonzero((sizes > 1)[bucket] & ~wanted[bucket])
+    ahead = 1
+    while at.size:
+        at = at[at + ahead < edges[bucket[at] + 1]]
+        near = np.bitwise_count(fps[at] ^ fps[at + ahead]) <= distance
+        wanted[bucket[at[near]]] = True
+        ahead += 1
+    return np.flatnonzero(wanted)
+
+
 def links(nodes: DataFrame, reach: Reach = NARROW) -> DataFrame:
     """(a, b) with a < b over ``nodes`` (fp; distinct fingerprints): links that join every class.
 
@@ -180,7 +199,7 @@ def links(nodes: DataFrame, reach: Reach = NARROW) -> DataFrame:
         rule, _, fps = columns
         edges = np.concatenate([[0], change, [len(rule)]])
         pairs = []
-        for i in np.flatnonzero(np.diff(edges) > 1):
+        for i in _buckets_with_links(fps.view(np.uint64), edges, reach.distance):
             a, b = int(edges[i]), int(edges[i + 1])
             pairs += [
                 (int(fps[a + x]), int(fps[a + y]))
