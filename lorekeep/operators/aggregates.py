@@ -75,16 +75,21 @@ def run_status_rollup(runs: DataFrame, counts: DataFrame, flavour: str = "sync")
     )
 
 
-def sync_counters(classified: DataFrame, key: str = "run_id") -> DataFrame:
-    """Counters of a sync from classified rows (``result_kind``, ``projection_status``, ``queued``)."""
-    return classified.groupBy(key).agg(
-        F.count("*").alias("total_items"),
+def sync_counter_columns() -> list[Column]:
+    """Counters of a sync over classified rows (``result_kind``, ``projection_status``, ``queued``)."""
+    return [
+        F.count(F.lit(1)).alias("total_items"),
         count_where(F.col("result_kind") == "new").alias("new_items"),
         count_where(F.col("result_kind") == "updated").alias("updated_items"),
         count_where(F.col("result_kind") == "unchanged").alias("unchanged_items"),
         count_where(F.col("projection_status") == "skipped").alias("skipped_items"),
         count_where(F.col("queued")).alias("queued_items"),
-    )
+    ]
+
+
+def sync_counters(classified: DataFrame, key: str = "run_id") -> DataFrame:
+    """Counters per run or source from classified rows."""
+    return classified.groupBy(key).agg(*sync_counter_columns())
 
 
 def registrations_by_day(users: DataFrame, days: int, as_of: Column, created: str = "created_at") -> DataFrame:

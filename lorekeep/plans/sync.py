@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.constants import RAW
@@ -12,7 +12,9 @@ from lorekeep.functions import hashing, text
 from lorekeep.operators import aggregates, filters, lifecycle
 from lorekeep.operators.ranking import priority_topk
 from lorekeep.session import cut_lineage
-from lorekeep.sources import exports, media, tables
+from lorekeep.sources import adapters, exports, media, tables
+from lorekeep.sources.adapters import SourceAdapter
+from lorekeep.streaming.heartbeats import Heartbeats
 from lorekeep.streaming.runner import run_batches
 
 
@@ -26,18 +28,19 @@ def scan_items(
     exclude: Sequence[str] = (),
     sample_percent: int | None = None,
     inventory: DataFrame | None = None,
+    adapter: SourceAdapter = adapters.EXPORT,
 ) -> DataFrame:
     """Normalised, filtered and hashed items of one source; a repeated key keeps its last message.
 
     With an ``inventory`` of the media files the fingerprint of an item's file is part of its hash, and items
     whose file is missing are skipped with a reason. A message without a numeric id has no key and stops the job.
     """
-    items = exports.normalize_messages(scanned)
+    items = adapter.items(scanned)
     where = F.concat_ws(" ", F.lit("message without an id in chat"), "container_external_id", F.lit("at"), "pos")
     items = items.withColumn("external_key", F.coalesce("external_key", F.raise_error(where).cast("string")))
     if inventory is not None:
         items = media.attach_media(items, inventory)
-    items = exports.with_content_hash(items)
+    items = adapter.with_content_hash(items)
     items = filters.type_include_exclude(items, include, exclude)
     items = filters.hash_sample(items, "external_key", sample_percent)
     items = items.withColumn("source_id", F.lit(source_id)).withColumnRenamed("index_status", "projection_status")
@@ -45,10 +48,13 @@ def scan_items(
 
 
 def last_message(items: DataFrame) -> DataFrame:
-    """One item per key: that of the newest manifest file, then of the last path, and there the last position."""
+    """One item per key: that of the newest manifest file, then of the last path, and there the last position.
+
+    Messages with the same place are told apart by their content hash.
+    """
     place = [c for c in ("manifest_at", "manifest_path") if c in items.columns]
     rest = [c for c in items.columns if c != "external_key"]
-    order = F.struct(*place, "pos", -F.col("message_id"))
+    order = F.struct(*place, "pos", -F.col("message_id"), "content_hash")
     last = items.groupBy("external_key").agg(F.max_by(F.struct(*rest), order).alias("row"))
     return last.select("external_key", "row.*").select(*[c for c in items.columns if c not in place])
 
@@ -79,10 +85,11 @@ def sync_items(
     as_of: Column,
     coverage: str = "full_snapshot",
     source_ids: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, dict[str, int], DataFrame]:
     """(items, projections, counters, classified rows) after one sync run.
 
-    The classified rows feed all tables, so they are written once and read back. After a full snapshot, stored
+    The classified rows feed all tables, so they are written once and read back; the counters are observed while
+    they are written. After a full snapshot, stored
     items of ``source_ids`` that were not in it are absent, also when it holds nothing at all.
     """
     raw = projections.filter(F.col("projection_kind") == RAW).select(
@@ -90,7 +97,10 @@ def sync_items(
     )
     new_id = F.sha1(F.concat_ws("\x1f", "source_id", "external_key"))
     classified = lifecycle.classify_changes(incoming, stored, raw)
-    classified = cut_lineage(classified.withColumn("item_id", F.coalesce("item_id", new_id)))
+    counted = Observation()
+    classified = classified.withColumn("item_id", F.coalesce("item_id", new_id))
+    classified = cut_lineage(classified.observe(counted, *aggregates.sync_counter_columns()))
+    counters = counted.get
     absent = source_ids if coverage == "full_snapshot" else ()
     items = lifecycle.apply_sync(classified, stored, F.lit(run_id), as_of, absent)
     items = items.withColumn("item_id", F.coalesce("item_id", new_id))
@@ -117,7 +127,6 @@ def sync_items(
         "point_id",
         "embedding_model",
     )
-    counters = aggregates.sync_counters(classified.withColumn("run_id", F.lit(run_id)))
     return items, merged, counters, classified
 
 
@@ -174,13 +183,15 @@ def run_sync(
     as_of: Column,
     coverage: str = "full_snapshot",
     inventory: DataFrame | None = None,
+    beats: Heartbeats | None = None,
     **scan_options: object,
 ) -> DataFrame:
     """Sync one snapshot or batch of a source into its tables under ``root`` and return the counters.
 
     A full snapshot touches every item of the source and writes new bases; it cannot be a sample, as what is
     not in it counts as absent. A partial batch scans the stored rows of its source for its keys and writes
-    deltas. Other sources are not read. With an ``inventory`` the assets are synced as well.
+    deltas. Other sources are not read. With an ``inventory`` the assets are synced as well, and with ``beats`` the
+    counters are reported as soon as they are known.
     """
     partial = coverage != "full_snapshot"
     if not partial and 0 < (scan_options.get("sample_percent") or 0) < 100:
@@ -205,7 +216,10 @@ def run_sync(
     items, merged, counters, classified = sync_items(
         incoming, stored, projections, run_id, as_of, coverage, [source_id]
     )
-    tables.write_table(counters, root, f"sync_runs/{run_id}")
+    if beats is not None:
+        beats.beat("classified", counters)
+    named = [F.lit(run_id).alias("run_id"), *(F.lit(n).cast("bigint").alias(c) for c, n in counters.items())]
+    tables.write_table(spark.range(0, 1, 1, 1).select(*named), root, f"sync_runs/{run_id}")
     written = [(merged, "projections")]
     if inventory is not None:
         assets = spark.createDataFrame([], ASSETS)
@@ -222,6 +236,42 @@ def run_sync(
     return tables.read_table(spark, root, f"sync_runs/{run_id}")
 
 
+def run_source(
+    spark: SparkSession,
+    kind: str,
+    config: Mapping[str, object],
+    root: str,
+    source_id: str,
+    run_id: str,
+    as_of: Column,
+    coverage: str = "full_snapshot",
+    inventory: DataFrame | None = None,
+    heartbeat_seconds: float = 10.0,
+    **scan_options: object,
+) -> DataFrame:
+    """Sync a source of a registered kind and return the counters; a bad configuration raises before any job.
+
+    The run is one batch of heartbeats.
+    """
+    adapter = adapters.adapter(kind)
+    adapters.check_options(coverage, **{k: v for k, v in scan_options.items() if k in ("include", "exclude", "sample_percent")})
+    adapter.validate(spark, config)
+    with Heartbeats(spark, root, run_id, heartbeat_seconds).batch(0) as beats:
+        return run_sync(
+            spark,
+            adapter.scan(spark, config),
+            root,
+            source_id,
+            run_id,
+            as_of,
+            coverage,
+            inventory,
+            beats,
+            adapter=adapter,
+            **scan_options,
+        )
+
+
 def read_items(spark: SparkSession, root: str) -> DataFrame:
     return tables.read_table(spark, root, "corpus_items", lifecycle.ITEM_KEY)
 
@@ -241,12 +291,15 @@ def incremental_scan(
     layout: str = "export",
     name_filter: str = "result.json",
     compact_every: int = 16,
+    run_id: str | None = None,
+    heartbeat_seconds: float = 10.0,
 ) -> None:
     """Stream new manifest files into the tables; a restart takes only the files not done yet.
 
     ``export``: each file with a name like ``name_filter``, at any depth, is one JSON document; ``lines``: one
     manifest per line. Each batch writes its own delta; a batch that is done twice overwrites it. After
-    ``compact_every`` batches the deltas are folded into a new base.
+    ``compact_every`` batches the deltas are folded into a new base. The batches report to the heartbeats of
+    ``run_id`` (by default the source), whose counters add up over restarts.
     """
     reader = spark.readStream.schema(exports.MANIFEST_SCHEMA).option("mode", "FAILFAST")
     reader = reader.option("recursiveFileLookup", "true")
@@ -256,16 +309,20 @@ def incremental_scan(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = exports.placed(reader.json(input_dir))
 
+    heartbeats = Heartbeats(spark, root, run_id or source_id, heartbeat_seconds)
+
     def sync(batch: DataFrame, batch_id: int) -> None:
-        run_sync(
-            batch.sparkSession,
-            exports.explode_messages(batch).hint("rebalance"),
-            root,
-            source_id,
-            f"{source_id}-{batch_id}",
-            as_of,
-            coverage="partial",
-        )
+        with heartbeats.batch(batch_id) as beats:
+            run_sync(
+                batch.sparkSession,
+                exports.explode_messages(batch).hint("rebalance"),
+                root,
+                source_id,
+                f"{source_id}-{batch_id}",
+                as_of,
+                coverage="partial",
+                beats=beats,
+            )
         if (batch_id + 1) % compact_every == 0:
             for name, keys in (("projections", PROJECTION_KEY), ("corpus_items", lifecycle.ITEM_KEY)):
                 tables.compact(spark, root, name, keys, source_id)

@@ -16,24 +16,20 @@ from pyspark.sql import functions as F
 from lorekeep.constants import OCR, SUMMARY, TRANSCRIPT, VECTOR_SIZE
 from lorekeep.functions.text import extractive_summary, join_lines
 from lorekeep.operators.vectors import Embedder, hash_embedder
-from lorekeep.sources import exports
+from lorekeep.sources.adapters import adapter
 from lorekeep.sources.payloads import NO_ASSET, Payloads
 
 EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hash": hash_embedder}
 EMBED_BATCH = 64
 
-SourceScan = Callable[[SparkSession, str], DataFrame]
-SOURCES: dict[str, SourceScan] = {"telegram_desktop_export": exports.export_scan}
-
 
 def embedder(name: str = "hash", dim: int = VECTOR_SIZE) -> Embedder:
     return EMBEDDERS[name](dim)
 
 
 def scan_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    if kind not in SOURCES:
-        raise KeyError(f"no adapter for source kind {kind}")
-    return SOURCES[kind](spark, path)
+    """Messages of a source of a registered kind."""
+    return adapter(kind).scan(spark, {"path": path})
 
 
 def model_embedder(

@@ -43,6 +43,33 @@ def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.sync_counters(classified(spark, sf_dir), "source_id")
 
 
+@query(
+    "source_adapters",
+    """SELECT conv_id||':'||turn AS external_key, 'conversation:'||conv_id||':'||turn AS stable_key,
+ CASE WHEN role = 'system' THEN 'service' WHEN length(trim(text)) > 0 THEN 'text' ELSE 'unknown' END AS content_type,
+ CASE WHEN turn > 0 THEN conv_id||':'||(turn - 1) END AS reply_key, role AS author_name,
+ CASE WHEN length(trim(text)) > 0 THEN trim(text) END AS body,
+ CASE WHEN role <> 'system' AND length(trim(text)) > 0 THEN 'queued' ELSE 'skipped' END AS index_status,
+ 'run-2' AS last_run FROM conversations""",
+)
+def source_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations synced twice, as a source of another kind than chat exports."""
+    root, config = scratch_dir(spark, "conversations"), {"path": f"{sf_dir}/conversations.parquet"}
+    for number in (1, 2):
+        sync.run_source(spark, "conversation_table", config, root, "talks", f"run-{number}", at(AS_OF))
+    items = sync.read_items(spark, root).join(sync.read_projections(spark, root), "item_id")
+    return items.select(
+        "external_key",
+        "stable_key",
+        "content_type",
+        F.col("reply_to_external_key").alias("reply_key"),
+        "author_name",
+        F.coalesce("text_content", "caption").alias("body"),
+        "index_status",
+        F.col("last_seen_run_id").alias("last_run"),
+    )
+
+
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.stored(spark, sf_dir).select(
         "item_id",

@@ -9,8 +9,10 @@ from lorekeep.constants import STALE_MINUTES
 from lorekeep.plans import sync
 from lorekeep.registry import inputs as fx
 from lorekeep.registry.base import at, query
+from lorekeep.registry.text_queries import ELIGIBLE
 from lorekeep.session import scratch_dir
 from lorekeep.sources import jobs as job_source
+from lorekeep.streaming import heartbeats
 from lorekeep.streaming import jobs as live
 from lorekeep.streaming import timers
 from lorekeep.streaming.runner import drain, latest_state, run_batches, table_stream
@@ -71,6 +73,36 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "sync_heartbeats",
+    fx.cte(fx.MESSAGES)
+    + f"""SELECT 'export' AS run_id, 'written' AS stage, true AS beats_in_each_batch, true AS equal_to_runs,
+ count(*) AS total_items, count(*) AS new_items, 0::BIGINT AS updated_items, 0::BIGINT AS unchanged_items,
+ count(*) FILTER ({ELIGIBLE} = 'skipped') AS skipped_items, count(*) FILTER ({ELIGIBLE} = 'queued') AS queued_items
+ FROM fx_messages""",
+)
+def sync_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last heartbeat of a sync in three batches, held against the counters that its batches stored."""
+    path, root = scratch_dir(spark, "export"), scratch_dir(spark, "corpus")
+    fx.write_documents(spark, sf_dir, path)
+    files = -(-spark.read.format("binaryFile").load(path).select("path").count() // SLICES)
+    sync.incremental_scan(
+        spark, path, root, f"{root}/checkpoint", "export", at("2024-01-20 00:00:00"), files, name_filter="*.txt"
+    )
+    beats = heartbeats.read_heartbeats(spark, root, "export")
+    per_batch = beats.groupBy("run_id", "batch_id").count()
+    least = per_batch.groupBy("run_id").agg((F.min("count") >= 3).alias("beats_in_each_batch"))
+    counters = heartbeats.COUNTERS
+    runs = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/sync_runs")
+    stored = runs.groupBy(F.lit("export").alias("run_id")).agg(*(F.sum(c).alias(f"stored_{c}") for c in counters))
+    last = heartbeats.last_heartbeat(spark, root, "export").join(least, "run_id").join(stored, "run_id")
+    equal = F.forall(
+        F.array(*(F.struct(F.col(c).alias("a"), F.col(f"stored_{c}").alias("b")) for c in counters)),
+        lambda pair: pair["a"] == pair["b"],
+    )
+    return last.select("run_id", "stage", "beats_in_each_batch", equal.alias("equal_to_runs"), *counters)
+
+
 @query(
     "running_status_counts",
     fx.cte(fx.JOBS) + "SELECT run_id, status, count(*) AS n FROM fx_jobs GROUP BY 1, 2",
