@@ -1,19 +1,27 @@
 """Secret scans by zstandard novelty.
 
-Three patterns find the usual shapes. Beyond them, every long token close behind a sensitive word is measured:
-the text around it is compressed with and without it, primed with a dictionary of code and identifiers. What
-the token adds in bytes, per character, is its novelty. Words and identifiers are in the dictionary or the
-surroundings and add little; keys add nearly all they hold. Tokens that hold a digit and whose novelty reaches
-``NOVELTY`` are reported as ``novel`` unless a pattern has them already.
-
-Spans are code points, end exclusive. A null or empty text has none. Every text is searched whole, and every
-row is on its own, so repeated rows repeat their results.
+Three patterns find the usual shapes. Beyond them, every token of ``LEAST`` characters or more within ``REACH`` of a
+sensitive word, before or behind it, is measured: the text around it is compressed with and without it, primed with
+a dictionary of code and identifiers. What the token adds in bytes, per character, is its novelty. Words and
+identifiers are in the dictionary or are made of the letters that the surroundings are made of and add about half of
+their size; keys add nearly all of it. The novelty alone decides: tokens that reach ``NOVELTY`` are reported as
+``novel`` unless a pattern has them already.
+
+The dictionary also holds how often each letter occurs, and short surroundings are filled up with plain prose to
+``2 * AROUND`` characters, so that a word in a short text is not taken for something new. Other places of the token
+are taken out of its surroundings: a key that is repeated is still a key.
+
+Spans are code points, end exclusive, ordered by start and then by kind. A null or empty text has none. Every text
+is searched whole, in time that grows with its length, and every row is on its own, so repeated rows repeat their
+results and an empty table gives none. Only ``doc_id`` and ``text`` are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,12 +43,12 @@ SENSITIVE = re.compile(
     r"(?ai:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential"
     r"|authorization|bearer|signature|session[_-]?id)"
 )
-LEAST = 16
+LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 REACH = 64
 AROUND = 256
-NOVELTY = 0.78
-DIGIT = re.compile("[0-9]")
+NOVELTY = 0.8
+DICTIONARY_BYTES = 4096
 
 #: What source code and settings are made of.
 IDENTIFIERS = (
@@ -63,19 +71,40 @@ IDENTIFIERS = (
 )
 
 
+#: What short surroundings are filled up with.
+PROSE = (
+    "this is how plain words look when people write about their work and the things around them, so that the letters "
+    "of a language are known before the first line of a short message is read. most of what we say is made of the same "
+    "few letters, and a long word is still a word: it costs about half of its size, where a key costs nearly all of it. "
+    "names of values and functions are built from such words as well, joined by lines or by a capital letter in the "
+    "middle, and read like them. numbers come seldom, and signs even less often than they do. "
+)
+
+
+def identifier_dictionary(identifiers: str = IDENTIFIERS, size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary of code words with the statistics of their letters; the same bytes every time."""
+    words, draw = identifiers.split(), random.Random(0)
+    return zstandard.train_dictionary(size, [" ".join(draw.choices(words, k=40)).encode() for _ in range(400)]).as_bytes()
+
+
 class Novelty:
-    """Marginal compressed bytes of a token in its surroundings."""
+    """Marginal compressed bytes of a token in its surroundings, per character."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS) -> None:
-        words = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zstd = zstandard.ZstdCompressor(level=6, dict_data=words, write_content_size=False, write_dict_id=False)
+    def __init__(self, dictionary: bytes) -> None:
+        self.zstd = zstandard.ZstdCompressor(
+            level=19,
+            dict_data=zstandard.ZstdCompressionDict(dictionary),
+            write_content_size=False,
+            write_dict_id=False,
+        )
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        token = text[start:end]
+        before = text[max(0, start - AROUND) : start].replace(token, "")
+        after = text[end : end + AROUND].replace(token, "")
         # the surroundings come first in both, so that the token may refer to what follows it as well
-        around = (before + "\n" + after + "\n").encode()
-        with_token = around + text[start:end].encode()
-        return (len(self.zstd.compress(with_token)) - len(self.zstd.compress(around))) / (end - start)
+        around = (PROSE[: max(0, 2 * AROUND - len(before) - len(after))] + before + "\n" + after + "\n").encode()
+        return (len(self.zstd.compress(around + token.encode())) - len(self.zstd.compress(around))) / (end - start)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,19 +119,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Whole tokens of ``LEAST`` characters or more that have a sensitive word within ``REACH`` on either side."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return
+    ends = [end for _, end in words]
+    for m in CANDIDATE.finditer(text):
+        nearest = bisect_left(ends, m.start() - REACH)
+        if nearest < len(words) and words[nearest][0] <= m.end() + REACH:
+            yield m.span()
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible tokens that begin within ``REACH`` of a sensitive word and overlap no base span."""
-    found, seen, taken = [], -1, Taken([(a, b) for a, _, b in base])
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen), word.end() + REACH + LEAST):
-            # a token that the search window cuts is read to its end
-            start, end = m.start(), CANDIDATE.match(text, m.start()).end()
-            if start > word.end() + REACH:
-                break
-            seen = max(seen, end)
-            if taken.free(start, end) and DIGIT.search(text, start, end) and novelty(text, start, end) >= NOVELTY:
-                found.append((start, 3, end))
-    return sorted(set(found))
+    """Incompressible candidates that overlap no base span."""
+    taken = Taken([(a, b) for a, _, b in base])
+    return [(a, 3, b) for a, b in candidates(text) if taken.free(a, b) and novelty(text, a, b) >= NOVELTY]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -112,9 +144,10 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row the number of spans of each pattern, their digest, and all spans."""
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    dictionary = identifier_dictionary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(dictionary)
         for batch in text_chunks(batches):
             counts: list[list[int]] = [[], [], []]
             digests, spans = [], []

@@ -7,6 +7,7 @@ import io
 import itertools
 import random
 import re
+import string
 import wave
 import zlib
 
@@ -363,6 +364,68 @@ def test_novelty_reports_keys_and_leaves_words(spark):
     assert found == {1: "novel:22:63", 2: "", 3: "", 4: "", 5: "novel:67:106", 6: "", 7: "", 8: "assign:0:47"}
 
 
+def test_tokens_on_both_sides_without_digits_and_repeated(spark):
+    rows = [
+        (1, "Zx81qPw07LmTk3vB is the password"),
+        (2, "my token is qWnBvGtYpLkJhRdXcZ today"),
+        (3, "secret kQ9xW2mN7pR4tY and again kQ9xW2mN7pR4tY"),
+        (4, "the password is Strassenbahnhaltestelle, the token internationalization"),
+        (5, "password " + "w" * 70 + " Zx81qPw07LmTk3vB"),
+    ]
+    found = {i: r.spans for i, r in collected(secrets.scan(frame(spark, rows))).items()}
+    assert found == {1: "novel:0:16", 2: "novel:12:30", 3: "novel:7:21,novel:32:46", 4: "", 5: ""}
+
+
+def plain_novel(text, novelty):
+    """The rule word for word: every token against every sensitive word."""
+    signs = set(string.ascii_letters + string.digits + "+/_.=-")
+    words = [m.span() for m in secrets.SENSITIVE.finditer(text)]
+    found, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in signs:
+            end += 1
+        near = any(a <= end + secrets.REACH and b >= at - secrets.REACH for a, b in words)
+        clear = all(b <= at or a >= end for a, _, b in secrets.base_spans(text))
+        if end - at >= secrets.LEAST and near and clear and novelty(text, at, end) >= secrets.NOVELTY:
+            found.append((at, 3, end))
+        at = end + 1
+    return found
+
+
+def test_novel_spans_equal_the_plain_rule():
+    draw, novelty = random.Random(5), secrets.Novelty(secrets.identifier_dictionary())
+    parts = ["token", " secret ", "Password: ", " ", "\n", " und ", "=", "a" * 30, "0f" * 13, "AKIA" + "Q7" * 9]
+    parts += ["".join(draw.choices(string.ascii_letters + string.digits, k=n)) for n in (6, 11, 12, 13, 24, 40)]
+    parts += ["internationalization ", " Kraftfahrzeughaftpflicht", " words that stand between them so that it gets long "]
+    some = 0
+    for _ in range(600):
+        text = "".join(draw.choices(parts, k=draw.randrange(1, 14)))
+        found = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        assert found == plain_novel(text, novelty)
+        some += len(found)
+    assert some > 100
+
+
+def test_keys_put_into_given_texts_are_found_and_words_are_not(spark):
+    draw, novelty = random.Random(6), secrets.Novelty(secrets.identifier_dictionary())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    wordy = [t for t in texts if len(t) > 300]
+    found = false = words = 0
+    for n in range(400):
+        text = draw.choice(wordy)
+        at = text.find(" ", draw.randrange(50, len(text) - 50)) + 1
+        key = "".join(draw.choices(string.ascii_letters + string.digits, k=draw.randrange(12, 41)))
+        with_key = text[:at] + (f"the token {key} " if n % 2 else f"{key} token ") + text[at:]
+        start = with_key.find(key)
+        got = secrets.novel_spans(with_key, secrets.base_spans(with_key), novelty)
+        found += (start, 3, start + len(key)) in got
+        without = text[:at] + "the token " + text[at:]
+        words += len(list(secrets.candidates(without)))
+        false += len(secrets.novel_spans(without, secrets.base_spans(without), novelty))
+    assert found >= 380 and false <= 4, (found, false, words)
+
+
 def test_secrets_of_edge_rows(edges, nothing):
     assert all(r.spans == "" for r in secrets.scan(edges).collect())
     assert secrets.scan(nothing).count() == 0
