@@ -41,6 +41,8 @@ SEED = 42
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 SMALL = 32
+#: Parts that the rows of a fingerprint are dealt into.
+SALTS = 32
 
 
 def _ring_mask(start: int, halves: tuple[int, ...]) -> int:
@@ -240,11 +242,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, reach: Reach = NARROW) -> DataFrame:
     """(doc_id, v, fp, component_id, first) of every row: the smallest id reachable over links, itself included.
 
-    ``v`` is a hash of the text; ``first`` is that of the row that stays in a group without any id.
+    ``v`` is a hash of the text; ``first`` is that of the row that stays in a group without any id. The rows of
+    a fingerprint are dealt into ``SALTS`` parts; what is known of it goes to the parts that it has, so a
+    fingerprint of many rows is spread over tasks and one of a single row is sent once.
     """
     marked = stored(fingerprints(docs, reach.shingle), "fingerprints")
+    salt = F.pmod(F.xxhash64("doc_id", "v"), F.lit(SALTS)).cast("int")
     nodes = marked.groupBy("fp").agg(
-        F.min(identity()).alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("v"))).alias("first")
+        F.min(identity()).alias("id"),
+        F.min(F.when(F.col("doc_id").isNull(), F.col("v"))).alias("first"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), salt)).alias("parts"),
     )
     pairs = links(nodes.select("fp"), reach)
     for end in ("a", "b"):
@@ -252,8 +259,15 @@ def near_duplicates(docs: DataFrame, reach: Reach = NARROW) -> DataFrame:
         pairs = pairs.join(named, end)
     ends = pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     roots = components(stored(ends, "links")).select(F.col("node.fp").alias("fp"), "root")
-    known = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", F.struct("id", "fp", "first")).alias("root"))
-    return marked.join(known, "fp").select(
+    known = nodes.join(roots, "fp", "left").select(
+        "fp", "parts", F.coalesce("root", F.struct("id", "fp", "first")).alias("root")
+    )
+    parts = F.filter(
+        F.sequence(F.lit(0), F.lit(SALTS - 1)),
+        lambda part: F.call_function("getbit", F.col("parts"), part) == 1,
+    )
+    known = known.select("fp", "root", F.explode(parts).alias("part"))
+    return marked.withColumn("part", salt).join(known, ["fp", "part"]).select(
         "doc_id", "v", "fp", F.col("root.id").alias("component_id"), "root.first"
     )
 
