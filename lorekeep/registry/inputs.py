@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.session import pin
@@ -343,6 +343,25 @@ def write_documents(spark: SparkSession, sf_dir: str, path: str, old: bool = Fal
     documents.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def write_indented(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Files of one indented JSON document each, with at most 1000 messages; lines of a file come from sorted rows."""
+    rows = export_json(spark, sf_dir).withColumns(
+        {"of_chat": F.col("chat_id"), "of_part": F.floor(F.col("pos") / MANIFEST_MESSAGES)}
+    )
+    file = Window.partitionBy("of_chat", "of_part")
+    first, last = F.col("pos") == F.min("pos").over(file), F.col("pos") == F.max("pos").over(file)
+    inner = F.expr("substring(j, 2, length(j) - 2)")
+    entry = F.concat(F.lit("  {\n   "), inner, F.when(last, F.lit("\n  }\n ]\n}")).otherwise(F.lit("\n  },")))
+    head = F.format_string('{\n "name": "%s",\n "id": %d,\n "messages": [\n', F.col("chat_title"), F.col("chat_id"))
+    (
+        rows.withColumn("value", F.concat(F.when(first, head).otherwise(F.lit("")), entry))
+        .sortWithinPartitions("of_chat", "of_part", "pos")
+        .select("value", "of_chat", "of_part")
+        .write.partitionBy("of_chat", "of_part")
+        .text(path)
+    )
+
+
 MESSAGES = """fx_messages AS (SELECT conv_id AS chat_id, 'Chat '||conv_id AS chat_title, CAST(turn AS INTEGER) AS pos,
  turn AS message_id, conv_id||':'||turn AS plain_key,
  CASE WHEN conv_id = 0 THEN 'none' ELSE CAST(conv_id AS VARCHAR) END||':'||turn AS external_key,

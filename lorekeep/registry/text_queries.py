@@ -45,6 +45,24 @@ def export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "export_scan_ranges",
+    fx.cte(fx.MESSAGES)
+    + "SELECT chat_id, chat_title, CAST(pos % 1000 AS INTEGER) AS pos, message_id, flat_text AS text FROM fx_messages",
+)
+def export_scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indented documents, cut between their messages by the tasks that read them."""
+    path = scratch_dir(spark, "export")
+    fx.write_indented(spark, sf_dir, path)
+    return exports.ranged_messages(spark, path, name_filter="*.txt").select(
+        "chat_id",
+        "chat_title",
+        "pos",
+        get("id", "bigint").alias("message_id"),
+        messages.flatten_rich_text(get("text", "variant")).alias("text"),
+    )
+
+
 @query(
     "resume_from_cursor",
     fx.cte(fx.MESSAGES) + "SELECT chat_id, message_id FROM fx_messages WHERE pos % 1000 >= 3",

@@ -25,7 +25,7 @@ ITEM_COLUMNS = (
     "author_external_id author_name text_content caption has_media source_relative_path original_filename mime_type "
     "file_size_bytes duration_ms width height index_status index_error"
 ).split()
-LAYOUTS = ("export", "lines")
+LAYOUTS = ("export", "lines", "indented")
 
 
 class SourceAdapter(ABC):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import hashing, messages
 from lorekeep.functions.text import basename, blank_to_null, strip
+from lorekeep.session import cut_lineage
 
 MANIFEST_SCHEMA = "id long, name string, messages array<variant>"
+MANIFEST_FIELDS = "id: bigint, name: string, messages: array<variant>"
 
 
 def read_manifests(spark: SparkSession, path: str | list[str], layout: str = "export") -> DataFrame:
@@ -39,6 +41,92 @@ def placed(manifests: DataFrame) -> DataFrame:
     return manifests.withColumns({"manifest_at": file["file_modification_time"], "manifest_path": file["file_path"]})
 
 
+def read_pieces(spark: SparkSession, path: str | list[str], indent: int, name_filter: str) -> DataFrame:
+    """Indented documents cut between their messages: path, start, manifest_at, place, value.
+
+    Spark reads byte ranges of a file and cuts at the separator, here the end of one message and the start of the
+    next at their indentation. JSON strings hold no line breaks, so the separator is never part of one. The rows are
+    written once: ``place`` numbers the rows of a range in file order, and all that follows must see the same numbers.
+    """
+    at = " " * (2 * indent)
+    reader = spark.read.option("lineSep", f"\n{at}}},\n{at}{{")
+    paths = [path] if isinstance(path, str) else path
+    folders = [p for p in paths if not p.endswith(".json")]
+    files = [p for p in paths if p.endswith(".json")]
+    found = [reader.text(files)] if files else []
+    if folders:
+        deep = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name_filter)
+        found.append(deep.text(folders))
+    file = F.col("_metadata")
+    pieces = [
+        rows.select(
+            file["file_path"].alias("path"),
+            file["file_block_start"].alias("start"),
+            file["file_modification_time"].alias("manifest_at"),
+            F.monotonically_increasing_id().alias("place"),
+            "value",
+        )
+        for rows in found
+    ]
+    return cut_lineage(pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1]))
+
+
+def ranged_messages(
+    spark: SparkSession, path: str | list[str], indent: int = 1, name_filter: str = "result.json"
+) -> DataFrame:
+    """Messages of documents of one chat each, every document read by as many tasks as it has byte ranges.
+
+    The result is that of :func:`explode_messages`. The chat's id and name may stand before or after its messages.
+    A document that does not have its messages at this indentation is taken whole. One that has other objects
+    between the messages, or a message that is no JSON, stops the job.
+    """
+    at, outer = " " * (2 * indent), " " * indent
+    opening, closing = f'\n{outer}"messages": [\n{at}{{', f"\n{at}}}\n{outer}]"
+    pieces = read_pieces(spark, path, indent, name_filter)
+    in_file = Window.partitionBy("path")
+    ranges = pieces.groupBy("path", "start").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    ranges = ranges.select(
+        "path",
+        "start",
+        "first",
+        F.coalesce(
+            F.sum("n").over(in_file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("before"),
+        F.sum("n").over(in_file).alias("total"),
+    )
+    value, pos = F.col("value"), (F.col("place") - F.col("first") + F.col("before")).cast("int")
+    numbered = pieces.join(ranges, ["path", "start"]).select("path", "manifest_at", "total", pos.alias("pos"), "value")
+    opened = F.locate(opening, value)
+    whole = (F.col("total") == 1) & (opened == 0)
+    is_first, is_last = F.col("pos") == 0, F.col("pos") == F.col("total") - 1
+    alien = F.raise_error(F.concat(F.lit("messages are not the only list of objects in "), "path"))
+    head = F.when(is_first, F.when(opened > 0, F.concat(F.substring(value, F.lit(1), opened + len(opening) - len(at) - 2), F.lit("]}"))).otherwise(alien))
+    cut = numbered.filter(~whole).withColumns(
+        {"head": head, "value": F.when(is_first, F.substr(value, opened + len(opening))).otherwise(value)}
+    )
+    closed = F.locate(closing, value)
+    rest = F.regexp_replace(F.substr(value, closed + len(closing)), r"\A\s*,", "")
+    tail = F.when(is_last, F.when(closed > 0, F.concat(F.lit("{"), rest)).otherwise(alien))
+    body = F.when(is_last, F.substring(value, F.lit(1), closed - 1)).when(closed > 0, alien).otherwise(value)
+    cut = cut.withColumns({"tail": tail, "value": body})
+
+    def described(column: str) -> Column:
+        return F.from_json(column, "id long, name string", {"mode": "FAILFAST"})
+
+    heads = (
+        cut.filter(is_first | is_last)
+        .select("path", described("head").alias("head"), described("tail").alias("tail"))
+        .groupBy("path")
+        .agg(*(F.coalesce(F.max(f"tail.{c}"), F.max(f"head.{c}")).alias(n) for c, n in (("id", "chat_id"), ("name", "chat_title"))))
+    )
+    message = F.parse_json(F.concat(F.lit("{"), value, F.lit("}"))).alias("message")
+    columns = ["chat_id", "chat_title", "manifest_at", F.col("path").alias("manifest_path"), "pos"]
+    found = cut.join(heads, "path").select(*columns, message)
+    documents = F.from_json(value, f"array<struct<{MANIFEST_FIELDS}>>", {"mode": "FAILFAST"})
+    taken = numbered.filter(whole).select("manifest_at", F.col("path").alias("manifest_path"), F.explode(documents).alias("d"))
+    return found.unionByName(explode_messages(taken.select("d.*", "manifest_at", "manifest_path")))
+
+
 def explode_messages(manifests: DataFrame) -> DataFrame:
     """One row per message: chat id, chat title, position, message, and the place of the manifest if it is known."""
     place = [c for c in ("manifest_at", "manifest_path") if c in manifests.columns]
@@ -51,7 +139,13 @@ def explode_messages(manifests: DataFrame) -> DataFrame:
 
 
 def export_scan(spark: SparkSession, path: str | list[str], layout: str = "export") -> DataFrame:
-    """Messages of all manifests. A whole document is read by one task, so its messages are spread afterwards."""
+    """Messages of all manifests.
+
+    ``export``: a whole document is read by one task, so its messages are spread afterwards. ``lines``: one manifest
+    per line. ``indented``: documents of one chat each as ``export`` takes them, read by byte ranges.
+    """
+    if layout == "indented":
+        return ranged_messages(spark, path)
     found = explode_messages(read_manifests(spark, path, layout))
     return found if layout == "lines" else found.hint("rebalance")
 

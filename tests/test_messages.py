@@ -162,3 +162,66 @@ def test_scan_of_export_folders(spark, tmp_path):
     assert sorted((r.chat_id, r.pos) for r in both.collect()) == [(1, 0), (2, 0), (2, 1)]
     single = exports.export_scan(spark, str(tmp_path / "export2" / "result.json"))
     assert single.count() == 2
+
+
+def indented(messages_, before='"name": "A \\" chat", "id": 5', after="", indent=1):
+    """A chat's document as the exporter lays it out."""
+    one = " " * indent
+    entries = []
+    for m in messages_:
+        body = json.dumps(m, indent=indent, ensure_ascii=False).split("\n")
+        entries.append("\n".join(one * 2 + line for line in body))
+    listed = ",\n".join(entries)
+    return f'{{\n{one}{before},\n{one}"messages": [\n{listed}\n{one}]{after}\n}}'
+
+
+LONG = [{"id": i, "text": ["zweite\n },\n  {" * (i % 3), {"type": "b", "text": "ñ" * (i * 7 % 50)}], "poll": {"answers": [{"id": 1}, {"id": 2}]}} for i in range(120)]
+
+
+@pytest.mark.parametrize("size", [211, 5000, 1 << 20])
+def test_byte_ranges_equal_whole_documents(spark, tmp_path, size, monkeypatch):
+    for name, document in {
+        "a": indented(LONG),
+        "b": indented(LONG[:1], after=',\n "about": {"id": 3}'),
+        "c": indented(LONG[:90], before='"type": "x"', after=',\n "id": 8,\n "name": "later"'),
+        "d": '{\n "name": "none",\n "id": 6,\n "messages": []\n}',
+        "e": json.dumps({"id": 7, "name": "dense", "messages": LONG[:5]}),
+        "f": indented(LONG[:3], indent=4),
+        "g": indented(LONG[:2], before='"name": "n", "id": 9, "other": [\n  {\n   "messages": []\n  }\n ]'),
+        "h": json.dumps([{"id": 10, "name": "p", "messages": LONG[:2]}, {"id": 11, "messages": LONG[:1]}], indent=1),
+    }.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "result.json").write_text(document, encoding="utf-8")
+    plain = exports.export_scan(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        ranged = exports.export_scan(spark, str(tmp_path), layout="indented")
+        spread = exports.read_pieces(spark, str(tmp_path / "a"), 1, "result.json").select("start").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ranged.columns == plain.columns and ranged.dtypes == plain.dtypes
+
+    def listing(df):
+        rows = df.withColumn("message", F.to_json("message")).collect()
+        return sorted((r.manifest_path, r.chat_id, r.chat_title, r.pos, r.message, r.manifest_at) for r in rows)
+
+    assert listing(ranged) == listing(plain)
+    assert spread > 1 or size > 100_000
+
+
+@pytest.mark.parametrize(
+    "document",
+    [
+        indented(LONG[:3], after=',\n "other": [\n  {\n   "id": 1\n  },\n  {\n   "id": 2\n  }\n ]'),
+        indented(LONG[:3], before='"other": [\n  {\n   "id": 1\n  },\n  {\n   "id": 2\n  }\n ]'),
+        indented(LONG[:3]).replace('"text":', '"text"', 1),
+        indented(LONG[:3]).replace("\n  }\n ]", "\n  }"),
+        '{"id": 1, "messages": [',
+    ],
+)
+def test_byte_ranges_refuse_other_lists_and_broken_documents(spark, tmp_path, document):
+    (tmp_path / "result.json").write_text(document)
+    with pytest.raises(Exception):  # noqa: B017
+        exports.export_scan(spark, str(tmp_path / "result.json"), layout="indented").collect()
