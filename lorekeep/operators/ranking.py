@@ -1,7 +1,7 @@
 """Top-k, paging, chunking and rates.
 
 Whole-table ranks are never computed in one task: a page reads only its head, and full numbering works on
-coarse buckets of the sort key whose offsets come from a small count table.
+coarse buckets of the sort key, or on parts of equal size, whose offsets come from a small count table.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from lorekeep.constants import TYPE_PRIORITY
 from lorekeep.functions.text import duration_text
 from lorekeep.operators.aggregates import type_order
 from lorekeep.operators.filters import unix_micros
+from lorekeep.session import cut_lineage
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
@@ -72,17 +73,23 @@ def number_head(df: DataFrame, order: Sequence[Column], n: int, column: str = "r
 
 
 def offset_page(
-    df: DataFrame, order: Sequence[Column], offset: int, limit: int, bucket: Column | None = None
+    df: DataFrame,
+    order: Sequence[Column],
+    offset: int,
+    limit: int,
+    bucket: Column | None = None,
+    balanced: bool = False,
 ) -> DataFrame:
     """Rows ``offset+1 .. offset+limit`` and whether another row follows.
 
     With ``bucket`` (which must grow with ``order``) the ranks come from :func:`bucketed_rank` and only the page
-    itself reaches one task, so the offset may be anything. Without it the rows before the page come along.
+    itself reaches one task, so the offset may be anything; ``balanced`` does so in parts of equal size. Without
+    either the rows before the page come along.
     """
-    if bucket is None:
+    if bucket is None and not balanced:
         head = number_head(df, order, offset + limit + 1)
     else:
-        ranked = bucketed_rank(df, [], bucket, order)
+        ranked = balanced_rank(df, [], order) if bucket is None else bucketed_rank(df, [], bucket, order)
         head = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit + 1))
     last = F.max("rank").over(Window.partitionBy())
     page = head.withColumn("has_more", last > offset + limit)
@@ -177,11 +184,47 @@ def bucketed_rank(
     return joined.withColumn(column, F.col("inside") + F.col("before")).drop("inside", "before", "bucket")
 
 
+def balanced_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """The rows with ``_part`` and ``_place``: parts of about equal size in the order of ``keys`` and ``order``.
+
+    Spark samples the rows to place the borders, so a burst of one key or hour is cut like anything else; only rows
+    that agree in all of ``keys`` and ``order`` stay together. The rows are written once, as a second run of the
+    sample could cut elsewhere.
+    """
+    columns = [*(F.col(k) for k in keys), *order]
+    spread = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    numbered = cut_lineage(spread.sortWithinPartitions(*columns).withColumn("_place", F.monotonically_increasing_id()))
+    # the upper half of the number is that of the part
+    return numbered.withColumn("_part", F.shiftright("_place", 33))
+
+
+def balanced_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str = "rank", parts: int | None = None
+) -> DataFrame:
+    """1-based rank of every row within ``keys``, as :func:`bucketed_rank`, without a bucket to be chosen.
+
+    ``order`` must tell all rows of a key apart. Null keys are a group of their own.
+    """
+    placed = balanced_parts(df, keys, order, parts)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
+    offsets = sizes.select(
+        *(F.col(k).alias(f"_of_{n}") for n, k in enumerate(keys)),
+        F.col("_part").alias("_of_part"),
+        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+    )
+    same = F.col("_part") == F.col("_of_part")
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{n}"))
+    joined = placed.join(offsets, same).withColumn(column, F.col("_place") + F.col("_shift"))
+    return joined.select(*(c for c in df.columns if c != column), column)
+
+
 def batch_chunks(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], size: int
+    df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence[Column], size: int
 ) -> DataFrame:
-    """Ordered rows of each key in chunks of ``size``."""
-    ranked = bucketed_rank(df, keys, bucket, order)
+    """Ordered rows of each key in chunks of ``size``; without ``bucket`` in parts of equal size."""
+    ranked = balanced_rank(df, keys, order) if bucket is None else bucketed_rank(df, keys, bucket, order)
     return ranked.withColumn("chunk_id", F.floor((F.col("rank") - 1) / size).cast("bigint"))
 
 
@@ -190,73 +233,77 @@ def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(pos).alias(pos)).orderBy(pos)
 
 
-def activity_rate(samples: DataFrame, key: str = "run_id", ts: str = "ts", bucket_seconds: int = 3600) -> DataFrame:
+def activity_rate(
+    samples: DataFrame, key: str = "run_id", ts: str = "ts", bucket_seconds: int | None = 3600, parts: int | None = None
+) -> DataFrame:
     """Delta since the previous sample, rows per minute over 1 and 5 minutes and since the start, and ETA.
 
     Samples are (key, ts, done, remaining), one per key and time. A sliding frame would visit every row of
     each five minutes again; instead each sample sends a mark to one and five minutes before it, and one
-    running pass finds the oldest sample after the mark. Time buckets spread one long run over many tasks;
-    what reaches out of a bucket comes from a table with one row per (key, bucket).
+    running pass finds the oldest sample at or after the mark. Time buckets spread one long run over many tasks;
+    what reaches out of a bucket comes from a table with one row per (key, bucket). With ``bucket_seconds`` None
+    the marks are cut into parts of equal size instead, so that a burst within a bucket is spread as well.
     """
-    if bucket_seconds < 300:
-        raise ValueError("a bucket must cover the five minutes that are looked back")
-    width = F.lit(bucket_seconds * 1_000_000)
     base = samples.select(key, F.unix_micros(ts).alias("at"), "done", "remaining")
-    edges = base.groupBy(key, F.floor(F.col("at") / width).cast("bigint").alias("bucket")).agg(
-        F.min("at").alias("first_at"),
-        F.min_by("done", "at").alias("first_done"),
-        F.max_by("done", "at").alias("last_done"),
+    marks = base.select("*", F.explode(F.array(F.lit(0), F.lit(60), F.lit(300))).alias("back"))
+    marks = marks.withColumn("mark", F.col("at") - F.col("back") * 1_000_000)
+    if bucket_seconds is None:
+        marks = balanced_parts(marks, [key], [F.col("mark").asc(), F.col("back").desc()], parts)
+        marks = marks.withColumnRenamed("_part", "bucket").drop("_place")
+    else:
+        width = F.lit(bucket_seconds * 1_000_000)
+        marks = marks.withColumn("bucket", F.floor(F.col("mark") / width).cast("bigint"))
+    sample = F.col("back") == 0
+    at, done = F.when(sample, F.col("at")), F.when(sample, F.col("done"))
+    edges = marks.groupBy(key, "bucket").agg(
+        F.min(at).alias("first_at"), F.min_by(done, at).alias("first_done"), F.max_by(done, at).alias("last_done")
     )
     by_key = Window.partitionBy(key).orderBy("bucket")
+    to_end, from_start = by_key.rowsBetween(1, Window.unboundedFollowing), by_key.rowsBetween(Window.unboundedPreceding, -1)
+    throughout = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select(
         key,
         "bucket",
-        "first_at",
-        "first_done",
-        F.lag("last_done").over(by_key).alias("prev_done"),
-        F.first("first_at").over(by_key).alias("start_at"),
-        F.first("first_done").over(by_key).alias("start_done"),
+        *(F.first(f"first_{c}", ignorenulls=True).over(to_end).alias(f"next_{c}") for c in ("at", "done")),
+        F.last("last_done", ignorenulls=True).over(from_start).alias("prev_done"),
+        *(F.first(f"first_{c}", ignorenulls=True).over(throughout).alias(f"start_{c}") for c in ("at", "done")),
     )
-    marks = base.select("*", F.explode(F.array(F.lit(0), F.lit(60), F.lit(300))).alias("back"))
-    marks = marks.withColumn("mark", F.col("at") - F.col("back") * 1_000_000)
-    marks = marks.withColumn("bucket", F.floor(F.col("mark") / width).cast("bigint"))
-    sample = F.col("back") == 0
     inside = Window.partitionBy(key, "bucket")
     later = inside.orderBy(F.col("mark").desc(), F.col("back").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = inside.orderBy(F.col("mark").asc(), F.col("back").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = inside.orderBy(F.col("mark").asc(), F.col("back").desc()).rowsBetween(Window.unboundedPreceding, -1)
     seen = marks.select(
         key,
+        "bucket",
         "at",
         "back",
         "done",
         "remaining",
-        F.last(F.when(sample, F.col("at")), ignorenulls=True).over(later).alias("old_at"),
-        F.last(F.when(sample, F.col("done")), ignorenulls=True).over(later).alias("old_done"),
-        F.last(F.when(sample, F.col("done")), ignorenulls=True).over(earlier).alias("before"),
+        F.last(at, ignorenulls=True).over(later).alias("own_at"),
+        F.last(done, ignorenulls=True).over(later).alias("own_done"),
+        F.last(done, ignorenulls=True).over(earlier).alias("before"),
+    )
+    # a mark without a sample after it in its bucket is followed by the first one of the next bucket that has any
+    seen = seen.join(edges, [key, "bucket"]).withColumns(
+        {
+            "old_at": F.coalesce("own_at", "next_at"),
+            "old_done": F.when(F.col("own_at").isNotNull(), F.col("own_done")).otherwise(F.col("next_done")),
+            "before": F.coalesce("before", "prev_done"),
+        }
     )
 
     def of(back: int, column: str) -> Column:
         return F.max(F.when(F.col("back") == back, F.col(column)))
 
-    joined = (
-        seen.groupBy(key, "at")
-        .agg(
-            of(0, "done").alias("done"),
-            of(0, "remaining").alias("remaining"),
-            of(0, "before").alias("before"),
-            *[of(b, c).alias(f"{c}_{b}") for b in (60, 300) for c in ("old_at", "old_done")],
-        )
-        .withColumn("bucket", F.floor(F.col("at") / width).cast("bigint"))
-        .join(edges, [key, "bucket"])
+    joined = seen.groupBy(key, "at").agg(
+        *(of(0, c).alias(c) for c in ("done", "remaining", "before", "start_at", "start_done")),
+        *[of(b, c).alias(f"{c}_{b}") for b in (60, 300) for c in ("old_at", "old_done")],
     )
 
     def trailing(back: int) -> Column:
-        # A mark that found no sample in its bucket is followed by the first one of this bucket.
-        old_at, old_done = F.coalesce(f"old_at_{back}", "first_at"), F.coalesce(f"old_done_{back}", "first_done")
-        return _per_minute(F.col("done") - old_done, F.col("at") - old_at)
+        return _per_minute(F.col("done") - F.col(f"old_done_{back}"), F.col("at") - F.col(f"old_at_{back}"))
 
     rated = (
-        joined.withColumn("delta", F.col("done") - F.coalesce("before", "prev_done", "done"))
+        joined.withColumn("delta", F.col("done") - F.coalesce("before", "done"))
         .withColumn("rate_1m", trailing(60))
         .withColumn("rate_5m", trailing(300))
         .withColumn("rate_total", _per_minute(F.col("done") - F.col("start_done"), F.col("at") - F.col("start_at")))

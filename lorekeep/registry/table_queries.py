@@ -586,6 +586,19 @@ def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked.select("o_orderkey", "o_orderstatus", "rank", "chunk_id")
 
 
+@query(
+    "balanced_chunks",
+    """SELECT l_orderkey, l_linenumber, l_returnflag, rank, (rank - 1) // 1000 AS chunk_id FROM (SELECT *, row_number() OVER
+ (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)""",
+)
+def balanced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 1000 per return flag by price; half of all lines have one flag, and nothing is said about prices."""
+    names = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    lines = fx.load(spark, sf_dir, "lineitem").select(*names, "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()]
+    return ranking.batch_chunks(lines, ["l_returnflag"], None, order, 1000).select(*names, "rank", "chunk_id")
+
+
 @query("ordered_distinct", "SELECT user_id, min(event_id) AS pos FROM events GROUP BY 1")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.load(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"))
@@ -615,7 +628,10 @@ def activity_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fx.jobs(spark, sf_dir).selectExpr(
         "run_id", "ts", "cast(floor(job_id / 3) as bigint) as done", "attempts as remaining"
     )
-    rates = ranking.activity_rate(samples)
+    return rounded(ranking.activity_rate(samples))
+
+
+def rounded(rates: DataFrame) -> DataFrame:
     return rates.select(
         "run_id",
         F.unix_micros("ts").alias("at"),
@@ -626,3 +642,29 @@ def activity_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("rate_total", 4).alias("rate_total"),
         "eta_seconds",
     )
+
+
+#: Nine of ten events are moved into one hour.
+BURST = """fx_burst AS (SELECT event_id AS job_id, user_id % 3 AS run_id, event_id % 50 AS attempts,
+ make_timestamp(CASE WHEN event_id % 10 > 0 THEN 1706745600000000 + event_id * 3000 + 1 ELSE 1704067200000000 + event_id * 1000000 END)
+ AS ts FROM events)"""
+
+
+@query(
+    "burst_rate",
+    fx.cte(BURST, ACTIVITY.replace("fx_jobs", "fx_burst"))
+    + """SELECT run_id, epoch_us(ts) AS at, done, delta, round(r1, 4) AS rate_1m, round(r5, 4) AS rate_5m,
+ round(r0, 4) AS rate_total, CASE WHEN er > 0.01 AND remaining > 0 THEN floor(remaining / er * 60)::BIGINT END AS eta_seconds
+ FROM fx_e""",
+    nullable=("eta_seconds",),
+)
+def burst_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of three runs whose samples crowd in one hour, in parts of equal size."""
+    at = "if(event_id % 10 > 0, 1706745600000000 + event_id * 3000 + 1, 1704067200000000 + event_id * 1000000)"
+    samples = fx.load(spark, sf_dir, "events").selectExpr(
+        "user_id % 3 as run_id",
+        f"timestamp_micros({at}) as ts",
+        "cast(floor(event_id / 3) as bigint) as done",
+        "event_id % 50 as remaining",
+    )
+    return rounded(ranking.activity_rate(samples, bucket_seconds=None))

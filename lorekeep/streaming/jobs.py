@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators.ranking import bucketed_rank
+from lorekeep.operators.ranking import balanced_rank, bucketed_rank
 
 
 def running_status_counts(log: DataFrame) -> DataFrame:
@@ -48,16 +48,26 @@ def idle_ticks(interval: float) -> int:
     return max(int(10 / max(interval, 0.1)), 3)
 
 def stall_detection(
-    samples: DataFrame, stale_seconds: int = 30, interval: float = 2.0, key: str = "run_id", bucket_ticks: int = 4096
+    samples: DataFrame,
+    stale_seconds: int = 30,
+    interval: float = 2.0,
+    key: str = "run_id",
+    bucket_ticks: int | None = 4096,
+    block_rows: int = 65_536,
 ) -> DataFrame:
     """Health of every sample (key, tick, done, cursor, processing, scanning, heartbeat_age).
 
     LIVE; STALLED when a scan's heartbeat is too old; IDLE when nothing has changed for some samples and no
     job is processed. Ticks only order the samples and may have gaps. They are cut into blocks so that one long
     run is spread over many tasks; what reaches over a block comes from a table with one row per (key, block).
+    With ``bucket_ticks`` None a block has ``block_rows`` samples, whatever the distances between ticks are.
     """
-    block = F.floor(F.col("tick") / bucket_ticks).cast("bigint")
-    counted = bucketed_rank(samples, [key], block, [F.col("tick")], "place")
+    if bucket_ticks is None:
+        block = F.floor((F.col("place") - 1) / block_rows).cast("bigint")
+        counted = balanced_rank(samples, [key], [F.col("tick")], "place")
+    else:
+        block = F.floor(F.col("tick") / bucket_ticks).cast("bigint")
+        counted = bucketed_rank(samples, [key], block, [F.col("tick")], "place")
     base = counted.withColumn("block", block)
     inside = Window.partitionBy(key, "block").orderBy("tick")
     by_key = Window.partitionBy(key).orderBy("block")

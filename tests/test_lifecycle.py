@@ -343,3 +343,37 @@ def test_point_upsert_leaves_stored_vectors_in_place(spark):
     incoming = spark.createDataFrame([("a", [9.0], 4), ("b", [8.0], 2), ("b", [7.0], 3), ("d", [6.0], 1)], ddl)
     merged = points.point_upsert(stored, incoming)
     assert {r.point_id: r.vector[0] for r in merged.collect()} == {"a": 1.0, "b": 7.0, "c": 3.0, "d": 6.0}
+
+
+def test_burst_is_cut_into_parts_of_equal_size(spark):
+    hour = "if(id % 10 > 0, 1704067200 + id % 3600, 1704067200 + id * 3600)"
+    df = spark.range(20_000).selectExpr("id", "if(id % 7 = 0, null, 1) as k", f"timestamp_seconds({hour}) as at")
+    order = [F.col("at").desc(), F.col("id").asc()]
+    sizes = sorted(r["count"] for r in ranking.balanced_parts(df, [], order, 8).groupBy("_part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+    ranked = ranking.balanced_rank(df, ["k"], order, parts=8)
+    assert ranked.columns == ["id", "k", "at", "rank"]
+    rows = ranked.collect()
+    assert len(rows) == 20_000
+    for k in (None, 1):
+        mine = sorted((r for r in rows if r.k == k), key=lambda r: (-r["at"].timestamp(), r.id))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+    assert ranking.balanced_rank(df.limit(0), ["k"], order).collect() == []
+    deep, plain = (ranking.offset_page(df, order, 15_000, 30, balanced=b).orderBy("rank") for b in (True, False))
+    assert [(r["rank"], r.id, r.has_more) for r in deep.collect()] == [(r["rank"], r.id, r.has_more) for r in plain.collect()]
+
+
+def test_rates_do_not_depend_on_the_cut(spark):
+    df = spark.range(1500).selectExpr(
+        "id % 2 as run_id", "timestamp_seconds(1704067200 + id * 10 + id % 3 * 5) as ts", "id * (id % 5) as done", "id % 9 as remaining"
+    )
+    expected = []
+    for run in (0, 1):
+        mine = sorted((r for r in df.collect() if r.run_id == run), key=lambda r: r.ts)
+        for r in mine:
+            since = [next(x for x in mine if (r.ts - x.ts).total_seconds() <= back) for back in (60, 300)]
+            rates = [max((r.done - x.done) * 60_000_000.0 / ((r.ts - x.ts).total_seconds() * 1e6), 0.0) if x.ts < r.ts else 0.0 for x in since]
+            expected.append((run, r.ts, *rates))
+    for settings in ({}, {"bucket_seconds": 7}, {"bucket_seconds": None, "parts": 1}, {"bucket_seconds": None, "parts": 13}):
+        got = ranking.activity_rate(df, **settings).orderBy("run_id", "ts").collect()
+        assert [(r.run_id, r.ts, r.rate_1m, r.rate_5m) for r in got] == expected

@@ -242,8 +242,8 @@ def test_stall_detection_matches_the_loop(spark):
     df = spark.createDataFrame(
         [(7, *s) for s in samples], "run_id int, tick bigint, done bigint, cursor bigint, processing int, scanning boolean, heartbeat_age bigint"
     )
-    for block in (8, 4096):
-        got = live.stall_detection(df, 30, 2.0, bucket_ticks=block).orderBy("tick").collect()
+    for block, size in ((8, 0), (4096, 0), (None, 7), (None, 65_536)):
+        got = live.stall_detection(df, 30, 2.0, bucket_ticks=block, block_rows=size).orderBy("tick").collect()
         assert [(r.tick, r.stagnant_ticks, r.health) for r in got] == reference_health(samples, 30, 2.0)
 
 
