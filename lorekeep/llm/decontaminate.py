@@ -14,7 +14,10 @@ safe to broadcast whatever the benchmark holds; when it fills up it only lets mo
 Characters of scripts without blanks are words of their own. Null texts and texts without words overlap with
 nothing. Items of 6 to 12 words are matched whole by the same rule. Items of fewer words are matched where they are
 a whole line or the whole text, without substitutions. Equal items are reported
-under their smallest id. Rows without an id are documents of their own by their text.
+under their smallest id. Rows without an id are documents of their own by their text. Repeated rows are one document,
+so each overlap is reported once, and all of them go in the stage. Of several overlaps of a document and an item the
+longest counts, then the first. Very long texts are read whole, in pieces. An empty table of documents or items gives
+no overlap. Only the id and text columns are read; other columns may have any name and are kept by the stage.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ language with the most letters is the document's, its share of the letters is th
 Training reads a bounded sample of the labelled rows (``SAMPLE`` documents on average, picked by a hash of
 the id); prediction reads every text whole and nothing but the text. A null text, or one without a letter, is
 ``und`` with score 0, and so is every text when nothing could be learned. Ties go to the language that comes
-first in the alphabet. Repeated rows give repeated result rows.
+first in the alphabet. Repeated rows give repeated result rows, an empty table none. Other columns than those named
+may have any name and are kept by the stage.
 """
 
 from __future__ import annotations

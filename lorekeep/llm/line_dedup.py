@@ -8,7 +8,9 @@ to settle which of them is the first of all; so one key may hold any share of th
 for it. What comes back per document is its keep bitmap, coded as runs.
 
 A null or empty text is one empty line. Rows without an id count as one document after all others. Rows of
-the same id are one document: their lines are never dropped for each other.
+the same id are one document: their lines are never dropped for each other, so repeated rows repeat their results.
+A tie cannot arise: the smallest id that holds a key keeps all its lines. Very long texts are split whole. An empty
+table gives an empty result. Only ``doc_id`` and ``text`` are read; other columns may have any name and are kept.
 """
 
 from __future__ import annotations

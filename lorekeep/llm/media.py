@@ -6,7 +6,9 @@ each peak is paired with those of the next band in the next frames. A pair becom
 and the distance in time, filed under the time of its first peak. Frames cover every sample.
 
 A null or empty text is a payload of 64 zero bytes. Equal texts have equal values, whatever their rows hold
-besides. The transform runs in blocks of frames, so memory follows the text and not its spectrum.
+besides, and repeated rows repeat their results. The transform runs in blocks of frames, so memory follows the text,
+which may be very long, and not its spectrum. Of equally strong bins of a band the lowest is the peak. An empty table
+gives no rows. Only ``doc_id`` and ``text`` are read; other columns may have any name.
 """
 
 from __future__ import annotations

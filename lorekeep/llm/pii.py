@@ -12,7 +12,9 @@ network that overlap a pattern's span are left out; all others are added. They a
 the shape of a kind but fail its check (such as a mistyped card number).
 
 Spans are code points, end exclusive. A null or empty text has none. Nothing is learned when the sample has no
-spans; then only the patterns count. Every row is on its own, so repeated rows repeat their results.
+spans; then only the patterns count. Every row is on its own, so repeated rows repeat their results and an empty table
+gives none. Very long texts are read whole, window by window. Where two windows are equally good for a character, the
+earlier one counts. Only ``doc_id`` and ``text`` are read; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -3,11 +3,13 @@
 The model file is parsed and rebuilt: its normaliser (character map, blanks, dummy prefix), the metaspace
 marker, the unigram scores with the unknown penalty or, for a BPE model, the merges that its scores imply, and
 byte fallback. Batches are encoded by several threads. Everything is also encoded by the SentencePiece library;
-where the two differ, ``parity`` is false and the library's ids stand. Ids are turned back into text by a table
-of piece bytes, and ``round_trip`` says whether that gives the text again.
+where the two differ, ``parity`` is false and the ids of the rebuilt tokenizer stand. Ids are turned back into text by
+a table of piece bytes, and ``round_trip`` says whether that gives the text again.
 
 A null or empty text has no ids. Strings that look like control pieces are ordinary text. The marker U+2581 in
-a text reads as a blank, so such a text does not come back as it was and says so in ``round_trip``.
+a text reads as a blank, so such a text does not come back as it was and says so in ``round_trip``. Very long texts are
+encoded whole. Repeated rows repeat their results, and an empty table gives none. Only ``doc_id`` and ``text`` are
+read; other columns may have any name.
 """
 
 from __future__ import annotations

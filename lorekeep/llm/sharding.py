@@ -6,7 +6,8 @@ a permutation of exactly the rows. The shuffled place p gives shard p mod n and
 by one at most, slots have no gaps, and both can be computed, and turned back, from the number alone.
 
 Rows without an id come last; a null text is empty. Repeated rows have places of their own; which of two
-equal rows gets which place is not defined. The text itself is never moved.
+equal rows gets which place is not defined. The text itself is never moved, however long it is. An empty table has no
+places. Only ``doc_id`` and ``text`` are read; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ windows add up to the maximal repeats. Windows that meet in the same task are se
 that is everywhere goes through the shuffle once per task and not once per copy.
 
 A null text has no words; a text of fewer than 20 words has no window. Rows without an id count as one
-document after all others. Rows of the same id and text are one occurrence, so neither removes the other.
+document after all others. Rows of the same id and text are one occurrence, so neither removes the other and repeated
+rows repeat their results. Very long texts are read whole, and an empty table gives an empty result. Only ``doc_id`` and
+``text`` are read; other columns may have any name.
 """
 
 from __future__ import annotations
