@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import session
 from lorekeep.operators import lifecycle
 from lorekeep.plans import sync
 from lorekeep.sources import jobs as job_source
@@ -90,6 +91,16 @@ def test_timeouts_fire_once_and_can_be_cancelled(spark, tmp_path):
     assert got == [(1, "requeue", 1), (2, "failed", 3), (4, "requeue", 0)]
 
 
+def test_timers_run_in_a_session_with_default_settings(spark, tmp_path):
+    plain = spark.newSession()
+    plain.conf.set(session.STATE_STORE, session.ROCKSDB.replace("RocksDB", "HDFSBacked"))
+    batches = [[(1, 1, "processing", minute(0), 1)], [(9, 1, "queued", minute(90), 0)], [(9, 1, "queued", minute(91), 0)]]
+    log = stream_of(plain, tmp_path / "log", batches).select("job_id", "status", "ts", "attempts")
+    assert [(r.job_id, r.action) for r in drain(timers.stuck_job_timeout(log)).collect()] == [(1, "requeue")]
+    samples = stream_of(plain, tmp_path / "samples", [health_samples()[:2]], SAMPLES)
+    assert len(run_for(timers.live_health(samples, 3600), tmp_path / "checkpoint", lambda seen: len(seen) == 2)) == 2
+
+
 def test_an_older_row_in_a_later_batch_starts_no_timer(spark, tmp_path):
     batches = [
         [(1, 1, "done", minute(3), 0), (2, 1, "processing", minute(0), 0)],
