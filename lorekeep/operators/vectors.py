@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ MOST_QUERIES = 1024
 # The blocks that pass over the points together, as dense matrices.
 GROUP_BYTES = 32 << 20
 _CHUNK_CELLS = 4 << 20
+# A text batch is hashed so many rows at a time; a task remembers the slots of at most so many tokens.
+_EMBED_ROWS = 512
+_KNOWN_TOKENS = 200_000
 
 # (rows, keys, text column) -> the rows with a vector and an ``error`` in the place of the text.
 Embedder = Callable[[DataFrame, Sequence[str], str], DataFrame]
@@ -33,9 +38,19 @@ def feature_hash_embed(
 ) -> DataFrame:
     """Sparse unit vectors as rows (key, idx, weight).
 
-    The one shuffle spreads the texts by key; tokens, sums and norms then stay in their task.
+    The vector of a text is made where the text is read, so no text is shuffled and a task holds a batch of them at
+    a time. Texts of one key make one vector: the few keys that come again are found first, by the keys alone, and
+    only their texts meet.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    once, again = split_repeated(texts.select(*keys, text_col), keys)
+    vectors = once.select(*keys, _vector_of(dim)(V.tokens(F.col(text_col))).alias("v"))
+    found = vectors.select(*keys, F.explode(F.arrays_zip("v.idx", "v.weight")).alias("e")).select(*keys, "e.idx", "e.weight")
+    return found if again is None else found.unionByName(_summed_vectors(again, keys, text_col, dim))
+
+
+def _summed_vectors(texts: DataFrame, keys: Sequence[str], text_col: str, dim: int) -> DataFrame:
+    """The rows of :func:`feature_hash_embed` for keys with several texts, whose tokens are summed up by key."""
     placed = texts.select(*keys, text_col).repartition(*keys)
     exploded = placed.select(*keys, F.explode(V.tokens(F.col(text_col))).alias("token"))
     hashed = exploded.select(*keys, F.sha2("token", 256).alias("digest"))
@@ -46,18 +61,82 @@ def feature_hash_embed(
     return normalize_sparse(summed, keys)
 
 
+def split_repeated(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose keys come once, and the rows of the other keys, None if there are none. Nulls are equal.
+
+    One job over the keys comes first; the keys that come again are written to the shared folder.
+    """
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    again = cut_lineage(counted.select(*[F.col(k).alias(f"again_{k}") for k in keys]))
+    if again.isEmpty():
+        return rows, None
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in keys])
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
+def _slot(token: bytes, dim: int) -> tuple[int, float]:
+    """Position and weight of a token, as in ``token_slot`` and ``token_weight``."""
+    digest = hashlib.sha256(token).digest()
+    return int.from_bytes(digest[:4], "big") % dim, (1.0 + digest[5] / 255.0) * (-1.0 if digest[4] % 2 else 1.0)
+
+
+def _unit_rows(tokens: pa.ListArray, dim: int, known: dict[bytes, tuple[int, float]]) -> pa.StructArray:
+    """The sparse unit vector of each row of tokens, positions ascending; an all-zero one is the first unit axis."""
+    coded = tokens.flatten().dictionary_encode()
+    if len(known) > _KNOWN_TOKENS:
+        known.clear()
+    slots = []
+    for token in coded.dictionary.cast(pa.binary()).to_pylist():
+        if token not in known:
+            known[token] = _slot(token, dim)
+        slots.append(known[token])
+    at, weight = np.array([s[0] for s in slots], np.int64), np.array([s[1] for s in slots])
+    codes, rows = coded.indices.to_numpy(), pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    places, inverse = np.unique(rows * dim + at[codes], return_inverse=True)
+    sums = np.bincount(inverse, weights=weight[codes], minlength=len(places))
+    row, idx = places // dim, places % dim
+    norm = np.sqrt(np.bincount(row, weights=sums * sums, minlength=len(tokens)))[row]
+    kept = (norm > 0) | np.diff(row, prepend=-1).astype(bool)
+    row, idx, sums, norm = row[kept], idx[kept], sums[kept], norm[kept]
+    idx = np.where(norm > 0, idx, 0).astype(np.int32)
+    unit = np.divide(sums, norm, out=np.ones(len(sums)), where=norm > 0)
+    starts = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in (idx, unit)]
+    return pa.StructArray.from_arrays(lists, ["idx", "weight"])
+
+
+def _vector_of(dim: int) -> Callable[[Column], Column]:
+    """Column of tokens -> struct<idx, weight>, one task-local vector per row."""
+
+    @F.arrow_udf("idx array<int>, weight array<double>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, tuple[int, float]] = {}
+        for batch in batches:
+            parts = [_unit_rows(batch.slice(i, _EMBED_ROWS), dim, known) for i in range(0, len(batch), _EMBED_ROWS)]
+            yield pa.concat_arrays(parts) if parts else _unit_rows(batch, dim, known)
+
+    return vectors
+
+
 def hash_embedder(dim: int = VECTOR_SIZE) -> Embedder:
     """The built-in embedder: adds ``idx`` and ``weight`` in the place of the text.
 
-    ``keys`` tell the rows apart. A vector has at most ``dim`` entries, so its arrays are bounded.
+    ``keys`` tell the rows apart; rows with a null key are left out. A vector has at most ``dim`` entries, so its
+    arrays are bounded. Rows stay where they are; rows of a key that comes again share the vector of all its texts.
     """
 
     def embed(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
-        entry = F.array_sort(F.collect_list(F.struct("idx", "weight")))
-        vectors = feature_hash_embed(rows, keys, text_col, dim).groupBy(*keys).agg(entry.alias("entries"))
-        joined = rows.drop(text_col).join(vectors, list(keys))
-        found = {"idx": F.col("entries.idx"), "weight": F.col("entries.weight")}
-        return joined.withColumns(found).withColumn("error", F.lit(None).cast("string")).drop("entries")
+        known = rows.dropna(subset=list(keys))
+        once, again = split_repeated(known, keys)
+        found = once.withColumn("entries", _vector_of(dim)(V.tokens(F.col(text_col)))).drop(text_col)
+        found = found.withColumns({"idx": F.col("entries.idx"), "weight": F.col("entries.weight")})
+        if again is not None:
+            entry = F.array_sort(F.collect_list(F.struct("idx", "weight")))
+            vectors = _summed_vectors(again, keys, text_col, dim).groupBy(*keys).agg(entry.alias("entries"))
+            joined = again.drop(text_col).join(vectors, list(keys))
+            joined = joined.withColumns({"idx": F.col("entries.idx"), "weight": F.col("entries.weight")})
+            found = found.drop("entries").unionByName(joined.drop("entries"))
+        return found.withColumn("error", F.lit(None).cast("string")).drop("entries")
 
     return embed
 

@@ -211,3 +211,35 @@ def test_worker_code_needs_no_installed_package(tmp_path):
     for function in (ops._scores, ops._unit, ops._Best, live.idle_ticks):
         (tmp_path / "f").write_bytes(cloudpickle.dumps(function))
         assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=60).returncode == 0
+
+
+def nonzero(text):
+    return {i: x for i, x in enumerate(reference_embedding(text, 3072)) if x}
+
+
+def test_texts_are_embedded_where_they_are_read(spark):
+    rows = [(i, f"alpha {i} beta", i % 3) for i in range(1200)] + [(5000, None, 0), (5001, "!?", 0)]
+    df = spark.createDataFrame(rows, "item_id bigint, text string, facet int").repartition(3)
+    entries = ops.feature_hash_embed(df.select("item_id", "text").filter("item_id >= 0"), "item_id", "text")
+    points = ops.hash_embedder()(df, ["item_id"], "text")
+    for found in (entries, points):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Join" not in plan and "Aggregate" not in plan
+    got = {(r.item_id, r.idx): r.weight for r in entries.collect()}
+    expected = {(i, k): v for i, text, _ in rows for k, v in nonzero(text or "").items()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], abs_tol=1e-12) for k in got)
+    stored = points.collect()
+    assert {r.item_id: r.facet for r in stored} == {r[0]: r[2] for r in rows}
+    assert {(r.item_id, k): v for r in stored for k, v in zip(r.idx, r.weight)} == got
+
+
+def test_texts_of_one_key_make_one_vector(spark):
+    rows = [(1, "alpha"), (1, "beta beta"), (None, "gamma"), (None, "delta"), (2, "alpha")]
+    df = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
+    got = {(r.item_id, r.idx): r.weight for r in ops.feature_hash_embed(df, "item_id", "text").collect()}
+    whole = {1: "alpha beta beta", None: "gamma delta", 2: "alpha"}
+    expected = {(i, k): v for i, text in whole.items() for k, v in nonzero(text).items()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], abs_tol=1e-12) for k in got)
+    points = ops.hash_embedder()(df, ["item_id"], "text").collect()
+    assert sorted(r.item_id for r in points) == [1, 1, 2]
+    assert all(dict(zip(r.idx, r.weight)) == {k: v for (i, k), v in got.items() if i == r.item_id} for r in points)
