@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import messages, text
+from lorekeep.registry import inputs
 from lorekeep.sources import exports
 
 CASES = [
@@ -225,3 +226,14 @@ def test_byte_ranges_refuse_other_lists_and_broken_documents(spark, tmp_path, do
     (tmp_path / "result.json").write_text(document)
     with pytest.raises(Exception):  # noqa: B017
         exports.export_scan(spark, str(tmp_path / "result.json"), layout="indented").collect()
+
+
+def test_indented_documents_lie_in_one_folder(spark, tmp_path):
+    """One file per chat, without a folder of its own, and every message of it."""
+    rows = [(chat, turn, "user", f"text {turn}") for chat in range(7) for turn in range(chat + 1)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    inputs.write_indented(spark, str(tmp_path), f"{tmp_path}/export")
+    assert len([p for p in (tmp_path / "export").glob("*.txt") if p.stat().st_size]) == 7
+    found = exports.ranged_messages(spark, f"{tmp_path}/export", name_filter="*.txt")
+    assert sorted((r.chat_id, r.chat_title, r.pos) for r in found.collect()) == [(c, f"Chat {c}", t) for c, t, _, _ in rows]
