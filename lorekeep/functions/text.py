@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lorekeep.constants import PREVIEW_LIMIT
 # White space as Python's str.strip and str.split see it; the regular expression says the same.
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
+# The runs that are no single space, which most are and which stay as they are.
+_OTHER_RUN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 
 
 def strip(value: Column) -> Column:
@@ -18,13 +22,18 @@ def strip(value: Column) -> Column:
 
 def squeeze(value: Column) -> Column:
     """Strip, and turn each run of white space into one space."""
-    return F.trim(F.regexp_replace(value, _BLANK_RUN, " "))
+    return F.trim(F.regexp_replace(value, _OTHER_RUN, " "))
 
 
 def blank_to_null(value: Column) -> Column:
     return F.when(F.length(value) > 0, value)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for an expensive ``value`` that is used more than once; the lambda makes it computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def basename(path: Column) -> Column:
     """Last path part; trailing slashes are ignored."""
     return F.element_at(F.split(F.regexp_replace(path, r"/+\z", ""), "/"), -1)
@@ -36,23 +45,27 @@ def preview(value: Column, limit: int = PREVIEW_LIMIT) -> Column:
     def cut(flat: Column) -> Column:
         return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
 
-    # The lambda makes sure that the text is squeezed once.
-    return F.when(F.length(value) > 0, F.get(F.transform(F.array(squeeze(value)), cut), 0))
+    return F.when(F.length(value) > 0, _once(squeeze(value), cut))
 
 
 def join_lines(*values: Column) -> Column:
     """Squeezed non-empty parts, one per line; null when nothing is left."""
-    return blank_to_null(F.concat_ws("\n", *[blank_to_null(squeeze(v)) for v in values]))
+    parts = F.filter(F.transform(F.array(*values), squeeze), lambda part: F.length(part) > 0)
+    return _once(F.array_join(parts, "\n"), blank_to_null)
 
 
 def extractive_summary(value: Column, limit: int = PREVIEW_LIMIT) -> Column:
-    """First two sentences, else the head of the text."""
-    sentences = F.slice(F.split(value, rf"(?<=[.!?]){_BLANK_RUN}"), 1, 2)
-    kept = F.filter(F.transform(sentences, strip), lambda s: F.length(s) > 0)
-    return F.when(
-        F.length(value) > 0,
-        F.coalesce(blank_to_null(F.array_join(kept, " ")), F.substring(value, 1, limit)),
-    )
+    """First two sentences, else the head of the text. What comes after them is not searched."""
+
+    def summary(text: Column) -> Column:
+        sentences = F.slice(F.split(text, rf"(?<=[.!?]){_BLANK_RUN}", 3), 1, 2)
+        kept = F.filter(F.transform(sentences, strip), lambda s: F.length(s) > 0)
+        return F.when(
+            F.length(text) > 0,
+            F.coalesce(_once(F.array_join(kept, " "), blank_to_null), F.substring(text, 1, limit)),
+        )
+
+    return _once(value, summary)
 
 
 def clip_slug(title: Column, clip_id: Column) -> Column:

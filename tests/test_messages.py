@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,20 @@ def test_indented_documents_lie_in_one_folder(spark, tmp_path):
     assert len([p for p in (tmp_path / "export").glob("*.txt") if p.stat().st_size]) == 7
     found = exports.ranged_messages(spark, f"{tmp_path}/export", name_filter="*.txt")
     assert sorted((r.chat_id, r.chat_title, r.pos) for r in found.collect()) == [(c, f"Chat {c}", t) for c, t, _, _ in rows]
+
+
+def test_texts_of_a_summary_are_squeezed_once(spark):
+    """Every use of a value would search the whole text again."""
+    blanks = [" ", "  ", "\t", " \n", "\n ", " ", "   ", "\x1c", "\r\n"]
+    texts = [f"{b}One{b}two.{b}Three!{b}{b}four? five{b}" for b in blanks] + ["", " ", None, "no end", "a. ", ". . .", "!"]
+    rows = [(t, texts[-1 - i]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    joined = text.join_lines(F.col("a"), F.col("b"))
+    found = df.select("a", "b", joined.alias("joined"), text.extractive_summary(joined).alias("summary"))
+    for r in found.collect():
+        whole = "\n".join(p for p in (" ".join((v or "").split()) for v in (r.a, r.b)) if p)
+        first = [p.strip() for p in re.split(r"(?<=[.!?])\s+", whole)[:2]]
+        assert r.joined == (whole or None)
+        assert r.summary == (" ".join(p for p in first if p) or whole[:280] if whole else None)
+    plan = found.select("summary")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 2 and plan.count("split(") == 1
